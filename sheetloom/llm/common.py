@@ -127,3 +127,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
 def crc_mod(column, modulus: int):
     """crc32 of the id as decimal text, modulo a number; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def components(edges: DataFrame, what: str = "components") -> DataFrame:
+    """node and label (the smallest node that it is connected with) for all nodes of edges (a, b: long).
+
+    Each round takes the smallest label among neighbours and then the label of that label, so chains shorten by half; rounds are written to the
+    shared folder.  Hot nodes are only aggregated and joined, never collected.
+    """
+    both = store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), what + "-edges")
+    labels = store(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), what)
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = store(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), what)
+        labels = new.select("node", "label")
+        if new.where("was != label").limit(1).count() == 0:
+            return labels

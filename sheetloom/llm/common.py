@@ -93,8 +93,11 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
+_SLICE = 1 << 17
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +108,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     n, texts = len(data), len(offsets) - 1
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(texts + 1, np.int64)
+    if n > _SLICE and texts > 1:  # what the processor's cache holds at a time
+        hashes, places, first, total = [], [np.zeros(1, np.int64)], 0, 0
+        while first < texts:
+            last = min(texts, max(first + 1, int(np.searchsorted(offsets, offsets[first] + _SLICE, "right")) - 1))
+            h, at = word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], lower)
+            hashes.append(h)
+            places.append(at[1:] + total)
+            total, first = total + len(h), last
+        return np.concatenate(hashes), np.concatenate(places)
     if lower:
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        data = _LOWER[data]
     word = ~_SPACE[data]
     begin = word.copy()
     begin[1:] &= ~word[:-1]

@@ -1,3 +1,123 @@
 """Queries over the grid operators, with the SQL that says the same."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import a1
+from ..operators import layout
+from ..sources import grid
+from . import sql
+
 QUERIES, ORACLE = {}, {}
+
+
+def query(select: str | None = None, recursive: bool = False, **extra: str):
+    """Registers a query by its function's name, and its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if select:
+            ORACLE[f.__name__] = sql.build(select, recursive, **extra)
+        return f
+
+    return add
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+# ---- notation and cells
+
+
+@query(f"SELECT p_partkey, {sql.letters('((p_partkey - 1) % 16384 + 1)')} AS letters, ((p_partkey - 1) % 16384 + 1)::INT AS back, {sql.coord('p_size', '((p_partkey - 1) % 16384 + 1)')} AS address FROM part")
+def a1_roundtrip(spark, sf):
+    n = ((F.col("p_partkey") - 1) % 16384 + 1).cast("int")
+    out = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", a1.letters(n).alias("letters"), a1.coord("p_size", n).alias("address"))
+    return out.withColumn("back", a1.number("letters"))
+
+
+@query("SELECT * FROM cells")
+def grid_cells(spark, sf):
+    return grid.statements(spark, sf)
+
+
+@query("SELECT * FROM used")
+def used_range(spark, sf):
+    return layout.used_range(grid.statements(spark, sf))
+
+
+@query("SELECT wb, sheet, count(*) AS cells, count(formula) AS formulas FROM cells GROUP BY GROUPING SETS ((wb, sheet), (wb))")
+def workbook_totals(spark, sf):
+    return layout.totals(grid.statements(spark, sf))
+
+
+@query("""SELECT c.wb, c.sheet, c.row, c.col, m.wb IS NOT NULL AS merged, coalesce(c.row = m.r1 AND c.col = m.c1, false) AS is_master, coalesce(NOT (c.row = m.r1 AND c.col = m.c1), false) AS is_slave,
+  CASE WHEN c.row = m.r1 AND c.col = m.c1 THEN m.r2 - m.r1 + 1 END AS row_span FROM cells c LEFT JOIN merges m ON m.wb = c.wb AND m.sheet = c.sheet AND c.row BETWEEN m.r1 AND m.r2 AND c.col BETWEEN m.c1 AND m.c2""")
+def merge_flags(spark, sf):
+    out = layout.merge_flags(grid.statements(spark, sf), grid.status_merges(spark, sf))
+    return out.select("wb", "sheet", "row", "col", "merged", "is_master", "is_slave", "row_span")
+
+
+@query("""SELECT c.wb, c.sheet, c.row, c.col, coalesce(c.raw, r.v) AS raw FROM (SELECT c.wb, c.sheet, c.row, c.col, CASE WHEN m.wb IS NULL THEN c.raw END AS raw, c.formula FROM cells c LEFT JOIN merges m ON m.wb = c.wb AND m.sheet = c.sheet AND m.r1 = c.row AND m.c1 = c.col) c
+  LEFT JOIN (SELECT m.wb, m.sheet, m.r1, m.c1, arg_min(v.raw, struct_pack(a := v.row = m.r1 AND v.col = m.c1, b := v.row, c := v.col)) AS v FROM merges m JOIN cells v ON v.wb = m.wb AND v.sheet = m.sheet AND v.row BETWEEN m.r1 AND m.r2 AND v.col BETWEEN m.c1 AND m.c2
+    WHERE v.raw IS NOT NULL GROUP BY m.wb, m.sheet, m.r1, m.c1) r ON r.wb = c.wb AND r.sheet = c.sheet AND r.r1 = c.row AND r.c1 = c.col AND c.formula IS NULL""")
+def merge_recovery(spark, sf):
+    cells, merges = grid.statements(spark, sf), grid.status_merges(spark, sf)
+    flagged = layout.merge_flags(cells, merges)
+    blank = flagged.withColumn("raw", F.when(~F.col("is_master"), F.col("raw"))).select(*cells.columns)
+    return layout.recover_masters(blank, merges, cells).select("wb", "sheet", "row", "col", "raw")
+
+
+@query("SELECT c.wb, c.sheet, c.row, c.col FROM free c")
+def anti_table_cells(spark, sf):
+    return layout.outside_tables(grid.statements(spark, sf), grid.finished_tables(spark, sf)).select("wb", "sheet", "row", "col")
+
+
+@query("SELECT * FROM tstats")
+def table_block_stats(spark, sf):
+    return layout.table_blocks(grid.statements(spark, sf), grid.finished_tables(spark, sf)).drop("has_merges")
+
+
+# ---- layout
+
+
+@query("SELECT wb, sheet, row_island, min(row) AS r1, max(row) AS r2, count(*) AS cells FROM isl GROUP BY ALL")
+def row_islands(spark, sf):
+    return layout.islands(grid.statements(spark, sf)).groupBy("wb", "sheet", "row_island").agg(F.min("row").alias("r1"), F.max("row").alias("r2"), F.count("*").alias("cells"))
+
+
+@query("SELECT wb, sheet, row_island, col_island, min(col) AS c1, max(col) AS c2, count(*) AS cells FROM isl GROUP BY ALL")
+def col_islands(spark, sf):
+    return layout.islands(grid.statements(spark, sf)).groupBy("wb", "sheet", "row_island", "col_island").agg(F.min("col").alias("c1"), F.max("col").alias("c2"), F.count("*").alias("cells"))
+
+
+@query("SELECT wb, sheet, row_island, col_island, style_part, min(row) AS r1, max(row) AS r2, count(*) AS cells FROM styled GROUP BY ALL")
+def style_split(spark, sf):
+    return layout.style_split(layout.islands(grid.statements(spark, sf))).groupBy("wb", "sheet", "row_island", "col_island", "style_part").agg(F.min("row").alias("r1"), F.max("row").alias("r2"), F.count("*").alias("cells"))
+
+
+@query("SELECT * FROM comps")
+def classify_blocks(spark, sf):
+    return layout.components(layout.style_split(layout.islands(grid.statements(spark, sf))))
+
+
+@query("SELECT wb, sheet, block_index, table_name, r1, c1, r2, c2, cell_count, formula_count, has_formatting, block_type, key_cells FROM blocks")
+def segment_sheet(spark, sf):
+    return layout.segment(grid.statements(spark, sf), grid.finished_tables(spark, sf)).drop("has_merges")
+
+
+@query("SELECT wb, sheet, count(*) AS absorbed FROM fold WHERE took GROUP BY ALL")
+def title_merge(spark, sf):
+    cells, tables = grid.statements(spark, sf), grid.finished_tables(spark, sf)
+    raw = layout.raw_blocks(cells, tables)
+    before = raw.groupBy("wb", "sheet").agg(F.count("*").alias("n"))
+    after = layout.merge_titles(raw).groupBy("wb", "sheet").agg(F.count("*").alias("m"))
+    return before.join(after, ["wb", "sheet"]).select("wb", "sheet", (F.col("n") - F.col("m")).alias("absorbed")).where("absorbed > 0")
+
+
+@query("SELECT wb, sheet, block_index, (c1 - 1) * 63.225 AS x, (r1 - 1) * 15.0::DOUBLE AS y, (c2 - c1 + 1) * 63.225 AS w, (r2 - r1 + 1) * 15.0::DOUBLE AS h FROM (SELECT wb, sheet, block_index, c1::DOUBLE AS c1, r1::DOUBLE AS r1, c2::DOUBLE AS c2, r2::DOUBLE AS r2 FROM blocks)")
+def bounding_boxes(spark, sf):
+    return layout.bounding_boxes(layout.segment(grid.statements(spark, sf), grid.finished_tables(spark, sf))).select("wb", "sheet", "block_index", *(F.round(c, 6).alias(c) for c in "xywh"))

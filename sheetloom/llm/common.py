@@ -82,12 +82,13 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "i" if inverse else "p"
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = max(1 << 16, n + n // 16)
         b = pow(BASE, -1, 1 << 64) if inverse else BASE
         have = np.ones(size, np.uint64)
         step = 1
         while step < size:  # doubling
-            have[step : 2 * step] = have[:step] * np.uint64(pow(b, step, 1 << 64))
+            more = min(step, size - step)
+            have[step : step + more] = have[:more] * np.uint64(pow(b, step, 1 << 64))
             step *= 2
         _POWERS[key] = have
     return have[:n]

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc_mod, mix, powers, read, shared_folder, text_bytes, word_hashes
 
-SHARD_TOKENS = 1 << 23
-BLOCK_TOKENS = 1 << 22
+SHARD_TOKENS = 5 << 20
+BLOCK_TOKENS = 5 << 19
 PREFIX = 8
 END = np.uint64(0x1F3D5B79A6C8E0D1)
 
@@ -322,7 +322,7 @@ def build_shards(docs: DataFrame, folder: str, n: int) -> list[str]:
     count = max(1, round(n / SHARD_TOKENS))
 
     def deal(batches):
-        for _, _, h, offsets in _blocks(batches, BLOCK_TOKENS // 4):
+        for _, _, h, offsets in _blocks(batches, BLOCK_TOKENS // 2):
             r, _ = backwards(h, offsets)
             begins = offsets + np.arange(len(offsets))
             to = np.arange(len(offsets) - 1) % count

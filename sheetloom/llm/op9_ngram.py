@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_mod, mix, powers, read, shared_folder, text_bytes, word_hashes
 
 SHARD_TOKENS = 5 << 20
-BLOCK_TOKENS = 5 << 19
+BLOCK_TOKENS = 5 << 18
 PREFIX = 8
 END = np.uint64(0x1F3D5B79A6C8E0D1)
 
@@ -403,7 +403,8 @@ def score_block(h: np.ndarray, offsets: np.ndarray, held: np.ndarray, words, sha
         k = np.minimum(np.searchsorted(known, unique), len(known) - 1)
         same = known[k] == unique
         c[same] = counts[k[same]]
-    c = c[inverse]
+    c = c[inverse].astype(np.int32 if total < 1 << 31 else np.int64)
+    del unique, inverse
     base = (c + 0.5) / (total + 0.5 * (vocabulary + 1))
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -426,7 +427,7 @@ def score_block(h: np.ndarray, offsets: np.ndarray, held: np.ndarray, words, sha
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; held: a column, true for rows not to learn from."""
     spark = df.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 2)
     held = crc_mod(F.col(id_col), 5) == 1 if held is None else held
     docs = df.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).alias("text"))
     folder = new_folder(spark)

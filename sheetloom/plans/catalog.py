@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import a1
-from ..operators import layout
+from ..functions import a1, refs
+from ..operators import annotate, graph, layout, tables
 from ..sources import grid
 from . import sql
 
@@ -32,9 +32,9 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 # ---- notation and cells
 
 
-@query(f"SELECT p_partkey, {sql.letters('((p_partkey - 1) % 16384 + 1)')} AS letters, ((p_partkey - 1) % 16384 + 1)::INT AS back, {sql.coord('p_size', '((p_partkey - 1) % 16384 + 1)')} AS address FROM part")
+@query(f"SELECT p_partkey, {sql.letters('(p_partkey % 16384 + 1)')} AS letters, (p_partkey % 16384 + 1)::INT AS back, {sql.coord('p_size', '(p_partkey % 16384 + 1)')} AS address FROM part")
 def a1_roundtrip(spark, sf):
-    n = ((F.col("p_partkey") - 1) % 16384 + 1).cast("int")
+    n = (F.col("p_partkey") % 16384 + 1).cast("int")
     out = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", a1.letters(n).alias("letters"), a1.coord("p_size", n).alias("address"))
     return out.withColumn("back", a1.number("letters"))
 
@@ -121,3 +121,185 @@ def title_merge(spark, sf):
 @query("SELECT wb, sheet, block_index, (c1 - 1) * 63.225 AS x, (r1 - 1) * 15.0::DOUBLE AS y, (c2 - c1 + 1) * 63.225 AS w, (r2 - r1 + 1) * 15.0::DOUBLE AS h FROM (SELECT wb, sheet, block_index, c1::DOUBLE AS c1, r1::DOUBLE AS r1, c2::DOUBLE AS c2, r2::DOUBLE AS r2 FROM blocks)")
 def bounding_boxes(spark, sf):
     return layout.bounding_boxes(layout.segment(grid.statements(spark, sf), grid.finished_tables(spark, sf))).select("wb", "sheet", "block_index", *(F.round(c, 6).alias(c) for c in "xywh"))
+
+
+# ---- annotation and tables
+
+
+def annotated(spark, sf):
+    return annotate.annotate(grid.statements(spark, sf))
+
+
+def regions(spark, sf):
+    return annotate.regions(annotated(spark, sf))
+
+
+@query("SELECT wb, sheet, row, col, base FROM scored")
+def annotate_pass1(spark, sf):
+    return annotate.intrinsic(grid.statements(spark, sf)).select("wb", "sheet", "row", "col", "base")
+
+
+@query("SELECT wb, sheet, row, col, annotation, confidence FROM ann")
+def annotate_cells(spark, sf):
+    return annotated(spark, sf).select("wb", "sheet", "row", "col", "annotation", "confidence")
+
+
+@query("SELECT wb, sheet, block_index, annotation, r1, c1, r2, c2, cell_count, formula_count, key_cells, density FROM regions", recursive=True)
+def flood_fill_blocks(spark, sf):
+    return regions(spark, sf).select("wb", "sheet", "block_index", "annotation", "r1", "c1", "r2", "c2", "cell_count", "formula_count", "key_cells", "density")
+
+
+def _candidates(role):
+    def f(spark, sf):
+        return tables.candidates(regions(spark, sf)).where(F.col("role") == role).select("wb", "sheet", "l_block_index", "d_block_index")
+
+    f.__name__ = f"{role}_candidates"
+    return query(f"SELECT wb, sheet, l_block_index, d_block_index FROM cand WHERE role = '{role}'", recursive=True)(f)
+
+
+for _role in ("header", "row_label", "footer"):
+    _candidates(_role)
+
+
+@query()
+def assemble_tables(spark, sf):
+    return tables.assemble(regions(spark, sf))
+
+
+@query("SELECT wb, sheet, block_index, density FROM regions WHERE density < 0.8", recursive=True)
+def light_blocks(spark, sf):
+    return tables.light(regions(spark, sf)).select("wb", "sheet", "block_index", "density")
+
+
+_BODIES = "SELECT wb, sheet, block_index AS structure, r1, c1, r2, c2 FROM regions WHERE annotation = 'data'"
+
+
+@query("""SELECT wb, sheet, block_index, m.d::INT AS distance, m.s AS structure, m.r AS role FROM (
+  SELECT wb, sheet, block_index, min(struct_pack(d := distance, s := structure, r := CASE WHEN ar1 > br2 THEN 'footer' WHEN ar2 < br1 THEN 'header' WHEN ac2 < bc1 THEN 'row_label' ELSE 'footer' END)) AS m FROM (
+    SELECT a.wb, a.sheet, a.block_index, b.structure, a.r1 AS ar1, a.r2 AS ar2, a.c2 AS ac2, b.r1 AS br1, b.r2 AS br2, b.c1 AS bc1,
+      greatest(0, greatest(a.r1 - b.r2, b.r1 - a.r2) - 1) + greatest(0, greatest(a.c1 - b.c2, b.c1 - a.c2) - 1) AS distance
+    FROM regions a JOIN bodies b ON a.wb = b.wb AND a.sheet = b.sheet AND a.block_index != b.structure AND a.density < 0.8) WHERE distance <= 3 GROUP BY wb, sheet, block_index)""", recursive=True, bodies=_BODIES)
+def nearest_structure(spark, sf):
+    blocks = regions(spark, sf)
+    bodies = blocks.where("annotation = 'data'").withColumn("structure", F.col("block_index"))
+    return tables.nearest(tables.light(blocks), bodies)
+
+
+@query()
+def attach_light_blocks(spark, sf):
+    blocks = regions(spark, sf)
+    return tables.attach_light(blocks, tables.assemble(blocks))
+
+
+def _similar(spark, sf):
+    blocks = regions(spark, sf)
+    return tables.similarity(tables.features(tables.assemble(blocks), blocks, grid.statements(spark, sf)))
+
+
+@query()
+def table_similarity(spark, sf):
+    return _similar(spark, sf)
+
+
+@query()
+def table_groups(spark, sf):
+    return tables.groups(_similar(spark, sf))
+
+
+@query()
+def structure_tree(spark, sf):
+    blocks = regions(spark, sf)
+    structures = tables.assemble(blocks)
+    pairs = tables.similarity(tables.features(structures, blocks, grid.statements(spark, sf)))
+    return tables.tree(blocks, structures, tables.groups(pairs))
+
+
+# ---- patterns: each conversation is a sheet with the role in its first column
+
+
+def talks(spark, sf):
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    row = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("int")
+    x = c.withColumn("row", row)
+    cells = x.select(F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("wb"), F.lit("talk").alias("sheet"), F.explode(F.array(grid.text(F.col("row"), 1, F.col("role")), grid.text(F.col("row"), 2, F.col("text")))).alias("c")).select("wb", "sheet", "c.*")
+    bodies = layout.used_range(cells).select("wb", "sheet", F.lit(0).alias("body"), "r1", "c1", "r2", "c2")
+    return cells, bodies
+
+
+_TALK = {
+    "turns": "SELECT 't' || conv_id AS wb, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS row, lower(trim(role)) AS v FROM conversations",
+    "heights": "SELECT wb, max(row) AS n FROM turns GROUP BY wb HAVING max(row) >= 4",
+    "factors": "SELECT wb, n, unnest(list_filter(range(2, n), lambda k: n % k = 0))::INT AS factor FROM heights",
+    "stab": """SELECT wb, factor, round(avg((v = f)::INT), 6) AS stability FROM (
+      SELECT t.wb, factor, v, (t.row - 1) // factor AS period, first_value(v) OVER (PARTITION BY t.wb, factor, (t.row - 1) % factor ORDER BY t.row) AS f FROM turns t JOIN factors USING (wb)) WHERE period > 0 GROUP BY wb, factor""",
+    "best": "SELECT wb, arg_max(factor, struct_pack(s := stability, f := -factor)) AS factor, max(stability) AS s FROM stab GROUP BY wb HAVING max(stability) >= 0.8",
+    "parts": "SELECT b.wb, b.factor, unnest(range(0, n // b.factor))::INT AS part FROM best b JOIN heights USING (wb)",
+}
+
+
+@query("SELECT wb, factor, stability FROM stab", **_TALK)
+def pattern_stability(spark, sf):
+    cells, bodies = talks(spark, sf)
+    return tables.stability(bodies, cells).select("wb", "factor", "stability")
+
+
+@query("SELECT wb, factor, part, (1 + part * factor)::INT AS r1, ((part + 1) * factor)::INT AS r2 FROM parts", **_TALK)
+def pattern_split(spark, sf):
+    cells, bodies = talks(spark, sf)
+    return tables.pattern_split(bodies, cells).select("wb", "factor", "part", "r1", "r2")
+
+
+@query("""SELECT t.wb, t.row FROM turns t JOIN best b USING (wb) JOIN (SELECT t.wb, (t.row - 1) % b.factor AS o FROM turns t JOIN best b USING (wb) GROUP BY ALL HAVING count(DISTINCT v) > 1) x
+  ON x.wb = t.wb AND x.o = (t.row - 1) % b.factor""", **_TALK)
+def reclassify_labels(spark, sf):
+    cells, bodies = talks(spark, sf)
+    return tables.varying_labels(tables.pattern_split(bodies, cells), cells).select("wb", "row")
+
+
+# ---- formulas
+
+
+@query("SELECT * FROM frefs")
+def formula_refs(spark, sf):
+    c = grid.statements(spark, sf).where("formula IS NOT NULL")
+    return c.select("wb", "sheet", "row", "col", F.explode(refs.references("formula")).alias("ref"))
+
+
+def _edges(spark, sf):
+    return graph.edges(grid.statements(spark, sf))
+
+
+@query("SELECT wb, sheet, row, col, ref, book, table_name, target_sheet, is_range, r1, c1, edge_type FROM edges")
+def dependency_edges(spark, sf):
+    return _edges(spark, sf).drop("r2", "c2")
+
+
+@query("SELECT edge_type, count(*) AS n FROM edges GROUP BY ALL")
+def edge_type_counts(spark, sf):
+    return _edges(spark, sf).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM up2")
+def upstream_2hop(spark, sf):
+    return graph.upstream(_edges(spark, sf), 2)
+
+
+@query("SELECT wb, to_sheet AS sheet, to_row AS row, to_col AS col, sheet AS user_sheet, row AS user_row, col AS user_col FROM hops")
+def downstream_1hop(spark, sf):
+    return graph.downstream(_edges(spark, sf), 1).drop("step")
+
+
+@query("SELECT * FROM loops", recursive=True)
+def circular_cells(spark, sf):
+    return graph.cycles(_edges(spark, sf))
+
+
+@query("SELECT * FROM degree")
+def in_degree(spark, sf):
+    return graph.in_degree(_edges(spark, sf))
+
+
+@query()
+def dependency_summary(spark, sf):
+    cells = grid.statements(spark, sf)
+    return graph.summary(layout.segment(cells), graph.edges(cells))

@@ -129,7 +129,7 @@ SELECT c.*, (bold::INT * 0.25 + coalesce(kind = 's' AND regexp_matches(lower(raw
   + (CASE WHEN raw IS NULL THEN 0.5 WHEN kind = 's' AND length(trim(raw)) <= 50 THEN 0.7 WHEN kind = 's' THEN 0.4 WHEN kind = 'b' THEN 0.3 WHEN kind IN ('i', 'f') THEN 0.1 ELSE 0.3 END) * 0.15
   + ((CASE WHEN (row - u.r1)::DOUBLE / (u.r2 - u.r1 + 1) < 0.1 THEN 0.8 WHEN (row - u.r1)::DOUBLE / (u.r2 - u.r1 + 1) > 0.9 THEN 0.6 ELSE 0.3 END)
      + (CASE WHEN (col - u.c1)::DOUBLE / (u.c2 - u.c1 + 1) < 0.1 THEN 0.7 ELSE 0.3 END)) / 2 * 0.1
-  + (CASE WHEN formula IS NULL THEN 0.5 ELSE 0 END) * 0.05) / 0.9 AS base FROM cells c JOIN used u USING (wb, sheet)""")
+  + (CASE WHEN formula IS NULL THEN 0.5 ELSE 0 END) * 0.05) / 0.9 AS base0, round(base0, 9) AS base FROM cells c JOIN used u USING (wb, sheet)""")
 _define("ann", """
 SELECT s.*, CASE WHEN final >= 0.5 THEN 'label' ELSE 'data' END AS annotation, round(abs(final - 0.5) * 2, 4) AS confidence FROM (
   SELECT s.wb, s.sheet, s.row, s.col, any_value(s.raw) AS raw, any_value(s.kind) AS kind, any_value(s.formula) AS formula, any_value(s.bold) AS bold, any_value(s.base) AS base,
@@ -154,3 +154,44 @@ def build(select: str, recursive: bool = False, **extra: str) -> str:
     if not parts:
         return select
     return f"WITH {'RECURSIVE ' if 'fold' in need or recursive else ''}{parts} {select}"
+
+# names of later chains must be known before build is used, so they are defined on import
+_define("reach", """
+SELECT wb, sheet, row, col, annotation, row AS row0, col AS col0 FROM ann
+UNION SELECT a.wb, a.sheet, a.row, a.col, a.annotation, r.row0, r.col0 FROM reach r JOIN ann a ON a.wb = r.wb AND a.sheet = r.sheet AND a.annotation = r.annotation
+  AND ((a.row = r.row AND a.col BETWEEN r.col - 1 AND r.col + 1) OR (a.col = r.col AND a.row BETWEEN r.row - 1 AND r.row + 1))""")
+_define("member", "SELECT wb, sheet, row, col, annotation, min(struct_pack(r := row0, c := col0)) AS reg FROM reach GROUP BY wb, sheet, row, col, annotation")
+_define("regions", f"""
+SELECT *, (row_number() OVER (PARTITION BY wb, sheet ORDER BY r1, c1, reg_row, reg_col) - 1)::INT AS block_index, round(cell_count / ((r2 - r1 + 1) * (c2 - c1 + 1)), 4) AS density FROM (
+  SELECT m.wb, m.sheet, reg.r AS reg_row, reg.c AS reg_col, min(m.row) AS r1, min(m.col) AS c1, max(m.row) AS r2, max(m.col) AS c2, count(*) AS cell_count, any_value(m.annotation) AS annotation,
+    count(a.formula) AS formula_count, coalesce(array_to_string(list_transform(list_sort(list(struct_pack(r := m.row, c := m.col)) FILTER (WHERE a.bold))[1:20], lambda x: {coord('x.r', 'x.c')}), ','), '') AS key_cells
+  FROM member m JOIN ann a USING (wb, sheet, row, col) GROUP BY m.wb, m.sheet, reg)""")
+_define("cand", """
+SELECT l.wb, l.sheet, l.block_index AS l_block_index, d.block_index AS d_block_index, unnest(list_filter([
+  CASE WHEN d.r1 - l.r2 - 1 = 0 AND cols >= 0.5 THEN 'header' END, CASE WHEN d.c1 - l.c2 - 1 = 0 AND rws >= 0.5 THEN 'row_label' END,
+  CASE WHEN l.r1 - d.r2 - 1 BETWEEN 0 AND 1 AND cols >= 0.5 THEN 'footer' END], lambda x: x IS NOT NULL)) AS role
+FROM (SELECT l, d, greatest(0, least(l.c2, d.c2) - greatest(l.c1, d.c1) + 1) / (l.c2 - l.c1 + 1)::DOUBLE AS cols, greatest(0, least(l.r2, d.r2) - greatest(l.r1, d.r1) + 1) / (l.r2 - l.r1 + 1)::DOUBLE AS rws
+      FROM regions l JOIN regions d ON l.wb = d.wb AND l.sheet = d.sheet AND l.annotation = 'label' AND d.annotation = 'data')""")
+
+_SHEET, _AT = r"(?:''[^'']+''|[A-Za-z0-9_]+)", r"\$?[A-Z]{1,3}\$?[0-9]{1,7}"
+_define("frefs", rf"""
+SELECT wb, sheet, row, col, unnest(list_distinct(
+  regexp_extract_all(formula, '\[[^\]]+\]{_SHEET}!{_AT}(?::{_AT})?') || list_filter(regexp_extract_all(formula, '[A-Za-z_][A-Za-z0-9_.]*\[[^\]]*\]'), lambda x: upper(string_split(x, '[')[1]) NOT IN ('SUM', 'IF', 'INDEX'))
+  || list_filter(regexp_extract_all(formula, '\]?(?:{_SHEET}!)?{_AT}(?::(?:{_SHEET}!)?{_AT})?'), lambda x: NOT starts_with(x, ']')))) AS ref FROM cells WHERE formula IS NOT NULL""")
+_NUM = "list_reduce(list_prepend(0, list_transform(string_split({0}, ''), lambda x: ascii(x) - 64)), lambda a, x: a * 26 + x)"
+_define("edges", r"""
+SELECT *, CASE WHEN book IS NOT NULL THEN 'external' WHEN table_name IS NOT NULL THEN 'structured_ref' WHEN target_sheet != sheet THEN 'cross_sheet' WHEN is_range THEN 'cell_to_range' ELSE 'cell_to_cell' END AS edge_type FROM (
+  SELECT wb, sheet, row, col, ref, book, table_name, CASE WHEN table_name IS NULL AND instr(body, '!') > 0 THEN string_split(body, '!')[1] END AS target_sheet, table_name IS NULL AND instr(ref, ':') > 0 AS is_range,
+    CASE WHEN table_name IS NULL THEN regexp_extract(place, '^[A-Z]+([0-9]+)', 1)::INT END AS r1, CASE WHEN table_name IS NULL THEN """ + _NUM.format("regexp_extract(place, '^([A-Z]+)', 1)") + r"""::INT END AS c1
+  FROM (SELECT *, regexp_replace(body, '^.*!', '') AS place FROM (
+    SELECT *, nullif(regexp_extract(ref, '^\[([^\]]+)\]', 1), '') AS book, CASE WHEN ref LIKE '%]' THEN string_split(ref, '[')[1] END AS table_name, regexp_replace(ref, '^\[[^\]]+\]', '') AS body FROM frefs)))""")
+_define("hops", "SELECT DISTINCT wb, sheet, row, col, coalesce(target_sheet, sheet) AS to_sheet, r1 AS to_row, c1 AS to_col FROM edges WHERE book IS NULL AND table_name IS NULL AND NOT is_range")
+_define("up2", """
+SELECT wb, sheet, row, col, ref, edge_type, min(step)::INT AS step FROM (
+  SELECT wb, sheet, row, col, ref, edge_type, 1 AS step FROM edges
+  UNION ALL SELECT h.wb, h.sheet, h.row, h.col, e.ref, e.edge_type, 2 FROM hops h JOIN edges e ON e.wb = h.wb AND e.sheet = h.to_sheet AND e.row = h.to_row AND e.col = h.to_col) GROUP BY ALL""")
+_define("paths", """
+SELECT wb, sheet, row, col, to_sheet, to_row, to_col FROM hops
+UNION SELECT p.wb, p.sheet, p.row, p.col, h.to_sheet, h.to_row, h.to_col FROM paths p JOIN hops h ON h.wb = p.wb AND h.sheet = p.to_sheet AND h.row = p.to_row AND h.col = p.to_col""")
+_define("loops", "SELECT DISTINCT wb, sheet, row, col FROM paths WHERE sheet = to_sheet AND row = to_row AND col = to_col")
+_define("degree", "SELECT wb, coalesce(target_sheet, sheet) AS sheet, r1 AS row, c1 AS col, count(*) AS in_degree FROM edges WHERE book IS NULL AND NOT is_range AND r1 IS NOT NULL GROUP BY ALL")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import a1, refs
-from ..operators import annotate, graph, layout, tables
+from ..functions import a1, formats, refs
+from ..operators import annotate, artifacts, chunk, graph, layout, render, tables, template
 from ..sources import grid
 from . import sql
 
@@ -303,3 +303,230 @@ def in_degree(spark, sf):
 def dependency_summary(spark, sf):
     cells = grid.statements(spark, sf)
     return graph.summary(layout.segment(cells), graph.edges(cells))
+
+
+# ---- rendering and chunks
+
+
+@query()
+def render_text(spark, sf):
+    cells = grid.statements(spark, sf)
+    return render.text(layout.segment(cells), cells)
+
+
+@query()
+def render_html(spark, sf):
+    cells = layout.merge_flags(grid.statements(spark, sf), grid.status_merges(spark, sf))
+    return render.html(layout.segment(cells), cells)
+
+
+@query()
+def chunks(spark, sf):
+    cells = grid.statements(spark, sf)
+    return chunk.chunks(layout.segment(cells), cells)
+
+
+@query("SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn, (row_number() OVER w - 1)::INT AS chunk_index FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def chunk_nav(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    return c.select("conv_id", "turn", F.lag("turn").over(w).alias("prev_turn"), F.lead("turn").over(w).alias("next_turn"), (F.row_number().over(w) - 1).cast("int").alias("chunk_index"))
+
+
+@query("SELECT doc_id, greatest(length(text) // 4, 1) AS token_count, md5(text) AS content_hash, 'documents#' || source || '!' || doc_id AS source_uri FROM documents")
+def chunk_tokens(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("doc_id", a1.tokens("text").alias("token_count"), F.md5("text").alias("content_hash"), F.concat(F.lit("documents#"), "source", F.lit("!"), F.col("doc_id").cast("string")).alias("source_uri"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS escaped FROM pages")
+def html_escape(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.md5(a1.html_escape("html")).alias("escaped"))
+
+
+def _charts(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    r = spark.read.parquet(f"{sf}/region.parquet").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
+    series = F.array(F.struct(F.lit("nations").alias("name"), F.concat(F.lit("data!B2:B"), (F.col("n") + 1).cast("string")).alias("values_ref"), F.lit(None).cast("string").alias("categories_ref")))
+    return r.select(F.lit("world").alias("wb"), F.lit("data").alias("sheet"), F.col("r_regionkey").cast("int").alias("chart_index"), F.lit("bar").alias("chart_type"), F.col("r_name").alias("title"), F.lit("nation").alias("x_title"), F.lit(None).cast("string").alias("y_title"), F.col("r_regionkey").cast("int").alias("from_row"), F.lit(3).alias("from_col"), (F.col("r_regionkey") + 10).cast("int").alias("to_row"), F.lit(9).alias("to_col"), series.alias("series"))
+
+
+@query("SELECT r_regionkey::INT AS chart_index, 'Chart: ' || r_name || ' (bar)' || chr(10) || 'X axis: nation' || chr(10) || 'Series (1):' || chr(10) || '- nations: data!B2:B' || (count(*) + 1) AS summary, 'D' || (r_regionkey + 1) AS top_left, 'J' || (r_regionkey + 11) AS bottom_right FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+def chart_chunks(spark, sf):
+    return chunk.chart_summary(_charts(spark, sf)).select("chart_index", "summary", "top_left", "bottom_right")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, printf('%.0f%%', l_discount * 100) AS percent, format('{:,.2f}', l_extendedprice) AS money, printf('%.1f', l_tax) AS fixed FROM lineitem")
+def display_format(spark, sf):
+    x = spark.read.parquet(f"{sf}/lineitem.parquet")
+    show = lambda c, f: formats.display(F.col(c), F.lit(f))
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", show("l_discount", "0%").alias("percent"), show("l_extendedprice", "#,##0.00").alias("money"), show("l_tax", "0.0").alias("fixed"))
+
+
+@query("SELECT vec_id AS id, label, len(embedding) AS dim FROM embeddings")
+def vector_dims(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", F.size("embedding").cast("long").alias("dim"))
+
+
+@query()
+def vector_entries(spark, sf):
+    cells = grid.statements(spark, sf)
+    blocks = layout.segment(cells)
+    x = chunk.vector_entries(chunk.chunks(blocks, cells, with_html=False), graph.summary(blocks, graph.edges(cells)))
+    return x.select("id", "text", "metadata.*")
+
+
+@query("SELECT wb, count(DISTINCT sheet) AS sheets, count(*) AS cells, count(formula) AS formulas FROM cells GROUP BY wb")
+def workbook_record(spark, sf):
+    return grid.statements(spark, sf).groupBy("wb").agg(F.count_distinct("sheet").alias("sheets"), F.count("*").alias("cells"), F.count("formula").alias("formulas"))
+
+
+@query(f"SELECT u.wb, u.sheet, {sql.rect('u.')} AS used_range, u.cells, coalesce(string_agg({sql.rect('m.')}, ',' ORDER BY m.r1), '') AS merged FROM used u LEFT JOIN merges m ON m.wb = u.wb AND m.sheet = u.sheet GROUP BY ALL")
+def sheet_records(spark, sf):
+    u = layout.used_range(grid.statements(spark, sf))
+    m = grid.status_merges(spark, sf).groupBy("wb", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r1", a1.rect("r1", "c1", "r2", "c2").alias("t")))), lambda v: v["t"]), ",").alias("merged"))
+    return u.join(m, ["wb", "sheet"], "left").select("wb", "sheet", a1.rect("r1", "c1", "r2", "c2").alias("used_range"), "cells", F.coalesce("merged", F.lit("")).alias("merged"))
+
+
+# ---- templates: every customer's workbook is a document
+
+
+_SPECS = {
+    "specs": """SELECT wb, sheet, row, col, CASE WHEN formula IS NOT NULL THEN 'formula' WHEN annotation = 'label' THEN 'constant' ELSE 'dof' END AS dof_type,
+      CASE WHEN formula IS NULL AND annotation = 'label' THEN raw END AS constant, formula, CASE WHEN formula IS NULL AND annotation != 'label' THEN CASE WHEN kind IN ('i', 'f') THEN 'number' WHEN kind = 'b' THEN 'boolean' ELSE 'string' END END AS hint FROM ann""",
+    "cmp": """SELECT *, CASE WHEN documents = 1 THEN least WHEN types = 1 AND least = 'constant' AND lowest IS NOT DISTINCT FROM highest THEN 'constant' WHEN types = 1 AND least = 'formula' THEN 'formula' ELSE 'dof' END AS dof_type,
+      documents > 1 AND NOT any_dof AND ((types = 1 AND least = 'constant' AND lowest IS DISTINCT FROM highest) OR types > 1) AS conflict FROM (
+      SELECT sheet, row, col, count(DISTINCT wb) AS documents, count(DISTINCT dof_type) AS types, bool_or(dof_type = 'dof') AS any_dof, min(dof_type) AS least, min(constant) AS lowest, max(constant) AS highest,
+        arg_min(coalesce(formula, '~'), wb) AS f FROM specs GROUP BY sheet, row, col)""",
+    "tpl": "SELECT sheet, row, col, documents, dof_type, CASE WHEN dof_type = 'constant' THEN lowest END AS constant, CASE WHEN dof_type = 'formula' THEN f END AS formula, conflict FROM cmp",
+}
+
+
+@query("SELECT * FROM specs", **_SPECS)
+def template_specs(spark, sf):
+    return template.specs(annotated(spark, sf))
+
+
+def _template(spark, sf):
+    return template.compare(template.specs(annotated(spark, sf)))
+
+
+@query("SELECT * FROM tpl", **_SPECS)
+def template_compare(spark, sf):
+    return _template(spark, sf)
+
+
+@query("SELECT s.sheet, s.row, s.col, coalesce(s.constant, s.dof_type) AS value, count(*) AS documents FROM specs s JOIN tpl t ON t.sheet = s.sheet AND t.row = s.row AND t.col = s.col WHERE t.conflict GROUP BY ALL", **_SPECS)
+def template_conflicts(spark, sf):
+    return template.conflicts(template.specs(annotated(spark, sf)))
+
+
+@query("SELECT sheet, 'used' AS node, 'row_count' AS constraint, CASE WHEN a = b THEN a END AS expected, CASE WHEN a != b THEN a END AS least, CASE WHEN a != b THEN b END AS most FROM (SELECT sheet, min(r2 - r1 + 1)::BIGINT AS a, max(r2 - r1 + 1)::BIGINT AS b FROM used GROUP BY sheet) UNION ALL SELECT sheet, 'used', 'col_count', CASE WHEN a = b THEN a END, CASE WHEN a != b THEN a END, CASE WHEN a != b THEN b END FROM (SELECT sheet, min(c2 - c1 + 1)::BIGINT AS a, max(c2 - c1 + 1)::BIGINT AS b FROM used GROUP BY sheet)")
+def constraint_merge(spark, sf):
+    nodes = layout.used_range(grid.statements(spark, sf)).withColumn("node", F.lit("used"))
+    return template.merge_constraints(template.constraints(nodes))
+
+
+@query("SELECT wb, sheet, 'row_count' AS constraint, (r2 - r1 + 1)::BIGINT AS expected FROM used UNION ALL SELECT wb, sheet, 'col_count', (c2 - c1 + 1)::BIGINT FROM used")
+def template_constraints(spark, sf):
+    nodes = layout.used_range(grid.statements(spark, sf)).withColumn("node", F.lit("used"))
+    return template.constraints(nodes).drop("node")
+
+
+@query("""SELECT b.wb, t.sheet, t.row, t.col, t.constant AS expected, c.raw AS found, CASE WHEN c.raw IS NULL THEN 'missing_cell' ELSE 'mismatch' END AS problem
+  FROM (SELECT DISTINCT wb FROM cells) b CROSS JOIN (SELECT * FROM tpl WHERE dof_type = 'constant') t LEFT JOIN cells c ON c.wb = b.wb AND c.sheet = t.sheet AND c.row = t.row AND c.col = t.col WHERE c.raw IS DISTINCT FROM t.constant""", **_SPECS)
+def template_validate(spark, sf):
+    return template.validate(_template(spark, sf), grid.statements(spark, sf))
+
+
+@query("SELECT c.wb, c.sheet, c.row, c.col, c.kind, c.raw FROM cells c JOIN tpl t ON t.sheet = c.sheet AND t.row = c.row AND t.col = c.col WHERE t.dof_type = 'dof'", **_SPECS)
+def template_extract(spark, sf):
+    return template.extract(_template(spark, sf), grid.statements(spark, sf))
+
+
+# ---- artefacts and quality
+
+
+_KPI = {
+    "named": """SELECT *, coalesce(CASE WHEN lag(col) OVER l = col - 1 AND lag(kind) OVER l = 's' THEN lag(raw) OVER l END, CASE WHEN lag(row) OVER u = row - 1 AND lag(kind) OVER u = 's' THEN lag(raw) OVER u END) AS label
+      FROM cells WINDOW l AS (PARTITION BY wb, sheet, row ORDER BY col), u AS (PARTITION BY wb, sheet, col ORDER BY row)""",
+    "kpi": f"""SELECT wb, sheet, row, col, label, score::INT AS score, d AS in_degree, sheet || '!' || {sql.coord('row', 'col')} AS cell_ref FROM (SELECT n.*, d, CASE WHEN d >= 5 THEN 4 WHEN d >= 3 THEN 3 WHEN d >= 1 THEN 1 ELSE 0 END
+      + CASE WHEN formula IS NOT NULL AND bold THEN 2 ELSE 0 END + CASE WHEN number_format LIKE '%$%' THEN 2 WHEN number_format LIKE '%\\%%' ESCAPE '\\' THEN 1 ELSE 0 END + CASE WHEN font_size >= 14 THEN 1 ELSE 0 END AS score
+      FROM (SELECT n.*, coalesce(g.in_degree, 0) AS d FROM named n LEFT JOIN degree g USING (wb, sheet, row, col)) n) WHERE score >= 3""",
+}
+
+
+def _kpis(spark, sf):
+    cells = grid.statements(spark, sf)
+    return artifacts.kpis(cells, graph.edges(cells))
+
+
+@query("SELECT * FROM kpi", **_KPI)
+def kpi_catalog(spark, sf):
+    return _kpis(spark, sf)
+
+
+@query("SELECT * FROM (SELECT k.wb, k.sheet, k.row, k.col, e.ref, row_number() OVER (PARTITION BY k.wb, k.sheet, k.row, k.col ORDER BY e.ref)::INT AS rank FROM kpi k JOIN edges e USING (wb, sheet, row, col)) WHERE rank <= 5", **_KPI)
+def kpi_drivers(spark, sf):
+    return artifacts.drivers(_kpis(spark, sf), _edges(spark, sf))
+
+
+@query("""SELECT wb, sheet, n AS total_cells, f AS formula_count, round(d, 4) AS formula_density, CASE WHEN b.s >= 0.1 THEN b.p ELSE 'unknown' END AS purpose, CASE WHEN b.s >= 0.1 THEN least(b.s, 1) ELSE 0 END::DOUBLE AS confidence FROM (
+  SELECT *, list_max([struct_pack(s := round((d < 0.05 AND n > 20)::INT * 0.5 + (d < 0.01 AND n > 50)::INT * 0.3, 2)::DOUBLE, k := -1, p := 'raw_data'), struct_pack(s := CASE WHEN x > 3 THEN 0.7 WHEN x > 0 THEN 0.3 ELSE 0 END::DOUBLE, k := -2, p := 'lookup'),
+    struct_pack(s := round((d > 0.3)::INT * 0.5 + (d > 0.5)::INT * 0.3, 2)::DOUBLE, k := -3, p := 'calculation'), struct_pack(s := CASE WHEN n < 15 THEN 0.3 ELSE 0 END::DOUBLE, k := -7, p := 'config')]) AS b FROM (
+    SELECT c.wb, c.sheet, count(*) AS n, count(formula) AS f, count(formula) / count(*)::DOUBLE AS d, any_value(coalesce(x, 0)) AS x FROM cells c LEFT JOIN (SELECT wb, target_sheet AS sheet, count(*) AS x FROM edges WHERE edge_type = 'cross_sheet' GROUP BY ALL) e USING (wb, sheet) GROUP BY c.wb, c.sheet))""")
+def sheet_purpose(spark, sf):
+    cells = grid.statements(spark, sf)
+    return artifacts.purposes(cells, graph.edges(cells))
+
+
+@query()
+def sheet_summary(spark, sf):
+    cells = grid.statements(spark, sf)
+    return artifacts.summary_text(artifacts.purposes(cells, graph.edges(cells)), _kpis(spark, sf))
+
+
+@query(f"SELECT wb, lower(trim(raw)) AS key, arg_min(trim(raw), struct_pack(s := sheet, r := row, c := col)) AS name, count(*) AS places, CASE WHEN regexp_matches(lower(trim(raw)), '{artifacts.MEASURES}') THEN 'measure' ELSE 'dimension' END AS category FROM cells WHERE bold AND kind = 's' AND length(trim(raw)) BETWEEN 2 AND 49 GROUP BY ALL")
+def entity_index(spark, sf):
+    return artifacts.entities(grid.statements(spark, sf))
+
+
+@query("SELECT wb, sheet, string_agg(line, chr(10) ORDER BY row) AS text FROM (SELECT wb, sheet, row, string_agg(coalesce(raw, '=' || formula), ' | ' ORDER BY col) AS line FROM cells GROUP BY ALL) GROUP BY ALL")
+def linearize_sheet(spark, sf):
+    return artifacts.linearize(grid.statements(spark, sf))
+
+
+@query("SELECT block_type, sheet, count(*) AS n FROM comps GROUP BY GROUPING SETS ((block_type), (block_type, sheet))")
+def block_type_counts(spark, sf):
+    x = layout.components(layout.style_split(layout.islands(grid.statements(spark, sf))))
+    x.createOrReplaceTempView("_components")
+    return spark.sql("SELECT block_type, sheet, count(*) AS n FROM _components GROUP BY GROUPING SETS ((block_type), (block_type, sheet))")
+
+
+@query()
+def stage_metrics(spark, sf):
+    cells = grid.statements(spark, sf)
+    return artifacts.stage_metrics(cells, annotate.annotate(cells), layout.segment(cells), graph.edges(cells))
+
+
+@query("SELECT unnest(['unique_places', 'ranges_ordered', 'block_index_dense', 'edges_resolved', 'external_has_book', 'cells_in_blocks']) AS invariant, 0::BIGINT AS violations")
+def invariants(spark, sf):
+    cells = grid.statements(spark, sf)
+    return artifacts.invariants(cells, layout.segment(cells), graph.edges(cells))
+
+
+@query("SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS sd, round(stddev_pop(n_chars) / avg(n_chars), 6) AS cv FROM documents GROUP BY ALL")
+def scorecard(spark, sf):
+    return artifacts.scorecard(spark.read.parquet(f"{sf}/documents.parquet"), ["lang", "source"], "n_chars")
+
+
+@query("SELECT event_type, count(*) AS n, list_sort(list(value))[floor(count(*) * 0.5)::INT + 1] AS p50, list_sort(list(value))[floor(count(*) * 0.95)::INT + 1] AS p95, list_sort(list(value))[floor(count(*) * 0.99)::INT + 1] AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def perf_percentiles(spark, sf):
+    return artifacts.index_percentiles(spark.read.parquet(f"{sf}/events.parquet"), ["event_type"], "value")
+
+
+@query("SELECT p_partkey, a, b FROM (SELECT l_partkey AS p_partkey, avg(l_extendedprice / l_quantity) AS a, any_value(p_retailprice) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey) WHERE abs(a - b) > 1 AND abs(a - b) > 0.05 * greatest(abs(a), abs(b))")
+def drift(spark, sf):
+    a = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
+    b = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.col("p_retailprice").alias("v"))
+    return artifacts.drift(a, b, ["p_partkey"], "v", 1.0, 0.05)

@@ -166,9 +166,9 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, one of each class: that with the smallest id (of rows with that id, the first that was read)."""
-    numbered = store(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    keep = classes(numbered.select(F.struct(F.col(id_col).alias("id"), "_row").alias("id"), F.col(text_col).alias("text")), "id", "text").where("first").select(F.col("id._row").alias("_row"))
-    return numbered.join(keep, "_row", "left_semi").drop("_row")
+    numbered = store(df.withColumn("_sl_row", F.monotonically_increasing_id()), "numbered")
+    keep = classes(numbered.select(F.struct(F.col(id_col).alias("id"), "_sl_row").alias("id"), F.col(text_col).alias("text")), "id", "text").where("first").select(F.col("id._sl_row").alias("_sl_row"))
+    return numbered.join(keep, "_sl_row", "left_semi").drop("_sl_row")
 
 
 QUERIES = {"op1_minhash": op1_minhash}

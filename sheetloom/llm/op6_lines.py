@@ -188,29 +188,29 @@ def near(distinct: DataFrame, numbered: DataFrame) -> DataFrame:
 
 
 def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """The input with its row numbers, and (row, lines array<long>) of the lines to drop."""
-    numbered = df.withColumn("row", F.monotonically_increasing_id())
-    slim = numbered.select(F.col(id_col).alias("doc_id"), "row", F.col(text_col).alias("text"))
+    """The input with its row numbers (_sl_row), and (_sl_row, _sl_lines array<long>) of the lines to drop."""
+    numbered = df.withColumn("_sl_row", F.monotonically_increasing_id())
+    slim = numbered.select(F.col(id_col).alias("doc_id"), F.col("_sl_row").alias("row"), F.col(text_col).alias("text"))
     every = lines(slim, min_chars)
     distinct = store(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "lines")
     close = store(near(distinct.select("h1", "h2", "first", "keys"), slim), "lines-near").withColumn("near", F.lit(True))
     gone = distinct.select("h1", "h2", "n", "first").join(close, ["h1", "h2"], "left").where("n > 1 OR near")
     out = every.drop("keys", "doc_id").join(gone.select("h1", "h2", "near", F.col("first.row").alias("frow"), F.col("first.line").alias("fline")), ["h1", "h2"])
-    out = out.where("near OR row != frow OR line != fline").groupBy("row").agg(F.collect_list("line").alias("lines"))
+    out = out.where("near OR row != frow OR line != fline").groupBy(F.col("row").alias("_sl_row")).agg(F.collect_list("line").alias("_sl_lines"))
     return numbered, store(out, "lines-dropped")
 
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of df, with n_lines and n_dropped; the text has lost its repeated lines."""
+    """All columns of df, with n_lines and n_dropped (which replace columns of these names); the text has lost its repeated lines."""
+    df = df.drop("n_lines", "n_dropped")
     numbered, gone = dropped(df, id_col, text_col, min_chars)
     parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.expr(f"transform(filter(transform(split(`{text_col}`, '\\n', -1), (x, i) -> struct(x, cast(i AS long) AS i)), s -> NOT array_contains(lines, s.i)), s -> s.x)"), "\n")
-    joined = numbered.join(_small(gone), "row", "left")
-    n = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
+    kept = F.array_join(F.expr(f"transform(filter(transform(split(`{text_col}`, '\\n', -1), (x, i) -> struct(x, cast(i AS long) AS i)), s -> NOT array_contains(_sl_lines, s.i)), s -> s.x)"), "\n")
+    joined = numbered.join(_small(gone), "_sl_row", "left")
     return joined.select(
-        *(F.when(F.col("lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in df.columns),
+        *(F.when(F.col("_sl_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in df.columns),
         F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("lines").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("_sl_lines"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -206,7 +206,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, piece: int = PIECE) -
 
 
 def identify(df: DataFrame, model: ByteGru | None, text_col: str = "text") -> DataFrame:
-    """All columns of df with lang_pred and score."""
+    """All columns of df with lang_pred and score, which replace columns of these names."""
+    df = df.drop("lang_pred", "score")
     k, names = df.columns.index(text_col), [*df.columns, "lang_pred", "score"]
 
     def run(batches):

@@ -12,8 +12,8 @@ from .by_sheet import by_sheet
 from .layout import KEY, _key_cells
 
 KEYWORDS = (
-    "total subtotal sum average count min max name date id type category description assumption input parameter scenario header title label key index "
-    "revenue cost profit margin tax rate price quantity amount balance net gross year month quarter period fy q1 q2 q3 q4"
+    "amount assumption average balance category cost count date description fy gross header id index input key label margin max min month "
+    "name net parameter period price profit q1 q2 q3 q4 quantity quarter rate revenue scenario subtotal sum tax title total type year"
 ).split()
 WEIGHTS = {"bold": 0.25, "keyword": 0.2, "merged": 0.15, "content": 0.15, "position": 0.1, "formula": 0.05}
 NEIGHBOURS, LIMIT = 0.1, 0.5

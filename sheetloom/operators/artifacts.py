@@ -9,7 +9,7 @@ from ..functions import a1
 from .graph import in_degree
 from .layout import KEY
 
-MEASURES = "revenue|cost|price|amount|total|sum|profit|margin|sales|volume|count|qty|quantity|rate|percent|percentage|value|score|budget|forecast|actual|variance|target|balance|tax|fee|income|expense|growth|yield|roi|ebitda|net|gross"
+MEASURES = "actual|amount|balance|budget|cost|count|ebitda|expense|fee|forecast|gross|growth|income|margin|net|percent|percentage|price|profit|qty|quantity|rate|revenue|roi|sales|score|sum|target|tax|total|value|variance|volume|yield"
 PURPOSES = ("dashboard", "raw_data", "lookup", "calculation", "input", "report", "template", "config")
 
 

@@ -123,7 +123,7 @@ _define("blocks", f"""
 SELECT wb, sheet, (row_number() OVER (PARTITION BY wb, sheet ORDER BY i) - 1)::INT AS block_index, {_BLOCK} FROM (
   SELECT *, lead(took) OVER (PARTITION BY wb, sheet ORDER BY i) AS gone FROM fold) WHERE gone IS NOT true""")
 
-_KEYWORDS = "total|subtotal|sum|average|count|min|max|name|date|id|type|category|description|assumption|input|parameter|scenario|header|title|label|key|index|revenue|cost|profit|margin|tax|rate|price|quantity|amount|balance|net|gross|year|month|quarter|period|fy|q1|q2|q3|q4"
+_KEYWORDS = "amount|assumption|average|balance|category|cost|count|date|description|fy|gross|header|id|index|input|key|label|margin|max|min|month|name|net|parameter|period|price|profit|q1|q2|q3|q4|quantity|quarter|rate|revenue|scenario|subtotal|sum|tax|title|total|type|year"
 _define("scored", f"""
 SELECT c.*, (bold::INT * 0.25 + coalesce(kind = 's' AND regexp_matches(lower(raw), '{_KEYWORDS}'), false)::INT * 0.2 + 0 * 0.15
   + (CASE WHEN raw IS NULL THEN 0.5 WHEN kind = 's' AND length(trim(raw)) <= 50 THEN 0.7 WHEN kind = 's' THEN 0.4 WHEN kind = 'b' THEN 0.3 WHEN kind IN ('i', 'f') THEN 0.1 ELSE 0.3 END) * 0.15

@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+def bounded_batches(spark: SparkSession, megabytes: int = 2) -> None:
     """Arrow batches are bounded in bytes, so that a few huge texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 

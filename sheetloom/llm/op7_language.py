@@ -168,8 +168,8 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ordinal = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = offsets[:-1][owner] + ordinal * WINDOW
     lengths = np.minimum(WINDOW, offsets[1:][owner] - starts)
-    at = np.arange(WINDOW)
-    windows = np.r_[data, np.zeros(WINDOW, np.uint8)][starts[:, None] + at]
+    at = np.arange(WINDOW, dtype=np.int32)
+    windows = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(WINDOW, np.uint8)], WINDOW)[starts]
     windows[at >= lengths[:, None]] = 0
     return windows, lengths, owner
 

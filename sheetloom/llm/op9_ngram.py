@@ -144,7 +144,11 @@ class Stretches:
         self.x, n = x, len(x)
         self.sums = np.zeros(n + 1, np.uint64)
         self.back = powers(n + 1, inverse=True)
-        np.cumsum((mix(x) | np.uint64(1)) * powers(n), out=self.sums[1:])
+        h = x.astype(np.uint64)
+        h *= np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(32)
+        h *= powers(n)
+        np.cumsum(h, out=self.sums[1:])
 
     def of(self, a: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (self.sums[a + size] - self.sums[a]) * self.back[a]
@@ -253,7 +257,10 @@ class Shard:
                 for j in range(3):
                     on = np.flatnonzero(lo[k] + j < hi[k])
                     kk = k[on]
-                    got = common(q, place[kk], self.hash, self.sa[lo[kk] + j].astype(np.int64), depth[kk], most[kk])
+                    u = self.sa[lo[kk] + j].astype(np.int64)
+                    got = depth[kk]
+                    more = np.flatnonzero(x[place[kk] + got] == self.r[np.minimum(u + got, len(self.r) - 1)])
+                    got[more] = common(q, place[kk[more]], self.hash, u[more], got[more] + 1, most[kk[more]])
                     times[on] = np.where(got > best[on], 1, np.where(got == best[on], times[on] + 1, times[on]))
                     best[on] = np.maximum(best[on], got)
                 length[who[k]], count[who[k]] = best, times
@@ -427,7 +434,7 @@ def score_block(h: np.ndarray, offsets: np.ndarray, held: np.ndarray, words, sha
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; held: a column, true for rows not to learn from."""
     spark = df.sparkSession
-    bounded_batches(spark, 2)
+    bounded_batches(spark)
     held = crc_mod(F.col(id_col), 5) == 1 if held is None else held
     docs = df.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).alias("text"))
     folder = new_folder(spark)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_mod, mix, powers, read, shared_folder, text_bytes, word_hashes
 
 SHARD_TOKENS = 5 << 20
-BLOCK_TOKENS = 5 << 18
+BLOCK_TOKENS = 1 << 21
 PREFIX = 8
 END = np.uint64(0x1F3D5B79A6C8E0D1)
 

@@ -5,9 +5,10 @@ hashes alone decide, so every text that holds a region of an element sees the sa
 are thrown, about k ln k + 2k whatever its length; each hits one of k coordinates, and the earliest per coordinate is the signature.  Equal
 coordinates estimate the weighted Jaccard similarity.
 
-Equal texts become one first (with a count).  Bands of the signature are keys; every text of a key is paired with the key's first text, and
-pairs whose signatures agree enough are links.  Bands come at two lengths: in a hot short band whose first text is unlike, the long bands pair
-texts with likelier partners.  Classes are the connected components of the links.  Nothing emits all pairs of a group, and no group is cut.
+Equal texts become one first (with a count), and so do texts of equal signatures.  Bands of the signature are keys; every two texts of a key are
+compared, hot keys block by block, and those whose signatures agree enough are links.  Classes are the connected components of the links.  No
+pairs of a hot key are emitted but those that connect it, and no key is cut.  Two texts of which a share s of the coordinates agree have a band
+in common with probability 1 - (1 - s^4)^32: 95.4 % at 0.55, 99.98 % at 0.7.
 
 Defined results: a null text counts as empty; empty texts are copies of each other; a text of fewer words than n is one element; the first of a class is
 the smallest (doc_id, row), a null id first; repeated rows are copies; extra columns stay; an empty table gives an empty result.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, components, mix, read, store, text_bytes, word_hashes
 
 K, NGRAM = 128, 2
-SHORT, LONG = 4, 8
+SHORT = 4
 THRESHOLD = 0.55
+#: Texts of a block of a large band, and of a band whose pairs are compared one by one.
+BLOCK, SMALL = 2048, 32
 
 
 def elements(data: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -99,44 +102,142 @@ def sketch(df: DataFrame, text_col: str = "text", k: int = K, n: int = NGRAM) ->
     return df.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
-def bands(distinct: DataFrame, k: int = K, short: int = SHORT, long: int = LONG) -> DataFrame:
-    """key and row, for every band of both lengths."""
+def bands(distinct: DataFrame, k: int = K, width: int = SHORT) -> DataFrame:
+    """key and row, for every band; a key ends in the number of its band."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, k).astype(np.uint64)
-            keys = []
-            for width in (short, long):
-                for first in range(0, k - width + 1, width):
-                    key = np.full(len(s), width << 32 | first, np.uint64)
-                    for j in range(first, first + width):
-                        key = mix(key * np.uint64(31) + s[:, j])
-                    keys.append(key)
-            rows = np.repeat(batch.column(0).to_numpy(), len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys, axis=1).ravel().view(np.int64)), pa.array(rows)], ["key", "row"])
+            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, k)
+            keys = band_keys(s, width)
+            keys = keys & ~np.uint64(0xFF) | np.arange(keys.shape[1], dtype=np.uint64)
+            rows = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rows)], ["key", "row"])
 
     return distinct.select("row", "signature").mapInArrow(run, "key long, row long")
 
 
+def band_keys(s: np.ndarray, width: int = SHORT) -> np.ndarray:
+    """[texts, bands] of 64-bit hashes."""
+    keys = []
+    for first in range(0, s.shape[1] - width + 1, width):
+        key = np.full(len(s), width << 32 | first, np.uint64)
+        for j in range(first, first + width):
+            key = mix(key * np.uint64(31) + s[:, j])
+        keys.append(key)
+    return np.stack(keys, axis=1)
+
+
+def few(s: np.ndarray, band: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of many small groups (places in s), each pair in the first band that both are in."""
+    left = np.arange(len(s)) - np.repeat(starts, sizes)
+    ahead = np.repeat(sizes, sizes) - 1 - left
+    a = np.repeat(np.arange(len(s)), ahead)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+    keep = np.zeros(len(a), bool)
+    for k in range(0, len(a), 4096):
+        same = s[a[k : k + 4096]] == s[b[k : k + 4096]]
+        shared = same[:, : same.shape[1] // SHORT * SHORT].reshape(len(same), -1, SHORT).all(axis=2)
+        keep[k : k + 4096] = (same.mean(axis=1) >= least) & (shared.argmax(axis=1) == band[a[k : k + 4096]])
+    return a[keep], b[keep]
+
+
+def many(s: np.ndarray, t: np.ndarray, band: int, least: float) -> np.ndarray:
+    """[s, t]: whether two texts are linked and no band before this one has both."""
+    out = np.zeros((len(s), len(t)), bool)
+    x, y, u, v = np.ascontiguousarray(s.T), np.ascontiguousarray(t.T), band_keys(s).T, band_keys(t).T
+    for k in range(0, len(s), 128):
+        same = np.zeros((min(128, len(s) - k), len(t)), np.uint16)
+        for i in range(len(x)):
+            same += x[i, k : k + 128, None] == y[i]
+        hit = same / len(x) >= least
+        for i in range(band):
+            hit &= u[i, k : k + 128, None] != v[i]
+        hit &= u[band, k : k + 128, None] == v[band]
+        out[k : k + 128] = hit
+    return out
+
+
+def forest(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a spanning forest of a symmetric matrix."""
+    new, out = np.ones(len(hit), bool), []
+    for root in range(len(hit)):
+        if not new[root]:
+            continue
+        new[root] = False
+        todo = [root]
+        while todo:
+            at = todo.pop()
+            more = np.flatnonzero(hit[at] & new)
+            new[more] = False
+            out += [(at, x) for x in more.tolist()]
+            todo += more.tolist()
+    return out
+
+
 def links(distinct: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
-    """a, b: rows of texts whose signatures agree in at least threshold of the coordinates, b the first of a band that both are in."""
+    """a, b: linked texts (signatures agree in at least threshold of the coordinates, and a band is common), as many pairs as connect all that are.
+
+    Every pair of a band's texts is compared, in the first band that both are in.  The pairs of a large band aren't emitted but for a spanning
+    forest; a band of more than BLOCK texts is cut into blocks, and each two blocks are a group of their own.
+    """
     of = bands(distinct, k)
-    first = of.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    pairs = of.join(first, "key").where("row != first").groupBy("row", "first").agg(F.lit(1).alias("x")).select("row", "first")
-    left = pairs.join(distinct.select("row", F.col("signature").alias("s")), "row")
-    both = left.join(distinct.select(F.col("row").alias("first"), F.col("signature").alias("t")), "first")
+    blocks = of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    member = of.join(blocks, "key").select("key", "row", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"))
+    member = member.join(distinct.select("row", "signature"), "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = member.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "row", "signature")
+    group = group.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def compare(table: pa.Table):
+        """Of whole groups."""
+        key, p, q, block, row = (table.column(c).to_numpy() for c in range(5))
+        s = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint32).reshape(-1, k)
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+        sizes = np.diff(np.r_[starts, len(key)])
+        band = key & 0xFF
+        small = (sizes <= SMALL) & (p[starts] == q[starts])
+        some = np.repeat(small, sizes)
+        a, b = few(s[some], band[some], np.r_[0, np.cumsum(sizes[small])[:-1]].astype(np.int64)[: small.sum()], sizes[small], threshold)
+        pairs = [(row[some][a], row[some][b])]
+        for start, size in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+            at = slice(start, start + size)
+            left, right = (np.flatnonzero(block[at] == x) + start for x in (p[start], q[start]))
+            if not len(left) or not len(right):
+                continue
+            hit = many(s[left], s[right], int(band[start]), threshold)
+            if p[start] == q[start]:
+                np.fill_diagonal(hit, False)
+                ends = row[left]
+            else:
+                both = np.zeros((size, size), bool)
+                both[: len(left), len(left) :], both[len(left) :, : len(left)] = hit, hit.T
+                hit, ends = both, row[np.r_[left, right]]
+            tree = np.array(forest(hit), np.int64).reshape(-1, 2)
+            pairs.append((ends[tree[:, 0]], ends[tree[:, 1]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs, strict=True)], ["a", "b"])
 
     def run(batches):
+        held: list[pa.Table] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, k) for c in (2, 3))
-            keep = pa.array((s == t).mean(axis=1) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return both.select("row", "first", "s", "t").mapInArrow(run, "a long, b long")
+            last = [batch.column(c)[-1].as_py() for c in range(3)]
+            ends = np.logical_or.reduce([batch.column(c).to_numpy() != last[c] for c in range(3)])
+            n = int(ends.sum())  # rows before the last group
+            if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in range(3)):
+                yield compare(pa.concat_tables(held))
+                held = []
+            whole = pa.Table.from_batches([batch])
+            if n:
+                yield compare(pa.concat_tables([*held, whole.slice(0, n)]))
+                held = []
+            held.append(whole.slice(n))
+        if held:
+            yield compare(pa.concat_tables(held))
+
+    bounded_batches(distinct.sparkSession)
+    return group.mapInArrow(run, "a long, b long")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -145,15 +246,17 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     The row numbers are those of ``sketch``.
     """
     drawn = store(sketch(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "sketch")
-    texts = store(drawn.groupBy("h").agg(F.min("row").alias("head"), F.count("*").alias("n_copies")), "texts")
-    distinct = drawn.join(texts.select(F.col("head").alias("row")), "row", "left_semi")
-    # a text without words has no signature to compare; copies of it are one text already
+    # texts of equal signatures are one for the links; a text without words has no signature to compare, and copies of it are one text already
+    same = F.when(F.col("signature") == F.lit(bytes(4 * K)), F.col("h")).otherwise(F.unhex(F.md5("signature")))
+    texts = store(drawn.select("row", "h", same.alias("same")).groupBy("h", "same").agg(F.min("row").alias("head"), F.count("*").alias("n_copies")), "texts")
+    alike = store(texts.groupBy("same").agg(F.min("head").alias("rep"), F.count("*").alias("n_alike")), "alike")
+    distinct = drawn.join(alike.select(F.col("rep").alias("row")), "row", "left_semi")
     distinct = store(distinct.where(F.col("signature") != F.lit(bytes(4 * K))).select("row", "signature"), "distinct")
     edges = store(links(distinct, threshold), "links")
     label = components(edges, "classes")
     degree = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
-    known = texts.join(label.withColumnRenamed("node", "head"), "head", "left").join(degree.withColumnRenamed("a", "head"), "head", "left")
-    known = known.select("h", "n_copies", F.coalesce("label", "head").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = alike.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
+    known = texts.join(known.select("same", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "same").drop("same", "head")
     every = store(drawn.select("row", "id", "h").join(known, "h").drop("h"), "labelled")
     heads = every.groupBy("label").agg(F.min(F.struct("id", "row")).alias("m"))
     out = every.join(heads, "label")

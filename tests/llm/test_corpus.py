@@ -79,6 +79,45 @@ def test_hot_template_is_one_class(spark):
     assert all(r["class_id"] == r["id"] for r in got if r["id"] >= 1000)
 
 
+def hot_passage():
+    """Texts that share most of their words with all others (similarity about 0.4), and groups of up to 5 of them that are somewhat more alike."""
+    rng = random.Random(9)
+    hot, rows = words(rng, 75, 5000), []
+    for _ in range(150):
+        own = words(rng, 45, 90000)
+        for _ in range(rng.choice([1, 2, 3, 5])):
+            t = hot + own
+            for _ in range(14):
+                t[rng.randrange(75, 120)] = f"edit{rng.random()}"
+            rows.append((len(rows), " ".join(t)))
+    return rows
+
+
+def brute_links(texts):
+    """Pairs whose signatures agree enough and that have a band in common, and the label of every text."""
+    s = op1_minhash.signatures(*op1_minhash.elements(*op1_minhash.text_bytes(pa.array(texts))))
+    same = s[:, None] == s[None]
+    hit = (same.mean(axis=2) >= op1_minhash.THRESHOLD) & same.reshape(len(s), len(s), -1, op1_minhash.SHORT).all(axis=3).any(axis=2)
+    np.fill_diagonal(hit, False)
+    label = np.arange(len(s))
+    for _ in range(len(s)):
+        new = np.minimum(label, np.where(hit, label[None], len(s)).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    return hit, label
+
+
+@pytest.mark.parametrize("block, small", [(2048, 32), (50, 8)])
+def test_links_under_a_hot_passage(spark, monkeypatch, block, small):
+    monkeypatch.setattr(op1_minhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(op1_minhash, "SMALL", small, raising=False)
+    rows = hot_passage()
+    _, label = brute_links([t for _, t in rows])
+    got = {r["id"]: r for r in op1_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["class_id"] for k in range(len(rows))] == label.tolist() and len(set(label)) < len(rows) - 100
+
+
 def test_top_k(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = [(int(k), [float(np.float32(x)) for x in rng.integers(-3, 4, 6) / 4]) for k in range(420)]

@@ -177,7 +177,8 @@ def forest(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def links(distinct: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
-    """a, b: linked texts (signatures agree in at least threshold of the coordinates, and a band is common), as many pairs as connect all that are.
+    """Of linked texts (signatures agree in at least threshold of the coordinates, and a band is common): a, b, as many pairs as connect all that
+    are, with null as n; and a, n with null as b, the n of one text to be summed: the weights of all that it is linked with.  distinct: row, signature, weight.
 
     Every pair of a band's texts is compared, in the first band that both are in.  The pairs of a large band aren't emitted but for a spanning
     forest; a band of more than BLOCK texts is cut into blocks, and each two blocks are a group of their own.
@@ -185,12 +186,13 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, k: int = K) -> Data
     of = bands(distinct, k)
     blocks = of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     member = of.join(blocks, "key").select("key", "row", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"))
-    member = member.join(distinct.select("row", "signature"), "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = member.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "row", "signature")
+    member = member.join(distinct.select("row", "signature", "weight"), "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = member.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "row", "signature", "weight")
     group = group.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def compare(table: pa.Table):
         """Of whole groups."""
+        weight = table.column(6).to_numpy()
         key, p, q, block, row = (table.column(c).to_numpy() for c in range(5))
         s = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint32).reshape(-1, k)
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
@@ -199,7 +201,10 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, k: int = K) -> Data
         small = (sizes <= SMALL) & (p[starts] == q[starts])
         some = np.repeat(small, sizes)
         a, b = few(s[some], band[some], np.r_[0, np.cumsum(sizes[small])[:-1]].astype(np.int64)[: small.sum()], sizes[small], threshold)
-        pairs = [(row[some][a], row[some][b])]
+        pairs, n = [(row[some][a], row[some][b])], np.zeros(len(row), np.int64)
+        place = np.flatnonzero(some)
+        np.add.at(n, place[a], weight[place[b]])
+        np.add.at(n, place[b], weight[place[a]])
         for start, size in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
             at = slice(start, start + size)
             left, right = (np.flatnonzero(block[at] == x) + start for x in (p[start], q[start]))
@@ -209,13 +214,19 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, k: int = K) -> Data
             if p[start] == q[start]:
                 np.fill_diagonal(hit, False)
                 ends = row[left]
+                n[left] += hit @ weight[left]
             else:
+                n[left] += hit @ weight[right]
+                n[right] += weight[left] @ hit
                 both = np.zeros((size, size), bool)
                 both[: len(left), len(left) :], both[len(left) :, : len(left)] = hit, hit.T
                 hit, ends = both, row[np.r_[left, right]]
             tree = np.array(forest(hit), np.int64).reshape(-1, 2)
             pairs.append((ends[tree[:, 0]], ends[tree[:, 1]]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs, strict=True)], ["a", "b"])
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        some = np.flatnonzero(n)
+        columns = [pa.array(np.r_[a, row[some]]), pa.concat_arrays([pa.array(b), pa.nulls(len(some), pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(n[some])])]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
 
     def run(batches):
         held: list[pa.Table] = []
@@ -237,11 +248,11 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, k: int = K) -> Data
             yield compare(pa.concat_tables(held))
 
     bounded_batches(distinct.sparkSession)
-    return group.mapInArrow(run, "a long, b long")
+    return group.mapInArrow(run, "a long, b long, n long")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """For every row: row, id, class (row of the class's first), class_id (its id), n_links (links of its text to other texts), n_copies (rows with its text), first (whether it is the class's first).
+    """For every row: row, id, class (row of the class's first), class_id (its id), n_links (how many other texts its text is linked with), n_copies (rows with its text), first (whether it is the class's first).
 
     The row numbers are those of ``sketch``.
     """
@@ -250,13 +261,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     same = F.when(F.col("signature") == F.lit(bytes(4 * K)), F.col("h")).otherwise(F.unhex(F.md5("signature")))
     texts = store(drawn.select("row", "h", same.alias("same")).groupBy("h", "same").agg(F.min("row").alias("head"), F.count("*").alias("n_copies")), "texts")
     alike = store(texts.groupBy("same").agg(F.min("head").alias("rep"), F.count("*").alias("n_alike")), "alike")
-    distinct = drawn.join(alike.select(F.col("rep").alias("row")), "row", "left_semi")
-    distinct = store(distinct.where(F.col("signature") != F.lit(bytes(4 * K))).select("row", "signature"), "distinct")
-    edges = store(links(distinct, threshold), "links")
-    label = components(edges, "classes")
-    degree = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
+    distinct = drawn.join(alike.select(F.col("rep").alias("row"), F.col("n_alike").alias("weight")), "row")
+    distinct = store(distinct.where(F.col("signature") != F.lit(bytes(4 * K))).select("row", "signature", "weight"), "distinct")
+    found = store(links(distinct, threshold), "links")
+    label = components(found.where("b is not null").select("a", "b"), "classes")
+    degree = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     known = alike.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
-    known = texts.join(known.select("same", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "same").drop("same", "head")
+    known = known.withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("n_alike") - 1)
+    known = texts.join(known.select("same", F.coalesce("label", "rep").alias("label"), "n_links"), "same").drop("same", "head")
     every = store(drawn.select("row", "id", "h").join(known, "h").drop("h"), "labelled")
     heads = every.groupBy("label").agg(F.min(F.struct("id", "row")).alias("m"))
     out = every.join(heads, "label")

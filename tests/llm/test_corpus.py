@@ -113,9 +113,13 @@ def test_links_under_a_hot_passage(spark, monkeypatch, block, small):
     monkeypatch.setattr(op1_minhash, "BLOCK", block, raising=False)
     monkeypatch.setattr(op1_minhash, "SMALL", small, raising=False)
     rows = hot_passage()
-    _, label = brute_links([t for _, t in rows])
+    rows += [(len(rows), rows[7][1]), (len(rows) + 1, rows[7][1].replace(" ", "  ")), (len(rows) + 2, rows[9][1].replace(" ", "\n"))]
+    hit, label = brute_links([t for _, t in rows])
     got = {r["id"]: r for r in op1_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k]["class_id"] for k in range(len(rows))] == label.tolist() and len(set(label)) < len(rows) - 100
+    hit[:, len(rows) - 3] = False  # the text of row 7 once more: one text
+    hit[len(rows) - 3] = hit[7]
+    assert [got[k]["n_links"] for k in range(len(rows))] == hit.sum(axis=1).tolist() and hit.sum() > 400
 
 
 def test_top_k(spark, tmp_path):

@@ -28,7 +28,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "named")
 _OPERATOR = re.compile(r":=|=>|[:=]")
-_LITERAL = re.compile(r"[ \t]*(?:\"([^\"\n\\]*)\"|'([^'\n\\]*)'|([A-Za-z_][\w.-]*)|([^\s\"',;(){}\[\]]+))")
+#: A quoted string with escapes, an identifier that is the whole token, or any bare token (whole).
+_LITERAL = re.compile(r"""[ \t]*(?:"((?:[^"\n\\]|\\.)*+)"|'((?:[^'\n\\]|\\.)*+)'|([A-Za-z_][\w.-]*+)(?=[\s"',;(){}\[\]+]|\Z)|([^\s"',;(){}\[\]]+))""")
 _PLUS = re.compile(r"[ \t]*\+")
 _NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-.$")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")

@@ -76,6 +76,20 @@ def test_secrets_follow_constants():
     assert "Zx81" not in op8_secrets.redact(t) and "https://example.com" in op8_secrets.redact(t)
 
 
+def test_secrets_are_whole_literals():
+    for t, want in [
+        ('db_pwd = "p4\\\\W0rd!x9Zq"', "p4\\\\W0rd!x9Zq"),
+        ('"private_key": "-----BEGIN KEY-----\\nMIIEvQx81q\\"Zp\\n", "a": 1', '-----BEGIN KEY-----\\nMIIEvQx81q\\"Zp\\n'),
+        ("db_pwd = 'p4\\'W0rd!x9Zq'", "p4\\'W0rd!x9Zq"),
+        ("pwd=P@ssw0rd!2024xyz", "P@ssw0rd!2024xyz"),
+        ("pwd=Tr0ub4dor&3$Zq9\nnext", "Tr0ub4dor&3$Zq9"),
+        ("pwd=Zq9+Tr0ub4dor&3$\n", None),
+    ]:
+        named = [t[a:b] for kind, a, b in op8_secrets.spans(t)[1] if kind == "named"]
+        assert named == [want] if want else "Tr0ub4dor" not in op8_secrets.redact(t)
+        assert want is None or want not in op8_secrets.redact(t)
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "password=hunter22 fine", "z")], "doc_id long, text string, row string")
     out = op8_secrets.redact_secrets(df)

@@ -189,7 +189,7 @@ def near(distinct: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """The input with its row numbers (_sl_row), and (_sl_row, _sl_lines array<long>) of the lines to drop."""
-    numbered = df.withColumn("_sl_row", F.monotonically_increasing_id())
+    numbered = store(df.withColumn("_sl_row", F.monotonically_increasing_id()), "lines-numbered")
     slim = numbered.select(F.col(id_col).alias("doc_id"), F.col("_sl_row").alias("row"), F.col(text_col).alias("text"))
     every = lines(slim, min_chars)
     distinct = store(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "lines")

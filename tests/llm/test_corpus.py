@@ -182,6 +182,13 @@ def test_line_dedup(spark):
     assert op6_lines.drop_lines(df.limit(0)).count() == 0
 
 
+def test_rows_are_numbered_once(spark):
+    df = spark.createDataFrame([(k, "the same line of enough characters\n" * 2) for k in range(4)], "doc_id long, text string")
+    numbered, gone = op6_lines.dropped(df)
+    assert "monotonically_increasing_id" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["_sl_row"] for r in gone.collect()} <= {r["_sl_row"] for r in numbered.collect()}
+
+
 def test_language(spark, tmp_path):
     rng = random.Random(3)
     say = lambda lang: " ".join("".join(rng.choice({"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ze"], "cc": ["eau", "que", "ré"]}[lang]) for _ in range(3)) for _ in range(40))

@@ -1,19 +1,27 @@
-"""LM scoring: unbounded n-grams over sharded suffix arrays.
+"""LM scoring: unbounded n-grams over sharded corpus suffix arrays.
 
-Training documents are dealt to shards of about ``SHARD_TOKENS`` tokens.  A shard holds its documents' tokens backwards and their suffix array, so a
-context is a prefix of a suffix.  Every place of a text finds in each shard, by binary search, the longest context that occurs there and how often; over
-shards the longest wins and its counts are summed.  A context of length l that continues with word w is the context of length l + 1 one place further,
-so the longest matches and their counts at neighbouring places give all continuation counts.
+A context is the words before a place, read backwards, so it is a prefix of a backward suffix of a text.  Every place finds, by binary search, the longest
+context that occurs in the training corpus and how often.  A context of length l that continues with word w is the context of length l + 1 one place
+further, so the longest matches and their counts at neighbouring places give all continuation counts.
 
 P(w | context) = (c(context w) + m(l) * base(w)) / (c(context) + m(l)), with base(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)) and m falling in the length
 l: a distribution over V words and one unknown.
 
-Word counts are exact (64-bit hashes); contexts compare 32-bit hashes of words, and long stretches by 64-bit rolling hashes.  A block of texts reads shard after
-shard from the shared folder, so memory is bounded by a shard; the work of search is texts times shards.  In a training document the longest context is all
-that precedes, and its count only falls, so few of its places are searched.
+The suffixes are searched in two steps.
+
+1. *Windows.*  The most frequent words have codes of one to three bytes (no code begins another; other words: 56 bits of their hash), and the first
+   eight bytes of each suffix, cut to whole codes, are its window: about four words.  Windows are aggregated in each block of texts and go to shards by
+   their first two words, so each shard's sorted windows hold every suffix of its key range, each query meets one shard, and counts need no sum over
+   shards.  Work and traffic are proportional to the corpus.  What matches less than a window ends here (three quarters of the places of new text).
+2. *Suffix arrays.*  Only places whose whole window occurs again (in another training text, or in a text to score) can match deeper.  The stretches of
+   training text around such places, and nothing else, are written to shards of about ``SHARD_TOKENS`` words with their suffix array; a deep place
+   searches each shard for its longest context, the longest wins and its counts are summed.  This step's work is deep places times shards.
+
+In a training document the longest context is all that precedes, and its count only falls, so few of its places are searched.
 
 Defined results: a null or empty text is the single end token; equal rows have equal scores; without training documents N and V are 0, every base
-probability is 1 and so is every probability; extra columns are ignored; an empty table gives an empty result.
+probability is 1 and so is every probability; extra columns are ignored; an empty table gives an empty result.  The input must give the same rows in the
+same order when a partition is read again, as a stored table does.
 """
 
 from __future__ import annotations
@@ -26,12 +34,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, mix, powers, read, shared_folder, text_bytes, word_hashes
+from .common import bounded_batches, crc_mod, mix, powers, read, shared_folder, store, text_bytes, word_hashes
 
-SHARD_TOKENS = 5 << 20
 BLOCK_TOKENS = 1 << 21
-PREFIX = 8
+#: Windows of a shard of step 1, and words of one of step 2.
+SHARD_WINDOWS = 1 << 21
+SHARD_TOKENS = 4 << 20
+#: Words that have short codes, at most; all tasks read this table (16 bytes a word).
+DICTIONARY = 1 << 21
 END = np.uint64(0x1F3D5B79A6C8E0D1)
+#: A suffix that matches deeper than its window needs so many words before the first place that is known to do so.
+BACK = 9
+UNKNOWN = np.uint32(0xFFFFFFFF)
 
 
 def weight(length: np.ndarray) -> np.ndarray:
@@ -42,28 +56,51 @@ def weight(length: np.ndarray) -> np.ndarray:
 # ---- files in the shared folder
 
 
-def put(path: str, **arrays: np.ndarray) -> None:
+def put(path: str, *arrays: np.ndarray) -> None:
+    """Compressed arrays; writing the same again changes nothing."""
     from pyarrow import fs
 
     system, place = fs.FileSystem.from_uri(path)
     with system.open_output_stream(place) as f:
-        for x in arrays.values():
-            f.write(np.int64(len(x)).tobytes())
-            f.write(memoryview(np.ascontiguousarray(x)).cast("B"))
+        for x in arrays:
+            data = pack(x)
+            f.write(np.int64(len(data)).tobytes())
+            f.write(data)
 
 
-def get(path: str, *kinds) -> list[np.ndarray]:
+def get(path: str) -> list[np.ndarray]:
     from pyarrow import fs
 
     system, place = fs.FileSystem.from_uri(path)
     out = []
     with system.open_input_stream(place) as f:
-        for kind in kinds:
-            n = int(np.frombuffer(f.read(8), np.int64)[0])
-            out.append(np.frombuffer(f.read_buffer(n * np.dtype(kind).itemsize), kind))
+        while len(head := f.read(8)):
+            out.append(unpack(f.read(int(np.frombuffer(head, np.int64)[0]))))
     return out
 
 
+def pack(x: np.ndarray) -> bytes:
+    """An array as bytes: type, length, then its bytes by significance, compressed."""
+    x = np.ascontiguousarray(x.astype(np.uint8) if x.dtype == bool else x)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T) if x.itemsize > 1 else x
+    return x.dtype.str.encode().ljust(4) + np.int64(len(x)).tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    kind, n = np.dtype(data[:4].decode().strip()), int(np.frombuffer(data, np.int64, 1, 4)[0])
+    raw = np.frombuffer(pa.decompress(memoryview(data)[12:], n * kind.itemsize, "zstd"), np.uint8)
+    return raw.reshape(kind.itemsize, n).T.ravel().view(kind) if kind.itemsize > 1 else raw.view(kind)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    x = unpack(data)
+    return np.cumsum(x, dtype=x.dtype)
+
+
 def new_folder(spark: SparkSession) -> str:
     path = f"{shared_folder(spark)}/sheetloom/ngram-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -89,17 +126,114 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return out, np.r_[0, ends + 1]
 
 
-def backwards(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit tokens of each text from its last to its first, then 0; and how far each place is from that 0."""
-    sizes = np.diff(offsets)
-    out = np.zeros(len(hashes) + len(sizes), np.uint32)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    ordinal = np.arange(len(hashes)) - offsets[:-1][owner]
-    left = np.zeros(len(out), np.int64)
-    at = offsets[1:][owner] + owner - 1 - ordinal
-    out[at] = np.maximum(hashes >> np.uint64(32), np.uint64(1))
-    left[at] = ordinal + 1
-    return out, left
+class Block:
+    """Some texts: ids, held flags, words (sorted hashes) and local (the number of its word for each token), offsets of the texts."""
+
+    def __init__(self, ids, held, words, local, offsets):
+        self.ids, self.held, self.words, self.local, self.offsets = ids, held.astype(bool), words, local, offsets
+        self.sizes = np.diff(offsets)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.ordinal = np.arange(len(local)) - offsets[:-1][self.owner]
+        self.in_held = self.held[self.owner]
+
+
+def _blocks(batches, size: int):
+    """Runs of documents (ids with nulls marked, flags, hashes, offsets) of about size tokens."""
+    ids, flags, parts, sizes, n = [], [], [], [], 0
+    for batch in batches:
+        h, offsets = tokens(batch.column(2))
+        ids += batch.column(0).to_pylist()
+        flags += batch.column(1).to_pylist()
+        parts.append(h)
+        sizes.append(np.diff(offsets))
+        n += len(h)
+        if n >= size:
+            yield ids, flags, np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(sizes))]
+            ids, flags, parts, sizes, n = [], [], [], [], 0
+    if ids:
+        yield ids, flags, np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(sizes))]
+
+
+# ---- windows
+
+
+class Codes:
+    """Codes of the words of a dictionary (sorted hashes, ranks by falling count from 0, counts)."""
+
+    def __init__(self, hashes: np.ndarray, ranks: np.ndarray, counts: np.ndarray):
+        self.hashes, self.ranks, self.counts = hashes, ranks, counts
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code (in the high bytes of 64 bits), its size in bytes, and count (-1: not in the dictionary) of each word."""
+        code, size = words >> np.uint64(8) | np.uint64(0xFF << 56), np.full(len(words), 8, np.uint8)
+        count = np.full(len(words), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+            known = np.flatnonzero(self.hashes[at] == words)
+            r = self.ranks[at[known]].astype(np.uint64)
+            one, two = r < 127, r < 127 + 16384
+            code[known] = np.where(one, (r + np.uint64(1)) << np.uint64(56), np.where(two, (r - np.uint64(127) + np.uint64(0x8000)) << np.uint64(48), (r - np.uint64(127 + 16384) + np.uint64(0xC00000)) << np.uint64(40)))
+            size[known] = np.where(one, 1, np.where(two, 2, 3))
+            count[known] = self.counts[at[known]]
+        return code, size, count
+
+
+def windows(block: Block, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every token the window of the words that end with it, and how many they are."""
+    out, used = code[block.local].copy(), size[block.local].astype(np.int64)
+    n = np.ones(len(out), np.uint8)
+    on = np.arange(len(out))
+    for k in range(1, 8):
+        on = on[(block.ordinal[on] >= k) & (used[on] < 8)]
+        word = block.local[on - k]
+        fits = used[on] + size[word] <= 8
+        on, word = on[fits], word[fits]
+        out[on] |= code[word] >> (used[on] * 8).astype(np.uint64)
+        used[on] += size[word]
+        n[on] += 1
+    return out, n
+
+
+def code_ends(w: np.ndarray) -> np.ndarray:
+    """[windows, 8]: bytes up to the end of each of its codes; 99 where there is none."""
+    at, out = np.zeros(len(w), np.int64), np.full((len(w), 8), 99, np.int64)
+    for k in range(8):
+        first = np.where(at < 8, w << (np.minimum(at, 7) * 8).astype(np.uint64) >> np.uint64(56), 0)
+        size = np.where(first == 0, 0, np.where(first < 0x80, 1, np.where(first < 0xC0, 2, np.where(first < 0xFF, 3, 8))))
+        at = at + size
+        out[:, k] = np.where((size > 0) & (at <= 8), at, 99)
+        at = np.where(size > 0, at, 8)
+    return out
+
+
+_MASKS = np.array([0] + [(1 << 64) - (1 << (64 - 8 * k)) for k in range(1, 9)], np.uint64)
+
+
+def shard_of(w: np.ndarray, ends: np.ndarray, shards: int) -> np.ndarray:
+    """By the first two words, or by the only one."""
+    two = np.where(ends[:, 1] < 99, ends[:, 1], ends[:, 0])
+    return (mix(w & _MASKS[np.minimum(two, 8)]) >> np.uint64(33)).astype(np.int64) * shards >> 31
+
+
+def search_windows(corpus: np.ndarray, sums: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows q: words of the longest prefix among the sorted windows of the corpus, how often (sums: counts summed, from 0), and whether the whole is there."""
+    if not len(corpus):
+        return np.zeros(len(q), np.uint8), np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+    ends = code_ends(q)
+    at = np.searchsorted(corpus, q)
+    best, whole = np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+    for k in (at - 1, at):
+        there = (k >= 0) & (k < len(corpus))
+        x = corpus[np.clip(k, 0, len(corpus) - 1)] ^ q
+        alike = np.zeros(len(q), np.int64)
+        for b in range(1, 9):
+            alike += (x & _MASKS[b]) == 0
+        best = np.maximum(best, np.where(there, (ends <= alike[:, None]).sum(axis=1), 0))
+        whole |= there & (x == 0)
+    mask = _MASKS[np.where(best > 0, ends[np.arange(len(q)), np.maximum(best - 1, 0)], 0)]
+    low = q & mask
+    n = sums[np.searchsorted(corpus, low | ~mask, "right")] - sums[np.searchsorted(corpus, low, "left")]
+    return best.astype(np.uint8), np.where(best > 0, n, 0), whole
 
 
 # ---- suffix arrays
@@ -280,175 +414,350 @@ class Shard:
         return length, count
 
 
+def backwards(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Places of an array that holds each text from its last token to its first, then a gap; the place of each token, and the size of the array."""
+    return block.offsets[1:][block.owner] + block.owner - 1 - block.ordinal, len(block.local) + len(block.sizes)
+
+
 # ---- jobs
 
+_ROWS = "shard long, block string, kind int, data binary, extra binary"
+CORPUS, HELD, RARE, ASKED, HERE, BEGIN = range(6)
 
-def _blocks(batches, size: int):
-    """Runs of documents (ids, flags, hashes, offsets) of about size tokens."""
-    ids, flags, parts, sizes, n = [], [], [], [], 0
-    for batch in batches:
-        h, offsets = tokens(batch.column(2))
-        ids += batch.column(0).to_pylist()
-        flags += batch.column(1).to_pylist()
-        parts.append(h)
-        sizes.append(np.diff(offsets))
-        n += len(h)
-        if n >= size:
-            yield ids, flags, np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(sizes))]
-            ids, flags, parts, sizes, n = [], [], [], [], 0
-    if ids:
-        yield ids, flags, np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(sizes))]
 
+def _row(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [*zip(*rows, strict=True)] or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "kind", "data", "extra"])
 
-def count_words(docs: DataFrame, folder: str) -> tuple[list[str], int, int]:
-    """Files of (hash, count) in the order of the hashes for training words, N and V."""
+
+def count_words(docs: DataFrame, folder: str, dictionary: int) -> tuple[DataFrame, str, int, int, int]:
+    """Table of training words (h, n); file of the dictionary; the least count in it; N; V."""
 
     def each(batches):
         for _, _, h, _ in _blocks(batches, BLOCK_TOKENS):
             words, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["h", "n"])
 
+    words = store(docs.where(~F.col("held")).mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "ngram-words")
+    sizes = words.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).orderBy(F.desc("b")).collect()  # 63 rows at most
+    least, have = 1, 0
+    for r in sizes:
+        have += r["v"]
+        if have > dictionary:
+            least = 1 << r["b"] + 1
+            break
+    path = f"{folder}/dictionary"
+
     def write(batches):
-        h, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            h.append(batch.column(0).to_numpy())
-            n.append(batch.column(1).to_numpy())
-        words, counts = np.concatenate(h).view(np.uint64), np.concatenate(n)
-        if len(words):
-            order = np.argsort(words)
-            path = f"{folder}/words-{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
-            put(path, words=words[order], counts=counts[order])
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(words)]), pa.array([int(counts.sum())])], ["path", "v", "n"])
-
-    summed = docs.where(~F.col("held")).mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    files = summed.mapInArrow(write, "path string, v long, n long").collect()
-    return [f["path"] for f in files], sum(f["n"] for f in files), sum(f["v"] for f in files)
-
-
-def build_shards(docs: DataFrame, folder: str, n: int) -> list[str]:
-    count = max(1, round(n / SHARD_TOKENS))
-
-    def deal(batches):
-        for _, _, h, offsets in _blocks(batches, BLOCK_TOKENS // 2):
-            r, _ = backwards(h, offsets)
-            begins = offsets + np.arange(len(offsets))
-            to = np.arange(len(offsets) - 1) % count
-            for k in range(min(count, len(to))):
-                which = np.flatnonzero(to == k)
-                blob = np.concatenate([r[begins[d] : begins[d + 1]] for d in which])
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([blob.tobytes()])], ["shard", "r"])
-
-    def build(table: pa.Table) -> pa.Table:
-        r = np.frombuffer(b"".join(table.column("r").to_pylist()), np.uint32)
-        path = f"{folder}/shard-{table.column('shard')[0].as_py()}-{TaskContext.get().taskAttemptId()}"
-        del table
-        put(path, r=r, sa=suffix_array(r))
-        return pa.table({"path": [path]})
-
-    made = docs.where(~F.col("held")).mapInArrow(deal, "shard long, r binary").groupBy("shard").applyInArrow(build, "path string")
-    return sorted(f["path"] for f in made.collect())
-
-
-def longest(q: np.ndarray, left: np.ndarray, train: np.ndarray, shards, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest context at every place of q and its count over all shards; train: places of documents that some shard holds.
-
-    The longest context in such a document is all of it before the place.  In any shard its count can only fall as the place moves on, so where two
-    places have equal counts all between have it, too; only between unequal ones more places are searched.
+        table = pa.Table.from_batches(list(batches))
+        h, n = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+        rank = np.empty(len(h), np.uint32)
+        rank[np.lexsort((h, -n))] = np.arange(len(h), dtype=np.uint32)
+        order = np.argsort(h)
+        put(path, h[order], rank[order], n[order])
+        yield pa.RecordBatch.from_arrays([pa.array([len(h)])], ["v"])
+
+    if sizes and least <= 1 << sizes[0]["b"]:
+        words.where(F.col("n") >= least).select("h", "n").repartition(1).mapInArrow(write, "v long").count()
+    else:
+        path = ""
+    return words, path, least, sum(r["n"] for r in sizes), sum(r["v"] for r in sizes)
+
+
+def _codes(path: str) -> Codes:
+    return Codes(*get(path)) if path else Codes(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+
+def asked(block: Block, codes: Codes, shards: int, least: int):
+    """Windows of a block and what it sends: for each kind the places (tokens), the sorted distinct values, each place's value and each value's shard.
+
+    Returns also the size of each token's window and the counts of the block's words (-1: not in the dictionary).
+    """
+    code, size, count = codes.of(block.words)
+    w, n = windows(block, code, size)
+    out = {}
+    for kind, which in ((CORPUS, ~block.in_held), (HELD, block.in_held), (BEGIN, ~block.in_held & (block.ordinal < n))):
+        at = np.flatnonzero(which)
+        values, inverse = np.unique(w[at], return_inverse=True)
+        out[kind] = at, values, inverse, shard_of(values, code_ends(values), shards)
+    if least > 1:
+        rare = block.words[count < 0]
+        out[ASKED] = None, rare, None, (mix(rare) >> np.uint64(33)).astype(np.int64) * shards >> 31
+    return out, n, count
+
+
+def send(docs: DataFrame, folder: str, dictionary: str, least: int, shards: int) -> DataFrame:
+    """Writes the blocks and sends their windows and rare words to the shards."""
+
+    def run(batches):
+        codes = _codes(dictionary)
+        for k, (ids, flags, h, offsets) in enumerate(_blocks(batches, BLOCK_TOKENS)):
+            words, local = np.unique(h, return_inverse=True)
+            block = Block(ids, np.array(flags, bool), words, local, offsets)
+            path = f"{folder}/block-{TaskContext.get().partitionId()}-{k}"
+            put(path, np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], bool), block.held, words, local.astype(np.uint32), offsets)
+            rows = [(0, path, HERE, b"", b"")]
+            for kind, (_, values, inverse, to) in asked(block, codes, shards, least)[0].items():
+                counts = np.bincount(inverse, minlength=len(values)).astype(np.uint32) if kind == CORPUS else None
+                order = np.argsort(to, kind="stable")
+                edges = np.searchsorted(to[order], np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(edges)).tolist():
+                    part = order[edges[s] : edges[s + 1]]
+                    rows.append((s, path, kind, pack_sorted(values[part]), pack(counts[part]) if kind == CORPUS else b""))
+            yield _row(rows)
+
+    return docs.mapInArrow(run, _ROWS)
+
+
+def load(path: str) -> Block:
+    ids, null, held, words, local, offsets = get(path)
+    block = Block(ids, held, words, local, offsets)
+    block.null = null.astype(bool)
+    return block
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """One shard: which windows of each block occur again, how far the asked ones go and how often; counts of rare words."""
+    rows = [*zip(*(c.to_pylist() for c in table.columns), strict=True)]
+    del table
+    of = lambda kind: [(k, unpack_sorted(r[3])) for k, r in enumerate(rows) if r[2] == kind]
+    empty, out = np.zeros(0, np.uint64), []
+    parts = of(CORPUS)
+    every = np.concatenate([empty, *(w for _, w in parts)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(unpack(rows[k][4]) for k, _ in parts)]).astype(np.int64)
+    order = np.argsort(every, kind="stable")
+    every, counts = every[order], counts[order]
+    head = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    corpus, n = every[head], np.add.reduceat(counts, head) if len(head) else counts
+    del every, order, counts
+    sums = np.r_[0, np.cumsum(n)]
+    again = n > 1
+    for kind in (HELD, BEGIN):
+        for k, w in of(kind):
+            length, times, whole = search_windows(corpus, sums, w)
+            if kind == HELD and len(corpus):
+                again[np.searchsorted(corpus, w[whole])] = True
+            out.append((rows[k][0], rows[k][1], kind, pack(length | whole.astype(np.uint8) << 7), pack(times)))
+    for k, w in parts:
+        out.append((rows[k][0], rows[k][1], CORPUS, np.packbits(again[np.searchsorted(corpus, w)]).tobytes(), b""))
+    rare, n = [np.concatenate([np.zeros(0, x), *(unpack(r[c]) for r in rows if r[2] == RARE)]) for c, x in ((3, np.uint64), (4, np.int64))]
+    order = np.argsort(rare)
+    rare, n = rare[order], n[order]
+    for k, w in of(ASKED):
+        at = np.minimum(np.searchsorted(rare, w), len(rare) - 1)
+        out.append((rows[k][0], rows[k][1], ASKED, pack(np.where(rare[at] == w, n[at], 0) if len(rare) else np.zeros(len(w), np.int64)), b""))
+    out += [(r[0], r[1], HERE, b"", b"") for r in rows if r[2] == HERE]
+    return pa.Table.from_batches([_row(out)])
+
+
+def merge(block: Block, codes: Codes, rows, shards: int, least: int, total: int):
+    """From the shards' answers (shard, kind, data, extra): length and count of each place as far as windows go, whether it may go deeper, sizes of the windows, counts of the block's words."""
+    what, size, count = asked(block, codes, shards, least)
+    left = block.ordinal + 1
+    length, times, deep = np.where(block.in_held, 0, left).astype(np.int32), np.ones(len(left), np.int64), np.zeros(len(left), bool)
+    if least > 1:
+        got = np.zeros(len(what[ASKED][1]), np.int64)
+        for s, _, data, _ in (r for r in rows if r[1] == ASKED):
+            got[what[ASKED][3] == s] = unpack(data)
+        count[count < 0] = got
+    count = np.maximum(count, 0)
+    known = count[block.local]
+    for kind in (CORPUS, HELD, BEGIN):
+        at, values, inverse, to = what[kind]
+        l, n, flag = np.zeros(len(values), np.int32), np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        for s, _, data, extra in (r for r in rows if r[1] == kind):
+            here = np.flatnonzero(to == s)
+            if kind == CORPUS:
+                flag[here] = np.unpackbits(np.frombuffer(data, np.uint8), count=len(here)).astype(bool)
+            else:
+                x = unpack(data)
+                l[here], flag[here], n[here] = x & 0x7F, x >> 7, unpack(extra)
+        l, n, flag = l[inverse], n[inverse], flag[inverse]
+        if kind == CORPUS:
+            deep[at] = flag & (left[at] > size[at])
+            continue
+        one = l < 2
+        if kind == HELD:
+            length[at] = np.where(one, known[at] > 0, l)
+            deep[at] = flag & (left[at] > size[at])
+        times[at] = np.where(one, known[at], n)
+    times[length == 0] = total
+    return length, times, deep, size, count
+
+
+def stretches(block: Block, deep: np.ndarray) -> np.ndarray:
+    """Tokens (numbers of words from 1) of the training text that deep contexts may reach, 0 before each stretch."""
+    on = np.flatnonzero(deep & ~block.in_held)
+    need = np.zeros(len(deep), bool)
+    for k in range(BACK + 1):
+        need[(on - k)[block.ordinal[on] >= k]] = True
+    at = np.flatnonzero(need)
+    begin = np.ones(len(at), bool)
+    begin[1:] = (at[1:] != at[:-1] + 1) | (block.ordinal[at[1:]] == 0)
+    out = np.zeros(len(at) + int(begin.sum()), np.uint32)
+    out[np.arange(len(at)) + np.cumsum(begin)] = block.local[at] + 1
+    return out
+
+
+def build_shard(paths: list[str], to: str) -> None:
+    """One suffix array over the stretches of some blocks; words are numbered from 1 in the order of their hashes."""
+    words, texts = [], []
+    for p in paths:
+        w, text = get(p + ".deep")
+        words.append(w)
+        texts.append(text)
+    every = np.unique(np.concatenate(words))
+    texts = [np.r_[np.uint32(0), np.searchsorted(every, w).astype(np.uint32) + np.uint32(1)][t] for w, t in zip(words, texts, strict=True)]
+    r = np.concatenate(texts)[::-1].copy()
+    put(to, every, r, suffix_array(r))
+
+
+def deepen(block: Block, length: np.ndarray, times: np.ndarray, deep: np.ndarray, size: np.ndarray, shards) -> None:
+    """Searches all shards (words, Shard) for what windows can't tell; changes length and times.
+
+    In a training document the longest context is all of it before the place.  Where the window still holds that, its count is known; behind, in any shard
+    its count can only fall as the place moves on, so where two places have equal counts all between have it, too; only between unequal ones more places
+    are searched.
     """
-    length, count = np.where(train, left, 0), np.zeros(len(q), np.int64)
-    hashed = Stretches(q)
-    ends = np.flatnonzero(left == 0)  # behind each text's first token
-    starts = np.r_[0, ends[:-1] + 1]
-    own = np.flatnonzero(train[ends] & (ends > starts)) if len(ends) else ends
-    size = (ends - starts)[own]
-    other = np.flatnonzero(~train & (left > 0))
-    for shard in shards:
-        got, times = shard.search(hashed, other, left[other], length[other])
-        better, equal = got > length[other], got == length[other]
-        count[other] = np.where(better, times, np.where(equal, count[other] + times, count[other]))
+    place, n = backwards(block)
+    left = block.ordinal + 1
+    other = np.flatnonzero(block.in_held & deep)
+    own, low, high = [], [], []
+    for d in np.flatnonzero(~block.held).tolist():
+        a, b = int(block.offsets[d]), int(block.offsets[d + 1])
+        first = a + int(np.argmax(size[a:b] < left[a:b])) if size[b - 1] < b - a else b
+        if first == b or times[first - 1] < 2 or not deep[first]:
+            continue  # all in its windows, or behind them it is its own only context
+        stop = np.flatnonzero(~deep[first:b])
+        own.append(a)
+        low.append(first - a + 1)
+        high.append((first + int(stop[0]) if len(stop) else b) - a)
+    own, low, high = (np.array(x, np.int64) for x in (own, low, high))
+    if len(own):
+        inside = np.repeat(own - 1 + low, high - low + 1) + np.arange(int((high - low + 1).sum())) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+        times[inside] = 0
+    if not len(own) and not len(other):
+        return
+    for words, shard in shards:
+        at = np.minimum(np.searchsorted(words, block.words), len(words) - 1)
+        number = np.where(words[at] == block.words, at + 1, int(UNKNOWN)).astype(np.uint32)
+        x = np.zeros(n, np.uint32)
+        x[place] = number[block.local]
+        q = Stretches(x)
+        got, often = shard.search(q, place[other], left[other], length[other])
+        better, equal = got > length[other], (got == length[other]) & (got > size[other])
+        times[other] = np.where(better, often, np.where(equal, times[other] + often, times[other]))
         length[other] = np.maximum(length[other], got)
 
-        def counts(of: np.ndarray, n: np.ndarray) -> np.ndarray:
-            """How often the first n tokens of the texts are in the shard."""
-            got, times = shard.search(hashed, ends[of] - n, n, n)
-            return np.where(got == n, times, 0)
-
-        here = np.zeros(len(q), np.int64)
-        early = np.minimum(size, PREFIX)
-        of = np.repeat(own, early)
-        n = np.arange(len(of)) - np.repeat(np.cumsum(early) - early, early) + 1
-        here[ends[of] - n] = counts(of, n)
-        # stretches (text, first n, last n) between places whose counts are known
-        of, n = own[size > PREFIX], size[size > PREFIX]
-        known = here[ends[of] - PREFIX]
-        of, n, known = of[known > 0], n[known > 0], known[known > 0]
-        low, high, a, b = np.full(len(of), PREFIX), n, known, counts(of, n)
-        here[ends[of] - n] = b
+        def counts(of: np.ndarray, l: np.ndarray) -> np.ndarray:
+            """How often the first l tokens of the texts that begin at own[of] are in the shard."""
+            got, often = shard.search(q, place[own[of] + l - 1], l, l)
+            return np.where(got == l, often, 0)
+
+        of = np.arange(len(own))
+        lo, hi = low.copy(), high.copy()
+        a, b = counts(of, lo), np.zeros(len(of), np.int64)
+        b[a > 0] = counts(of[a > 0], hi[a > 0])
+        here = np.zeros(len(x), np.int64)
+        here[own + lo - 1] = a
+        here[own + hi - 1] = b
+        of, lo, hi, a, b = (v[a > 0] for v in (of, lo, hi, a, b))
         while len(of):
             same = a == b
-            inside = np.maximum(high - low - 1, 0) * same
-            if inside.any():
-                k = np.repeat(np.flatnonzero(same), inside[same])
-                step = np.arange(len(k)) - np.repeat(np.cumsum(inside[same]) - inside[same], inside[same]) + 1
-                here[ends[of[k]] - low[k] - step] = a[k]
-            more = ~same & (high - low > 1)
-            of, low, high, a, b = of[more], low[more], high[more], a[more], b[more]
-            mid = (low + high) // 2
+            gap = np.maximum(hi - lo - 1, 0) * same
+            if gap.any():
+                k = np.repeat(np.flatnonzero(same), gap[same])
+                step = np.arange(len(k)) - np.repeat(np.cumsum(gap[same]) - gap[same], gap[same])
+                here[own[of[k]] + lo[k] + step] = a[k]
+            more = ~same & (hi - lo > 1)
+            of, lo, hi, a, b = of[more], lo[more], hi[more], a[more], b[more]
+            mid = (lo + hi) // 2
             c = counts(of, mid)
-            here[ends[of] - mid] = c
-            of, low, high, a, b = np.r_[of, of], np.r_[low, mid], np.r_[mid, high], np.r_[a, c], np.r_[c, b]
-        count[train] += here[train]
-    count[length == 0] = total
-    return length, count
+            here[own[of] + mid - 1] = c
+            of, lo, hi, a, b = np.r_[of, of], np.r_[lo, mid], np.r_[mid, hi], np.r_[a, c], np.r_[c, b]
+        if len(own):
+            times[inside] += here[inside]
 
 
-def score_block(h: np.ndarray, offsets: np.ndarray, held: np.ndarray, words, shards, total: int, vocabulary: int):
+def score_block(block: Block, length: np.ndarray, times: np.ndarray, count: np.ndarray, total: int, vocabulary: int):
     """n_tokens, n_known, base_score, score of every text of a block."""
-    unique, inverse = np.unique(h, return_inverse=True)
-    c = np.zeros(len(unique), np.int64)
-    for known, counts in words:
-        k = np.minimum(np.searchsorted(known, unique), len(known) - 1)
-        same = known[k] == unique
-        c[same] = counts[k[same]]
-    c = c[inverse].astype(np.int32 if total < 1 << 31 else np.int64)
-    del unique, inverse
+    c = count[block.local]
     base = (c + 0.5) / (total + 0.5 * (vocabulary + 1))
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    q, left = backwards(h, offsets)
-    length, count = longest(q, left, np.repeat(~held, sizes + 1), shards, total)
-    # place of the token t of a text, of all that it ends, is one before that of its context
-    ordinal = np.arange(len(h)) - offsets[:-1][owner]
-    at = offsets[1:][owner] + owner - 1 - ordinal
-    before = at + 1
-    l, n = length[before], count[before].astype(np.float64)
-    start = ordinal == 0
-    l[start], n[start] = 0, total
-    hit = length[at] == l + 1
+    start = block.ordinal == 0
+    before = np.where(start, 0, np.arange(len(c)) - 1)
+    l, n = np.where(start, 0, length[before]), np.where(start, total, times[before]).astype(np.float64)
     m = weight(l)
-    p = (np.where(hit, count[at], 0) + m * base) / (n + m)
-    add = lambda x: np.add.reduceat(x, offsets[:-1]) if len(sizes) else x
-    return sizes, add((c > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
+    p = (np.where(length == l + 1, times, 0) + m * base) / (n + m)
+    add = lambda x: np.add.reduceat(x, block.offsets[:-1]) if len(block.sizes) else x
+    return block.sizes, add((c > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, shard_tokens: int = SHARD_TOKENS, shard_windows: int = SHARD_WINDOWS, dictionary: int = DICTIONARY) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; held: a column, true for rows not to learn from."""
     spark = df.sparkSession
     bounded_batches(spark)
     held = crc_mod(F.col(id_col), 5) == 1 if held is None else held
     docs = df.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).alias("text"))
     folder = new_folder(spark)
-    files, total, vocabulary = count_words(docs, folder)
-    paths = build_shards(docs, folder, total)
+    words, codes_path, least, total, vocabulary = count_words(docs, folder, dictionary)
+    shards = max(1, -(-total // shard_windows))
+    sent = send(docs, folder, codes_path, least, shards)
+    if least > 1:
+
+        def deal(batches):
+            for batch in batches:
+                h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+                to = (mix(h) >> np.uint64(33)).astype(np.int64) * shards >> 31
+                yield _row([(s, "", RARE, pack(h[to == s]), pack(n[to == s])) for s in np.unique(to).tolist()])
+
+        sent = sent.unionByName(words.where(F.col("n") < least).select("h", "n").mapInArrow(deal, _ROWS))
+    answers = store(sent.groupBy("shard").applyInArrow(answer, _ROWS), "ngram-answers")
+
+    def join(table: pa.Table) -> pa.Table:
+        path = table.column("block")[0].as_py()
+        rows = [*zip(*(table.column(c).to_pylist() for c in ("shard", "kind", "data", "extra")), strict=True)]
+        block = load(path)
+        length, times, deep, size, count = merge(block, _codes(codes_path), rows, shards, least, total)
+        text = stretches(block, deep)
+        put(path + ".short", length, times, deep, size, count)
+        put(path + ".deep", block.words, text)
+        return pa.table({"block": [path], "n": pa.array([len(text)], pa.int64())})
+
+    blocks = answers.where("block != ''").groupBy("block").applyInArrow(join, "block string, n long").collect()
+    blocks = sorted((b["block"], b["n"]) for b in blocks)
+    groups, filled = [], shard_tokens
+    for path, n in blocks:
+        if not n:
+            continue
+        if filled >= shard_tokens:
+            groups.append([])
+            filled = 0
+        groups[-1].append(path)
+        filled += n
+    names = [f"{folder}/suffixes-{k}" for k in range(len(groups))]
+
+    def build(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                build_shard(groups[k], names[k])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], ["id"])
 
-    def run(batches):
-        for ids, flags, h, offsets in _blocks(batches, BLOCK_TOKENS):
-            words = (get(f, np.uint64, np.int64) for f in files)
-            shards = (Shard(*get(f, np.uint32, np.uint32)) for f in paths)
-            n, known, base, score = score_block(h, offsets, np.array(flags, bool), words, shards, total, vocabulary)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    if groups:
+        spark.range(0, len(groups), 1, len(groups)).mapInArrow(build, "id long").count()
 
-    return docs.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    def run(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                path = blocks[k][0]
+                block = load(path)
+                length, times, deep, size, count = get(path + ".short")
+                length, times, count = length.astype(np.int64), times.copy(), count.astype(np.int64)
+                deepen(block, length, times, deep.astype(bool), size.astype(np.int64), ((w, Shard(r, sa)) for w, r, sa in map(get, names)))
+                n, known, base, score = score_block(block, length, times, count, total, vocabulary)
+                yield pa.RecordBatch.from_arrays([pa.array(block.ids, mask=block.null), pa.array(block.held), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    made = spark.range(0, len(blocks), 1, max(1, len(blocks)))
+    return made.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
 def op9_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import shutil
 import subprocess
 import sys
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -223,23 +224,15 @@ def test_gradients():
             assert abs((a - b) / 2e-2 - g[k][i]) < 3e-3
 
 
-def test_ngram_scores(spark, tmp_path):
-    rng = random.Random(5)
-    texts = [" ".join(words(rng, rng.choice([0, 1, 3, 12, 30]), 9)) for _ in range(30)]
-    texts += texts[:4] + [texts[5] + " New " + texts[6], None, "w1  \tW1\n", "only " * 3000]
-    rows = [(k, t, None, None, None) for k, t in enumerate(texts)] + [(None, "w1 w2", None, None, None)]
-    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in op9_ngram.op9_ngram(spark, str(tmp_path)).collect()}
+def ngram_truth(rows, held):
+    """id -> n_tokens, n_known, train_tokens, base_score, score, by counting every n-gram of the training texts."""
     t = {r[0]: (r[1] or "").lower().split() + ["</>"] for r in rows}
-    train = [v for k, v in t.items() if not got[k]["held_out"]]
-    grams, n = Counter(), sum(map(len, train))
-    uni = Counter(w for v in train for w in v)
-    for v in (x for x in train if len(x) < 200):
+    train = [v for k, v in t.items() if not held[k]]
+    n, uni, grams, out = sum(map(len, train)), Counter(w for v in train for w in v), Counter(), {}
+    for v in train:
         for i in range(len(v)):
             grams.update(tuple(v[i:j]) for j in range(i + 1, len(v) + 1))
     for k, v in t.items():
-        if len(v) >= 200 or any(len(x) >= 200 and not set(x).isdisjoint(v[:-1]) for x in train):
-            continue
         base = total = 0.0
         for i, x in enumerate(v):
             b = (uni[x] + 0.5) / (n + 0.5 * (len(uni) + 1))
@@ -248,32 +241,52 @@ def test_ngram_scores(spark, tmp_path):
             hit = grams[tuple(v[i - size : i + 1])] if size else uni[x]
             m = float(op9_ngram.weight(np.array([size]))[0])
             base, total = base + math.log10(b), total + math.log10((hit + m * b) / (c + m))
-        assert abs(got[k]["base_score"] - base) < 1e-9 and abs(got[k]["score"] - total) < 1e-9
-        assert (got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (len(v), sum(uni[x] > 0 for x in v), n)
-    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
-    assert op9_ngram.op9_ngram(spark, f"{tmp_path}/none").count() == 0
+        out[k] = (len(v), sum(uni[x] > 0 for x in v), n, base, total)
+    return out
 
 
-def test_shards_sum_up():
-    rng = random.Random(9)
-    for _ in range(15):
-        docs = [" ".join(words(rng, rng.choice([0, 2, 9, 25]), rng.choice([2, 5]))) for _ in range(9)]
-        docs += docs[:3]
-        held = np.array([rng.random() < 0.3 for _ in docs])
-        h, o = op9_ngram.tokens(pa.array(docs))
-        train = [k for k, f in enumerate(held) if not f]
-        if not train:
-            continue
-        w, c = np.unique(np.concatenate([h[o[k] : o[k + 1]] for k in train]), return_counts=True)
+def ngram_equal(got, truth):
+    assert len(got) == len(truth)
+    for r in got:
+        want = truth[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
+        assert abs(r["base_score"] - want[3]) < 1e-9 and abs(r["score"] - want[4]) < 1e-9
+
+
+def test_ngram_scores(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, rng.choice([0, 1, 3, 12, 30]), 9)) for _ in range(30)]
+    texts += texts[:4] + [texts[5] + " New " + texts[6], None, "w1  \tW1\n", "only " * 300]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)] + [(None, "w1 w2", None, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op9_ngram.op9_ngram(spark, str(tmp_path)).collect()
+    ngram_equal(got, ngram_truth(rows, {r["doc_id"]: r["held_out"] for r in got}))
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op9_ngram.op9_ngram(spark, f"{tmp_path}/none").count() == 0
 
-        def shards(n):
-            for s in range(n):
-                if train[s::n]:
-                    r, _ = op9_ngram.backwards(*op9_ngram.tokens(pa.array([docs[k] for k in train[s::n]])))
-                    yield op9_ngram.Shard(r, op9_ngram.suffix_array(r))
 
-        a, b = (op9_ngram.score_block(h, o, held, [(w, c)], shards(n), int(c.sum()), len(w))[3] for n in (1, 3))
-        assert np.allclose(a, b, atol=1e-9)
+@pytest.mark.parametrize(("shard_tokens", "shard_windows", "dictionary"), [(1 << 22, 1 << 21, 1 << 21), (1, 40, 1 << 21), (200, 300, 8), (1 << 22, 100, 60), (150, 1 << 21, 0)])
+def test_ngram_shards_and_codes(spark, tmp_path, shard_tokens, shard_windows, dictionary):
+    """One shard or many of either kind; words with short codes, few of them, or none: the same scores. Copies, near copies, shared passages, clashing columns."""
+    rng = random.Random(shard_windows + dictionary)
+    passage = words(rng, 25, 60)
+    texts = [words(rng, rng.choice([0, 2, 9, 40]), rng.choice([5, 60, 400])) for _ in range(60)]
+    for k in range(0, 40, 2):
+        at = rng.randrange(len(texts[k]) + 1)
+        texts[k][at:at] = passage
+    for k in range(12):
+        copy = list(texts[k])
+        if copy and k % 3:
+            copy[rng.randrange(len(copy))] = f"rare{k}"
+        texts.append(copy)
+    rows = [(k, " ".join(t), "held", k % 5) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held string, block long")
+    df.repartition(3).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in range(len(texts))}
+    got = op9_ngram.score_texts(df, shard_tokens=shard_tokens, shard_windows=shard_windows, dictionary=dictionary).collect()
+    assert {r["doc_id"]: r["held_out"] for r in got} == held
+    ngram_equal(got, ngram_truth(rows, held))
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):

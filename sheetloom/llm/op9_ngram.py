@@ -14,10 +14,13 @@ The suffixes are searched in two steps.
    their first two words, so each shard's sorted windows hold every suffix of its key range, each query meets one shard, and counts need no sum over
    shards.  Work and traffic are proportional to the corpus.  What matches less than a window ends here (three quarters of the places of new text).
 2. *Suffix arrays.*  Only places whose whole window occurs again (in another training text, or in a text to score) can match deeper.  The stretches of
-   training text around such places, and nothing else, are written to shards of about ``SHARD_TOKENS`` words with their suffix array; a deep place
-   searches each shard for its longest context, the longest wins and its counts are summed.  This step's work is deep places times shards.
+   training text around such places, and nothing else, are written to shards of about ``SHARD_TOKENS`` words with their suffix array and a filter of
+   their windows; a deep place searches each shard that the filter admits for its longest context, the longest wins and its counts are summed.
+   Filters are read for deep places times shards; searches are needed where a shard has the window.
 
-In a training document the longest context is all that precedes, and its count only falls, so few of its places are searched.
+As a place moves on, the begin of its longest context never moves back, and the count of a context with a fixed begin only falls.  So where two places of
+a run have the same begin and count, all between have; only between others more places are searched.  In a training document the longest context is all
+that precedes, so the same holds from its begin.
 
 Defined results: a null or empty text is the single end token; equal rows have equal scores; without training documents N and V are 0, every base
 probability is 1 and so is every probability; extra columns are ignored; an empty table gives an empty result.  The input must give the same rows in the
@@ -36,10 +39,15 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc_mod, mix, powers, read, shared_folder, store, text_bytes, word_hashes
 
-BLOCK_TOKENS = 1 << 21
-#: Windows of a shard of step 1, and words of one of step 2.
+BLOCK_TOKENS = 1 << 20
+#: Windows of a shard of step 1, words of one of step 2, and words of texts that one task searches for there.
 SHARD_WINDOWS = 1 << 21
 SHARD_TOKENS = 4 << 20
+ASK_TOKENS = 3 << 19
+#: Bits of a shard's filter, as a power of two.
+FILTER = 25
+#: Every so many places of a run are searched first.
+STRIDE = 16
 #: Words that have short codes, at most; all tasks read this table (16 bytes a word).
 DICTIONARY = 1 << 21
 END = np.uint64(0x1F3D5B79A6C8E0D1)
@@ -194,46 +202,55 @@ def windows(block: Block, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     return out, n
 
 
-def code_ends(w: np.ndarray) -> np.ndarray:
-    """[windows, 8]: bytes up to the end of each of its codes; 99 where there is none."""
-    at, out = np.zeros(len(w), np.int64), np.full((len(w), 8), 99, np.int64)
-    for k in range(8):
-        first = np.where(at < 8, w << (np.minimum(at, 7) * 8).astype(np.uint64) >> np.uint64(56), 0)
-        size = np.where(first == 0, 0, np.where(first < 0x80, 1, np.where(first < 0xC0, 2, np.where(first < 0xFF, 3, 8))))
-        at = at + size
-        out[:, k] = np.where((size > 0) & (at <= 8), at, 99)
-        at = np.where(size > 0, at, 8)
-    return out
+_SIZES = np.array([0] + [1] * 127 + [2] * 64 + [3] * 63 + [8], np.uint8)
+_MASKS = np.array([0] + [(1 << 64) - (1 << (64 - 8 * k)) for k in range(1, 9)], np.uint64)
 
 
-_MASKS = np.array([0] + [(1 << 64) - (1 << (64 - 8 * k)) for k in range(1, 9)], np.uint64)
+def code_ends(w: np.ndarray, most: int = 8) -> np.ndarray:
+    """[windows, most]: bytes up to the end of each of its codes; 99 where there is none."""
+    at, out = np.zeros(len(w), np.uint8), np.full((len(w), most), 99, np.uint8)
+    for k in range(most):
+        size = np.where(at < 8, _SIZES[(w << (np.minimum(at, 7).astype(np.uint64) * np.uint64(8)) >> np.uint64(56)).astype(np.uint8)], 0).astype(np.uint8)
+        on = (size > 0) & (at + size <= 8)
+        at = np.where(on, at + size, 8).astype(np.uint8)
+        out[on, k] = at[on]
+    return out
 
 
-def shard_of(w: np.ndarray, ends: np.ndarray, shards: int) -> np.ndarray:
+def shard_of(w: np.ndarray, shards: int) -> np.ndarray:
     """By the first two words, or by the only one."""
-    two = np.where(ends[:, 1] < 99, ends[:, 1], ends[:, 0])
-    return (mix(w & _MASKS[np.minimum(two, 8)]) >> np.uint64(33)).astype(np.int64) * shards >> 31
+    ends = code_ends(w, 2)
+    two = np.where(ends[:, 1] < 99, ends[:, 1], np.minimum(ends[:, 0], 8))
+    return (mix(w & _MASKS[two]) >> np.uint64(33)).astype(np.int64) * shards >> 31
 
 
 def search_windows(corpus: np.ndarray, sums: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For windows q: words of the longest prefix among the sorted windows of the corpus, how often (sums: counts summed, from 0), and whether the whole is there."""
-    if not len(corpus):
-        return np.zeros(len(q), np.uint8), np.zeros(len(q), np.int64), np.zeros(len(q), bool)
-    ends = code_ends(q)
-    at = np.searchsorted(corpus, q)
-    best, whole = np.zeros(len(q), np.int64), np.zeros(len(q), bool)
-    for k in (at - 1, at):
-        there = (k >= 0) & (k < len(corpus))
-        x = corpus[np.clip(k, 0, len(corpus) - 1)] ^ q
-        alike = np.zeros(len(q), np.int64)
-        for b in range(1, 9):
-            alike += (x & _MASKS[b]) == 0
-        best = np.maximum(best, np.where(there, (ends <= alike[:, None]).sum(axis=1), 0))
-        whole |= there & (x == 0)
-    mask = _MASKS[np.where(best > 0, ends[np.arange(len(q)), np.maximum(best - 1, 0)], 0)]
-    low = q & mask
-    n = sums[np.searchsorted(corpus, low | ~mask, "right")] - sums[np.searchsorted(corpus, low, "left")]
-    return best.astype(np.uint8), np.where(best > 0, n, 0), whole
+    length, times, found = np.zeros(len(q), np.uint8), np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+    for first in range(0, len(q) if len(corpus) else 0, 1 << 17):
+        part = q[first : first + (1 << 17)]
+        ends = code_ends(part)
+        at = np.searchsorted(corpus, part)
+        best, whole = np.zeros(len(part), np.int64), np.zeros(len(part), bool)
+        for k in (at - 1, at):
+            there = (k >= 0) & (k < len(corpus))
+            x = corpus[np.clip(k, 0, len(corpus) - 1)] ^ part
+            alike = np.zeros(len(part), np.uint8)
+            for b in range(1, 9):
+                alike += (x & _MASKS[b]) == 0
+            best = np.maximum(best, np.where(there, (ends <= alike[:, None]).sum(axis=1), 0))
+            whole |= there & (x == 0)
+        mask = _MASKS[np.where(best > 0, ends[np.arange(len(part)), np.maximum(best - 1, 0)], 0)]
+        low = part & mask
+        n = sums[np.searchsorted(corpus, low | ~mask, "right")] - sums[np.searchsorted(corpus, low, "left")]
+        at = slice(first, first + len(part))
+        length[at], times[at], found[at] = best, np.where(best > 0, n, 0), whole
+    return length, times, found
+
+
+def filter_bits(w: np.ndarray) -> np.ndarray:
+    """Where a window is marked in a shard's filter."""
+    return (mix(w) >> np.uint64(64 - FILTER)).astype(np.uint32)
 
 
 # ---- suffix arrays
@@ -414,11 +431,6 @@ class Shard:
         return length, count
 
 
-def backwards(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Places of an array that holds each text from its last token to its first, then a gap; the place of each token, and the size of the array."""
-    return block.offsets[1:][block.owner] + block.owner - 1 - block.ordinal, len(block.local) + len(block.sizes)
-
-
 # ---- jobs
 
 _ROWS = "shard long, block string, kind int, data binary, extra binary"
@@ -479,11 +491,11 @@ def asked(block: Block, codes: Codes, shards: int, least: int):
     for kind, which in ((CORPUS, ~block.in_held), (HELD, block.in_held), (BEGIN, ~block.in_held & (block.ordinal < n))):
         at = np.flatnonzero(which)
         values, inverse = np.unique(w[at], return_inverse=True)
-        out[kind] = at, values, inverse, shard_of(values, code_ends(values), shards)
+        out[kind] = at, values, inverse, shard_of(values, shards)
     if least > 1:
         rare = block.words[count < 0]
         out[ASKED] = None, rare, None, (mix(rare) >> np.uint64(33)).astype(np.int64) * shards >> 31
-    return out, n, count
+    return out, n, count, w
 
 
 def send(docs: DataFrame, folder: str, dictionary: str, least: int, shards: int) -> DataFrame:
@@ -552,7 +564,7 @@ def answer(table: pa.Table) -> pa.Table:
 
 def merge(block: Block, codes: Codes, rows, shards: int, least: int, total: int):
     """From the shards' answers (shard, kind, data, extra): length and count of each place as far as windows go, whether it may go deeper, sizes of the windows, counts of the block's words."""
-    what, size, count = asked(block, codes, shards, least)
+    what, size, count, w = asked(block, codes, shards, least)
     left = block.ordinal + 1
     length, times, deep = np.where(block.in_held, 0, left).astype(np.int32), np.ones(len(left), np.int64), np.zeros(len(left), bool)
     if least > 1:
@@ -582,101 +594,150 @@ def merge(block: Block, codes: Codes, rows, shards: int, least: int, total: int)
             deep[at] = flag & (left[at] > size[at])
         times[at] = np.where(one, known[at], n)
     times[length == 0] = total
-    return length, times, deep, size, count
+    return length, times, deep, size, count, w
 
 
-def stretches(block: Block, deep: np.ndarray) -> np.ndarray:
-    """Tokens (numbers of words from 1) of the training text that deep contexts may reach, 0 before each stretch."""
-    on = np.flatnonzero(deep & ~block.in_held)
-    need = np.zeros(len(deep), bool)
+def stretches(block: Block, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (numbers of words from 1) that deep contexts of these places may reach, 0 before each stretch; where each token of the block is among them (-1: not)."""
+    need = np.zeros(len(block.local), bool)
     for k in range(BACK + 1):
-        need[(on - k)[block.ordinal[on] >= k]] = True
+        need[(places - k)[block.ordinal[places] >= k]] = True
     at = np.flatnonzero(need)
     begin = np.ones(len(at), bool)
     begin[1:] = (at[1:] != at[:-1] + 1) | (block.ordinal[at[1:]] == 0)
-    out = np.zeros(len(at) + int(begin.sum()), np.uint32)
-    out[np.arange(len(at)) + np.cumsum(begin)] = block.local[at] + 1
-    return out
+    to = np.arange(len(at)) + np.cumsum(begin)
+    out, where = np.zeros(len(at) + int(begin.sum()), np.uint32), np.full(len(need), -1, np.int64)
+    out[to] = block.local[at] + 1
+    where[at] = to
+    return out, where
+
+
+def asks(block: Block, times: np.ndarray, deep: np.ndarray, size: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """What a block asks of the suffix arrays: tokens of its stretches; places of held texts there, their tokens in the block, windows and sizes; of each
+    training text that may have deep copies its first token there and in the block, the first length its windows don't tell, the last that occurs again, its window."""
+    left = block.ordinal + 1
+    held = np.flatnonzero(block.in_held & deep)
+    behind = np.flatnonzero(~block.in_held & (size < left) & (block.ordinal > 0))
+    first = behind[np.r_[True, block.owner[behind[1:]] != block.owner[behind[:-1]]]] if len(behind) else behind
+    first = first[deep[first] & (times[first - 1] > 1)] if len(first) else first
+    stops = np.r_[np.flatnonzero(~deep), len(deep)]
+    stop = np.minimum(stops[np.searchsorted(stops, first)], block.offsets[1:][block.owner[first]])
+    begin = first - block.ordinal[first]
+    n = stop - begin
+    inside = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    tokens_, where = stretches(block, np.r_[held, inside])
+    return [block.words, tokens_, where[held], held, w[held], size[held], where[begin], begin, first - begin + 1, n, w[first]]
 
 
 def build_shard(paths: list[str], to: str) -> None:
-    """One suffix array over the stretches of some blocks; words are numbered from 1 in the order of their hashes."""
-    words, texts = [], []
+    """One suffix array over the stretches of some blocks, and the filter of their windows; words are numbered from 1 in the order of their hashes."""
+    words, texts, bits = [], [], np.zeros(1 << FILTER - 3, np.uint8)
     for p in paths:
-        w, text = get(p + ".deep")
+        w, text, marks = get(p + ".deep")
         words.append(w)
         texts.append(text)
+        marks = np.cumsum(marks, dtype=np.uint32)
+        np.bitwise_or.at(bits, marks >> np.uint32(3), np.uint8(1) << (marks & np.uint32(7)).astype(np.uint8))
     every = np.unique(np.concatenate(words))
     texts = [np.r_[np.uint32(0), np.searchsorted(every, w).astype(np.uint32) + np.uint32(1)][t] for w, t in zip(words, texts, strict=True)]
     r = np.concatenate(texts)[::-1].copy()
-    put(to, every, r, suffix_array(r))
-
-
-def deepen(block: Block, length: np.ndarray, times: np.ndarray, deep: np.ndarray, size: np.ndarray, shards) -> None:
-    """Searches all shards (words, Shard) for what windows can't tell; changes length and times.
-
-    In a training document the longest context is all of it before the place.  Where the window still holds that, its count is known; behind, in any shard
-    its count can only fall as the place moves on, so where two places have equal counts all between have it, too; only between unequal ones more places
-    are searched.
-    """
-    place, n = backwards(block)
-    left = block.ordinal + 1
-    other = np.flatnonzero(block.in_held & deep)
-    own, low, high = [], [], []
-    for d in np.flatnonzero(~block.held).tolist():
-        a, b = int(block.offsets[d]), int(block.offsets[d + 1])
-        first = a + int(np.argmax(size[a:b] < left[a:b])) if size[b - 1] < b - a else b
-        if first == b or times[first - 1] < 2 or not deep[first]:
-            continue  # all in its windows, or behind them it is its own only context
-        stop = np.flatnonzero(~deep[first:b])
-        own.append(a)
-        low.append(first - a + 1)
-        high.append((first + int(stop[0]) if len(stop) else b) - a)
-    own, low, high = (np.array(x, np.int64) for x in (own, low, high))
-    if len(own):
-        inside = np.repeat(own - 1 + low, high - low + 1) + np.arange(int((high - low + 1).sum())) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
-        times[inside] = 0
-    if not len(own) and not len(other):
-        return
-    for words, shard in shards:
-        at = np.minimum(np.searchsorted(words, block.words), len(words) - 1)
-        number = np.where(words[at] == block.words, at + 1, int(UNKNOWN)).astype(np.uint32)
-        x = np.zeros(n, np.uint32)
-        x[place] = number[block.local]
-        q = Stretches(x)
-        got, often = shard.search(q, place[other], left[other], length[other])
-        better, equal = got > length[other], (got == length[other]) & (got > size[other])
-        times[other] = np.where(better, often, np.where(equal, times[other] + often, times[other]))
-        length[other] = np.maximum(length[other], got)
-
-        def counts(of: np.ndarray, l: np.ndarray) -> np.ndarray:
-            """How often the first l tokens of the texts that begin at own[of] are in the shard."""
-            got, often = shard.search(q, place[own[of] + l - 1], l, l)
-            return np.where(got == l, often, 0)
-
-        of = np.arange(len(own))
-        lo, hi = low.copy(), high.copy()
-        a, b = counts(of, lo), np.zeros(len(of), np.int64)
-        b[a > 0] = counts(of[a > 0], hi[a > 0])
-        here = np.zeros(len(x), np.int64)
-        here[own + lo - 1] = a
-        here[own + hi - 1] = b
-        of, lo, hi, a, b = (v[a > 0] for v in (of, lo, hi, a, b))
-        while len(of):
-            same = a == b
-            gap = np.maximum(hi - lo - 1, 0) * same
-            if gap.any():
+    put(to, bits, every, r, suffix_array(r))
+
+
+def runs(shard: Shard, q: Stretches, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest context and its count for places at (rising; q holds them backwards) of which few are searched: where two places of a run have the same
+    begin and count, all between have."""
+    n, last = len(at), len(q.x) - 1
+    head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (left[1:] != left[:-1] + 1)]) if n else np.zeros(0, np.int64)
+    size = np.diff(np.r_[head, n])
+    step = np.arange(n) - np.repeat(head, size)
+    point = np.flatnonzero((step % STRIDE == 0) | (step == np.repeat(size, size) - 1))
+    length, times = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def search(k: np.ndarray) -> None:
+        length[k], times[k] = shard.search(q, last - at[k], left[k], np.full(len(k), 2))
+
+    search(point)
+    a, b = point[:-1], point[1:]
+    inner = np.flatnonzero((step[b] > 0) & (b - a > 1)) if n else np.zeros(0, np.int64)
+    a, b = a[inner], b[inner]
+    while len(a):
+        same = (at[a] - length[a] == at[b] - length[b]) & (times[a] == times[b]) & (length[a] > 1)
+        gap = b[same] - a[same] - 1
+        k = np.repeat(a[same], gap) + np.arange(int(gap.sum())) - np.repeat(np.cumsum(gap) - gap, gap) + 1
+        origin = np.repeat(a[same], gap)
+        length[k], times[k] = length[origin] + (k - origin), times[origin]
+        a, b = a[~same], b[~same]
+        mid = (a + b) // 2
+        search(mid)
+        a, b = np.r_[a, mid], np.r_[mid, b]
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
+    return length, times
+
+
+def deepen(parts: list[list[np.ndarray]], known: list[tuple[np.ndarray, np.ndarray]], shards) -> None:
+    """Searches all shards (filter, words, Shard) for what windows can't tell of some blocks: their asks, and (length, times) to change."""
+    sizes = np.array([len(p[1]) for p in parts])
+    shift = np.cumsum(sizes) - sizes
+    cat = lambda k, move: np.concatenate([p[k].astype(np.int64) + (s if move else 0) for p, s in zip(parts, shift.tolist(), strict=True)])
+    text = np.concatenate([p[1] for p in parts])
+    gaps = np.flatnonzero(text == 0)
+    held, size, begin, low, high = cat(2, True), cat(5, False), cat(6, True), cat(8, False), cat(9, False)
+    left = held - gaps[np.searchsorted(gaps, held) - 1]
+    held_bits, own_bits = (filter_bits(np.concatenate([p[k] for p in parts])) for k in (4, 10))
+    block = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
+    length, times = (np.concatenate([x[k][p[3]].astype(np.int64) for p, x in zip(parts, known, strict=True)]) for k in (0, 1))
+    spread = high - low + 1
+    slot = np.cumsum(spread) - spread
+    own = np.zeros(int(spread.sum()), np.int64)
+    last = len(text) - 1
+    if len(held) or len(begin):
+        for bits, words, shard in shards:
+            numbers = []
+            for p, n, s in zip(parts, sizes.tolist(), shift.tolist(), strict=True):
+                at = np.minimum(np.searchsorted(words, p[0]), len(words) - 1)
+                numbers.append(np.r_[np.uint32(0), np.where(words[at] == p[0], at + 1, int(UNKNOWN)).astype(np.uint32)][text[s : s + n]])
+            q = Stretches(np.concatenate(numbers)[::-1].copy())
+            admits = lambda b: (bits[b >> np.uint32(3)] >> (b & np.uint32(7)).astype(np.uint8) & 1).astype(bool)  # noqa: E731, B023
+            on = np.flatnonzero(admits(held_bits))
+            got, often = runs(shard, q, held[on], left[on])
+            more, equal = got > length[on], (got == length[on]) & (got > size[on])
+            times[on] = np.where(more, often, np.where(equal, times[on] + often, times[on]))
+            length[on] = np.maximum(length[on], got)
+
+            def counts(of: np.ndarray, l: np.ndarray) -> np.ndarray:
+                """How often the first l tokens of training texts are in the shard."""
+                got, often = shard.search(q, last - (begin[of] + l - 1), l, l)  # noqa: B023
+                return np.where(got == l, often, 0)
+
+            of = np.flatnonzero(admits(own_bits))
+            lo, hi = low[of], high[of]
+            a = counts(of, lo)
+            of, lo, hi, a = (v[a > 0] for v in (of, lo, hi, a))
+            b = counts(of, hi)
+            own[slot[of]] += a
+            last_too = hi > lo
+            own[(slot[of] + hi - lo)[last_too]] += b[last_too]
+            while len(of):
+                same = a == b
+                gap = np.maximum(hi - lo - 1, 0) * same
                 k = np.repeat(np.flatnonzero(same), gap[same])
-                step = np.arange(len(k)) - np.repeat(np.cumsum(gap[same]) - gap[same], gap[same])
-                here[own[of[k]] + lo[k] + step] = a[k]
-            more = ~same & (hi - lo > 1)
-            of, lo, hi, a, b = of[more], lo[more], hi[more], a[more], b[more]
-            mid = (lo + hi) // 2
-            c = counts(of, mid)
-            here[own[of] + mid - 1] = c
-            of, lo, hi, a, b = np.r_[of, of], np.r_[lo, mid], np.r_[mid, hi], np.r_[a, c], np.r_[c, b]
-        if len(own):
-            times[inside] += here[inside]
+                step = np.arange(len(k)) - np.repeat(np.cumsum(gap[same]) - gap[same], gap[same]) + 1
+                own[slot[of[k]] + lo[k] - low[of[k]] + step] += a[k]
+                more = ~same & (hi - lo > 1)
+                of, lo, hi, a, b = of[more], lo[more], hi[more], a[more], b[more]
+                mid = (lo + hi) // 2
+                c = counts(of, mid)
+                own[slot[of] + mid - low[of]] += c
+                of, lo, hi, a, b = np.r_[of, of], np.r_[lo, mid], np.r_[mid, hi], np.r_[a, c], np.r_[c, b]
+    done = 0
+    for k, (p, (l, t)) in enumerate(zip(parts, known, strict=True)):
+        l[p[3]], t[p[3]] = length[block == k], times[block == k]
+        n = p[9] - p[8] + 1
+        at = np.repeat(p[7] + p[8] - 1, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        t[at] = own[done : done + len(at)]
+        done += len(at)
 
 
 def score_block(block: Block, length: np.ndarray, times: np.ndarray, count: np.ndarray, total: int, vocabulary: int):
@@ -716,48 +777,59 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     def join(table: pa.Table) -> pa.Table:
         path = table.column("block")[0].as_py()
         rows = [*zip(*(table.column(c).to_pylist() for c in ("shard", "kind", "data", "extra")), strict=True)]
+        del table
         block = load(path)
-        length, times, deep, size, count = merge(block, _codes(codes_path), rows, shards, least, total)
-        text = stretches(block, deep)
-        put(path + ".short", length, times, deep, size, count)
-        put(path + ".deep", block.words, text)
-        return pa.table({"block": [path], "n": pa.array([len(text)], pa.int64())})
-
-    blocks = answers.where("block != ''").groupBy("block").applyInArrow(join, "block string, n long").collect()
-    blocks = sorted((b["block"], b["n"]) for b in blocks)
-    groups, filled = [], shard_tokens
-    for path, n in blocks:
-        if not n:
-            continue
-        if filled >= shard_tokens:
-            groups.append([])
-            filled = 0
-        groups[-1].append(path)
-        filled += n
-    names = [f"{folder}/suffixes-{k}" for k in range(len(groups))]
+        length, times, deep, size, count, w = merge(block, _codes(codes_path), rows, shards, least, total)
+        corpus = np.flatnonzero(deep & ~block.in_held)
+        text, _ = stretches(block, corpus)
+        ask = asks(block, times, deep, size, w)
+        put(path + ".short", length, times, count)
+        put(path + ".deep", block.words, text, np.diff(np.unique(filter_bits(w[corpus])), prepend=np.uint32(0)))
+        put(path + ".ask", *ask)
+        return pa.table({"block": [path], "n": pa.array([len(text)], pa.int64()), "asks": pa.array([len(ask[1])], pa.int64())})
+
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // (4 * BLOCK_TOKENS)))
+    made = answers.where("block != ''").repartition(parts, "block").groupBy("block").applyInArrow(join, "block string, n long, asks long").collect()
+    made = sorted((b["block"], b["n"], b["asks"]) for b in made)  # a row for each block
+
+    def grouped(k: int, most: int) -> list[list[str]]:
+        out, filled = [], most
+        for b in made:
+            if filled >= most:
+                out.append([])
+                filled = 0
+            out[-1].append(b[0])
+            filled += b[k]
+        return out
+
+    sources = [g for g in grouped(1, shard_tokens) if any(b[1] for b in made)]
+    names = [f"{folder}/suffixes-{k}" for k in range(len(sources))]
+    tasks = grouped(2, ASK_TOKENS)
 
     def build(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                build_shard(groups[k], names[k])
+                build_shard(sources[k], names[k])
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], ["id"])
 
-    if groups:
-        spark.range(0, len(groups), 1, len(groups)).mapInArrow(build, "id long").count()
+    if sources:
+        spark.range(0, len(sources), 1, len(sources)).mapInArrow(build, "id long").count()
 
     def run(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                path = blocks[k][0]
-                block = load(path)
-                length, times, deep, size, count = get(path + ".short")
-                length, times, count = length.astype(np.int64), times.copy(), count.astype(np.int64)
-                deepen(block, length, times, deep.astype(bool), size.astype(np.int64), ((w, Shard(r, sa)) for w, r, sa in map(get, names)))
-                n, known, base, score = score_block(block, length, times, count, total, vocabulary)
-                yield pa.RecordBatch.from_arrays([pa.array(block.ids, mask=block.null), pa.array(block.held), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    made = spark.range(0, len(blocks), 1, max(1, len(blocks)))
-    return made.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+                found = []
+                for path in tasks[k]:
+                    length, times, _ = get(path + ".short")
+                    found.append((length.copy(), times.copy()))
+                deepen([get(path + ".ask") for path in tasks[k]], found, ((bits, w, Shard(r, sa)) for bits, w, r, sa in map(get, names)))
+                for path, (length, times) in zip(tasks[k], found, strict=True):
+                    block, (_, _, count) = load(path), get(path + ".short")
+                    n, known, base, score = score_block(block, length, times, count, total, vocabulary)
+                    yield pa.RecordBatch.from_arrays([pa.array(block.ids, mask=block.null), pa.array(block.held), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    made_of = spark.range(0, len(tasks), 1, max(1, len(tasks)))
+    return made_of.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
 def op9_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:

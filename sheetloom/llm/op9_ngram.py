@@ -13,8 +13,8 @@ The suffixes are searched in two steps.
    eight bytes of each suffix, cut to whole codes, are its window: about four words.  Windows are aggregated in each block of texts and go to shards by
    their first two words, so each shard's sorted windows hold every suffix of its key range, each query meets one shard, and counts need no sum over
    shards.  Work and traffic are proportional to the corpus.  What matches less than a window ends here (three quarters of the places of new text).
-2. *Suffix arrays.*  Only places whose whole window occurs again (in another training text, or in a text to score) can match deeper.  The stretches of
-   training text around such places, and nothing else, are written to shards of about ``SHARD_TOKENS`` words with their suffix array and a filter of
+2. *Suffix arrays.*  Only where a text to score, or the begin of a training text, has the whole window of another training text can it match deeper.  The
+   stretches of training text around such places, and nothing else, are written to shards of about ``SHARD_TOKENS`` words with their suffix array and a filter of
    their windows; a deep place searches each shard that the filter admits for its longest context, the longest wins and its counts are summed.
    Filters are read for deep places times shards; searches are needed where a shard has the window.
 
@@ -43,7 +43,7 @@ BLOCK_TOKENS = 1 << 20
 #: Windows of a shard of step 1, words of one of step 2, and words of texts that one task searches for there.
 SHARD_WINDOWS = 1 << 21
 SHARD_TOKENS = 4 << 20
-ASK_TOKENS = 3 << 19
+ASK_TOKENS = 5 << 19
 #: Bits of a shard's filter, as a power of two.
 FILTER = 25
 #: Every so many places of a run are searched first.
@@ -434,7 +434,9 @@ class Shard:
 # ---- jobs
 
 _ROWS = "shard long, block string, kind int, data binary, extra binary"
-CORPUS, HELD, RARE, ASKED, HERE, BEGIN = range(6)
+CORPUS, HELD, RARE, ASKED, HERE, BEGIN, FIRST = range(7)
+#: What a shard says of a window of the corpus: a held text has it; it occurs again; it is the first of a training text that doesn't hold all before it.
+IN_HELD, AGAIN, IS_FIRST = 1, 2, 4
 
 
 def _row(rows: list[tuple]) -> pa.RecordBatch:
@@ -488,8 +490,9 @@ def asked(block: Block, codes: Codes, shards: int, least: int):
     code, size, count = codes.of(block.words)
     w, n = windows(block, code, size)
     out = {}
-    for kind, which in ((CORPUS, ~block.in_held), (HELD, block.in_held), (BEGIN, ~block.in_held & (block.ordinal < n))):
-        at = np.flatnonzero(which)
+    behind = np.flatnonzero(~block.in_held & (block.ordinal >= n))
+    first = behind[np.r_[True, block.owner[behind[1:]] != block.owner[behind[:-1]]]] if len(behind) else behind
+    for kind, at in ((CORPUS, np.flatnonzero(~block.in_held)), (HELD, np.flatnonzero(block.in_held)), (BEGIN, np.flatnonzero(~block.in_held & (block.ordinal < n))), (FIRST, first)):
         values, inverse = np.unique(w[at], return_inverse=True)
         out[kind] = at, values, inverse, shard_of(values, shards)
     if least > 1:
@@ -543,15 +546,17 @@ def answer(table: pa.Table) -> pa.Table:
     corpus, n = every[head], np.add.reduceat(counts, head) if len(head) else counts
     del every, order, counts
     sums = np.r_[0, np.cumsum(n)]
-    again = n > 1
+    says = np.where(n > 1, AGAIN, 0).astype(np.uint8)
+    for _, w in of(FIRST):
+        says[np.searchsorted(corpus, w)] |= IS_FIRST  # they are windows of the corpus
     for kind in (HELD, BEGIN):
         for k, w in of(kind):
             length, times, whole = search_windows(corpus, sums, w)
             if kind == HELD and len(corpus):
-                again[np.searchsorted(corpus, w[whole])] = True
+                says[np.searchsorted(corpus, w[whole])] |= IN_HELD
             out.append((rows[k][0], rows[k][1], kind, pack(length | whole.astype(np.uint8) << 7), pack(times)))
     for k, w in parts:
-        out.append((rows[k][0], rows[k][1], CORPUS, np.packbits(again[np.searchsorted(corpus, w)]).tobytes(), b""))
+        out.append((rows[k][0], rows[k][1], CORPUS, pack(says[np.searchsorted(corpus, w)]), b""))
     rare, n = [np.concatenate([np.zeros(0, x), *(unpack(r[c]) for r in rows if r[2] == RARE)]) for c, x in ((3, np.uint64), (4, np.int64))]
     order = np.argsort(rare)
     rare, n = rare[order], n[order]
@@ -563,10 +568,12 @@ def answer(table: pa.Table) -> pa.Table:
 
 
 def merge(block: Block, codes: Codes, rows, shards: int, least: int, total: int):
-    """From the shards' answers (shard, kind, data, extra): length and count of each place as far as windows go, whether it may go deeper, sizes of the windows, counts of the block's words."""
+    """From the shards' answers (shard, kind, data, extra): length and count of each place as far as windows go; whether a held place may go deeper, or the
+    suffix arrays need a training one; whether its window occurs again; sizes of the windows; counts of the block's words; windows."""
     what, size, count, w = asked(block, codes, shards, least)
     left = block.ordinal + 1
-    length, times, deep = np.where(block.in_held, 0, left).astype(np.int32), np.ones(len(left), np.int64), np.zeros(len(left), bool)
+    length, times = np.where(block.in_held, 0, left).astype(np.int32), np.ones(len(left), np.int64)
+    deep, again = np.zeros(len(left), bool), np.zeros(len(left), bool)
     if least > 1:
         got = np.zeros(len(what[ASKED][1]), np.int64)
         for s, _, data, _ in (r for r in rows if r[1] == ASKED):
@@ -576,25 +583,32 @@ def merge(block: Block, codes: Codes, rows, shards: int, least: int, total: int)
     known = count[block.local]
     for kind in (CORPUS, HELD, BEGIN):
         at, values, inverse, to = what[kind]
-        l, n, flag = np.zeros(len(values), np.int32), np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        l, n, flag = np.zeros(len(values), np.int32), np.zeros(len(values), np.int64), np.zeros(len(values), np.uint8)
         for s, _, data, extra in (r for r in rows if r[1] == kind):
             here = np.flatnonzero(to == s)
             if kind == CORPUS:
-                flag[here] = np.unpackbits(np.frombuffer(data, np.uint8), count=len(here)).astype(bool)
+                flag[here] = unpack(data)
             else:
                 x = unpack(data)
                 l[here], flag[here], n[here] = x & 0x7F, x >> 7, unpack(extra)
         l, n, flag = l[inverse], n[inverse], flag[inverse]
         if kind == CORPUS:
-            deep[at] = flag & (left[at] > size[at])
+            beyond = left[at] > size[at]
+            again[at] = (flag & AGAIN > 0) & beyond
+            deep[at] = (flag & IN_HELD > 0) & beyond
+            # contexts that are the begin of a training text occur only in runs of such places, behind its first window
+            here, mark = np.arange(len(left)), np.zeros(len(left), bool)
+            mark[at] = flag & IS_FIRST > 0
+            run = np.maximum.accumulate(np.where(again, 0, here + 1))
+            deep |= again & (np.maximum.accumulate(np.where(mark & again, here, -1)) >= run)
             continue
         one = l < 2
         if kind == HELD:
             length[at] = np.where(one, known[at] > 0, l)
-            deep[at] = flag & (left[at] > size[at])
+            deep[at] = (flag > 0) & (left[at] > size[at])
         times[at] = np.where(one, known[at], n)
     times[length == 0] = total
-    return length, times, deep, size, count, w
+    return length, times, deep, again, size, count, w
 
 
 def stretches(block: Block, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -612,21 +626,28 @@ def stretches(block: Block, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, where
 
 
-def asks(block: Block, times: np.ndarray, deep: np.ndarray, size: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-    """What a block asks of the suffix arrays: tokens of its stretches; places of held texts there, their tokens in the block, windows and sizes; of each
-    training text that may have deep copies its first token there and in the block, the first length its windows don't tell, the last that occurs again, its window."""
+def asks(block: Block, times: np.ndarray, deep: np.ndarray, again: np.ndarray, size: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """What a block asks of the suffix arrays: tokens of its stretches; places of held texts there, their tokens in the block, marks of their windows
+    in filters and sizes; of each training text that may have deep copies its first token there and in the block, the first length its windows don't tell, the last
+    that occurs again, its window's mark.  Rising numbers are stored as differences."""
     left = block.ordinal + 1
     held = np.flatnonzero(block.in_held & deep)
     behind = np.flatnonzero(~block.in_held & (size < left) & (block.ordinal > 0))
     first = behind[np.r_[True, block.owner[behind[1:]] != block.owner[behind[:-1]]]] if len(behind) else behind
-    first = first[deep[first] & (times[first - 1] > 1)] if len(first) else first
-    stops = np.r_[np.flatnonzero(~deep), len(deep)]
+    first = first[again[first] & (times[first - 1] > 1)] if len(first) else first
+    stops = np.r_[np.flatnonzero(~again), len(again)]
     stop = np.minimum(stops[np.searchsorted(stops, first)], block.offsets[1:][block.owner[first]])
     begin = first - block.ordinal[first]
     n = stop - begin
     inside = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     tokens_, where = stretches(block, np.r_[held, inside])
-    return [block.words, tokens_, where[held], held, w[held], size[held], where[begin], begin, first - begin + 1, n, w[first]]
+    rise = lambda x: np.diff(x, prepend=0).astype(np.uint32)
+    return [block.words, tokens_, rise(where[held]), rise(held), filter_bits(w[held]), size[held], rise(where[begin]), rise(begin), (first - begin + 1).astype(np.uint32), n.astype(np.uint32), filter_bits(w[first])]
+
+
+def read_asks(path: str) -> list[np.ndarray]:
+    ask = get(path)
+    return [np.cumsum(x, dtype=np.int64) if k in (2, 3, 6, 7) else x.astype(np.int64) if k in (8, 9) else x for k, x in enumerate(ask)]
 
 
 def build_shard(paths: list[str], to: str) -> None:
@@ -685,7 +706,7 @@ def deepen(parts: list[list[np.ndarray]], known: list[tuple[np.ndarray, np.ndarr
     gaps = np.flatnonzero(text == 0)
     held, size, begin, low, high = cat(2, True), cat(5, False), cat(6, True), cat(8, False), cat(9, False)
     left = held - gaps[np.searchsorted(gaps, held) - 1]
-    held_bits, own_bits = (filter_bits(np.concatenate([p[k] for p in parts])) for k in (4, 10))
+    held_bits, own_bits = (np.concatenate([p[k] for p in parts]) for k in (4, 10))
     block = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
     length, times = (np.concatenate([x[k][p[3]].astype(np.int64) for p, x in zip(parts, known, strict=True)]) for k in (0, 1))
     spread = high - low + 1
@@ -779,11 +800,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         rows = [*zip(*(table.column(c).to_pylist() for c in ("shard", "kind", "data", "extra")), strict=True)]
         del table
         block = load(path)
-        length, times, deep, size, count, w = merge(block, _codes(codes_path), rows, shards, least, total)
+        length, times, deep, again, size, count, w = merge(block, _codes(codes_path), rows, shards, least, total)
         corpus = np.flatnonzero(deep & ~block.in_held)
         text, _ = stretches(block, corpus)
-        ask = asks(block, times, deep, size, w)
-        put(path + ".short", length, times, count)
+        ask = asks(block, times, deep, again, size, w)
+        put(path + ".short", np.diff(length, prepend=np.int32(0)), times, count)
         put(path + ".deep", block.words, text, np.diff(np.unique(filter_bits(w[corpus])), prepend=np.uint32(0)))
         put(path + ".ask", *ask)
         return pa.table({"block": [path], "n": pa.array([len(text)], pa.int64()), "asks": pa.array([len(ask[1])], pa.int64())})
@@ -821,8 +842,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
                 found = []
                 for path in tasks[k]:
                     length, times, _ = get(path + ".short")
-                    found.append((length.copy(), times.copy()))
-                deepen([get(path + ".ask") for path in tasks[k]], found, ((bits, w, Shard(r, sa)) for bits, w, r, sa in map(get, names)))
+                    found.append((np.cumsum(length, dtype=np.int32), times.copy()))
+                deepen([read_asks(path + ".ask") for path in tasks[k]], found, ((bits, w, Shard(r, sa)) for bits, w, r, sa in map(get, names)))
                 for path, (length, times) in zip(tasks[k], found, strict=True):
                     block, (_, _, count) = load(path), get(path + ".short")
                     n, known, base, score = score_block(block, length, times, count, total, vocabulary)

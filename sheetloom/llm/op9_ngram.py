@@ -43,7 +43,7 @@ BLOCK_TOKENS = 1 << 20
 #: Windows of a shard of step 1, words of one of step 2, and words of texts that one task searches for there.
 SHARD_WINDOWS = 1 << 21
 SHARD_TOKENS = 4 << 20
-ASK_TOKENS = 5 << 19
+ASK_TOKENS = 2 << 20
 #: Bits of a shard's filter, as a power of two.
 FILTER = 25
 #: Every so many places of a run are searched first.
@@ -629,7 +629,7 @@ def stretches(block: Block, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def asks(block: Block, times: np.ndarray, deep: np.ndarray, again: np.ndarray, size: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
     """What a block asks of the suffix arrays: tokens of its stretches; places of held texts there, their tokens in the block, marks of their windows
     in filters and sizes; of each training text that may have deep copies its first token there and in the block, the first length its windows don't tell, the last
-    that occurs again, its window's mark.  Rising numbers are stored as differences."""
+    that occurs again, its window's mark; counts of the held places' windows.  Rising numbers are stored as differences."""
     left = block.ordinal + 1
     held = np.flatnonzero(block.in_held & deep)
     behind = np.flatnonzero(~block.in_held & (size < left) & (block.ordinal > 0))
@@ -642,7 +642,7 @@ def asks(block: Block, times: np.ndarray, deep: np.ndarray, again: np.ndarray, s
     inside = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     tokens_, where = stretches(block, np.r_[held, inside])
     rise = lambda x: np.diff(x, prepend=0).astype(np.uint32)
-    return [block.words, tokens_, rise(where[held]), rise(held), filter_bits(w[held]), size[held], rise(where[begin]), rise(begin), (first - begin + 1).astype(np.uint32), n.astype(np.uint32), filter_bits(w[first])]
+    return [block.words, tokens_, rise(where[held]), rise(held), filter_bits(w[held]), size[held], rise(where[begin]), rise(begin), (first - begin + 1).astype(np.uint32), n.astype(np.uint32), filter_bits(w[first]), times[held]]
 
 
 def read_asks(path: str) -> list[np.ndarray]:
@@ -697,8 +697,9 @@ def runs(shard: Shard, q: Stretches, at: np.ndarray, left: np.ndarray) -> tuple[
     return length, times
 
 
-def deepen(parts: list[list[np.ndarray]], known: list[tuple[np.ndarray, np.ndarray]], shards) -> None:
-    """Searches all shards (filter, words, Shard) for what windows can't tell of some blocks: their asks, and (length, times) to change."""
+def deepen(parts: list[list[np.ndarray]], names: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Searches all shards for what windows can't tell of some blocks (what they ask); for each block lengths and counts of the held places asked, and
+    places of training texts and their counts."""
     sizes = np.array([len(p[1]) for p in parts])
     shift = np.cumsum(sizes) - sizes
     cat = lambda k, move: np.concatenate([p[k].astype(np.int64) + (s if move else 0) for p, s in zip(parts, shift.tolist(), strict=True)])
@@ -708,28 +709,30 @@ def deepen(parts: list[list[np.ndarray]], known: list[tuple[np.ndarray, np.ndarr
     left = held - gaps[np.searchsorted(gaps, held) - 1]
     held_bits, own_bits = (np.concatenate([p[k] for p in parts]) for k in (4, 10))
     block = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
-    length, times = (np.concatenate([x[k][p[3]].astype(np.int64) for p, x in zip(parts, known, strict=True)]) for k in (0, 1))
+    length, times = size.copy(), np.concatenate([p[11] for p in parts])
     spread = high - low + 1
     slot = np.cumsum(spread) - spread
     own = np.zeros(int(spread.sum()), np.int64)
     last = len(text) - 1
     if len(held) or len(begin):
-        for bits, words, shard in shards:
+        for name in names:
+            bits, words, r, sa = get(name)
+            shard = Shard(r, sa)
             numbers = []
             for p, n, s in zip(parts, sizes.tolist(), shift.tolist(), strict=True):
                 at = np.minimum(np.searchsorted(words, p[0]), len(words) - 1)
                 numbers.append(np.r_[np.uint32(0), np.where(words[at] == p[0], at + 1, int(UNKNOWN)).astype(np.uint32)][text[s : s + n]])
             q = Stretches(np.concatenate(numbers)[::-1].copy())
-            admits = lambda b: (bits[b >> np.uint32(3)] >> (b & np.uint32(7)).astype(np.uint8) & 1).astype(bool)  # noqa: E731, B023
+            admits = lambda b, bits=bits: (bits[b >> np.uint32(3)] >> (b & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
             on = np.flatnonzero(admits(held_bits))
             got, often = runs(shard, q, held[on], left[on])
             more, equal = got > length[on], (got == length[on]) & (got > size[on])
             times[on] = np.where(more, often, np.where(equal, times[on] + often, times[on]))
             length[on] = np.maximum(length[on], got)
 
-            def counts(of: np.ndarray, l: np.ndarray) -> np.ndarray:
+            def counts(of: np.ndarray, l: np.ndarray, q=q, shard=shard) -> np.ndarray:
                 """How often the first l tokens of training texts are in the shard."""
-                got, often = shard.search(q, last - (begin[of] + l - 1), l, l)  # noqa: B023
+                got, often = shard.search(q, last - (begin[of] + l - 1), l, l)
                 return np.where(got == l, often, 0)
 
             of = np.flatnonzero(admits(own_bits))
@@ -752,13 +755,14 @@ def deepen(parts: list[list[np.ndarray]], known: list[tuple[np.ndarray, np.ndarr
                 c = counts(of, mid)
                 own[slot[of] + mid - low[of]] += c
                 of, lo, hi, a, b = np.r_[of, of], np.r_[lo, mid], np.r_[mid, hi], np.r_[a, c], np.r_[c, b]
-    done = 0
-    for k, (p, (l, t)) in enumerate(zip(parts, known, strict=True)):
-        l[p[3]], t[p[3]] = length[block == k], times[block == k]
+            del bits, words, r, sa, shard, q, admits, counts
+    out, done = [], 0
+    for k, p in enumerate(parts):
         n = p[9] - p[8] + 1
         at = np.repeat(p[7] + p[8] - 1, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        t[at] = own[done : done + len(at)]
+        out.append((length[block == k], times[block == k], at, own[done : done + len(at)]))
         done += len(at)
+    return out
 
 
 def score_block(block: Block, length: np.ndarray, times: np.ndarray, count: np.ndarray, total: int, vocabulary: int):
@@ -839,13 +843,14 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     def run(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                found = []
-                for path in tasks[k]:
-                    length, times, _ = get(path + ".short")
-                    found.append((np.cumsum(length, dtype=np.int32), times.copy()))
-                deepen([read_asks(path + ".ask") for path in tasks[k]], found, ((bits, w, Shard(r, sa)) for bits, w, r, sa in map(get, names)))
-                for path, (length, times) in zip(tasks[k], found, strict=True):
-                    block, (_, _, count) = load(path), get(path + ".short")
+                parts = [read_asks(path + ".ask") for path in tasks[k]]
+                found = deepen(parts, names)
+                held_at = [p[3] for p in parts]
+                del parts
+                for path, at, (l, t, begun, counts) in zip(tasks[k], held_at, found, strict=True):
+                    block, (length, times, count) = load(path), get(path + ".short")
+                    length, times = np.cumsum(length, dtype=np.int64), times.copy()
+                    length[at], times[at], times[begun] = l, t, counts
                     n, known, base, score = score_block(block, length, times, count, total, vocabulary)
                     yield pa.RecordBatch.from_arrays([pa.array(block.ids, mask=block.null), pa.array(block.held), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -43,6 +43,11 @@ def store(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """After a stored step: lets Spark's cleaner remove the shuffle files of plans that are done, which it does when the driver's garbage is collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x if x is not None else "" for x in batch.column(column).to_pylist()]
 

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, mix, powers, read, shared_folder, store, text_bytes, word_hashes
+from .common import bounded_batches, crc_mod, mix, powers, read, settle, shared_folder, store, text_bytes, word_hashes
 
 BLOCK_TOKENS = 1 << 20
 #: Windows of a shard of step 1, words of one of step 2, and words of texts that one task searches for there.
@@ -47,7 +47,7 @@ ASK_TOKENS = 2 << 20
 #: Bits of a shard's filter, as a power of two.
 FILTER = 25
 #: Every so many places of a run are searched first.
-STRIDE = 16
+STRIDE = 32
 #: Words that have short codes, at most; all tasks read this table (16 bytes a word).
 DICTIONARY = 1 << 21
 END = np.uint64(0x1F3D5B79A6C8E0D1)
@@ -64,14 +64,14 @@ def weight(length: np.ndarray) -> np.ndarray:
 # ---- files in the shared folder
 
 
-def put(path: str, *arrays: np.ndarray) -> None:
-    """Compressed arrays; writing the same again changes nothing."""
+def put(path: str, *arrays: np.ndarray, plain: bool = False) -> None:
+    """Arrays, compressed unless plain; writing the same again changes nothing."""
     from pyarrow import fs
 
     system, place = fs.FileSystem.from_uri(path)
     with system.open_output_stream(place) as f:
         for x in arrays:
-            data = pack(x)
+            data = pack(x, plain)
             f.write(np.int64(len(data)).tobytes())
             f.write(data)
 
@@ -87,16 +87,22 @@ def get(path: str) -> list[np.ndarray]:
     return out
 
 
-def pack(x: np.ndarray) -> bytes:
-    """An array as bytes: type, length, then its bytes by significance, compressed."""
+def pack(x: np.ndarray, plain: bool = False) -> bytes:
+    """An array as bytes: type, length, then its bytes as they are, or by significance and compressed."""
     x = np.ascontiguousarray(x.astype(np.uint8) if x.dtype == bool else x)
+    head = (x.dtype.str + "=" * plain).encode().ljust(8) + np.int64(len(x)).tobytes()
+    if plain:
+        return head + x.tobytes()
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T) if x.itemsize > 1 else x
-    return x.dtype.str.encode().ljust(4) + np.int64(len(x)).tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return head + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    kind, n = np.dtype(data[:4].decode().strip()), int(np.frombuffer(data, np.int64, 1, 4)[0])
-    raw = np.frombuffer(pa.decompress(memoryview(data)[12:], n * kind.itemsize, "zstd"), np.uint8)
+    kind, n = data[:8].decode().strip(), int(np.frombuffer(data, np.int64, 1, 8)[0])
+    if kind.endswith("="):
+        return np.frombuffer(data, np.dtype(kind[:-1]), n, 16)
+    kind = np.dtype(kind)
+    raw = np.frombuffer(pa.decompress(memoryview(data)[16:], n * kind.itemsize, "zstd"), np.uint8)
     return raw.reshape(kind.itemsize, n).T.ravel().view(kind) if kind.itemsize > 1 else raw.view(kind)
 
 
@@ -662,32 +668,38 @@ def build_shard(paths: list[str], to: str) -> None:
     every = np.unique(np.concatenate(words))
     texts = [np.r_[np.uint32(0), np.searchsorted(every, w).astype(np.uint32) + np.uint32(1)][t] for w, t in zip(words, texts, strict=True)]
     r = np.concatenate(texts)[::-1].copy()
-    put(to, bits, every, r, suffix_array(r))
+    put(to, bits, every, r, suffix_array(r), plain=True)
 
 
-def runs(shard: Shard, q: Stretches, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Longest context and its count for places at (rising; q holds them backwards) of which few are searched: where two places of a run have the same
-    begin and count, all between have."""
+def runs(shard: Shard, q: Stretches, at: np.ndarray, left: np.ndarray, size: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest context and its count for runs of places (at: all runs' places, q holds them backwards; size: of the runs), of which few are searched: where
+    two places of a run have the same begin and count, all between have.  In runs that are whole only contexts that begin with the text count, others as 0.
+    """
     n, last = len(at), len(q.x) - 1
-    head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (left[1:] != left[:-1] + 1)]) if n else np.zeros(0, np.int64)
-    size = np.diff(np.r_[head, n])
-    step = np.arange(n) - np.repeat(head, size)
-    point = np.flatnonzero((step % STRIDE == 0) | (step == np.repeat(size, size) - 1))
     length, times = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if not n:
+        return length, times
+    step = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+    all_ = np.repeat(whole, size)
+    point = np.flatnonzero(((step % STRIDE == 0) & ~all_) | (step == 0) | (step == np.repeat(size, size) - 1))
+    begin = np.full(n, -1, np.int64)
 
     def search(k: np.ndarray) -> None:
-        length[k], times[k] = shard.search(q, last - at[k], left[k], np.full(len(k), 2))
+        length[k], times[k] = shard.search(q, last - at[k], left[k], np.where(all_[k], left[k], 2))
+        part = k[all_[k] & (length[k] < left[k])]
+        length[part] = times[part] = 0
+        begin[k] = np.where(all_[k], 0, np.where(length[k] > 1, at[k] - length[k], -2 - k))
 
     search(point)
     a, b = point[:-1], point[1:]
-    inner = np.flatnonzero((step[b] > 0) & (b - a > 1)) if n else np.zeros(0, np.int64)
+    inner = (step[b] > 0) & (b - a > 1)
     a, b = a[inner], b[inner]
     while len(a):
-        same = (at[a] - length[a] == at[b] - length[b]) & (times[a] == times[b]) & (length[a] > 1)
+        same = (begin[a] == begin[b]) & (times[a] == times[b])
         gap = b[same] - a[same] - 1
-        k = np.repeat(a[same], gap) + np.arange(int(gap.sum())) - np.repeat(np.cumsum(gap) - gap, gap) + 1
         origin = np.repeat(a[same], gap)
-        length[k], times[k] = length[origin] + (k - origin), times[origin]
+        k = origin + np.arange(int(gap.sum())) - np.repeat(np.cumsum(gap) - gap, gap) + 1
+        length[k], times[k] = np.where(times[origin] > 0, length[origin] + (k - origin), 0), times[origin]
         a, b = a[~same], b[~same]
         mid = (a + b) // 2
         search(mid)
@@ -724,38 +736,18 @@ def deepen(parts: list[list[np.ndarray]], names: list[str]) -> list[tuple[np.nda
                 numbers.append(np.r_[np.uint32(0), np.where(words[at] == p[0], at + 1, int(UNKNOWN)).astype(np.uint32)][text[s : s + n]])
             q = Stretches(np.concatenate(numbers)[::-1].copy())
             admits = lambda b, bits=bits: (bits[b >> np.uint32(3)] >> (b & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-            on = np.flatnonzero(admits(held_bits))
-            got, often = runs(shard, q, held[on], left[on])
+            on, of = np.flatnonzero(admits(held_bits)), np.flatnonzero(admits(own_bits))
+            head = np.flatnonzero(np.r_[True, (held[on[1:]] != held[on[:-1]] + 1) | (left[on[1:]] != left[on[:-1]] + 1)]) if len(on) else on
+            n = spread[of]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            l = np.repeat(low[of], n) + step
+            got, often = runs(shard, q, np.r_[held[on], np.repeat(begin[of], n) + l - 1], np.r_[left[on], l], np.r_[np.diff(np.r_[head, len(on)]), n], np.repeat([False, True], [len(head), len(of)]))
+            own[np.repeat(slot[of], n) + step] += often[len(on) :]
+            got, often = got[: len(on)], often[: len(on)]
             more, equal = got > length[on], (got == length[on]) & (got > size[on])
             times[on] = np.where(more, often, np.where(equal, times[on] + often, times[on]))
             length[on] = np.maximum(length[on], got)
-
-            def counts(of: np.ndarray, l: np.ndarray, q=q, shard=shard) -> np.ndarray:
-                """How often the first l tokens of training texts are in the shard."""
-                got, often = shard.search(q, last - (begin[of] + l - 1), l, l)
-                return np.where(got == l, often, 0)
-
-            of = np.flatnonzero(admits(own_bits))
-            lo, hi = low[of], high[of]
-            a = counts(of, lo)
-            of, lo, hi, a = (v[a > 0] for v in (of, lo, hi, a))
-            b = counts(of, hi)
-            own[slot[of]] += a
-            last_too = hi > lo
-            own[(slot[of] + hi - lo)[last_too]] += b[last_too]
-            while len(of):
-                same = a == b
-                gap = np.maximum(hi - lo - 1, 0) * same
-                k = np.repeat(np.flatnonzero(same), gap[same])
-                step = np.arange(len(k)) - np.repeat(np.cumsum(gap[same]) - gap[same], gap[same]) + 1
-                own[slot[of[k]] + lo[k] - low[of[k]] + step] += a[k]
-                more = ~same & (hi - lo > 1)
-                of, lo, hi, a, b = of[more], lo[more], hi[more], a[more], b[more]
-                mid = (lo + hi) // 2
-                c = counts(of, mid)
-                own[slot[of] + mid - low[of]] += c
-                of, lo, hi, a, b = np.r_[of, of], np.r_[lo, mid], np.r_[mid, hi], np.r_[a, c], np.r_[c, b]
-            del bits, words, r, sa, shard, q, admits, counts
+            del bits, words, r, sa, shard, q, admits
     out, done = [], 0
     for k, p in enumerate(parts):
         n = p[9] - p[8] + 1
@@ -798,6 +790,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
         sent = sent.unionByName(words.where(F.col("n") < least).select("h", "n").mapInArrow(deal, _ROWS))
     answers = store(sent.groupBy("shard").applyInArrow(answer, _ROWS), "ngram-answers")
+    settle(spark)
 
     def join(table: pa.Table) -> pa.Table:
         path = table.column("block")[0].as_py()

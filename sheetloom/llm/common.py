@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -45,7 +46,9 @@ def store(df: DataFrame, what: str) -> DataFrame:
 
 def settle(spark: SparkSession) -> None:
     """After a stored step: lets Spark's cleaner remove the shuffle files of plans that are done, which it does when the driver's garbage is collected."""
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # plans that Python's cycles still hold go first
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -351,21 +351,18 @@ class Shard:
 
     def _deep(self, q: Stretches, place, most, lo, hi, known) -> tuple[np.ndarray, np.ndarray]:
         """The same for places whose suffixes [lo, hi) agree in the first known tokens, by comparing whole stretches."""
-        a, b = lo.copy(), hi.copy()
+        a, b, below, above = lo.copy(), hi.copy(), known.copy(), known.copy()  # how much the suffixes before a and at b agree with the place's
         on = np.flatnonzero(a < b)
         while len(on):
             mid = (a[on] + b[on]) >> 1
             u = self.sa[mid].astype(np.int64)
-            got = common(q, place[on], self.hash, u, known[on], most[on])
+            got = common(q, place[on], self.hash, u, np.minimum(below[on], above[on]), most[on])
             less = (got < most[on]) & (self.r[np.minimum(u + got, len(self.r) - 1)] < q.x[np.minimum(place[on] + got, len(q.x) - 1)])
-            a[on[less]] = mid[less] + 1
-            b[on[~less]] = mid[~less]
+            a[on[less]], below[on[less]] = mid[less] + 1, got[less]
+            b[on[~less]], above[on[~less]] = mid[~less], got[~less]
             on = on[a[on] < b[on]]
-        up, down = np.minimum(a, hi - 1), np.maximum(a - 1, lo)
-        right = common(q, place, self.hash, self.sa[up].astype(np.int64), known, most)
-        left = common(q, place, self.hash, self.sa[down].astype(np.int64), known, most)
-        length = np.maximum(left, right)
-        centre = np.where(right >= left, up, down)
+        after = (a < hi) & ((above >= below) | (a == lo))
+        length, centre = np.where(after, above, below), np.where(after, a, a - 1)
         want = q.of(place, length)
 
         def edge(a, b, inside):

@@ -30,7 +30,7 @@ K, NGRAM = 128, 2
 SHORT = 4
 THRESHOLD = 0.55
 #: Texts of a block of a large band, and of a band whose pairs are compared one by one.
-BLOCK, SMALL = 2048, 32
+BLOCK, SMALL = 4096, 32
 
 
 def elements(data: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ def elements(data: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.
 
 
 def signatures(cells: np.ndarray, sizes: np.ndarray, k: int = K) -> np.ndarray:
-    """[texts, k] of 32-bit values; a text without cells has zeros."""
+    """[texts, k] of 16-bit values (two coordinates that aren't equal look so once in 65 536 times); a text without cells has zeros."""
     texts = len(sizes)
     best = np.full(texts * k, np.iinfo(np.uint64).max, np.uint64)
     limit = np.full(texts, k * math.log(k) + 2 * k) / np.maximum(sizes, 1)
@@ -76,11 +76,11 @@ def signatures(cells: np.ndarray, sizes: np.ndarray, k: int = K) -> np.ndarray:
             np.minimum.at(best, who * k + (dart & np.uint64(0xFFFFFFFF)).astype(np.int64) % k, value)
         todo = todo & (best.reshape(texts, k) == np.iinfo(np.uint64).max).any(axis=1)
         limit[todo] *= 2
-    return np.where(sizes[:, None] > 0, best.reshape(texts, k), 0).astype(np.uint32)
+    return np.where(sizes[:, None] > 0, best.reshape(texts, k), 0).astype(np.uint16)
 
 
 def sketch(df: DataFrame, text_col: str = "text", k: int = K, n: int = NGRAM) -> DataFrame:
-    """All columns but the text, row (unique), h (hash of the text) and signature (k 32-bit values, packed)."""
+    """All columns but the text, row (unique), h (hash of the text) and signature (k 16-bit values, packed)."""
     at, names = df.columns.index(text_col), [c for c in df.columns if c != text_col]
 
     def run(batches):
@@ -109,7 +109,7 @@ def bands(distinct: DataFrame, k: int = K, width: int = SHORT) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, k)
+            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, k)
             keys = band_keys(s, width)
             keys = keys & ~np.uint64(0xFF) | np.arange(keys.shape[1], dtype=np.uint64)
             rows = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
@@ -124,7 +124,7 @@ def band_keys(s: np.ndarray, width: int = SHORT) -> np.ndarray:
     for first in range(0, s.shape[1] - width + 1, width):
         key = np.full(len(s), width << 32 | first, np.uint64)
         for j in range(first, first + width):
-            key = mix(key * np.uint64(31) + s[:, j])
+            key = mix(key * np.uint64(31) + s[:, j].astype(np.uint64))
         keys.append(key)
     return np.stack(keys, axis=1)
 
@@ -159,20 +159,24 @@ def many(s: np.ndarray, t: np.ndarray, band: int, least: float) -> np.ndarray:
     return out
 
 
-def forest(hit: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a spanning forest of a symmetric matrix."""
-    new, out = np.ones(len(hit), bool), []
+def forest(hit: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Pairs (row, column) of a spanning forest of the graph that has the rows and columns of a matrix as nodes; same: they are the same nodes."""
+    back = hit if same else np.ascontiguousarray(hit.T)
+    new = [np.ones(n, bool) for n in hit.shape]
+    if same:
+        new[1] = new[0]
+    out = []
     for root in range(len(hit)):
-        if not new[root]:
+        if not new[0][root]:
             continue
-        new[root] = False
-        todo = [root]
+        new[0][root] = False
+        todo = [(0, root)]
         while todo:
-            at = todo.pop()
-            more = np.flatnonzero(hit[at] & new)
-            new[more] = False
-            out += [(at, x) for x in more.tolist()]
-            todo += more.tolist()
+            side, at = todo.pop()
+            more = np.flatnonzero((back if side else hit)[at] & new[1 - side])
+            new[1 - side][more] = False
+            out += [(x, at) if side else (at, x) for x in more.tolist()]
+            todo += [(1 - side, x) for x in more.tolist()]
     return out
 
 
@@ -184,7 +188,10 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, k: int = K) -> Data
     forest; a band of more than BLOCK texts is cut into blocks, and each two blocks are a group of their own.
     """
     of = bands(distinct, k)
-    blocks = of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # bands of exactly the same texts are compared once, in the first of them, which is also the first that any two of them are both in
+    sets = of.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")).where("n > 1")
+    first = sets.groupBy("n", "x", "y").agg(F.min(F.struct((F.col("key").bitwiseAND(0xFF)).alias("band"), "key")).alias("m"))
+    blocks = first.select("m.key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     member = of.join(blocks, "key").select("key", "row", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"))
     member = member.join(distinct.select("row", "signature", "weight"), "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = member.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "row", "signature", "weight")
@@ -194,7 +201,7 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, k: int = K) -> Data
         """Of whole groups."""
         weight = table.column(6).to_numpy()
         key, p, q, block, row = (table.column(c).to_numpy() for c in range(5))
-        s = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint32).reshape(-1, k)
+        s = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint16).reshape(-1, k)
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
         sizes = np.diff(np.r_[starts, len(key)])
         band = key & 0xFF
@@ -211,18 +218,15 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, k: int = K) -> Data
             if not len(left) or not len(right):
                 continue
             hit = many(s[left], s[right], int(band[start]), threshold)
-            if p[start] == q[start]:
+            same = p[start] == q[start]
+            if same:
                 np.fill_diagonal(hit, False)
-                ends = row[left]
-                n[left] += hit @ weight[left]
-            else:
-                n[left] += hit @ weight[right]
-                n[right] += weight[left] @ hit
-                both = np.zeros((size, size), bool)
-                both[: len(left), len(left) :], both[len(left) :, : len(left)] = hit, hit.T
-                hit, ends = both, row[np.r_[left, right]]
-            tree = np.array(forest(hit), np.int64).reshape(-1, 2)
-            pairs.append((ends[tree[:, 0]], ends[tree[:, 1]]))
+            for i in range(0, len(left), 256):  # sums by part, so that no matrix of numbers is made
+                n[left[i : i + 256]] += hit[i : i + 256] @ weight[right]
+                if not same:
+                    n[right] += weight[left[i : i + 256]] @ hit[i : i + 256]
+            tree = np.array(forest(hit, same), np.int64).reshape(-1, 2)
+            pairs.append((row[left[tree[:, 0]]], row[right[tree[:, 1]]]))
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
         some = np.flatnonzero(n)
         columns = [pa.array(np.r_[a, row[some]]), pa.concat_arrays([pa.array(b), pa.nulls(len(some), pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(n[some])])]
@@ -258,11 +262,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     """
     drawn = store(sketch(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "sketch")
     # texts of equal signatures are one for the links; a text without words has no signature to compare, and copies of it are one text already
-    same = F.when(F.col("signature") == F.lit(bytes(4 * K)), F.col("h")).otherwise(F.unhex(F.md5("signature")))
+    same = F.when(F.col("signature") == F.lit(bytes(2 * K)), F.col("h")).otherwise(F.unhex(F.md5("signature")))
     texts = store(drawn.select("row", "h", same.alias("same")).groupBy("h", "same").agg(F.min("row").alias("head"), F.count("*").alias("n_copies")), "texts")
     alike = store(texts.groupBy("same").agg(F.min("head").alias("rep"), F.count("*").alias("n_alike")), "alike")
     distinct = drawn.join(alike.select(F.col("rep").alias("row"), F.col("n_alike").alias("weight")), "row")
-    distinct = store(distinct.where(F.col("signature") != F.lit(bytes(4 * K))).select("row", "signature", "weight"), "distinct")
+    distinct = store(distinct.where(F.col("signature") != F.lit(bytes(2 * K))).select("row", "signature", "weight"), "distinct")
     found = store(links(distinct, threshold), "links")
     label = components(found.where("b is not null").select("a", "b"), "classes")
     degree = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))

@@ -1,10 +1,12 @@
 """Media columns: TIFF pages.
 
 ``write_tiff`` makes a baseline grey image in strips or tiles; ``read_tiff`` walks the chain of image directories of either byte order,
-decodes PackBits, LZW or deflate data, undoes the horizontal predictor and returns one page after another.
+decodes PackBits, LZW or deflate data of 8 or 16 bits a sample, chunky or planar, undoes fill order and horizontal predictor and returns one page
+after another.  The query stores each text as pages of 256 rows at most; a checksum of the text chooses strips or tiles, compression, predictor and
+byte order, so that all of these are read back.
 
-Defined results: a null or empty text is one row of 192 blanks; extra columns of the input are ignored by the query; damaged media give
-no pages but an error text in ``tiff_pages``; an empty table gives no rows.
+Defined results: a null or empty text is one row of 192 blanks; extra columns of the input are ignored by the query; damaged media
+give the pages before the damage and an error text in ``tiff_pages``, whatever the damage; repeated rows are stored each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,11 @@ from .common import bounded_batches, read
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
+_FLIPPED = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))
+#: No compression that is read here makes more bytes of one.
+MOST_FOLD = 4096
+#: What reading damaged data may raise.
+DAMAGE = (ValueError, ArithmeticError, LookupError, TypeError, MemoryError, struct.error, zlib.error)
 
 
 def packbits(data: bytes) -> bytes:
@@ -205,23 +212,34 @@ def read_tiff(data: bytes) -> Iterator[tuple[dict[int, list[int]], np.ndarray]]:
                 tags[tag] = [*struct.unpack_from(f"{order}{n}{_CODES[kind]}", data, place)]
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
         w, h, s = tags[256][0], tags[257][0], tags.get(277, [1])[0]
-        how, predictor = tags.get(259, [1])[0], tags.get(317, [1])[0]
-        if any(b != 8 for b in tags.get(258, [1])):
-            raise ValueError("only 8-bit samples")
+        how, predictor, planar = tags.get(259, [1])[0], tags.get(317, [1])[0], tags.get(284, [1])[0] == 2
+        bits = set(tags.get(258, [1]))
+        if len(bits) != 1 or not bits <= {8, 16}:
+            raise ValueError("only 8-bit and 16-bit samples")
+        kind = np.dtype(np.uint8 if bits == {8} else order + "u2")
         tiled = 324 in tags
-        tw, th = (tags[322][0], tags[323][0]) if tiled else (w, min(tags.get(278, [h])[0], h) or 1)
-        across = -(-w // tw)
-        page = np.zeros((h, w, s), np.uint8)
-        for k, (place, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
-            y, x = k // across * th, k % across * tw
+        tw, th = (tags[322][0], tags[323][0]) if tiled else (w, min(tags.get(278, [h])[0], h))
+        each = 1 if planar else s
+        if min(w, h, s, tw, th) < 1 or max(w * h * s, tw * th * each) * kind.itemsize > MOST_FOLD * len(data):
+            raise ValueError("sizes that the data can't hold")
+        across, down = -(-w // tw), -(-h // th)
+        places, sizes = tags[324 if tiled else 273], tags[325 if tiled else 279]
+        if len(places) != len(sizes) or len(places) != across * down * (s if planar else 1):
+            raise ValueError("number of strips or tiles")
+        page = np.zeros((h, w, s), kind)
+        for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
+            plane, at_k = divmod(k, across * down)
+            y, x = at_k // across * th, at_k % across * tw
             height = th if tiled else min(th, h - y)
-            raw = _unpacked(data[place : place + size], how, height * tw * s)
-            if len(raw) < height * tw * s:
+            stored_ = data[place : place + size]
+            need = height * tw * each * kind.itemsize
+            raw = _unpacked(stored_.translate(_FLIPPED) if tags.get(266, [1])[0] == 2 else stored_, how, need)
+            if len(raw) < need:
                 raise ValueError("data end early")
-            piece = np.frombuffer(raw, np.uint8, height * tw * s).reshape(height, tw, s)
+            piece = np.frombuffer(raw, kind, height * tw * each).reshape(height, tw, each)
             if predictor == 2:
-                piece = np.cumsum(piece, axis=1, dtype=np.uint8)
-            part = page[y : y + th, x : x + tw]
+                piece = np.cumsum(piece, axis=1, dtype=kind.newbyteorder("="))
+            part = page[y : y + th, x : x + tw, plane : plane + 1] if planar else page[y : y + th, x : x + tw]
             part[:] = piece[: part.shape[0], : part.shape[1]]
         yield tags, page
 
@@ -237,7 +255,7 @@ def tiff_pages(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> D
                 try:
                     for k, (tags, page) in enumerate(read_tiff(blob or b"")):
                         rows.append((key, k, page.shape[1], page.shape[0], page.shape[2], tags.get(259, [1])[0], float(page.mean()) if page.size else 0.0, page.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except DAMAGE as e:
                     rows.append((key, len(rows), None, None, None, None, None, None, str(e)[:200]))
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
@@ -247,14 +265,19 @@ def tiff_pages(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> D
     return out.withColumnRenamed("id", id_col)
 
 
-WIDTH = 192
+WIDTH, PAGE_ROWS = 192, 256
+#: Compression, predictor, tile, byte order of the stored form, by the payload's checksum.
+FORMS = ((DEFLATE, 2, None, "<"), (DEFLATE, 1, (64, 64), ">"), (PACKBITS, 1, None, "<"), (DEFLATE, 2, None, ">"), (LZW, 2, (64, 64), "<"), (DEFLATE, 1, None, "<"), (PACKBITS, 1, (64, 96), ">"), (NONE, 1, None, ">"))
 _SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def stored(text: str) -> tuple[bytes, int]:
     raw = text.encode("utf-8", "surrogatepass")
     size = max(WIDTH, -(-len(raw) // WIDTH) * WIDTH)
-    return write_tiff([np.frombuffer(raw.ljust(size, b" "), np.uint8).reshape(-1, WIDTH)]), len(raw)
+    payload = raw.ljust(size, b" ")
+    image = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    how, predictor, tile, order = FORMS[zlib.crc32(payload) % len(FORMS)]
+    return write_tiff([image[k : k + PAGE_ROWS] for k in range(0, len(image), PAGE_ROWS)], how, predictor, tile=tile, order=order), len(raw)
 
 
 def digest(text: str) -> tuple:

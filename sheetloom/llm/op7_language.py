@@ -1,7 +1,7 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-Trained in numpy by backpropagation through time on a bounded sample of labelled rows (``per_language`` rows a language, ``piece`` characters of
-each).  A text's UTF-8 is cut into windows of ``WINDOW`` bytes; both directions read every window, every byte gets a distribution over the
+Trained in numpy by backpropagation through time on a bounded sample of labelled rows (about ``per_language`` rows a language,
+whole texts).  A text's UTF-8 is cut into windows of ``WINDOW`` bytes; both directions read every window, every byte gets a distribution over the
 languages, and the document's is the mean over all its bytes.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, and everything if there is nothing to learn from; ties go to
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_mod, read, text_bytes
 
 HIDDEN, WINDOW = 8, 64
-PER_LANGUAGE, PIECE = 400, 2048
+PER_LANGUAGE = 400
 _LETTER = re.compile(r"[^\W\d_]")
 _LANES = 2048
 
@@ -174,11 +174,11 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return windows, lengths, owner
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, piece: int = PIECE) -> ByteGru | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteGru | None:
     """Learns from rows with text and lang whose crc32 of the id as text, modulo 4, isn't 2.
 
-    The sample: rows whose hash falls under per_language / (rows of their language), twice that many at most being a bound that no hash exceeds in
-    practice and a limit enforces; of each, a piece of so many characters at a hashed place.
+    The sample: whole texts of rows whose hash falls under per_language / (rows of their language); of all these at most twice per_language times the
+    languages, those of the least hashes.
     """
     rows = docs.where((crc_mod(F.col("doc_id"), 4) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -186,8 +186,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, piece: int = PIECE) -
         return None
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, per_language / n))), F.col("lang"))
     sample = (
-        rows.where((F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(3)) % 1_000_003 + 1_000_003) % 1_000_003 < share * 1_000_003)
-        .select("doc_id", "lang", F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id), greatest(length(text) - {piece}, 1)), {piece})").alias("text"))
+        rows.withColumn("turn", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(3)), F.lit(1_000_003)))
+        .where(F.col("turn") < share * 1_000_003)
+        .select("turn", "doc_id", "lang", "text")
+        .orderBy("turn", "doc_id", F.xxhash64("text"))
         .limit(2 * per_language * len(counts))
         .toArrow()
         .sort_by([("lang", "ascending"), ("doc_id", "ascending")])

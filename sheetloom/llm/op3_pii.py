@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,39 +75,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _word(text: str, at: int, step: int) -> tuple[str, int]:
-    """The word that ends before at (step -1) or begins at it (1), lower case without marks at its edges, and its far end; blanks and word are read for 64 characters at most."""
-    n = len(text)
+def _word(text: str, at: int, step: int, edge: int) -> tuple[str, int]:
+    """The word that ends before at (step -1) or begins at it (1), lower case without marks at its edges, and its far end; nothing is read beyond edge."""
+    k = at
     if step < 0:
-        low = max(0, at - 64)
-        while at > low and text[at - 1] in " \t":
+        while at > edge and text[at - 1] in " \t":
             at -= 1
-        k, low = at, max(0, at - 64)
-        while k > low and not text[k - 1].isspace():
+        k = at
+        while k > edge and not text[k - 1].isspace():
             k -= 1
         return text[k:at].strip(_EDGE).lower(), k
-    high = min(n, at + 64)
-    while at < high and text[at] in " \t":
+    while at < edge and text[at] in " \t":
         at += 1
-    k, high = at, min(n, at + 64)
-    while k < high and not text[k].isspace():
+    k = at
+    while k < edge and not text[k].isspace():
         k += 1
     return text[at:k].strip(_EDGE).lower(), k
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a place: the word before, the two words before, the words before and after."""
-    one, k = _word(text, start, -1)
-    two, _ = _word(text, k, -1)
-    after, _ = _word(text, end, 1)
-    return [p for p, on in ((f"1 {one}", one), (f"2 {two} {one}", one and two), (f"3 {one} _ {after}", one and after)) if on]
+def patterns(text: str, start: int, end: int, floor: int = 0, ceiling: int | None = None) -> list[str]:
+    """Lexical patterns of a place: the word before, the two words before, the words before and after; long ones by a digest of the whole."""
+    one, k = _word(text, start, -1, floor)
+    two, _ = _word(text, k, -1, floor)
+    after, _ = _word(text, end, 1, len(text) if ceiling is None else ceiling)
+    found = [p for p, on in ((f"1 {one}", one), (f"2 {two} {one}", one and two), (f"3 {one} _ {after}", one and after)) if on]
+    return [p if len(p) <= 64 else f"{p[0]} #" + hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for p in found]
 
 
 def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, list[str]]]:
     """Seeds with their kind, and identifier-like tokens that touch no seed; with patterns."""
-    out = [(kind, a, b, patterns(text, a, b)) for kind, a, b in base]
+    taken = sorted((a, b) for _, a, b in base)
+    # a seed's words end at its neighbours, so that a list of many identifiers without blanks is read once
+    reach = dict(zip(taken, zip([0, *accumulate((b for _, b in taken), max)], [*(a for a, _ in taken[1:]), len(text)], strict=False), strict=False))
+    out = [(kind, a, b, patterns(text, a, b, min(reach[a, b][0], a), max(reach[a, b][1], b))) for kind, a, b in base]
     if _ANY.search(text):
-        taken = sorted((a, b) for _, a, b in base)
         k = 0
         for m in _TOKEN.finditer(text):
             if not _ANY.search(text, m.start(), m.end()):
@@ -116,7 +118,7 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | N
             b = m.end() - (len(raw) - len(raw.rstrip(_EDGE)))
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
-            if b - a < 4 or any(x < b and a < y for x, y in taken[k : k + 2]):
+            if b <= a or any(x < b and a < y for x, y in taken[k : k + 2]):
                 continue
             if p := patterns(text, m.start(), m.end()):
                 out.append((None, a, b, p))
@@ -144,17 +146,18 @@ def scan(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCAN).withColumn("row", F.monotonically_increasing_id())
 
 
-def bootstrap(edges: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
+def bootstrap(edges: DataFrame, support: int = 3, confidence: float = 0.8) -> DataFrame:
     """edges: pattern, value, kind (null: unknown), each pair once.  Returns value, kind, score of unknown instances worth reporting.
 
-    Hot patterns are only aggregated; what is joined by pattern are those of high confidence.
+    Rounds go on until none finds anything new; what is found stays.  Hot patterns are only aggregated; what is joined by pattern are those of high
+    confidence.
     """
     seeds = edges.where("kind IS NOT NULL").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
     total = edges.groupBy("pattern").agg(F.countDistinct("value").alias("total")).where(F.col("total") >= support)
-    known, found = seeds, None
+    known = store(seeds, "pii-known")
     pairs = edges.select("pattern", "value").distinct()
     unknown = edges.where("kind IS NULL").select("pattern", "value").distinct()
-    for _ in range(rounds):
+    while True:
         scored = (
             pairs.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("hits"))
             .join(total, "pattern")
@@ -164,8 +167,10 @@ def bootstrap(edges: DataFrame, rounds: int = 3, support: int = 3, confidence: f
         found = unknown.join(scored, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.99)))))).alias("score"))
         best = F.max_by(F.struct("kind", "score"), F.struct("score", -F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))))
         found = found.groupBy("value").agg(best.alias("best")).select("value", "best.kind", "best.score")
-        known = seeds.unionByName(found.join(seeds.select("value").distinct(), "value", "left_anti"))
-    return found
+        new = store(found.join(known.select("value").distinct(), "value", "left_anti"), "pii-found")
+        if new.limit(1).count() == 0:
+            return known.join(seeds.select("value").distinct(), "value", "left_anti")
+        known = store(known.unionByName(new), "pii-known")
 
 
 def extract(df: DataFrame, **options) -> DataFrame:

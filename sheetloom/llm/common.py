@@ -25,9 +25,11 @@ def bounded_batches(spark: SparkSession, megabytes: int = 2) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; our own only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; our own only where none is named and all executors are on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sheetloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -25,8 +25,6 @@ from .op5_bpe import slices
 
 MIN_CHARS = 24
 HALVES, BLOCKS = 2, 16
-#: Rows of a side that may be broadcast; above, the side is shuffled. Results are the same.
-BROADCAST_ROWS = 400_000
 _M = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -126,15 +124,11 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def near(distinct: DataFrame, numbered: DataFrame) -> DataFrame:
     """h1, h2 of those lines of distinct (h1, h2, first, keys) that have an earlier one within one edit."""
     halves = _shared(distinct.select(F.explode("keys").alias("key"), "h1", "h2", "first")).select("h1", "h2", "first").distinct()
     wanted = store(halves.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("first.line", "h1", "h2")).alias("lines")), "lines-halves")
-    rows = numbered.join(_small(wanted), "row").select(F.col("doc_id").cast("long").alias("doc_id"), "row", "lines", "text")
+    rows = numbered.join(wanted, "row").select(F.col("doc_id").cast("long").alias("doc_id"), "row", "lines", "text")
 
     def cut(batches):
         for batch in batches:
@@ -206,7 +200,7 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     numbered, gone = dropped(df, id_col, text_col, min_chars)
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.expr(f"transform(filter(transform(split(`{text_col}`, '\\n', -1), (x, i) -> struct(x, cast(i AS long) AS i)), s -> NOT array_contains(_sl_lines, s.i)), s -> s.x)"), "\n")
-    joined = numbered.join(_small(gone), "_sl_row", "left")
+    joined = numbered.join(gone, "_sl_row", "left")
     return joined.select(
         *(F.when(F.col("_sl_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in df.columns),
         F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),

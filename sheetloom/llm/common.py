@@ -46,6 +46,48 @@ def store(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_part(df: DataFrame, row_col: str, what: str) -> str:
+    """Writes a table with a row number of monotonically_increasing_id to the shared folder, a folder for each partition that the numbers name; its path.
+
+    What belongs to one partition of the numbered table can then be read beside it (``attach``), and the numbered table itself isn't shuffled.
+    """
+    path = f"{shared_folder(df.sparkSession)}/sheetloom/{what}-{uuid.uuid4().hex}"
+    df.withColumn("_sl_part", F.shiftright(row_col, 33)).repartition("_sl_part").write.partitionBy("_sl_part").parquet(path)
+    where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path if "://" in path or path.startswith("file:") else "file://" + path
+
+
+def attach(batches, path: str, row_col: str, column: str, kind: pa.DataType):
+    """Batches of the numbered table with the column that the table at path has for each row, null where it has none."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    system, place = fs.FileSystem.from_uri(path)
+    parts: dict[int, pa.Table | None] = {}
+    for batch in batches:
+        rows = batch.column(batch.schema.get_field_index(row_col)).to_numpy()
+        of, at, tables, base = rows >> 33, np.full(len(rows), -1), [], 0
+        for p in np.unique(of).tolist():
+            if p not in parts:
+                parts.clear()
+                folder = f"{place}/_sl_part={p}"
+                there = system.get_file_info(folder).type != fs.FileType.NotFound
+                parts[p] = pq.read_table(folder, filesystem=system, partitioning=None, columns=[row_col, column]).sort_by(row_col) if there else None
+            if parts[p] is None or not parts[p].num_rows:
+                continue
+            known, here = parts[p].column(row_col).to_numpy(), np.flatnonzero(of == p)
+            k = np.minimum(np.searchsorted(known, rows[here]), len(known) - 1)
+            same = known[k] == rows[here]
+            at[here[same]] = base + k[same]
+            tables.append(parts[p].column(column).cast(kind))
+            base += len(known)
+        found = pa.chunked_array([c for t in tables for c in t.chunks], kind).combine_chunks() if tables else pa.nulls(0, kind)
+        if isinstance(found, pa.ChunkedArray):
+            found = pa.concat_arrays(found.chunks) if found.num_chunks else pa.nulls(0, kind)
+        yield pa.RecordBatch.from_arrays([*batch.columns, found.take(pa.array(at, mask=at < 0))], [*batch.schema.names, column])
+
+
 def settle(spark: SparkSession) -> None:
     """After a stored step: lets Spark's cleaner remove the shuffle files of plans that are done, which it does when the driver's garbage is collected."""
     for _ in range(2):  # plans that Python's cycles still hold go first

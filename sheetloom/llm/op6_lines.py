@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, powers, read, store
+from .common import attach, bounded_batches, by_part, mix, powers, read, store
 from .op5_bpe import slices
 
 MIN_CHARS = 24
@@ -127,17 +127,18 @@ def _shared(keys: DataFrame) -> DataFrame:
 def near(distinct: DataFrame, numbered: DataFrame) -> DataFrame:
     """h1, h2 of those lines of distinct (h1, h2, first, keys) that have an earlier one within one edit."""
     halves = _shared(distinct.select(F.explode("keys").alias("key"), "h1", "h2", "first")).select("h1", "h2", "first").distinct()
-    wanted = store(halves.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("first.line", "h1", "h2")).alias("lines")), "lines-halves")
-    rows = numbered.join(wanted, "row").select(F.col("doc_id").cast("long").alias("doc_id"), "row", "lines", "text")
+    wanted = by_part(halves.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("first.line", "h1", "h2")).alias("lines")), "row", "lines-halves")
+    of_line = pa.list_(pa.struct([("line", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]))
 
     def cut(batches):
-        for batch in batches:
-            out = []
-            for doc, row, wants, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for batch in attach(batches, wanted, "row", "lines", of_line):
+            batch, out = batch.filter(batch.column(3).is_valid()), []
+            for doc, row, text, wants in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 parts = (text or "").split("\n")
                 out += [(w["h1"], w["h2"], doc, row, w["line"], parts[w["line"]]) for w in wants]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*out, strict=True)] or [()] * 6, [pa.int64()] * 5 + [pa.string()], strict=True)], ["h1", "h2", "doc_id", "row", "line", "text"])
 
+    rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text")
     lined = store(rows.mapInArrow(cut, "h1 long, h2 long, doc_id long, row long, line long, text string"), "lines-texts")
 
     def blocked(batches):
@@ -181,8 +182,8 @@ def near(distinct: DataFrame, numbered: DataFrame) -> DataFrame:
     return pairs.join(text, ["h1", "h2"]).join(other, ["p1", "p2"]).where(F.levenshtein("text", "other", 1) >= 0).select("h1", "h2").distinct()
 
 
-def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """The input with its row numbers (_sl_row), and (_sl_row, _sl_lines array<long>) of the lines to drop."""
+def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, str]:
+    """The input with its row numbers (_sl_row), and where (_sl_row, _sl_lines array<long>) of the lines to drop is stored by parts."""
     numbered = store(df.withColumn("_sl_row", F.monotonically_increasing_id()), "lines-numbered")
     slim = numbered.select(F.col(id_col).alias("doc_id"), F.col("_sl_row").alias("row"), F.col(text_col).alias("text"))
     every = lines(slim, min_chars)
@@ -191,7 +192,7 @@ def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     gone = distinct.select("h1", "h2", "n", "first").join(close, ["h1", "h2"], "left").where("n > 1 OR near")
     out = every.drop("keys", "doc_id").join(gone.select("h1", "h2", "near", F.col("first.row").alias("frow"), F.col("first.line").alias("fline")), ["h1", "h2"])
     out = out.where("near OR row != frow OR line != fline").groupBy(F.col("row").alias("_sl_row")).agg(F.collect_list("line").alias("_sl_lines"))
-    return numbered, store(out, "lines-dropped")
+    return numbered, by_part(out, "_sl_row", "lines-dropped")
 
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -200,7 +201,8 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     numbered, gone = dropped(df, id_col, text_col, min_chars)
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.expr(f"transform(filter(transform(split(`{text_col}`, '\\n', -1), (x, i) -> struct(x, cast(i AS long) AS i)), s -> NOT array_contains(_sl_lines, s.i)), s -> s.x)"), "\n")
-    joined = numbered.join(gone, "_sl_row", "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema) + ", _sl_lines array<bigint>"
+    joined = numbered.mapInArrow(lambda batches: attach(batches, gone, "_sl_row", "_sl_lines", pa.list_(pa.int64())), schema)
     return joined.select(
         *(F.when(F.col("_sl_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in df.columns),
         F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, mix, read, store, text_bytes, word_hashes
+from .common import attach, bounded_batches, by_part, components, mix, read, store, text_bytes, word_hashes
 
 K, NGRAM = 128, 2
 SHORT = 4
@@ -286,8 +286,15 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, one of each class: that with the smallest id (of rows with that id, the first that was read)."""
     numbered = store(df.withColumn("_sl_row", F.monotonically_increasing_id()), "numbered")
-    keep = classes(numbered.select(F.struct(F.col(id_col).alias("id"), "_sl_row").alias("id"), F.col(text_col).alias("text")), "id", "text").where("first").select(F.col("id._sl_row").alias("_sl_row"))
-    return numbered.join(keep, "_sl_row", "left_semi").drop("_sl_row")
+    keep = classes(numbered.select(F.struct(F.col(id_col).alias("id"), "_sl_row").alias("id"), F.col(text_col).alias("text")), "id", "text").where("first")
+    path = by_part(keep.select(F.col("id._sl_row").alias("_sl_row"), F.lit(True).alias("_sl_kept")), "_sl_row", "kept")
+
+    def run(batches):
+        for batch in attach(batches, path, "_sl_row", "_sl_kept", pa.bool_()):
+            yield batch.filter(batch.column(batch.num_columns - 1)).select(df_columns)
+
+    df_columns = df.columns
+    return numbered.mapInArrow(run, df.schema)
 
 
 QUERIES = {"op1_minhash": op1_minhash}

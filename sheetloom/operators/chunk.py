@@ -22,22 +22,27 @@ def chart_summary(charts: DataFrame) -> DataFrame:
     return charts.withColumn("summary", parts).withColumn("top_left", a1.coord(F.col("from_row") + 1, F.col("from_col") + 1)).withColumn("bottom_right", F.coalesce(a1.coord(F.col("to_row") + 1, F.col("to_col") + 1), "top_left"))
 
 
-def chunks(blocks: DataFrame, cells: DataFrame, charts: DataFrame | None = None, path=None, with_html: bool = True) -> DataFrame:
-    """One row for each block, charts last, in the order of sheets and blocks: ids, uri, text, tokens, previous and next."""
+def chunks(blocks: DataFrame, cells: DataFrame, charts: DataFrame | None = None, path=None, with_html: bool = True, sheets: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """One row for each block, charts last, in the order of sheets and blocks: ids, uri, text, tokens, previous and next.
+
+    The order of sheets is that of sheets (wb, sheet, sheet_index) if given, else by name.
+    """
     path = F.col("wb") if path is None else path
-    keys = [*KEY, "block_index"]
-    x = blocks.select(*keys, "block_type", "r1", "c1", "r2", "c2").join(render.text(blocks, cells), keys, "left")
-    x = x.join(render.html(blocks, cells), keys, "left") if with_html else x.withColumn("render_html", F.lit(None).cast("string"))
-    note = F.concat(F.lit("[block of too many cells: "), a1.rect("r1", "c1", "r2", "c2"), F.lit("]"))
-    x = x.select("wb", "sheet", "block_index", F.lit(0).alias("is_chart"), "block_type", a1.rect("r1", "c1", "r2", "c2").alias("range"), F.coalesce("render_text", note).alias("render_text"), "render_html")
+    x = render.rendered(blocks, cells, hidden, with_html=with_html)
+    where = a1.rect("r1", "c1", "r2", "c2")
+    note = F.concat(F.lit("[block without visible cells: "), where, F.lit("]"))
+    x = x.select("wb", "sheet", "block_index", F.lit(0).alias("is_chart"), "block_type", where.alias("range"), F.coalesce("render_text", note).alias("render_text"), "render_html")
     if charts is not None:
         c = chart_summary(charts)
         html = F.concat(F.lit('<div class="chart-summary" data-chart-type="'), F.col("chart_type"), F.lit('"><h4>'), a1.html_escape(F.substring_index("summary", "\n", 1)), F.lit("</h4><pre>"), a1.html_escape("summary"), F.lit("</pre></div>"))
         x = x.unionByName(c.select("wb", "sheet", F.col("chart_index").alias("block_index"), F.lit(1).alias("is_chart"), F.lit("chart_anchor").alias("block_type"), F.concat("top_left", F.lit(":"), "bottom_right").alias("range"), F.col("summary").alias("render_text"), html.alias("render_html")))
-    w = Window.partitionBy("wb").orderBy("is_chart", "sheet", "block_index")
+    order = ["is_chart", "sheet", "block_index"]
+    if sheets is not None:
+        x, order = x.join(sheets.select("wb", "sheet", "sheet_index"), KEY, "left"), ["is_chart", "sheet_index", *order[1:]]
+    w = Window.partitionBy("wb").orderBy(*order)
     x = x.withColumn("chunk_index", (F.row_number().over(w) - 1).cast("int")).withColumn("source_uri", F.concat(path, F.lit("#"), F.col("sheet"), F.lit("!"), F.col("range")))
     x = x.withColumn("content_hash", F.md5("render_text")).withColumn("chunk_id", a1.identity("wb", "sheet", "range", "block_type", "content_hash")).withColumn("token_count", a1.tokens("render_text"))
-    return x.withColumn("prev_id", F.lag("chunk_id").over(w)).withColumn("next_id", F.lead("chunk_id").over(w)).drop("is_chart")
+    return x.withColumn("prev_id", F.lag("chunk_id").over(w)).withColumn("next_id", F.lead("chunk_id").over(w)).drop("is_chart", "sheet_index")
 
 
 def vector_entries(chunked: DataFrame, summaries: DataFrame | None = None) -> DataFrame:

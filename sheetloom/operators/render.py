@@ -1,86 +1,215 @@
-"""Blocks as text and HTML.  The dense grid of a block exists only while it is rendered, and never across blocks."""
+"""Blocks as text and HTML.
+
+Each sheet's blocks and cells come sorted to one place, once: a task streams the cells by row, keeps those of the blocks that are open there, and renders a
+block when its last row has passed.  A block's places exist only while it is rendered.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import a1
 from .layout import KEY
 
+#: Text columns are no wider.  In a block of more places, rows and columns that have no cell at all are left out; no cell is.
 WIDEST, MOST_PLACES = 30, 200_000
 HEADED = ("table", "assumptions_table")
+_BLOCK = ["block_index", "block_type", "r1", "c1", "r2", "c2"]
+_CELL = {"row": "int", "col": "int", "shown": "string", "is_formula": "boolean", "num": "double", "bold": "boolean", "fill": "string", "font_size": "double", "is_slave": "boolean", "row_span": "int", "col_span": "int"}
+
+
+def letters(n: int) -> str:
+    out = ""
+    while n:
+        n, digit = divmod(n - 1, 26)
+        out = chr(65 + digit) + out
+    return out
+
+
+def rect(r1: int, c1: int, r2: int, c2: int) -> str:
+    first, last = f"{letters(c1)}{r1}", f"{letters(c2)}{r2}"
+    return first if first == last else f"{first}:{last}"
+
+
+def escape(text: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = text.replace(raw, safe)
+    return text
+
+
+def css(cell: dict) -> str:
+    parts = ["font-weight:bold"] if cell["bold"] else []
+    if cell["font_size"] is not None:
+        parts.append(f"font-size:{cell['font_size']}pt")
+    if cell["fill"] is not None and not cell["fill"].startswith(("theme:", "indexed:")):
+        parts.append(f"background-color:#{cell['fill']}")
+    return ";".join(parts)
+
+
+class Block:
+    """A rectangle and the cells in it, by row and column."""
+
+    def __init__(self, sheet: str, block: dict, hidden_rows: set[int], hidden_cols: set[int]):
+        self.sheet, self.rows = sheet, {}
+        self.kind, self.r1, self.c1, self.r2, self.c2 = block["block_type"], block["r1"], block["c1"], block["r2"], block["c2"]
+        self.index, self.hidden_rows, self.hidden_cols = block["block_index"], hidden_rows, hidden_cols
+
+    def add(self, cell: dict) -> None:
+        if self.c1 <= cell["col"] <= self.c2:
+            self.rows.setdefault(cell["row"], {})[cell["col"]] = cell
+
+    def places(self) -> tuple[list[int], list[int]]:
+        if (self.r2 - self.r1 + 1) * (self.c2 - self.c1 + 1) > MOST_PLACES:
+            rows, cols = sorted(self.rows), sorted({c for r in self.rows.values() for c in r})
+        else:
+            rows, cols = range(self.r1, self.r2 + 1), range(self.c1, self.c2 + 1)
+        return [r for r in rows if r not in self.hidden_rows], [c for c in cols if c not in self.hidden_cols]
+
+    def text(self) -> str | None:
+        """Formula cells are marked [=]; numbers that the mark makes too wide turn to scientific notation."""
+        rows, cols = self.places()
+        if not rows or not cols:
+            return None
+        names = [letters(c) for c in cols]
+        at, longest = {c: k for k, c in enumerate(cols)}, [0] * len(cols)
+        for r in rows:
+            for c, cell in self.rows.get(r, {}).items():
+                if c in at:
+                    longest[at[c]] = max(longest[at[c]], len(cell["shown"]))
+        widths = [min(WIDEST, max(n, len(x))) for n, x in zip(longest, names, strict=True)]
+        blank = [" " * w for w in widths]
+        empty = "| " + " | ".join(blank) + " |"
+        lines = []
+        for r in rows:
+            if r not in self.rows:
+                lines.append(empty)
+                continue
+            line = list(blank)
+            for c, cell in self.rows[r].items():
+                if c in at:
+                    k, value = at[c], cell["shown"]
+                    if cell["is_formula"] and not value.startswith("="):
+                        value += " [=]"
+                    if len(value) > widths[k] and cell["num"] is not None:
+                        value = f"{cell['num']:.6e}"
+                    line[k] = value.ljust(widths[k])
+            lines.append("| " + " | ".join(line) + " |")
+        rule = "|-" + "-|-".join("-" * w for w in widths) + "-|"
+        if self.kind in HEADED:
+            lines[0] += "\n" + rule
+        head = f"[{self.sheet}!{rect(self.r1, self.c1, self.r2, self.c2)}] ({self.kind.replace('_', ' ')})"
+        return "\n".join([head, "| " + " | ".join(x.ljust(w) for x, w in zip(names, widths, strict=True)) + " |", rule, *lines])
+
+    def html(self) -> str | None:
+        """Places that a merge covers are left out; masters have their spans."""
+        rows, cols = self.places()
+        names, headed, lines = [letters(c) for c in cols], self.kind in HEADED, []
+        for r in rows:
+            tag, there, line = "th" if headed and r == self.r1 else "td", self.rows.get(r, {}), ["<tr>"]
+            for c, name in zip(cols, names, strict=True):
+                cell = there.get(c)
+                if cell is None:
+                    line.append(f'<{tag} data-ref="{name}{r}"></{tag}>')
+                elif not cell["is_slave"]:
+                    more = "".join(f' {n}="{cell[x]}"' for n, x in (("rowspan", "row_span"), ("colspan", "col_span")) if cell[x] is not None and cell[x] > 1)
+                    style = css(cell)
+                    line.append(f'<{tag} data-ref="{name}{r}"{more}' + (f' style="{style}"' if style else "") + f">{escape(cell['shown'])}</{tag}>")
+            if len(line) > 1:
+                lines.append("\n".join([*line, "</tr>"]))
+        if not lines:
+            return None
+        start = f'<table data-sheet="{escape(self.sheet)}" data-range="{rect(self.r1, self.c1, self.r2, self.c2)}" data-block-type="{self.kind}">'
+        if headed:
+            lines[0] = f"<thead>\n{lines[0]}\n</thead>"
+            if len(lines) > 1:
+                lines[1] = "<tbody>\n" + lines[1]
+        return "\n".join([start, *lines, "</tbody>\n</table>" if headed and len(lines) > 1 else "</table>"])
+
+
+def rendered(blocks: DataFrame, cells: DataFrame, hidden: DataFrame | None = None, with_text: bool = True, with_html: bool = True) -> DataFrame:
+    """wb, sheet, block_index, block_type, r1, c1, r2, c2, render_text, render_html; null where nothing of a block is visible.
+
+    hidden: wb, sheet, hidden_rows, hidden_cols.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+    ints = {"r1": "int", "c1": "int", "r2": "int", "c2": "int", "block_index": "int"}
+    names = [*KEY, "part", *_BLOCK, "hidden_rows", "hidden_cols", *_CELL]
+    kinds = {"part": "int", "block_type": "string", "hidden_rows": "array<int>", "hidden_cols": "array<int>"} | ints | _CELL
+    shaped = lambda df, part: df.withColumn("part", F.lit(part)).select(*KEY, *((F.col(n) if n in df.columns or n == "part" else null(kinds[n])).cast(kinds[n]).alias(n) for n in names[2:]))
+    value = F.coalesce(*([F.col("display")] if "display" in cells.columns else []), F.col("raw"), F.lit(""))
+    slim = cells.withColumn("shown", value).withColumn("is_formula", F.col("formula").isNotNull())
+    x = shaped(blocks.select(*KEY, *_BLOCK), 1).unionByName(shaped(slim.select(*KEY, *(n for n in _CELL if n in slim.columns)), 2))
+    if hidden is not None:
+        x = x.unionByName(shaped(hidden.select(*KEY, "hidden_rows", "hidden_cols"), 0))
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that little data isn't rendered by few tasks
+    x = x.withColumn("top", F.coalesce("r1", "row", F.lit(0))).repartition(parts, *KEY).sortWithinPartitions(*KEY, "part", "top", "block_index", "col").drop("top")
+    out_names = [*KEY, *_BLOCK, "render_text", "render_html"]
+    out_types = [pa.string(), pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.string()]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        now, waiting, open_, hidden_rows, hidden_cols, done, size = None, [], [], set(), set(), [], 0
 
+        def close(ready: list[Block]) -> None:
+            nonlocal size
+            for b in ready:
+                text, html = b.text() if with_text else None, b.html() if with_html else None
+                size += len(text or "") + len(html or "")
+                done.append((*now, b.index, b.kind, b.r1, b.c1, b.r2, b.c2, text, html))
+                b.rows = {}
 
-def too_large(blocks: DataFrame) -> DataFrame:
-    """Blocks whose rectangle has more places than a rendering may have; they get a note in place of the table."""
-    return blocks.where((F.col("r2") - F.col("r1") + 1).cast("long") * (F.col("c2") - F.col("c1") + 1) > MOST_PLACES)
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            columns = [*zip(*done, strict=True)] or [()] * len(out_names)
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out_types, strict=True)], out_names)
+            done.clear()
+            size = 0
+            return out
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = batch.to_pydict()
+            cell_columns = [(n, columns[n]) for n in _CELL]
+            for k, (wb, sheet, part) in enumerate(zip(columns["wb"], columns["sheet"], columns["part"], strict=True)):
+                if (wb, sheet) != now:
+                    if now is not None:
+                        close([*open_, *waiting])
+                    now, waiting, open_, hidden_rows, hidden_cols = (wb, sheet), [], [], set(), set()
+                if part == 0:
+                    hidden_rows |= set(columns["hidden_rows"][k] or [])
+                    hidden_cols |= set(columns["hidden_cols"][k] or [])
+                elif part == 1:
+                    waiting.append(Block(sheet, {n: columns[n][k] for n in _BLOCK}, hidden_rows, hidden_cols))
+                else:
+                    row = columns["row"][k]
+                    if open_ and min(b.r2 for b in open_) < row:
+                        close([b for b in open_ if b.r2 < row])
+                        open_ = [b for b in open_ if b.r2 >= row]
+                    while waiting and waiting[0].r1 <= row:
+                        open_.append(waiting.pop(0))
+                    if open_:
+                        cell = {n: c[k] for n, c in cell_columns}
+                        for b in open_:
+                            if b.r1 <= row <= b.r2:
+                                b.add(cell)
+                if size > 1 << 23:
+                    yield flush()
+        if now is not None:
+            close([*open_, *waiting])
+        if done:
+            yield flush()
 
-def _dense(blocks: DataFrame, cells: DataFrame, hidden: DataFrame | None) -> DataFrame:
-    """Every place of every block with its cell, if any."""
-    b = blocks.where((F.col("r2") - F.col("r1") + 1).cast("long") * (F.col("c2") - F.col("c1") + 1) <= MOST_PLACES)
-    g = b.select(*KEY, "block_index", "block_type", "r1", "c1", "r2", "c2", F.explode(F.sequence("r1", "r2")).alias("row")).withColumn("col", F.explode(F.sequence("c1", "c2")))
-    extra = [c for c in ("is_master", "row_span", "col_span", "is_slave", "font_color", "display") if c in cells.columns]
-    out = g.join(cells.select(*KEY, "row", "col", "kind", "raw", "num", "formula", "bold", "fill", "font_size", *extra), [*KEY, "row", "col"], "left")
-    if hidden is not None:  # wb, sheet, hidden_rows, hidden_cols
-        out = out.join(hidden.select(*KEY, "hidden_rows", "hidden_cols"), KEY, "left")
-        seen = lambda list_, c: ~F.coalesce(F.array_contains(list_, F.col(c)), F.lit(False))
-        out = out.where(seen("hidden_rows", "row") & seen("hidden_cols", "col"))
-    shown = F.coalesce(*([F.col("display")] if "display" in extra else []), F.col("raw"))
-    return out.withColumn("shown", F.coalesce(shown, F.lit("")))
+    return x.mapInArrow(run, "wb string, sheet string, block_index int, block_type string, r1 int, c1 int, r2 int, c2 int, render_text string, render_html string")
 
 
 def text(blocks: DataFrame, cells: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
-    """wb, sheet, block_index, render_text.  Formula cells are marked [=]; numbers that the mark makes too wide turn to scientific notation."""
-    keys = [*KEY, "block_index"]
-    g = _dense(blocks, cells, hidden)
-    widths = g.groupBy(*keys, "col").agg(F.least(F.lit(WIDEST), F.greatest(F.max(F.length("shown")), F.length(a1.letters(F.first("col"))))).alias("width"))
-    g = g.join(widths, [*keys, "col"])
-    val = F.when(F.col("formula").isNotNull() & ~F.col("shown").startswith("="), F.concat("shown", F.lit(" [=]"))).otherwise(F.col("shown"))
-    val = F.when((F.length(val) > F.col("width")) & F.col("num").isNotNull(), F.format_string("%.6e", "num")).otherwise(val)
-    rows = g.withColumn("out", a1.pad(val, "width")).groupBy(*keys, "row", "block_type", "r1", "c1", "r2", "c2").agg(F.array_sort(F.collect_list(F.struct("col", "out", "width"))).alias("x"))
-    join = lambda f: F.array_join(F.transform("x", f), " | ")
-    rows = rows.select(*keys, "row", "block_type", "r1", "c1", "r2", "c2", F.concat(F.lit("| "), join(lambda v: v["out"]), F.lit(" |")).alias("line"), F.concat(F.lit("| "), join(lambda v: a1.pad(a1.letters(v["col"]), v["width"])), F.lit(" |")).alias("letters"), F.concat(F.lit("|-"), F.array_join(F.transform("x", lambda v: F.repeat(F.lit("-"), v["width"])), "-|-"), F.lit("-|")).alias("rule"))
-    out = rows.groupBy(*keys, "block_type", "r1", "c1", "r2", "c2").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("lines"), F.first("letters").alias("letters"), F.first("rule").alias("rule"))
-    head = F.concat(F.lit("["), F.col("sheet"), F.lit("!"), a1.rect("r1", "c1", "r2", "c2"), F.lit("] ("), F.replace("block_type", F.lit("_"), F.lit(" ")), F.lit(")"))
-    ruled = F.col("block_type").isin(*HEADED)
-    body = F.transform("lines", lambda v, i: F.when((i == 0) & ruled, F.concat(v["line"], F.lit("\n"), F.col("rule"))).otherwise(v["line"]))
-    return out.select(*keys, F.concat_ws("\n", head, F.col("letters"), F.col("rule"), F.array_join(body, "\n")).alias("render_text"))
-
-
-def css() -> F.Column:
-    plain = lambda c: ~c.rlike("^(theme|indexed):")
-    parts = [
-        F.when(F.col("bold"), "font-weight:bold"),
-        F.when(F.col("font_size").isNotNull(), F.concat(F.lit("font-size:"), F.col("font_size").cast("string"), F.lit("pt"))),
-        F.when(plain(F.col("fill")), F.concat(F.lit("background-color:#"), F.col("fill"))),
-    ]
-    return F.array_join(F.array_compact(F.array(*parts)), ";")
+    """wb, sheet, block_index, render_text."""
+    return rendered(blocks, cells, hidden, with_html=False).where("render_text IS NOT NULL").select(*KEY, "block_index", "render_text")
 
 
 def html(blocks: DataFrame, cells: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
-    """wb, sheet, block_index, render_html.  Places that a merge covers are left out; masters have their spans."""
-    keys = [*KEY, "block_index"]
-    g = _dense(blocks, cells, hidden)
-    if "is_slave" in cells.columns:
-        g = g.where(~F.coalesce("is_slave", F.lit(False)))
-        span = lambda n, c: F.when(F.col(c) > 1, F.concat(F.lit(f'{n}="'), F.col(c).cast("string"), F.lit('"')))
-        spans = [span("rowspan", "row_span"), span("colspan", "col_span")]
-    else:
-        spans = []
-    style = css()
-    attrs = F.concat_ws(" ", F.concat(F.lit('data-ref="'), a1.coord("row", "col"), F.lit('"')), *spans, F.when(style != "", F.concat(F.lit('style="'), style, F.lit('"'))))
-    headed = F.col("block_type").isin(*HEADED)
-    tag = F.when(headed & (F.col("row") == F.col("r1")), "th").otherwise("td")
-    g = g.withColumn("out", F.concat(F.lit("<"), tag, F.lit(" "), attrs, F.lit(">"), a1.html_escape("shown"), F.lit("</"), tag, F.lit(">")))
-    rows = g.groupBy(*keys, "row", "block_type", "r1", "c1", "r2", "c2").agg(F.array_sort(F.collect_list(F.struct("col", "out"))).alias("x"))
-    rows = rows.withColumn("line", F.concat_ws("\n", F.lit("<tr>"), F.array_join(F.transform("x", lambda v: v["out"]), "\n"), F.lit("</tr>")))
-    out = rows.groupBy(*keys, "block_type", "r1", "c1", "r2", "c2").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("lines"))
-    body = F.transform(
-        "lines",
-        lambda v, i: F.when(headed & (i == 0), F.concat(F.lit("<thead>\n"), v["line"], F.lit("\n</thead>"))).when(headed & (i == 1), F.concat(F.lit("<tbody>\n"), v["line"])).otherwise(v["line"]),
-    )
-    start = F.concat(F.lit('<table data-sheet="'), a1.html_escape("sheet"), F.lit('" data-range="'), a1.rect("r1", "c1", "r2", "c2"), F.lit('" data-block-type="'), F.col("block_type"), F.lit('">'))
-    end = F.when(headed & (F.size("lines") > 1), "</tbody>\n</table>").otherwise("</table>")
-    return out.select(*keys, F.concat_ws("\n", start, F.array_join(body, "\n"), end).alias("render_html"))
+    """wb, sheet, block_index, render_html."""
+    return rendered(blocks, cells, hidden, with_text=False).where("render_html IS NOT NULL").select(*KEY, "block_index", "render_html")

@@ -11,6 +11,8 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -28,9 +30,11 @@ TABLES = {
     "comments": "wb string, sheet string, row int, col int, text string", "links": "wb string, sheet string, row int, col int, target string", "pivots": "wb string, part string",
     "external_links": "wb string, name string, ref string, link_index int",
 }
+#: What reading damaged or odd (say, encrypted) files may raise.
+DAMAGE = (zipfile.BadZipFile, zlib.error, LookupError, ValueError, TypeError, AttributeError, ArithmeticError, RuntimeError, EOFError, MemoryError, ElementTree.ParseError)
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _KINDS = {"barChart": "bar", "bar3DChart": "bar", "lineChart": "line", "line3DChart": "line", "pieChart": "pie", "pie3DChart": "pie", "doughnutChart": "doughnut", "areaChart": "area", "area3DChart": "area", "scatterChart": "scatter", "bubbleChart": "bubble", "radarChart": "radar", "stockChart": "stock", "surfaceChart": "surface"}
-_FORMATS = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 14: "mm-dd-yy", 22: "m/d/yy h:mm", 49: "@"}
+_FORMATS = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 49: "@"}
 
 
 def _local(e) -> str:
@@ -55,6 +59,63 @@ def place(ref: str) -> tuple[int, int]:
     return int(m[2]), col
 
 
+def name_of(row: int, col: int) -> str:
+    out = ""
+    while col:
+        col, digit = divmod(col - 1, 26)
+        out = chr(65 + digit) + out
+    return f"{out}{row}"
+
+
+#: Pieces of a formula: strings, quoted sheet names, names of functions or sheets, references.
+_PIECE = re.compile(r"""("(?:[^"]|"")*"|'(?:[^']|'')*'!?|\[[^\]]*\]|[A-Za-z_\\][\w.\\]*(?=[(!\[])|[A-Za-z_\\][\w.\\]*(?:\.[\w.]*)+)|(?<![\w.$])(\$?)([A-Za-z]{1,3})(\$?)([1-9][0-9]{0,6})(?![\w.(!])|(?<![\w.$])(\$?)([A-Za-z]{1,3}):(\$?)([A-Za-z]{1,3})(?![\w.(!])|(?<![\w.$])(\$?)([1-9][0-9]{0,6}):(\$?)([1-9][0-9]{0,6})(?![\w.(!])""")
+
+
+def shifted(formula: str, rows: int, cols: int) -> str:
+    """A shared formula as it reads so many rows and columns further: relative parts of references move, parts with $ stay; beyond the sheet is #REF!."""
+
+    def column(fixed: str, name: str) -> str | None:
+        if fixed:
+            return "$" + name
+        col = place(name + "1")[1] + cols
+        return name_of(1, col)[:-1] if 1 <= col <= 16384 else None
+
+    def row(fixed: str, number: str) -> str | None:
+        if fixed:
+            return "$" + number
+        return str(int(number) + rows) if 1 <= int(number) + rows <= 1048576 else None
+
+    def move(m: re.Match) -> str:
+        if m[1] is not None:
+            return m[1]
+        if m[3] is not None:
+            if place(m[3] + "1")[1] > 16384:
+                return m[0]
+            parts = [column(m[2], m[3]), row(m[4], m[5])]
+            return "#REF!" if None in parts else "".join(parts)
+        parts = [column(m[6], m[7]), column(m[8], m[9])] if m[7] is not None else [row(m[10], m[11]), row(m[12], m[13])]
+        return "#REF!" if None in parts else ":".join(parts)
+
+    return _PIECE.sub(move, formula)
+
+
+def is_date(number_format: str) -> bool:
+    """Whether a number format shows dates or times: codes for them outside quotes, escapes and brackets."""
+    plain = re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", number_format.lower()).partition(";")[0]
+    return plain != "general" and re.search("[ymdhs]", plain) is not None
+
+
+def iso_date(serial: float, number_format: str, date_system: str) -> str | None:
+    """The date, date and time, or time (below one day) that a serial number stands for; null where it stands for none."""
+    if not 0 <= serial < 2958466:
+        return None
+    if serial < 1 and not re.search("[yd]", number_format.lower()):
+        return (datetime(2000, 1, 1) + timedelta(seconds=round(serial * 86400))).time().isoformat()
+    begin = datetime(1904, 1, 1) if date_system == "1904" else datetime(1899, 12, 31) if serial < 60 else datetime(1899, 12, 30)
+    when = begin + timedelta(days=int(serial), seconds=round(serial % 1 * 86400))
+    return when.date().isoformat() if serial == int(serial) else when.isoformat()
+
+
 def span(ref: str) -> tuple[int, int, int, int]:
     a, _, b = ref.partition(":")
     return (*place(a), *place(b or a))
@@ -68,6 +129,7 @@ class _Book:
         if sum(i.file_size for i in self.zip.infolist()) > max_unpacked:
             raise ValueError("unpacked parts are too large")
         self.parts = set(self.zip.namelist())
+        self.date_system = "1900"
         self.strings = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in _all(self.xml("xl/sharedStrings.xml"), "si")] if "xl/sharedStrings.xml" in self.parts else []
         self._styles()
 
@@ -123,6 +185,10 @@ def _value(c, book: _Book) -> tuple[str, str | None, float | None]:
     if kind == "e":
         return "e", v, None
     number = float(v)
+    style = int(c.get("s", 0))
+    shape = book.styles[style][3] if 0 <= style < len(book.styles) else "General"
+    if is_date(shape) and (shown := iso_date(number, shape, book.date_system)) is not None:
+        return "d", shown, number
     whole = number.is_integer() and not re.search("[.eE]", v)
     return ("i", str(int(v)), number) if whole else ("f", repr(number), number)
 
@@ -130,25 +196,30 @@ def _value(c, book: _Book) -> tuple[str, str | None, float | None]:
 def _sheet(book: _Book, part: str, wb: str, name: str, index: int, hidden: bool, out: dict[str, list], path: str, max_cells: int) -> None:
     root, key = book.xml(part), (wb, name)
     fmt, view, protect = _one(root, "sheetFormatPr"), _one(root, "pane"), _one(root, "sheetProtection")
-    heights, hidden_rows, widths, hidden_cols, n, masters = {}, [], {}, [], 0, {}
-    shared: dict[str, str] = {}
+    heights, hidden_rows, widths, hidden_cols, n = {}, [], {}, [], 0
+    shared: dict[str, tuple[str, int, int]] = {}
+    r = 0
     for row in _all(root, "row"):
-        r = int(row.get("r", 0))
+        r, col = int(row.get("r") or r + 1), 0  # without a number, the place after the last one
         if row.get("ht"):
             heights[r] = float(row.get("ht"))
         if row.get("hidden") in ("1", "true"):
             hidden_rows.append(r)
         for c in row:
-            if _local(c) != "c" or not c.get("r"):
+            if _local(c) != "c":
                 continue
-            rr, col = place(c.get("r"))
+            rr, col = place(c.get("r")) if c.get("r") else (r, col + 1)
             kind, raw, num = _value(c, book)
             f = next((x for x in c if _local(x) == "f"), None)
             formula = None
             if f is not None:
-                formula = f.text or shared.get(f.get("si", ""))
-                if f.text and f.get("si"):
-                    shared[f.get("si")] = f.text
+                formula = f.text
+                if f.get("t") == "shared" or f.get("si"):
+                    if f.text:
+                        shared[f.get("si")] = f.text, rr, col
+                    elif f.get("si") in shared:
+                        text, r0, c0 = shared[f.get("si")]
+                        formula = shifted(text, rr - r0, col - c0)
             style = int(c.get("s", 0))
             bold, fill, size, number_format = book.styles[style] if style < len(book.styles) else (False, None, None, "General")
             if raw is None and formula is None and not (bold or fill):
@@ -157,14 +228,15 @@ def _sheet(book: _Book, part: str, wb: str, name: str, index: int, hidden: bool,
             if n > max_cells:
                 out["errors"].append((wb, path, name, "error", "cells", f"more than {max_cells} cells"))
                 break
-            masters[rr, col] = raw
             out["cells"].append((*key, rr, col, kind, raw, num, formula, bold, fill, size, number_format))
         else:
             continue
         break
     for col in _all(root, "col"):
-        for k in range(int(col.get("min")), min(int(col.get("max")), 16384) + 1):
-            if col.get("width") and int(col.get("max")) < 16384:
+        first = int(col.get("min", 1))
+        last = int(col.get("max", first))
+        for k in range(first, min(last, 16384) + 1):
+            if col.get("width") and last < 16384:
                 widths[k] = float(col.get("width")) * 7.5
             if col.get("hidden") in ("1", "true"):
                 hidden_cols.append(k)
@@ -235,20 +307,21 @@ def parse(data: bytes, path: str = "", max_bytes: int = MAX_BYTES, max_unpacked:
         root, rels = book.xml("xl/workbook.xml"), book.rels("xl/workbook.xml")
         pr = _one(root, "workbookPr")
         date = "1904" if pr is not None and pr.get("date1904") in ("1", "true") else "1900"
+        book.date_system = date
         sheets = [s for s in _all(root, "sheet") if _local(s) == "sheet"]
         for k, s in enumerate(sheets):
             part = rels.get(s.get(_REL + "id"), ("", ""))[1]
             try:
                 _sheet(book, part, wb, s.get("name"), k, s.get("state", "visible") != "visible", out, path, max_cells)
-            except (KeyError, ValueError, IndexError, ElementTree.ParseError) as e:
-                out["errors"].append((wb, path, s.get("name"), "error", "sheet", str(e)[:300]))
+            except DAMAGE as e:
+                out["errors"].append((wb, path, s.get("name"), "error", "sheet", f"{type(e).__name__}: {e}"[:300]))
         for d in _all(root, "definedName"):
             scope = int(d.get("localSheetId")) if d.get("localSheetId") else None
             out["names"].append((wb, d.get("name"), d.text, sheets[scope].get("name") if scope is not None and scope < len(sheets) else None, d.get("hidden") in ("1", "true")))
             if "[" in (d.text or ""):
                 out["external_links"].append((wb, d.get("name"), d.text, len(out["external_links"])))
-    except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError) as e:
-        error = str(e)[:300]
+    except DAMAGE as e:
+        error = f"{type(e).__name__}: {e}"[:300]
         out["errors"].append((wb, path, None, "error", "load", error))
     out["workbooks"].append((wb, path, name, len(data), macros, date, title, creator, error))
     return out
@@ -285,7 +358,7 @@ def read_workbooks(spark: SparkSession, path: str, tables: list[str] | None = No
 
 
 class WorkbookSource(DataSource):
-    """spark.read.format("workbook").option("table", ...).load(folder): one partition a file, on paths that all executors see."""
+    """spark.read.format("workbook").option("table", ...).load(folder): one partition a file, on any file system that Arrow knows; option sheet reads one sheet's rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -298,19 +371,31 @@ class WorkbookSource(DataSource):
         return _Reader(self.options)
 
 
+def _files(path: str):
+    """File system and path, of a URI or a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.table = options["path"], options.get("table", "cells")
         self.sheet = options.get("sheet")
 
     def partitions(self) -> list[InputPartition]:
-        import glob
+        from pyarrow import fs
 
-        names = [self.path] if self.path.lower().endswith((".xlsx", ".xlsm")) else sorted(glob.glob(f"{self.path}/**/*.xls[xm]", recursive=True))
-        return [InputPartition(n) for n in names]
+        system, place = _files(self.path)
+        if self.path.lower().endswith((".xlsx", ".xlsm")):
+            return [InputPartition(self.path)]
+        head = self.path[: len(self.path.rstrip("/")) - len(place.rstrip("/"))] if "://" in self.path else ""
+        found = system.get_file_info(fs.FileSelector(place, recursive=True))
+        return [InputPartition(head + f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.lower().endswith((".xlsx", ".xlsm"))]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
+        system, place = _files(partition.value)
+        with system.open_input_stream(place) as f:
             rows = parse(f.read(), partition.value)[self.table]
         k = _columns(TABLES[self.table]).index("sheet") if self.sheet else None
         yield from (r for r in rows if k is None or r[k] == self.sheet)

@@ -81,3 +81,58 @@ def test_sql_says_the_same(spark, name):
     assert sorted(a.columns) == sorted(b.columns)
     rows = lambda d: sorted(str([None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) else str(v) for v in r]) for r in d[sorted(d.columns)].astype(object).to_numpy().tolist())
     assert rows(a) == rows(b)
+
+
+SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
+
+
+def cells_of(body, **more):
+    out = ooxml.parse(workbook(**{"xl/worksheets/sheet2.xml": SHEET.format(body)} | more), "x.xlsx")
+    return {(c[2], c[3]): c for c in out["cells"] if c[1] == "Hidden"}, out["errors"]
+
+
+def test_shared_formulas_are_shifted():
+    body = '<row r="1"><c r="A1"><f t="shared" ref="A1:A3" si="0">B1*2</f><v>1</v></c><c r="C1"><f t="shared" ref="C1:D2" si="1">SUM($A1:A$1)+LOG10(B1)+Sheet1!C2&amp;"B1"+\'A1 x\'!A1+T[B1]+B:B+$3:4</f></c></row>'
+    body += '<row r="2"><c r="A2"><f t="shared" si="0"/><v>1</v></c><c r="D2"><f t="shared" si="1"/></c></row><row r="3"><c r="A3"><f t="shared" si="0"/></c></row>'
+    at, errors = cells_of(body)
+    assert not errors and [at[r, 1][7] for r in (1, 2, 3)] == ["B1*2", "B2*2", "B3*2"]
+    assert at[2, 4][7] == "SUM($A2:B$1)+LOG10(C2)+Sheet1!D3&\"B1\"+'A1 x'!B2+T[B1]+C:C+$3:5"
+    assert ooxml.shifted("A1+XFD1", -1, 1) == "#REF!+#REF!"
+
+
+def test_places_without_references_and_dates():
+    styles = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="170" formatCode="[Red]0.00&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="22"/><xf numFmtId="21"/><xf numFmtId="170"/></cellXfs></styleSheet>'
+    body = '<row><c><v>1</v></c><c s="1"><v>45000</v></c></row><row r="5"><c r="C5"><v>2</v></c><c s="2"><v>45000.75</v></c><c s="3"><v>0.5</v></c><c s="4"><v>3.5</v></c></row><row><c><v>9</v></c></row>'
+    at, errors = cells_of(body, **{"xl/styles.xml": styles})
+    assert not errors and sorted(at) == [(1, 1), (1, 2), (5, 3), (5, 4), (5, 5), (5, 6), (6, 1)]
+    assert [(at[k][4], at[k][5]) for k in ((1, 2), (5, 4), (5, 5), (5, 6))] == [("d", "2027-03-16"), ("d", "2027-03-16T18:00:00"), ("d", "12:00:00"), ("f", "3.5")]
+    assert ooxml.iso_date(45000, "yyyy-mm-dd", "1900") == "2023-03-15" and ooxml.iso_date(1, "d", "1900") == "1900-01-01" and ooxml.iso_date(-1, "d", "1900") is None
+
+
+def test_damage_never_raises():
+    import random
+
+    rng, whole = random.Random(8), workbook()
+    for body in ('<row r="x"><c r="A1"/></row>', '<row r="1"><c r="A1" t="s"><v>99</v></c></row>', '<row r="1"><c r="A1" s="-5"><v>inf</v></c></row>', '</sheetData><cols><col/></cols><sheetData>'):
+        cells_of(body)
+    for k in range(300):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 20)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        out = ooxml.parse(bytes(data[: rng.randint(1, len(data))] if k % 4 == 0 else data), "x.xlsx")
+        assert len(out["workbooks"]) == 1
+
+
+def test_source_takes_uris(spark, folder):
+    ooxml.register(spark)
+    df = spark.read.format("workbook").load("file://" + folder)
+    assert df.where("sheet = 'Sales'").count() == 9 and df.count() > 9
+
+
+def test_large_blocks_keep_all_cells(spark):
+    from sheetloom.operators import render
+
+    cells = spark.createDataFrame([("w", "s", 1 + k * 1000, 1 + k * 10, "s", f"v{k}", None, None, False, None, None, None) for k in range(300)], "wb string, sheet string, row int, col int, kind string, raw string, num double, formula string, bold boolean, fill string, font_size double, number_format string")
+    block = spark.createDataFrame([("w", "s", 0, "mixed", 1, 1, 299_001, 2991)], "wb string, sheet string, block_index int, block_type string, r1 int, c1 int, r2 int, c2 int")
+    text, html = render.text(block, cells).first()["render_text"], render.html(block, cells).first()["render_html"]
+    assert all(f" v{k} " in text and f">v{k}<" in html for k in range(300))

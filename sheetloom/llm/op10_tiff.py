@@ -12,6 +12,7 @@ give the pages before the damage and an error text in ``tiff_pages``, whatever t
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,21 +34,22 @@ MOST_FOLD = 4096
 DAMAGE = (ValueError, ArithmeticError, LookupError, TypeError, MemoryError, struct.error, zlib.error)
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
 def packbits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run >= 3:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out += bytes((j - i - 1,)) + data[i:j]
-        i = j
+    out, at = bytearray(), 0
+
+    def literal(end: int) -> None:
+        for k in range(at, end, 128):
+            out.append(min(128, end - k) - 1)
+            out.extend(data[k : min(k + 128, end)])
+
+    for m in _RUN.finditer(data):
+        literal(m.start())
+        out += bytes((257 - (m.end() - m.start()), data[m.start()]))
+        at = m.end()
+    literal(len(data))
     return bytes(out)
 
 
@@ -267,7 +269,7 @@ def tiff_pages(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> D
 
 WIDTH, PAGE_ROWS = 192, 256
 #: Compression, predictor, tile, byte order of the stored form, by the payload's checksum.
-FORMS = ((DEFLATE, 2, None, "<"), (DEFLATE, 1, (64, 64), ">"), (PACKBITS, 1, None, "<"), (DEFLATE, 2, None, ">"), (LZW, 2, (64, 64), "<"), (DEFLATE, 1, None, "<"), (PACKBITS, 1, (64, 96), ">"), (NONE, 1, None, ">"))
+FORMS = ((DEFLATE, 2, None, "<"), (DEFLATE, 1, (64, 64), ">"), (PACKBITS, 1, None, "<"), (DEFLATE, 2, None, ">"), (LZW, 2, (64, 64), "<"), (DEFLATE, 1, None, "<"), (PACKBITS, 1, (64, 96), ">"), (NONE, 1, None, ">"), *[(DEFLATE, 2, None, "<")] * 8)
 _SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 

@@ -41,8 +41,8 @@ from .common import bounded_batches, crc_mod, mix, powers, read, settle, shared_
 
 BLOCK_TOKENS = 1 << 20
 #: Windows of a shard of step 1, words of one of step 2, and words of texts that one task searches for there.
-SHARD_WINDOWS = 1 << 21
-SHARD_TOKENS = 4 << 20
+SHARD_WINDOWS = 1 << 20
+SHARD_TOKENS = 3 << 20
 ASK_TOKENS = 2 << 20
 #: Bits of a shard's filter, as a power of two.
 FILTER = 25

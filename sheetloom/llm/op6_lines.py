@@ -182,7 +182,13 @@ def near(distinct: DataFrame, numbered: DataFrame) -> DataFrame:
     return pairs.join(text, ["h1", "h2"]).join(other, ["p1", "p2"]).where(F.levenshtein("text", "other", 1) >= 0).select("h1", "h2").distinct()
 
 
-def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, str]:
+def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """The input with its row numbers (_sl_row), and (_sl_row, _sl_lines array<long>) of the lines to drop."""
+    numbered, path = _dropped(df, id_col, text_col, min_chars)
+    return numbered, df.sparkSession.read.schema("_sl_row long, _sl_lines array<long>").parquet(path)
+
+
+def _dropped(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, str]:
     """The input with its row numbers (_sl_row), and where (_sl_row, _sl_lines array<long>) of the lines to drop is stored by parts."""
     numbered = store(df.withColumn("_sl_row", F.monotonically_increasing_id()), "lines-numbered")
     slim = numbered.select(F.col(id_col).alias("doc_id"), F.col("_sl_row").alias("row"), F.col(text_col).alias("text"))
@@ -198,7 +204,7 @@ def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of df, with n_lines and n_dropped (which replace columns of these names); the text has lost its repeated lines."""
     df = df.drop("n_lines", "n_dropped")
-    numbered, gone = dropped(df, id_col, text_col, min_chars)
+    numbered, gone = _dropped(df, id_col, text_col, min_chars)
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.expr(f"transform(filter(transform(split(`{text_col}`, '\\n', -1), (x, i) -> struct(x, cast(i AS long) AS i)), s -> NOT array_contains(_sl_lines, s.i)), s -> s.x)"), "\n")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema) + ", _sl_lines array<bigint>"

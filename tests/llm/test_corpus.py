@@ -347,3 +347,33 @@ def test_rest_stands_alone(tmp_path, missing):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=env, capture_output=True, text=True, check=True).stdout
     n, names = json.loads(out)
     assert n > 50 and names == []
+
+
+def test_minhash_query_equals_brute_force(spark, tmp_path):
+    """The query op1_minhash over a whole table: class, links and copies of every row, with null and empty texts and a column named like its own."""
+    rows = [(k, t) for k, t in hot_passage()[:150]]
+    rows += [(len(rows), rows[7][1]), (len(rows) + 1, None), (len(rows) + 2, ""), (len(rows) + 3, rows[9][1])]
+    df = spark.createDataFrame([(*r, "x", "clash") for r in rows], "doc_id long, text string, row string, signature string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op1_minhash.op1_minhash(spark, str(tmp_path)).collect()}
+    texts = [t or "" for _, t in rows]
+    filled = [k for k, t in enumerate(texts) if t]
+    hit, label = brute_links([texts[k] for k in filled])
+    first = {t: k for k, t in reversed(list(enumerate(texts)))}
+    for i, k in enumerate(filled):
+        others = {texts[filled[j]] for j in np.flatnonzero(hit[i])} - {texts[k]}
+        assert (got[k]["class_id"], got[k]["n_links"], got[k]["n_copies"]) == (filled[label[i]], len(others), texts.count(texts[k]))
+        assert got[k]["kept"] == (got[k]["class_id"] == k)
+    assert [(got[k]["class_id"], got[k]["n_links"], got[k]["n_copies"]) for k in range(len(rows)) if not texts[k]] == [(first[""], 0, 2)] * 2
+
+
+def test_pipeline_of_nothing_and_of_repeated_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
+    line = "some words that all of these documents share and more of them"
+    rows = [(k // 2, f"{line} {k // 2} " + " ".join(words(random.Random(k // 2), 30)), "aa", None, 5) for k in range(8)] + [(None, None, None, None, None)] * 2
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/some/documents.parquet")
+    got = p.run(spark, f"{tmp_path}/some").collect()
+    assert {r["doc_id"] for r in got} <= {0, 1, 2, 3} and got and all(sum(x["length"] for x in got if x["doc_id"] == r["doc_id"]) == r["doc_tokens"] for r in got)

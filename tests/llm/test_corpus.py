@@ -377,3 +377,19 @@ def test_pipeline_of_nothing_and_of_repeated_rows(spark, tmp_path):
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/some/documents.parquet")
     got = p.run(spark, f"{tmp_path}/some").collect()
     assert {r["doc_id"] for r in got} <= {0, 1, 2, 3} and got and all(sum(x["length"] for x in got if x["doc_id"] == r["doc_id"]) == r["doc_tokens"] for r in got)
+
+
+def test_ngram_of_a_long_repetition(spark):
+    """One word 3000 times: the context of l words occurs 3001 - l times; learned from, and asked for by a held-out text of 500.
+
+    500 words and the end occur once, too: where the long text ends.
+    """
+    df = spark.createDataFrame([(1, "only " * 3000, False), (2, "only " * 500, True)], "doc_id long, text string, h boolean")
+    got = {r["doc_id"]: r for r in op9_ngram.score_texts(df, held=F.col("h")).collect()}
+    n = 3001
+    b, end = ((c + 0.5) / (n + 0.5 * 3) for c in (3000, 1))
+    m = lambda length: float(op9_ngram.weight(np.array([length]))[0])
+    c = lambda length: 3001 - length if length else n
+    for key, size, last in ((1, 3000, 1), (2, 500, 1)):
+        want = sum(math.log10((c(k + 1) + m(k) * b) / (c(k) + m(k))) for k in range(size)) + math.log10((last + m(size) * end) / (c(size) + m(size)))
+        assert abs(got[key]["score"] - want) < 1e-9 and got[key]["n_tokens"] == size + 1

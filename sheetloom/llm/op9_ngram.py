@@ -1,4 +1,4 @@
-"""LM scoring: unbounded n-grams over sharded corpus suffix arrays.
+"""LM scoring: unbounded n-grams over corpus suffixes, sharded by key range.
 
 A context is the words before a place, read backwards, so it is a prefix of a backward suffix of a text.  Every place finds, by binary search, the longest
 context that occurs in the training corpus and how often.  A context of length l that continues with word w is the context of length l + 1 one place
@@ -7,20 +7,22 @@ further, so the longest matches and their counts at neighbouring places give all
 P(w | context) = (c(context w) + m(l) * base(w)) / (c(context) + m(l)), with base(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)) and m falling in the length
 l: a distribution over V words and one unknown.
 
-The suffixes are searched in two steps.
+The suffixes are searched in two steps, like a suffix array that is sorted by longer and longer prefixes and only where anyone asks.
 
 1. *Windows.*  The most frequent words have codes of one to three bytes (no code begins another; other words: 56 bits of their hash), and the first
    eight bytes of each suffix, cut to whole codes, are its window: about four words.  Windows are aggregated in each block of texts and go to shards by
    their first two words, so each shard's sorted windows hold every suffix of its key range, each query meets one shard, and counts need no sum over
    shards.  Work and traffic are proportional to the corpus.  What matches less than a window ends here (three quarters of the places of new text).
-2. *Suffix arrays.*  Only where a text to score, or the begin of a training text, has the whole window of another training text can it match deeper.  The
-   stretches of training text around such places, and nothing else, are written to shards of about ``SHARD_TOKENS`` words with their suffix array and a filter of
-   their windows; a deep place searches each shard that the filter admits for its longest context, the longest wins and its counts are summed.
-   Filters are read for deep places times shards; searches are needed where a shard has the window.
+2. *Longer contexts, in rounds.*  Only where a text to score, or the begin of a training text, has the whole window of another training text can it match
+   deeper.  These places, and the training places with their windows, meet again, by a key of what they have in common so far, in one shard for each key:
+   first with the pair of their window and the next one, then with hashes of longer and longer contexts (a ladder of ``LADDER`` ** k more words), then
+   with steps between the last rung that was found and the next, smaller in each round.  A round's answer tells each asking place how far it goes
+   and how often that occurs, and each training place whether anyone still agrees with it; the others drop out.  The number of rounds is logarithmic in the longest
+   repeated context, each round's work is at most proportional to the corpus, and no task reads more than its blocks and its shard.
 
-As a place moves on, the begin of its longest context never moves back, and the count of a context with a fixed begin only falls.  So where two places of
-a run have the same begin and count, all between have; only between others more places are searched.  In a training document the longest context is all
-that precedes, so the same holds from its begin.
+As a place moves on, the begin of its longest context never moves back, and the count of a context with a fixed begin only falls.  So where a context of up to
+two windows occurs as often as it does without its last word, the place has the begin and the count of the one before (``begin_search``) and isn't searched
+further: of a copied passage mostly its first places are.  In a training document the longest context is all that precedes, so only the count is asked for.
 
 Defined results: a null or empty text is the single end token; equal rows have equal scores; without training documents N and V are 0, every base
 probability is 1 and so is every probability; extra columns are ignored; an empty table gives an empty result.  The input must give the same rows in the
@@ -40,20 +42,15 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_mod, mix, powers, read, settle, shared_folder, store, text_bytes, word_hashes
 
 BLOCK_TOKENS = 1 << 20
-#: Windows of a shard of step 1, words of one of step 2, and words of texts that one task searches for there.
+#: Windows of a shard of step 1, words of the corpus for each shard of step 2.
 SHARD_WINDOWS = 1 << 21
 SHARD_TOKENS = 4 << 20
-ASK_TOKENS = 2 << 20
-#: Bits of a shard's filter, as a power of two.
-FILTER = 25
-#: Every so many places of a run are searched first.
-STRIDE = 32
+#: Longer contexts are tried with LADDER, LADDER**2, ... more words, then in steps of which STEPS are a larger one.
+LADDER = 16
+STEPS = 4
 #: Words that have short codes, at most; all tasks read this table (16 bytes a word).
 DICTIONARY = 1 << 21
 END = np.uint64(0x1F3D5B79A6C8E0D1)
-#: A suffix that matches deeper than its window needs so many words before the first place that is known to do so.
-BACK = 9
-UNKNOWN = np.uint32(0xFFFFFFFF)
 
 
 def weight(length: np.ndarray) -> np.ndarray:
@@ -64,14 +61,24 @@ def weight(length: np.ndarray) -> np.ndarray:
 # ---- files in the shared folder
 
 
-def put(path: str, *arrays: np.ndarray, plain: bool = False) -> None:
-    """Arrays, compressed unless plain; writing the same again changes nothing."""
+def drop(path: str) -> None:
+    """Removes a file, if there is one."""
+    from pyarrow import fs
+
+    if path:
+        system, place = fs.FileSystem.from_uri(path)
+        if system.get_file_info(place).type != fs.FileType.NotFound:
+            system.delete_file(place)
+
+
+def put(path: str, *arrays: np.ndarray) -> None:
+    """Arrays, compressed; writing the same again changes nothing."""
     from pyarrow import fs
 
     system, place = fs.FileSystem.from_uri(path)
     with system.open_output_stream(place) as f:
         for x in arrays:
-            data = pack(x, plain)
+            data = pack(x)
             f.write(np.int64(len(data)).tobytes())
             f.write(data)
 
@@ -87,20 +94,16 @@ def get(path: str) -> list[np.ndarray]:
     return out
 
 
-def pack(x: np.ndarray, plain: bool = False) -> bytes:
-    """An array as bytes: type, length, then its bytes as they are, or by significance and compressed."""
+def pack(x: np.ndarray) -> bytes:
+    """An array as bytes: type, length, then its bytes by significance, compressed."""
     x = np.ascontiguousarray(x.astype(np.uint8) if x.dtype == bool else x)
-    head = (x.dtype.str + "=" * plain).encode().ljust(8) + np.int64(len(x)).tobytes()
-    if plain:
-        return head + x.tobytes()
+    head = x.dtype.str.encode().ljust(8) + np.int64(len(x)).tobytes()
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T) if x.itemsize > 1 else x
     return head + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
     kind, n = data[:8].decode().strip(), int(np.frombuffer(data, np.int64, 1, 8)[0])
-    if kind.endswith("="):
-        return np.frombuffer(data, np.dtype(kind[:-1]), n, 16)
     kind = np.dtype(kind)
     raw = np.frombuffer(pa.decompress(memoryview(data)[16:], n * kind.itemsize, "zstd"), np.uint8)
     return raw.reshape(kind.itemsize, n).T.ravel().view(kind) if kind.itemsize > 1 else raw.view(kind)
@@ -254,51 +257,49 @@ def search_windows(corpus: np.ndarray, sums: np.ndarray, q: np.ndarray) -> tuple
     return length, times, found
 
 
-def filter_bits(w: np.ndarray) -> np.ndarray:
-    """Where a window is marked in a shard's filter."""
-    return (mix(w) >> np.uint64(64 - FILTER)).astype(np.uint32)
-
-
-# ---- suffix arrays
-
-
-def suffix_array(r: np.ndarray) -> np.ndarray:
-    """Places of r in the order of their suffixes, by prefix doubling; only groups that aren't told apart yet are sorted again."""
-    n = len(r)
-    if n == 0:
-        return np.zeros(0, np.uint32)
-    following = np.r_[r[1:], np.zeros(1, np.uint32)]
-    key = r.astype(np.uint64) << np.uint64(32) | following
-    sa = np.argsort(key, kind="stable")
-    key = key[sa]
-    head = np.r_[True, key[1:] != key[:-1]]
-    del key
-    rank = np.empty(n, np.int64)
-    first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank[sa] = first
-    alone = head & np.r_[head[1:], True]
-    active = np.flatnonzero(~alone)
-    h = 2
-    while len(active) and h < 2 * n:
-        places = sa[active]
-        group = rank[places]
-        later = places + h
-        second = np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
-        order = np.argsort(group.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64), kind="stable")
-        places, group, second = places[order], group[order], second[order]
-        sa[active] = places
-        head = np.r_[True, (group[1:] != group[:-1]) | (second[1:] != second[:-1])]
-        rank[places] = active[np.maximum.accumulate(np.where(head, np.arange(len(active)), 0))]
-        active = active[~(head & np.r_[head[1:], True])]
-        h *= 2
-    return sa.astype(np.uint32)
+def search_pairs(corpus: np.ndarray, sums: np.ndarray, seconds: np.ndarray, first: np.ndarray, q: np.ndarray, known: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As search_windows, for second windows q behind first windows (numbers): corpus holds the number of the first and of the second window among seconds.
+
+    How often is given for the longest prefix, and for those a word and two words shorter.  known: all are in the corpus.
+    """
+    n = len(q)
+    length, times, found = np.zeros(n, np.uint8), np.zeros((3, n), np.int64), np.zeros(n, bool)
+    if not len(corpus):
+        return length, times, found
+    base, low32 = first.astype(np.uint64) << np.uint64(32), np.uint64(0xFFFFFFFF)
+    for begin in range(0, n, 1 << 17):
+        here = slice(begin, begin + (1 << 17))
+        part, group = q[here], base[here]
+        ends = code_ends(part)
+        best, whole = ((ends < 99).sum(axis=1) if known else np.zeros(len(part), np.int64)), np.full(len(part), known)
+        at = None if known else np.searchsorted(corpus, group | np.searchsorted(seconds, part).astype(np.uint64))
+        for k in () if known else (at - 1, at):
+            pair = corpus[np.clip(k, 0, len(corpus) - 1)]
+            there = (k >= 0) & (k < len(corpus)) & (pair >> np.uint64(32) == group >> np.uint64(32))
+            x = seconds[(pair & low32).astype(np.int64)] ^ part
+            alike = np.zeros(len(part), np.uint8)
+            for b in range(1, 9):
+                alike += (x & _MASKS[b]) == 0
+            best = np.maximum(best, np.where(there, (ends <= alike[:, None]).sum(axis=1), 0))
+            whole |= there & (x == 0)
+        for less in range(3):
+            some = best > less
+            mask = _MASKS[np.where(some, ends[np.arange(len(part)), np.maximum(best - 1 - less, 0)], 0)]
+            a = np.searchsorted(corpus, group | np.searchsorted(seconds, part & mask, "left").astype(np.uint64))
+            b = np.searchsorted(corpus, group + np.searchsorted(seconds, part & mask | ~mask, "right").astype(np.uint64))
+            times[less, here] = np.where(some, sums[b] - sums[a], 0)
+        length[here], found[here] = best, whole
+    return length, times, found
+
+
+# ---- longer contexts
 
 
 class Stretches:
     """Rolling hashes of an array of tokens."""
 
     def __init__(self, x: np.ndarray):
-        self.x, n = x, len(x)
+        n = len(x)
         self.sums = np.zeros(n + 1, np.uint64)
         self.back = powers(n + 1, inverse=True)
         h = x.astype(np.uint64)
@@ -311,133 +312,10 @@ class Stretches:
         return (self.sums[a + size] - self.sums[a]) * self.back[a]
 
 
-def common(p: Stretches, a: np.ndarray, q: Stretches, b: np.ndarray, known: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common prefixes of p[a:] and q[b:], of which known agree and most count; by steps that double, then halve."""
-    low, step = known.copy(), np.ones(len(a), np.int64)
-    most = np.maximum(np.minimum(np.minimum(most, len(p.x) - a), len(q.x) - b), known)
-    open_, growing = np.flatnonzero(low < most), np.ones(len(a), bool)
-    while len(open_):
-        i = open_
-        size = np.minimum(step[i], most[i] - low[i])
-        same = p.of(a[i] + low[i], size) == q.of(b[i] + low[i], size)
-        low[i[same]] += size[same]
-        growing[i[~same]] = False
-        most[i[~same]] = low[i[~same]] + size[~same] - 1
-        step[i] = np.where(growing[i], size * 2, np.maximum(1, (most[i] - low[i] + 1) // 2))
-        open_ = i[low[i] < most[i]]
-    return low
-
-
-class Shard:
-    def __init__(self, r: np.ndarray, sa: np.ndarray):
-        self.r, self.sa = r, sa
-        self.hash = Stretches(r)
-        following = np.r_[r[1:], np.zeros(1, np.uint32)]
-        self.keys = (r.astype(np.uint64) << np.uint64(32) | following)[sa]
-
-    def _bound(self, lo, hi, depth, token, right: bool):
-        """First place in [lo, hi) whose suffix has at depth a token of at least token (right: above it)."""
-        lo, hi = lo.copy(), hi.copy()
-        on = np.flatnonzero(lo < hi)
-        last = len(self.r) - 1
-        while len(on):
-            mid = (lo[on] + hi[on]) >> 1
-            x = self.r[np.minimum(self.sa[mid].astype(np.int64) + depth[on], last)]
-            less = x <= token[on] if right else x < token[on]
-            lo[on[less]] = mid[less] + 1
-            hi[on[~less]] = mid[~less]
-            on = on[lo[on] < hi[on]]
-        return lo
-
-    def _deep(self, q: Stretches, place, most, lo, hi, known) -> tuple[np.ndarray, np.ndarray]:
-        """The same for places whose suffixes [lo, hi) agree in the first known tokens, by comparing whole stretches."""
-        a, b, below, above = lo.copy(), hi.copy(), known.copy(), known.copy()  # how much the suffixes before a and at b agree with the place's
-        on = np.flatnonzero(a < b)
-        while len(on):
-            mid = (a[on] + b[on]) >> 1
-            u = self.sa[mid].astype(np.int64)
-            got = common(q, place[on], self.hash, u, np.minimum(below[on], above[on]), most[on])
-            less = (got < most[on]) & (self.r[np.minimum(u + got, len(self.r) - 1)] < q.x[np.minimum(place[on] + got, len(q.x) - 1)])
-            a[on[less]], below[on[less]] = mid[less] + 1, got[less]
-            b[on[~less]], above[on[~less]] = mid[~less], got[~less]
-            on = on[a[on] < b[on]]
-        after = (a < hi) & ((above >= below) | (a == lo))
-        length, centre = np.where(after, above, below), np.where(after, a, a - 1)
-        want = q.of(place, length)
-
-        def edge(a, b, inside):
-            """First place in [a, b) where being alike for the whole length is not inside; it changes once."""
-            a, b = a.copy(), b.copy()
-            on = np.flatnonzero(a < b)
-            while len(on):
-                mid = (a[on] + b[on]) >> 1
-                u = self.sa[mid].astype(np.int64)
-                fits = u + length[on] <= len(self.r)
-                go = ((self.hash.of(u, np.where(fits, length[on], 0)) == want[on]) & fits) == inside
-                a[on[go]] = mid[go] + 1
-                b[on[~go]] = mid[~go]
-                on = on[a[on] < b[on]]
-            return a
-
-        return length, edge(centre, hi, True) - edge(lo, centre, False)
-
-    def search(self, q: Stretches, at: np.ndarray, left: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For places at of q, with left tokens before the text's begin: the longest prefix that occurs in the shard and how often.
-
-        Where it is shorter than least it may be given as 0.
-        """
-        length, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        x = q.x
-        key = x[at].astype(np.uint64) << np.uint64(32)
-        two = left >= 2
-        full = key | np.where(two, x[np.minimum(at + 1, len(x) - 1)], 0).astype(np.uint64)
-        order = np.argsort(full)
-        full, key = full[order], key[order]
-        lo, hi = np.searchsorted(self.keys, full, "left"), np.searchsorted(self.keys, full, "right")
-        found = (hi > lo) & two[order]
-        rest = np.flatnonzero(~found & (least[order] < 2))
-        a, b = np.searchsorted(self.keys, key[rest], "left"), np.searchsorted(self.keys, key[rest] | np.uint64(0xFFFFFFFF), "right")
-        length[order[rest]], count[order[rest]] = (b > a).astype(np.int64), b - a
-        who, lo, hi = order[found], lo[found].astype(np.int64), hi[found].astype(np.int64)
-        depth = np.full(len(who), 2)
-        while len(who):
-            place, most = at[who], left[who]
-            done = depth >= most
-            length[who[done]], count[who[done]] = depth[done], (hi - lo)[done]
-            few = ~done & (hi - lo <= 3)
-            if few.any():
-                k = np.flatnonzero(few)
-                best, times = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
-                for j in range(3):
-                    on = np.flatnonzero(lo[k] + j < hi[k])
-                    kk = k[on]
-                    u = self.sa[lo[kk] + j].astype(np.int64)
-                    got = depth[kk]
-                    more = np.flatnonzero(x[place[kk] + got] == self.r[np.minimum(u + got, len(self.r) - 1)])
-                    got[more] = common(q, place[kk[more]], self.hash, u[more], got[more] + 1, most[kk[more]])
-                    times[on] = np.where(got > best[on], 1, np.where(got == best[on], times[on] + 1, times[on]))
-                    best[on] = np.maximum(best[on], got)
-                length[who[k]], count[who[k]] = best, times
-            go = ~done & ~few
-            who, lo, hi, depth, place, most = (v[go] for v in (who, lo, hi, depth, place, most))
-            deep = depth >= 4
-            if deep.any():
-                k = np.flatnonzero(deep)
-                length[who[k]], count[who[k]] = self._deep(q, place[k], most[k], lo[k], hi[k], depth[k])
-                who, lo, hi, depth, place, most = (v[~deep] for v in (who, lo, hi, depth, place, most))
-            token = x[place + depth]
-            a = self._bound(lo, hi, depth, token, False)
-            b = self._bound(a, hi, depth, token, True)
-            dead = b <= a
-            length[who[dead]], count[who[dead]] = depth[dead], (hi - lo)[dead]
-            who, lo, hi, depth = who[~dead], a[~dead], b[~dead], depth[~dead] + 1
-        return length, count
-
-
 # ---- jobs
 
 _ROWS = "shard long, block string, kind int, data binary, extra binary"
-CORPUS, HELD, RARE, ASKED, HERE, BEGIN, FIRST = range(7)
+CORPUS, HELD, RARE, ASKED, HERE, BEGIN, FIRST, OWN = range(8)
 #: What a shard says of a window of the corpus: a held text has it; it occurs again; it is the first of a training text that doesn't hold all before it.
 IN_HELD, AGAIN, IS_FIRST = 1, 2, 4
 
@@ -572,11 +450,12 @@ def answer(table: pa.Table) -> pa.Table:
 
 def merge(block: Block, codes: Codes, rows, shards: int, least: int, total: int):
     """From the shards' answers (shard, kind, data, extra): length and count of each place as far as windows go; whether a held place may go deeper, or the
-    suffix arrays need a training one; whether its window occurs again; sizes of the windows; counts of the block's words; windows."""
+    longer contexts need a training one; whether its window occurs again; sizes of the windows; counts of the block's words; windows; what the shards say of
+    the windows of training places."""
     what, size, count, w = asked(block, codes, shards, least)
     left = block.ordinal + 1
     length, times = np.where(block.in_held, 0, left).astype(np.int32), np.ones(len(left), np.int64)
-    deep, again = np.zeros(len(left), bool), np.zeros(len(left), bool)
+    deep, again, says = np.zeros(len(left), bool), np.zeros(len(left), bool), np.zeros(len(left), np.uint8)
     if least > 1:
         got = np.zeros(len(what[ASKED][1]), np.int64)
         for s, _, data, _ in (r for r in rows if r[1] == ASKED):
@@ -596,6 +475,7 @@ def merge(block: Block, codes: Codes, rows, shards: int, least: int, total: int)
                 l[here], flag[here], n[here] = x & 0x7F, x >> 7, unpack(extra)
         l, n, flag = l[inverse], n[inverse], flag[inverse]
         if kind == CORPUS:
+            says[at] = flag
             beyond = left[at] > size[at]
             again[at] = (flag & AGAIN > 0) & beyond
             deep[at] = (flag & IN_HELD > 0) & beyond
@@ -611,149 +491,312 @@ def merge(block: Block, codes: Codes, rows, shards: int, least: int, total: int)
             deep[at] = (flag > 0) & (left[at] > size[at])
         times[at] = np.where(one, known[at], n)
     times[length == 0] = total
-    return length, times, deep, again, size, count, w
-
-
-def stretches(block: Block, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (numbers of words from 1) that deep contexts of these places may reach, 0 before each stretch; where each token of the block is among them (-1: not)."""
-    need = np.zeros(len(block.local), bool)
-    for k in range(BACK + 1):
-        need[(places - k)[block.ordinal[places] >= k]] = True
-    at = np.flatnonzero(need)
-    begin = np.ones(len(at), bool)
-    begin[1:] = (at[1:] != at[:-1] + 1) | (block.ordinal[at[1:]] == 0)
-    to = np.arange(len(at)) + np.cumsum(begin)
-    out, where = np.zeros(len(at) + int(begin.sum()), np.uint32), np.full(len(need), -1, np.int64)
-    out[to] = block.local[at] + 1
-    where[at] = to
-    return out, where
-
-
-def asks(block: Block, times: np.ndarray, deep: np.ndarray, again: np.ndarray, size: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-    """What a block asks of the suffix arrays: tokens of its stretches; places of held texts there, their tokens in the block, marks of their windows
-    in filters and sizes; of each training text that may have deep copies its first token there and in the block, the first length its windows don't tell, the last
-    that occurs again, its window's mark; counts of the held places' windows.  Rising numbers are stored as differences."""
+    return length, times, deep, again, size, count, w, says
+
+
+def send_parts(path: str, kind: int, to: np.ndarray, shards: int, columns) -> list[tuple]:
+    """A row for each shard that has some; to: rising, columns: what a row's data and extra are, from the places of a slice."""
+    edges = np.searchsorted(to, np.arange(shards + 1))
+    return [(s, path, kind, *columns(slice(edges[s], edges[s + 1]))) for s in np.flatnonzero(np.diff(edges)).tolist()]
+
+
+def pack_all(arrays: list[np.ndarray]) -> bytes:
+    parts = [pack(x) for x in arrays]
+    return b"".join([np.array([len(parts), *map(len, parts)], np.int64).tobytes(), *parts])
+
+
+def unpack_all(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    ends = np.cumsum(np.r_[8 * (n + 1), np.frombuffer(data, np.int64, n, 8)]).tolist()
+    return [unpack(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def own_places(block: Block, times: np.ndarray, again: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of training texts that may have deep copies of all before: from the first that its windows don't tell to the last that occurs again."""
     left = block.ordinal + 1
-    held = np.flatnonzero(block.in_held & deep)
     behind = np.flatnonzero(~block.in_held & (size < left) & (block.ordinal > 0))
     first = behind[np.r_[True, block.owner[behind[1:]] != block.owner[behind[:-1]]]] if len(behind) else behind
     first = first[again[first] & (times[first - 1] > 1)] if len(first) else first
     stops = np.r_[np.flatnonzero(~again), len(again)]
-    stop = np.minimum(stops[np.searchsorted(stops, first)], block.offsets[1:][block.owner[first]])
-    begin = first - block.ordinal[first]
-    n = stop - begin
-    inside = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    tokens_, where = stretches(block, np.r_[held, inside])
-    rise = lambda x: np.diff(x, prepend=0).astype(np.uint32)
-    return [block.words, tokens_, rise(where[held]), rise(held), filter_bits(w[held]), size[held], rise(where[begin]), rise(begin), (first - begin + 1).astype(np.uint32), n.astype(np.uint32), filter_bits(w[first]), times[held]]
-
-
-def read_asks(path: str) -> list[np.ndarray]:
-    ask = get(path)
-    return [np.cumsum(x, dtype=np.int64) if k in (2, 3, 6, 7) else x.astype(np.int64) if k in (8, 9) else x for k, x in enumerate(ask)]
-
-
-def build_shard(paths: list[str], to: str) -> None:
-    """One suffix array over the stretches of some blocks, and the filter of their windows; words are numbered from 1 in the order of their hashes."""
-    words, texts, bits = [], [], np.zeros(1 << FILTER - 3, np.uint8)
-    for p in paths:
-        w, text, marks = get(p + ".deep")
-        words.append(w)
-        texts.append(text)
-        marks = np.cumsum(marks, dtype=np.uint32)
-        np.bitwise_or.at(bits, marks >> np.uint32(3), np.uint8(1) << (marks & np.uint32(7)).astype(np.uint8))
-    every = np.unique(np.concatenate(words))
-    texts = [np.r_[np.uint32(0), np.searchsorted(every, w).astype(np.uint32) + np.uint32(1)][t] for w, t in zip(words, texts, strict=True)]
-    r = np.concatenate(texts)[::-1].copy()
-    put(to, bits, every, r, suffix_array(r), plain=True)
-
-
-def runs(shard: Shard, q: Stretches, at: np.ndarray, left: np.ndarray, size: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Longest context and its count for runs of places (at: all runs' places, q holds them backwards; size: of the runs), of which few are searched: where
-    two places of a run have the same begin and count, all between have.  In runs that are whole only contexts that begin with the text count, others as 0.
+    n = np.minimum(stops[np.searchsorted(stops, first)], block.offsets[1:][block.owner[first]]) - first
+    return np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def pairs(at: np.ndarray, size: np.ndarray, w: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of windows, first and second, of places whose text goes on before the first, by shard; their shards; each place's pair."""
+    one, two = w[at], w[at - size[at]]
+    order = np.lexsort((two, one))
+    head = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)] if len(at) else np.zeros(0, bool)
+    a, b = one[order][head], two[order][head]
+    to = shard_of(a, shards)
+    by = np.argsort(to, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    which = np.empty(len(at), np.int64)
+    which[order] = place[np.cumsum(head) - 1]
+    return a[by], b[by], to[by], which
+
+
+def send_pairs(path: str, at: np.ndarray, held: np.ndarray, own: np.ndarray, size: np.ndarray, w: np.ndarray, shards: int) -> tuple[list[tuple], list[np.ndarray]]:
+    """Rows of the pairs of training places at, some of which are their texts' own, and of held places; to keep: shards and pairs of either."""
+    one, two, to, which = pairs(at, size, w, shards)
+    counts = np.bincount(which, minlength=len(one)).astype(np.uint32)
+    mine = np.zeros(len(one), bool)
+    mine[which[np.searchsorted(at, own)]] = True
+    rows = send_parts(path, CORPUS, to, shards, lambda k: (pack_sorted(one[k]), pack_all([two[k], counts[k], mine[k]])))
+    asked_one, asked_two, asked_to, asked_which = pairs(held, size, w, shards)
+    rows += send_parts(path, HELD, asked_to, shards, lambda k: (pack_sorted(asked_one[k]), pack_all([asked_two[k]])))
+    return rows, [to, which, asked_to, asked_which]
+
+
+def answer_pairs(table: pa.Table) -> pa.Table:
+    """One shard: how far and how often pairs go that are asked for, or are of a training text's own begin; which pairs of the corpus are asked for as a whole."""
+    rows = [*zip(*(c.to_pylist() for c in table.columns), strict=True)]
+    del table
+    out = [(r[0], r[1], HERE, b"", b"") for r in rows if r[2] == HERE]
+    corpus, held = ([(r, unpack_sorted(r[3]), *unpack_all(r[4])) for r in rows if r[2] == kind] for kind in (CORPUS, HELD))
+    del rows
+    firsts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in corpus)]))
+    seconds = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[2] for p in corpus)]))
+    number = lambda one, two: np.searchsorted(firsts, one).astype(np.uint64) << np.uint64(32) | np.searchsorted(seconds, two).astype(np.uint64)
+    mine = [number(p[1], p[2]) for p in corpus]
+    every = np.concatenate([np.zeros(0, np.uint64), *mine])
+    order = np.argsort(every)
+    counts = np.concatenate([np.zeros(0, np.int64), *(p[3] for p in corpus)])[order].astype(np.int64)
+    every = every[order]
+    head = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    known, n = every[head], np.add.reduceat(counts, head) if len(head) else counts
+    del every, order, counts
+    sums, says = np.r_[0, np.cumsum(n)], np.zeros(len(known), bool)
+    tell = lambda r, kind, length, times, whole: (r[0], r[1], kind, pack(length | whole.astype(np.uint8) << 7), pack_all([*times]))
+    for r, one, two in held:
+        at = np.searchsorted(firsts, one)
+        there = firsts[np.minimum(at, len(firsts) - 1)] == one if len(firsts) else np.zeros(len(one), bool)
+        length, times, whole = search_pairs(known, sums, seconds, np.where(there, at, 0xFFFFFFFE), two)
+        says[np.searchsorted(known, number(one[whole], two[whole]))] = True
+        out.append(tell(r, HELD, length, times, whole))
+    for (r, one, two, _, own), key in zip(corpus, mine, strict=True):
+        own = own.astype(bool)
+        length, times, whole = search_pairs(known, sums, seconds, np.searchsorted(firsts, one[own]), two[own], known=True)
+        at = np.searchsorted(known, key[own])
+        says[at[n[at] > 1]] = True
+        out.append(tell(r, OWN, length, times, whole))
+    out += [(r[0], r[1], CORPUS, pack(says[np.searchsorted(known, key)]), str(len(key)).encode()) for (r, *_), key in zip(corpus, mine, strict=True)]
+    return pa.Table.from_batches([_row(out)])
+
+
+def answer_ladder(table: pa.Table) -> pa.Table:
+    """One shard: how many rungs (hashes of longer and longer contexts; 0: none) of each asked place the corpus has, and how often the last; on which rungs,
+    as bits, places stopped that agree with a place of the corpus."""
+    rows = [*zip(*(c.to_pylist() for c in table.columns), strict=True)]
+    del table
+    out = [(r[0], r[1], HERE, b"", b"") for r in rows if r[2] == HERE]
+    corpus, held = ([(r, unpack_rungs(r[3])) for r in rows if r[2] == kind] for kind in (CORPUS, HELD))
+    weights = np.concatenate([np.zeros(0, np.int64), *(unpack(r[4]) for r, _ in corpus)]).astype(np.int64)
+    del rows
+    rungs = max([0, *(len(p[1]) for p in corpus + held)])
+    cat = lambda parts, k: np.concatenate([np.zeros(0, np.uint64), *(p[k] if k < len(p) else np.zeros(len(p[0]), np.uint64) for _, p in parts)])
+    n, m = (sum(len(p[0]) for _, p in parts) for parts in (corpus, held))
+    last, times = np.zeros(m, np.uint8), np.zeros(m, np.int64)
+    for k in range(1, rungs):
+        have, ask = cat(corpus, k), cat(held, k)
+        order = np.argsort(have)
+        have, sums = have[order], np.r_[0, np.cumsum(weights[order])]
+        often = np.where(ask != 0, sums[np.searchsorted(have, ask, "right")] - sums[np.searchsorted(have, ask, "left")], 0)
+        last[often > 0], times[often > 0] = k, often[often > 0]
+    bits = np.zeros(n, np.uint32)
+    for k in range(rungs):
+        stopped = np.unique(cat(held, k)[last == k])
+        if len(stopped):
+            x = cat(corpus, k)
+            bits |= (stopped[np.minimum(np.searchsorted(stopped, x), len(stopped) - 1)] == x).astype(np.uint32) << np.uint32(k)
+    at = 0
+    for r, p in corpus:
+        out.append((r[0], r[1], CORPUS, pack(bits[at : at + len(p[0])]), str(len(p[0])).encode()))
+        at += len(p[0])
+    at = 0
+    for r, p in held:
+        here = slice(at, at + len(p[0]))
+        out.append((r[0], r[1], HELD, pack(last[here]), pack(times[here])))
+        at += len(p[0])
+    return pa.Table.from_batches([_row(out)])
+
+
+def _answers(table: pa.Table) -> tuple[str, list[tuple]]:
+    """A block's path, and what the shards answer it."""
+    return table.column("block")[0].as_py(), [*zip(*(table.column(c).to_pylist() for c in ("shard", "kind", "data", "extra")), strict=True)]
+
+
+def unpack_rungs(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return [*unpack(data[8:]).reshape(-1, n)]
+
+
+class Search:
+    """What a block keeps between rounds.
+
+    at: places asked for, length and times: their context so far, head: the place (a number in at) that it follows, own: of a training text's begin;
+    who, gap: places that go on, and what is left of their steps (0: the first ladder); place, size, step: the same of training places, with lengths;
+    to, which, place_to, place_which: of either, the shards of the distinct ladders, and each place's ladder.
     """
-    n, last = len(at), len(q.x) - 1
-    length, times = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if not n:
-        return length, times
-    step = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
-    all_ = np.repeat(whole, size)
-    point = np.flatnonzero(((step % STRIDE == 0) & ~all_) | (step == 0) | (step == np.repeat(size, size) - 1))
-    begin = np.full(n, -1, np.int64)
-
-    def search(k: np.ndarray) -> None:
-        length[k], times[k] = shard.search(q, last - at[k], left[k], np.where(all_[k], left[k], 2))
-        part = k[all_[k] & (length[k] < left[k])]
-        length[part] = times[part] = 0
-        begin[k] = np.where(all_[k], 0, np.where(length[k] > 1, at[k] - length[k], -2 - k))
-
-    search(point)
-    a, b = point[:-1], point[1:]
-    inner = (step[b] > 0) & (b - a > 1)
-    a, b = a[inner], b[inner]
-    while len(a):
-        same = (begin[a] == begin[b]) & (times[a] == times[b])
-        gap = b[same] - a[same] - 1
-        origin = np.repeat(a[same], gap)
-        k = origin + np.arange(int(gap.sum())) - np.repeat(np.cumsum(gap) - gap, gap) + 1
-        length[k], times[k] = np.where(times[origin] > 0, length[origin] + (k - origin), 0), times[origin]
-        a, b = a[~same], b[~same]
-        mid = (a + b) // 2
-        search(mid)
-        a, b = np.r_[a, mid], np.r_[mid, b]
-        wide = b - a > 1
-        a, b = a[wide], b[wide]
-    return length, times
-
-
-def deepen(parts: list[list[np.ndarray]], names: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Searches all shards for what windows can't tell of some blocks (what they ask); for each block lengths and counts of the held places asked, and
-    places of training texts and their counts."""
-    sizes = np.array([len(p[1]) for p in parts])
-    shift = np.cumsum(sizes) - sizes
-    cat = lambda k, move: np.concatenate([p[k].astype(np.int64) + (s if move else 0) for p, s in zip(parts, shift.tolist(), strict=True)])
-    text = np.concatenate([p[1] for p in parts])
-    gaps = np.flatnonzero(text == 0)
-    held, size, begin, low, high = cat(2, True), cat(5, False), cat(6, True), cat(8, False), cat(9, False)
-    left = held - gaps[np.searchsorted(gaps, held) - 1]
-    held_bits, own_bits = (np.concatenate([p[k] for p in parts]) for k in (4, 10))
-    block = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
-    length, times = size.copy(), np.concatenate([p[11] for p in parts])
-    spread = high - low + 1
-    slot = np.cumsum(spread) - spread
-    own = np.zeros(int(spread.sum()), np.int64)
-    last = len(text) - 1
-    if len(held) or len(begin):
-        for name in names:
-            bits, words, r, sa = get(name)
-            shard = Shard(r, sa)
-            numbers = []
-            for p, n, s in zip(parts, sizes.tolist(), shift.tolist(), strict=True):
-                at = np.minimum(np.searchsorted(words, p[0]), len(words) - 1)
-                numbers.append(np.r_[np.uint32(0), np.where(words[at] == p[0], at + 1, int(UNKNOWN)).astype(np.uint32)][text[s : s + n]])
-            q = Stretches(np.concatenate(numbers)[::-1].copy())
-            admits = lambda b, bits=bits: (bits[b >> np.uint32(3)] >> (b & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-            on, of = np.flatnonzero(admits(held_bits)), np.flatnonzero(admits(own_bits))
-            head = np.flatnonzero(np.r_[True, (held[on[1:]] != held[on[:-1]] + 1) | (left[on[1:]] != left[on[:-1]] + 1)]) if len(on) else on
-            n = spread[of]
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            l = np.repeat(low[of], n) + step
-            got, often = runs(shard, q, np.r_[held[on], np.repeat(begin[of], n) + l - 1], np.r_[left[on], l], np.r_[np.diff(np.r_[head, len(on)]), n], np.repeat([False, True], [len(head), len(of)]))
-            own[np.repeat(slot[of], n) + step] += often[len(on) :]
-            got, often = got[: len(on)], often[: len(on)]
-            more, equal = got > length[on], (got == length[on]) & (got > size[on])
-            times[on] = np.where(more, often, np.where(equal, times[on] + often, times[on]))
-            length[on] = np.maximum(length[on], got)
-            del bits, words, r, sa, shard, q, admits
-    out, done = [], 0
-    for k, p in enumerate(parts):
-        n = p[9] - p[8] + 1
-        at = np.repeat(p[7] + p[8] - 1, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out.append((length[block == k], times[block == k], at, own[done : done + len(at)]))
-        done += len(at)
+
+    FIELDS = ("at", "length", "times", "head", "own", "who", "gap", "place", "size", "step", "to", "which", "place_to", "place_which")
+
+    def __init__(self, *values: np.ndarray):
+        for k, v in zip(self.FIELDS, values, strict=True):
+            setattr(self, k, v)
+
+    def save(self, path: str) -> None:
+        put(path, *(getattr(self, k) for k in self.FIELDS))
+
+    @classmethod
+    def load(cls, path: str) -> Search:
+        return cls(*(x.astype(bool) if k == "own" else x for k, x in zip(cls.FIELDS, get(path), strict=True)))
+
+
+def take(rows, kind: int, to: np.ndarray, kinds: list) -> list[np.ndarray]:
+    """What the shards answer for values that are ordered by shard: data, then extra, as arrays of these types."""
+    out = [np.zeros(len(to), t) for t in kinds]
+    for s, _, data, extra in (r for r in rows if r[1] == kind):
+        here = slice(*np.searchsorted(to, (s, s + 1)))
+        more = [] if len(kinds) == 1 else [unpack(extra)] if len(kinds) == 2 else unpack_all(extra)
+        for o, x in zip(out, [unpack(data), *more], strict=True):
+            o[here] = x
     return out
 
 
+def begin_search(block: Block, rows, kept: list[np.ndarray], shards: int) -> Search:
+    """From the answers on pairs: contexts of up to two windows, which places follow the one before, and which go on.
+
+    All training places with a held place's window, and all behind it in a run from a text's first window, were sent.  So if the place before occurs as often with
+    a word less as this one with two windows, it always goes on with this word: same begin, same count.  For places of a training text's own begin that holds
+    where no place before can be missing: its window is no text's first, and is a held text's only if that of the place before is.
+    """
+    at, held, own, size, says, times, to, which, held_to, held_which = kept
+    size = size.astype(np.int64)
+    left = block.ordinal + 1
+    at_own = np.searchsorted(at, own)
+    asked_at = np.r_[held, own]
+    mine = np.r_[np.zeros(len(held), bool), np.ones(len(own), bool)]
+    kinds = [np.uint8, np.int64, np.int64, np.int64]
+    a = [x[held_which] for x in take(rows, HELD, held_to, kinds)]
+    is_own = np.zeros(len(to), bool)
+    is_own[which[at_own]] = True
+    b = [np.zeros(len(to), k) for k in kinds]
+    for x, y in zip(b, take(rows, OWN, to[is_own], kinds), strict=True):
+        x[is_own] = y
+    said, now, one_less, two_less = (np.r_[x, y[which[at_own]]] for x, y in zip(a, b, strict=True))
+    order = np.argsort(asked_at, kind="stable")
+    asked_at, mine, said, now, one_less, two_less = (x[order] for x in (asked_at, mine, said, now, one_less, two_less))
+    whole, words_ = said >> 7 > 0, (said & 0x7F).astype(np.int64)
+    length = size[asked_at] + words_
+    often = np.where(words_ > 0, now, times[asked_at])
+    if len(asked_at):  # what precedes a place of a text's own begin and occurs once does so further on
+        k = np.arange(len(asked_at))
+        begin = np.maximum.accumulate(np.where(np.r_[True, block.owner[asked_at[1:]] != block.owner[asked_at[:-1]]], k, 0))
+        often = np.where(mine & (np.maximum.accumulate(np.where(mine & (often == 1), k, -1)) >= begin), 1, often)
+    goes_on = whole & (left[asked_at] > length) & ~(mine & (often == 1))
+    linked = np.zeros(len(asked_at), bool)
+    if len(asked_at):
+        j = np.flatnonzero((asked_at[1:] == asked_at[:-1] + 1) & (block.ordinal[asked_at[1:]] > 0) & whole[1:] & whole[:-1]) + 1
+        i, want = j - 1, length[j] - 1
+        have = np.where(want == length[i], now[i], np.where(want == length[i] - 1, one_less[i], np.where(want == length[i] - 2, two_less[i], -1)))
+        same = (want > size[asked_at[i]]) & (have == now[j])
+        flags, before = says[asked_at[j]], says[asked_at[i]]
+        same &= ~mine[j] | ((flags & IS_FIRST == 0) & ((flags & IN_HELD == 0) | (before & IN_HELD > 0)))
+        linked[j[same]] = True
+    head = np.maximum.accumulate(np.where(linked, 0, np.arange(len(linked)))) if len(linked) else np.zeros(0, np.int64)
+    who = np.flatnonzero(goes_on & ~linked)
+    flagged = take(rows, CORPUS, to, [np.uint8])[0][which] > 0
+    two = size[at] + size[at - size[at]]
+    on = flagged & (left[at] > two)
+    place = at[on]
+    none = np.zeros(0, np.int64)
+    return Search(asked_at, length, often, head, mine, who, np.zeros(len(who), np.int64), place, two[on], np.zeros(len(place), np.int64), none, none, none, none)
+
+
+def go_on(block: Block, search: Search, rows) -> None:
+    """Takes a ladder's answers: contexts grow by the rungs that were found, and steps shrink; places that are done, and training places nobody needs, go."""
+    left = block.ordinal + 1
+    last, times = (x[search.which] for x in take(rows, HELD, search.to, [np.uint8, np.int64]))
+    bits = take(rows, CORPUS, search.place_to, [np.uint32])[0][search.place_which]
+
+    def moved(gap, rung):
+        rung = rung.astype(np.int64)
+        first = gap == 0
+        top = np.where(first, np.int64(LADDER) ** rung, 1)
+        return np.where(first, np.where(rung > 0, top, 0), gap * rung), np.where(first, top * LADDER // STEPS, gap // STEPS)
+
+    more, gap = moved(search.gap, last)
+    who = search.who
+    search.length[who] += more
+    search.times[who] = np.where(last > 0, times, search.times[who])
+    keep = (gap > 0) & (left[search.at[who]] > search.length[who])
+    search.who, search.gap = who[keep], gap[keep]
+    place, size, step = [], [], []
+    for k in range(int(bits.max(initial=0)).bit_length()):
+        on = np.flatnonzero(bits >> np.uint32(k) & np.uint32(1))
+        more, gap = moved(search.step[on], np.full(len(on), k))
+        grown = search.size[on] + more
+        keep = (gap > 0) & (left[search.place[on]] > grown)
+        place.append(search.place[on][keep])
+        size.append(grown[keep])
+        step.append(gap[keep])
+    search.place, search.size, search.step = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (place, size, step))
+
+
+def send_ladder(path: str, block: Block, search: Search, shards: int) -> list[tuple]:
+    """Rows of the distinct ladders of all places that go on, and of the training places that may agree with how many have each."""
+    left = block.ordinal + 1
+    last = len(block.local) - 1
+    hashes = Stretches(block.words[block.local][::-1]) if len(search.who) or len(search.place) else None
+
+    def ladder(place, size, step) -> list[np.ndarray]:
+        salt = mix((size << 32 | step).astype(np.uint64))
+        out = [mix(hashes.of(last - place, size) ^ salt)]
+        most = int((left[place] - size).max(initial=0))
+        first = bool(len(step)) and step[0] == 0
+        for k in range(1, STEPS) if not first else range(1, 32):
+            if first and LADDER**k > most:
+                break
+            grown = size + (LADDER**k if first else step * k)
+            some = np.flatnonzero(left[place] >= grown)
+            rung = np.zeros(len(place), np.uint64)
+            rung[some] = mix(hashes.of(last - place[some], grown[some]) ^ salt[some]) | np.uint64(1)
+            out.append(rung)
+        return out
+
+    rows = [(0, path, HERE, b"", b"")]
+    if hashes is None:
+        search.to = search.which = search.place_to = search.place_which = np.zeros(0, np.int64)
+        return rows
+    for kind, place, size, step in ((HELD, search.at[search.who], search.length[search.who], search.gap), (CORPUS, search.place, search.size, search.step)):
+        rungs = ladder(place, size, step)
+        same = rungs[0].copy()
+        for k, x in enumerate(rungs[1:]):
+            same += x * np.uint64(2 * k + 3)
+        _, index, which, n = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+        to = (rungs[0][index] >> np.uint64(33)).astype(np.int64) * shards >> 31
+        order = np.argsort(to, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        to, which, table, n = to[order], back[which], np.stack(rungs)[:, index[order]], n[order].astype(np.uint32)
+        if kind == HELD:
+            search.to, search.which = to, which
+        else:
+            search.place_to, search.place_which = to, which
+        extra = lambda k, kind=kind, n=n: pack(n[k]) if kind == CORPUS else b""
+        rows += send_parts(path, kind, to, shards, lambda k, table=table, extra=extra: (np.int64(k.stop - k.start).tobytes() + pack(table[:, k].ravel()), extra(k)))
+    return rows
+
+
+def found(block: Block, search: Search, length: np.ndarray, times: np.ndarray) -> None:
+    """Sets the lengths and counts of the places asked for; places that follow another have its begin and count, those of a text's own begin all before."""
+    size = search.length[search.head] + search.at - search.at[search.head]
+    length[search.at] = np.where(search.own, block.ordinal[search.at] + 1, size)
+    times[search.at] = search.times[search.head]
+
+
 def score_block(block: Block, length: np.ndarray, times: np.ndarray, count: np.ndarray, total: int, vocabulary: int):
     """n_tokens, n_known, base_score, score of every text of a block."""
     c = count[block.local]
@@ -789,63 +832,57 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     answers = store(sent.groupBy("shard").applyInArrow(answer, _ROWS), "ngram-answers")
     settle(spark)
 
+    deep_shards = max(1, -(-total // shard_tokens))
+
     def join(table: pa.Table) -> pa.Table:
-        path = table.column("block")[0].as_py()
-        rows = [*zip(*(table.column(c).to_pylist() for c in ("shard", "kind", "data", "extra")), strict=True)]
-        del table
+        path, rows = _answers(table)
         block = load(path)
-        length, times, deep, again, size, count, w = merge(block, _codes(codes_path), rows, shards, least, total)
-        corpus = np.flatnonzero(deep & ~block.in_held)
-        text, _ = stretches(block, corpus)
-        ask = asks(block, times, deep, again, size, w)
+        length, times, deep, again, size, count, w, says = merge(block, _codes(codes_path), rows, shards, least, total)
+        corpus, held_at, own = np.flatnonzero(deep & ~block.in_held), np.flatnonzero(deep & block.in_held), own_places(block, times, again, size)
+        out, kept = send_pairs(path, corpus, held_at, own, size.astype(np.int64), w, deep_shards)
         put(path + ".short", np.diff(length, prepend=np.int32(0)), times, count)
-        put(path + ".deep", block.words, text, np.diff(np.unique(filter_bits(w[corpus])), prepend=np.uint32(0)))
-        put(path + ".ask", *ask)
-        return pa.table({"block": [path], "n": pa.array([len(text)], pa.int64()), "asks": pa.array([len(ask[1])], pa.int64())})
-
-    parts = max(spark.sparkContext.defaultParallelism, -(-total // (4 * BLOCK_TOKENS)))
-    made = answers.where("block != ''").repartition(parts, "block").groupBy("block").applyInArrow(join, "block string, n long, asks long").collect()
-    made = sorted((b["block"], b["n"], b["asks"]) for b in made)  # a row for each block
-
-    def grouped(k: int, most: int) -> list[list[str]]:
-        out, filled = [], most
-        for b in made:
-            if filled >= most:
-                out.append([])
-                filled = 0
-            out[-1].append(b[0])
-            filled += b[k]
-        return out
-
-    sources = [g for g in grouped(1, shard_tokens) if any(b[1] for b in made)]
-    names = [f"{folder}/suffixes-{k}" for k in range(len(sources))]
-    tasks = grouped(2, ASK_TOKENS)
-
-    def build(batches):
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                build_shard(sources[k], names[k])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], ["id"])
-
-    if sources:
-        spark.range(0, len(sources), 1, len(sources)).mapInArrow(build, "id long").count()
-
-    def run(batches):
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                parts = [read_asks(path + ".ask") for path in tasks[k]]
-                found = deepen(parts, names)
-                held_at = [p[3] for p in parts]
-                del parts
-                for path, at, (l, t, begun, counts) in zip(tasks[k], held_at, found, strict=True):
-                    block, (length, times, count) = load(path), get(path + ".short")
-                    length, times = np.cumsum(length, dtype=np.int64), times.copy()
-                    length[at], times[at], times[begun] = l, t, counts
-                    n, known, base, score = score_block(block, length, times, count, total, vocabulary)
-                    yield pa.RecordBatch.from_arrays([pa.array(block.ids, mask=block.null), pa.array(block.held), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    made_of = spark.range(0, len(tasks), 1, max(1, len(tasks)))
-    return made_of.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+        put(path + ".pairs", corpus, held_at, own, size, says, times, *kept)
+        return pa.Table.from_batches([_row([(0, path, HERE, b"", b""), *out])])
+
+    def climb(k: int, shards: int):
+        def each(table: pa.Table) -> pa.Table:
+            path, rows = _answers(table)
+            block = load(path)
+            if k == 0:
+                search = begin_search(block, rows, get(path + ".pairs"), deep_shards)
+            else:
+                search = Search.load(f"{path}.{k - 1}")
+                go_on(block, search, rows)
+            out = send_ladder(path, block, search, shards)
+            search.save(f"{path}.{k}")
+            drop(path + ".pairs" if k == 1 else f"{path}.{k - 2}" if k > 1 else "")
+            return pa.Table.from_batches([_row(out)])
+
+        return each
+
+    def by_block(table: DataFrame, f, kind: str = _ROWS) -> DataFrame:
+        return table.where("block != ''").repartition(parts, "block").groupBy("block").applyInArrow(f, kind)
+
+    parts, k = max(spark.sparkContext.defaultParallelism, -(-total // (4 * BLOCK_TOKENS))), 0
+    answers = store(by_block(answers, join).groupBy("shard").applyInArrow(answer_pairs, _ROWS), "ngram-pairs")
+    while True:
+        settle(spark)
+        state = answers.agg(F.sum(F.when(F.col("kind") == CORPUS, F.col("extra").cast("string").cast("long"))), F.max((F.col("kind") == HELD).cast("int"))).first()
+        if k and not state[1]:  # no place went on
+            break
+        shards_now = max(1, -(-(state[0] or 0) // max(1, shard_tokens // 4)))
+        answers = store(by_block(answers, climb(k, shards_now)).groupBy("shard").applyInArrow(answer_ladder, _ROWS), "ngram-ladder")
+        k += 1
+
+    def score(table: pa.Table) -> pa.Table:
+        path, _ = _answers(table)
+        block, (length, times, count), search = load(path), get(path + ".short"), Search.load(f"{path}.{k - 1}")
+        length, times = np.cumsum(length, dtype=np.int64), times.copy()
+        found(block, search, length, times)
+        n, known, base, score = score_block(block, length, times, count, total, vocabulary)
+        return pa.table([pa.array(block.ids, mask=block.null), pa.array(block.held), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return by_block(answers, score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
 def op9_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:

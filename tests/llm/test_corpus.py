@@ -393,3 +393,53 @@ def test_ngram_of_a_long_repetition(spark):
     for key, size, last in ((1, 3000, 1), (2, 500, 1)):
         want = sum(math.log10((c(k + 1) + m(k) * b) / (c(k) + m(k))) for k in range(size)) + math.log10((last + m(size) * end) / (c(size) + m(size)))
         assert abs(got[key]["score"] - want) < 1e-9 and got[key]["n_tokens"] == size + 1
+
+
+def longest_contexts(rows, held):
+    """id -> score, by how far the words before every place agree with those before every training place."""
+    t = {k: x.lower().split() + ["</>"] for k, x in rows}
+    number = {w: k for k, w in enumerate(sorted({w for v in t.values() for w in v}))}
+    train = [np.array([number[w] for w in v]) for k, v in t.items() if not held[k]]
+    corpus, first = np.concatenate(train), np.cumsum([0, *map(len, train[:-1])])
+    n, uni, out = len(corpus), np.bincount(corpus, minlength=len(number)), {}
+    for k, v in t.items():
+        alike, size, total = np.zeros(n, np.int64), 0, 0.0  # words that agree, up to and with each training place; the longest
+        for x in (number[w] for w in v):
+            b = (uni[x] + 0.5) / (n + 0.5 * ((uni > 0).sum() + 1))
+            m = float(op9_ngram.weight(np.array([size]))[0])
+            before = np.r_[0, alike[:-1]]
+            before[first] = 0
+            c = (alike >= size).sum() if size else n
+            alike = np.where(corpus == x, before + 1, 0)
+            total += math.log10(((alike > size).sum() + m * b) / (c + m))
+            size = int(alike.max())
+        out[k] = total
+    return out
+
+
+def test_ngram_long_contexts_without_shared_indexes(spark, tmp_path, monkeypatch):
+    """Copies of up to 5000 words with edits, common passages and repetitions in many blocks: right scores, and tasks share no file but the dictionary.
+
+    What all tasks read (each suffix array, before) costs blocks times corpus.
+    """
+    monkeypatch.setattr(op9_ngram, "BLOCK_TOKENS", 3000)
+    rng = random.Random(29)
+    long, line = words(rng, 5000, 300), words(rng, 40, 300)
+    texts = [list(long), list(long), long[:4700], long[300:], long[100:900] + words(rng, 30, 300) + long[850:1500], ["a", "b", "c"] * 400, ["b", "c", "a"] * 90]
+    for _ in range(24):
+        at = rng.randrange(4000)
+        copy = long[at : at + rng.choice([5, 12, 20, 60, 300, 600])]
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(9)}"
+        texts.append(words(rng, rng.randrange(20), 300) * (rng.random() < 0.5) + copy + line[: rng.randrange(41)] + words(rng, 10, 300))
+    rows = [(k, " ".join(x)) for k, x in enumerate(texts)]
+    held = {k: k in (1, 4, 6) or k % 3 == 2 and k > 6 for k, _ in rows}
+    df = spark.createDataFrame([(k, x, held[k]) for k, x in rows], "doc_id long, text string, h boolean").repartition(3)
+    df.write.parquet(f"{tmp_path}/docs")
+    (tmp_path / "shared").mkdir()
+    monkeypatch.setattr(op9_ngram, "new_folder", lambda _: f"file://{tmp_path}/shared")
+    got = op9_ngram.score_texts(spark.read.parquet(f"{tmp_path}/docs"), held=F.col("h"), shard_tokens=4000).collect()
+    want = longest_contexts(rows, held)
+    assert len(got) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-8 for r in got)
+    files = {p.name.split("-")[0] for p in tmp_path.glob("shared/*")}
+    assert "block" in files and files <= {"block", "dictionary"}

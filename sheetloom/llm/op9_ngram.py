@@ -32,6 +32,7 @@ same order when a partition is read again, as a stored table does.
 from __future__ import annotations
 
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +107,14 @@ def unpack(data: bytes) -> np.ndarray:
     kind, n = data[:8].decode().strip(), int(np.frombuffer(data, np.int64, 1, 8)[0])
     kind = np.dtype(kind)
     raw = np.frombuffer(pa.decompress(memoryview(data)[16:], n * kind.itemsize, "zstd"), np.uint8)
-    return raw.reshape(kind.itemsize, n).T.ravel().view(kind) if kind.itemsize > 1 else raw.view(kind)
+    if kind.itemsize == 1:
+        return raw.view(kind)
+    planes, whole = raw.reshape(kind.itemsize, n), np.dtype(f"u{kind.itemsize}")
+    out = planes[0].astype(whole)
+    for k in range(1, kind.itemsize):
+        if planes[k].any():
+            out |= planes[k].astype(whole) << whole.type(8 * k)
+    return out.view(kind)
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -118,6 +126,28 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(x, dtype=x.dtype)
 
 
+# ---- sorting and searching
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (np.unique hashes where only values are asked for, which takes many times as long as a sort)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def look_up(table: np.ndarray, x: np.ndarray, side: str = "left", order: np.ndarray | None = None) -> np.ndarray:
+    """np.searchsorted for x in any order; sorting x costs less than the cache misses of an unsorted search.  order: one that sorts x, if known."""
+    order = np.argsort(x) if order is None else order
+    out = np.empty(len(x), np.int64)
+    out[order] = np.searchsorted(table, x[order], side)
+    return out
+
+
+def by_shard(to: np.ndarray, shards: int) -> np.ndarray:
+    """Order of shards, stable."""
+    return np.argsort(to.astype(np.uint16) if shards <= 1 << 16 else to, kind="stable")
+
+
 def new_folder(spark: SparkSession) -> str:
     path = f"{shared_folder(spark)}/sheetloom/ngram-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -149,9 +179,22 @@ class Block:
     def __init__(self, ids, held, words, local, offsets):
         self.ids, self.held, self.words, self.local, self.offsets = ids, held.astype(bool), words, local, offsets
         self.sizes = np.diff(offsets)
-        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.ordinal = np.arange(len(local)) - offsets[:-1][self.owner]
-        self.in_held = self.held[self.owner]
+
+    @cached_property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    @cached_property
+    def ordinal(self) -> np.ndarray:
+        return np.arange(len(self.local)) - np.repeat(self.offsets[:-1], self.sizes)
+
+    @cached_property
+    def in_held(self) -> np.ndarray:
+        return np.repeat(self.held, self.sizes)
+
+    def left(self, at: np.ndarray) -> np.ndarray:
+        """Words of a place's text up to and with it."""
+        return at - self.offsets[np.searchsorted(self.offsets, at, "right") - 1] + 1
 
 
 def _blocks(batches, size: int):
@@ -197,17 +240,22 @@ class Codes:
 
 def windows(block: Block, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every token the window of the words that end with it, and how many they are."""
-    out, used = code[block.local].copy(), size[block.local].astype(np.int64)
-    n = np.ones(len(out), np.uint8)
-    on = np.arange(len(out))
-    for k in range(1, 8):
-        on = on[(block.ordinal[on] >= k) & (used[on] < 8)]
-        word = block.local[on - k]
-        fits = used[on] + size[word] <= 8
-        on, word = on[fits], word[fits]
-        out[on] |= code[word] >> (used[on] * 8).astype(np.uint64)
-        used[on] += size[word]
-        n[on] += 1
+    most = 8
+    codes, sizes = np.zeros(len(block.local) + most, np.uint64), np.full(len(block.local) + most, 99, np.uint8)
+    codes[most:], sizes[most:] = code[block.local], size[block.local]
+    out, n = codes[most:].copy(), np.ones(len(block.local), np.uint8)
+    for first in range(0, len(out), 1 << 15):  # what the processor's cache holds at a time
+        here = slice(first, min(first + (1 << 15), len(out)))
+        w, words, ordinal = out[here], n[here], np.minimum(block.ordinal[here], most).astype(np.uint8)
+        used, on = sizes[most:][here].copy(), np.ones(len(w), bool)
+        for k in range(1, most):
+            back = slice(here.start + most - k, here.stop + most - k)
+            on &= (ordinal >= k) & (used + sizes[back] <= 8)
+            if not on.any():
+                break
+            w |= np.where(on, codes[back] >> (used.astype(np.uint64) << np.uint64(3)), np.uint64(0))
+            used += sizes[back] * on
+            words += on
     return out, n
 
 
@@ -221,8 +269,10 @@ def code_ends(w: np.ndarray, most: int = 8) -> np.ndarray:
     for k in range(most):
         size = np.where(at < 8, _SIZES[(w << (np.minimum(at, 7).astype(np.uint64) * np.uint64(8)) >> np.uint64(56)).astype(np.uint8)], 0).astype(np.uint8)
         on = (size > 0) & (at + size <= 8)
-        at = np.where(on, at + size, 8).astype(np.uint8)
-        out[on, k] = at[on]
+        at = np.where(on, at + size, np.uint8(8))
+        out[:, k] = np.where(on, at, np.uint8(99))
+        if not on.any():
+            break
     return out
 
 
@@ -270,9 +320,9 @@ def search_pairs(corpus: np.ndarray, sums: np.ndarray, seconds: np.ndarray, firs
     for begin in range(0, n, 1 << 17):
         here = slice(begin, begin + (1 << 17))
         part, group = q[here], base[here]
-        ends = code_ends(part)
+        ends, order = code_ends(part), np.argsort(part)
         best, whole = ((ends < 99).sum(axis=1) if known else np.zeros(len(part), np.int64)), np.full(len(part), known)
-        at = None if known else np.searchsorted(corpus, group | np.searchsorted(seconds, part).astype(np.uint64))
+        at = None if known else np.searchsorted(corpus, group | look_up(seconds, part, order=order).astype(np.uint64))
         for k in () if known else (at - 1, at):
             pair = corpus[np.clip(k, 0, len(corpus) - 1)]
             there = (k >= 0) & (k < len(corpus)) & (pair >> np.uint64(32) == group >> np.uint64(32))
@@ -285,8 +335,8 @@ def search_pairs(corpus: np.ndarray, sums: np.ndarray, seconds: np.ndarray, firs
         for less in range(3):
             some = best > less
             mask = _MASKS[np.where(some, ends[np.arange(len(part)), np.maximum(best - 1 - less, 0)], 0)]
-            a = np.searchsorted(corpus, group | np.searchsorted(seconds, part & mask, "left").astype(np.uint64))
-            b = np.searchsorted(corpus, group + np.searchsorted(seconds, part & mask | ~mask, "right").astype(np.uint64))
+            a = np.searchsorted(corpus, group | look_up(seconds, part & mask, "left", order).astype(np.uint64))
+            b = np.searchsorted(corpus, group + look_up(seconds, part & mask | ~mask, "right", order).astype(np.uint64))
             times[less, here] = np.where(some, sums[b] - sums[a], 0)
         length[here], found[here] = best, whole
     return length, times, found
@@ -395,7 +445,7 @@ def send(docs: DataFrame, folder: str, dictionary: str, least: int, shards: int)
             rows = [(0, path, HERE, b"", b"")]
             for kind, (_, values, inverse, to) in asked(block, codes, shards, least)[0].items():
                 counts = np.bincount(inverse, minlength=len(values)).astype(np.uint32) if kind == CORPUS else None
-                order = np.argsort(to, kind="stable")
+                order = by_shard(to, shards)
                 edges = np.searchsorted(to[order], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(edges)).tolist():
                     part = order[edges[s] : edges[s + 1]]
@@ -423,9 +473,11 @@ def answer(table: pa.Table) -> pa.Table:
     counts = np.concatenate([np.zeros(0, np.int64), *(unpack(rows[k][4]) for k, _ in parts)]).astype(np.int64)
     order = np.argsort(every, kind="stable")
     every, counts = every[order], counts[order]
-    head = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    new = np.r_[True, every[1:] != every[:-1]] if len(every) else np.zeros(0, bool)
+    head, number = np.flatnonzero(new), np.empty(len(every), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
     corpus, n = every[head], np.add.reduceat(counts, head) if len(head) else counts
-    del every, order, counts
+    del every, order, counts, new, head
     sums = np.r_[0, np.cumsum(n)]
     says = np.where(n > 1, AGAIN, 0).astype(np.uint8)
     for _, w in of(FIRST):
@@ -436,8 +488,10 @@ def answer(table: pa.Table) -> pa.Table:
             if kind == HELD and len(corpus):
                 says[np.searchsorted(corpus, w[whole])] |= IN_HELD
             out.append((rows[k][0], rows[k][1], kind, pack(length | whole.astype(np.uint8) << 7), pack(times)))
+    at = 0
     for k, w in parts:
-        out.append((rows[k][0], rows[k][1], CORPUS, pack(says[np.searchsorted(corpus, w)]), b""))
+        out.append((rows[k][0], rows[k][1], CORPUS, pack(says[number[at : at + len(w)]]), b""))
+        at += len(w)
     rare, n = [np.concatenate([np.zeros(0, x), *(unpack(r[c]) for r in rows if r[2] == RARE)]) for c, x in ((3, np.uint64), (4, np.int64))]
     order = np.argsort(rare)
     rare, n = rare[order], n[order]
@@ -458,16 +512,20 @@ def merge(block: Block, codes: Codes, rows, shards: int, least: int, total: int)
     deep, again, says = np.zeros(len(left), bool), np.zeros(len(left), bool), np.zeros(len(left), np.uint8)
     if least > 1:
         got = np.zeros(len(what[ASKED][1]), np.int64)
+        order = by_shard(what[ASKED][3], shards)
+        edges = np.searchsorted(what[ASKED][3][order], np.arange(shards + 1))
         for s, _, data, _ in (r for r in rows if r[1] == ASKED):
-            got[what[ASKED][3] == s] = unpack(data)
+            got[order[edges[s] : edges[s + 1]]] = unpack(data)
         count[count < 0] = got
     count = np.maximum(count, 0)
     known = count[block.local]
     for kind in (CORPUS, HELD, BEGIN):
         at, values, inverse, to = what[kind]
         l, n, flag = np.zeros(len(values), np.int32), np.zeros(len(values), np.int64), np.zeros(len(values), np.uint8)
+        order = by_shard(to, shards)
+        edges = np.searchsorted(to[order], np.arange(shards + 1))
         for s, _, data, extra in (r for r in rows if r[1] == kind):
-            here = np.flatnonzero(to == s)
+            here = order[edges[s] : edges[s + 1]]
             if kind == CORPUS:
                 flag[here] = unpack(data)
             else:
@@ -529,7 +587,7 @@ def pairs(at: np.ndarray, size: np.ndarray, w: np.ndarray, shards: int) -> tuple
     head = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)] if len(at) else np.zeros(0, bool)
     a, b = one[order][head], two[order][head]
     to = shard_of(a, shards)
-    by = np.argsort(to, kind="stable")
+    by = by_shard(to, shards)
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
     which = np.empty(len(at), np.int64)
@@ -556,11 +614,11 @@ def answer_pairs(table: pa.Table) -> pa.Table:
     out = [(r[0], r[1], HERE, b"", b"") for r in rows if r[2] == HERE]
     corpus, held = ([(r, unpack_sorted(r[3]), *unpack_all(r[4])) for r in rows if r[2] == kind] for kind in (CORPUS, HELD))
     del rows
-    firsts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in corpus)]))
-    seconds = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[2] for p in corpus)]))
-    number = lambda one, two: np.searchsorted(firsts, one).astype(np.uint64) << np.uint64(32) | np.searchsorted(seconds, two).astype(np.uint64)
-    mine = [number(p[1], p[2]) for p in corpus]
-    every = np.concatenate([np.zeros(0, np.uint64), *mine])
+    firsts, one_at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in corpus)]), return_inverse=True)
+    seconds, every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[2] for p in corpus)]), return_inverse=True)
+    every = one_at.astype(np.uint64) << np.uint64(32) | every.astype(np.uint64)
+    del one_at
+    mine = np.split(every, np.cumsum([len(p[1]) for p in corpus])[:-1]) if corpus else []
     order = np.argsort(every)
     counts = np.concatenate([np.zeros(0, np.int64), *(p[3] for p in corpus)])[order].astype(np.int64)
     every = every[order]
@@ -573,7 +631,7 @@ def answer_pairs(table: pa.Table) -> pa.Table:
         at = np.searchsorted(firsts, one)
         there = firsts[np.minimum(at, len(firsts) - 1)] == one if len(firsts) else np.zeros(len(one), bool)
         length, times, whole = search_pairs(known, sums, seconds, np.where(there, at, 0xFFFFFFFE), two)
-        says[np.searchsorted(known, number(one[whole], two[whole]))] = True
+        says[np.searchsorted(known, at[whole].astype(np.uint64) << np.uint64(32) | look_up(seconds, two[whole]).astype(np.uint64))] = True
         out.append(tell(r, HELD, length, times, whole))
     for (r, one, two, _, own), key in zip(corpus, mine, strict=True):
         own = own.astype(bool)
@@ -585,6 +643,14 @@ def answer_pairs(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_row(out)])
 
 
+def within(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of n places are in any of the ranges, which are equal or apart, and not empty."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[low] = 1
+    edge[distinct(high)] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
 def answer_ladder(table: pa.Table) -> pa.Table:
     """One shard: how many rungs (hashes of longer and longer contexts; 0: none) of each asked place the corpus has, and how often the last; on which rungs,
     as bits, places stopped that agree with a place of the corpus."""
@@ -597,19 +663,29 @@ def answer_ladder(table: pa.Table) -> pa.Table:
     rungs = max([0, *(len(p[1]) for p in corpus + held)])
     cat = lambda parts, k: np.concatenate([np.zeros(0, np.uint64), *(p[k] if k < len(p) else np.zeros(len(p[0]), np.uint64) for _, p in parts)])
     n, m = (sum(len(p[0]) for _, p in parts) for parts in (corpus, held))
-    last, times = np.zeros(m, np.uint8), np.zeros(m, np.int64)
-    for k in range(1, rungs):
-        have, ask = cat(corpus, k), cat(held, k)
-        order = np.argsort(have)
-        have, sums = have[order], np.r_[0, np.cumsum(weights[order])]
-        often = np.where(ask != 0, sums[np.searchsorted(have, ask, "right")] - sums[np.searchsorted(have, ask, "left")], 0)
-        last[often > 0], times[often > 0] = k, often[often > 0]
-    bits = np.zeros(n, np.uint32)
+    last, times, bits = np.zeros(m, np.uint8), np.zeros(m, np.int64), np.zeros(n, np.uint32)
+    # places that agree so far, and by rung who has it in common: one without a rung has none above
+    on, there, low, high = np.arange(m), np.arange(n), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for k in range(rungs):
-        stopped = np.unique(cat(held, k)[last == k])
-        if len(stopped):
-            x = cat(corpus, k)
-            bits |= (stopped[np.minimum(np.searchsorted(stopped, x), len(stopped) - 1)] == x).astype(np.uint32) << np.uint32(k)
+        have, ask, before = cat(corpus, k)[there], cat(held, k)[on], there
+        order = np.argsort(have)
+        order = order[np.searchsorted(have[order], 1) if k else 0 :]  # 0: none
+        have, there = have[order], there[order]
+        order = np.argsort(ask)
+        ask = ask[order]
+        a, b = np.searchsorted(have, ask, "left"), np.searchsorted(have, ask, "right")
+        some = a < b
+        if k:
+            stopped = order[~some]
+            bits[before[within(len(before), low[stopped], high[stopped])]] |= np.uint32(1 << k - 1)
+            sums = np.r_[0, np.cumsum(weights[there])]
+            times[on[order[some]]] = sums[b[some]] - sums[a[some]]
+            last[on[order[some]]] = k
+        on, low, high = on[order[some]], a[some], b[some]
+        agree = within(len(there), low, high)
+        moved = np.cumsum(agree) - agree
+        there, low, high = there[agree], moved[low], moved[high - 1] + 1
+    bits[there[within(len(there), low, high)]] |= np.uint32(1 << max(rungs - 1, 0))
     at = 0
     for r, p in corpus:
         out.append((r[0], r[1], CORPUS, pack(bits[at : at + len(p[0])]), str(len(p[0])).encode()))
@@ -633,14 +709,14 @@ def unpack_rungs(data: bytes) -> list[np.ndarray]:
 
 
 class Search:
-    """What a block keeps between rounds.
+    """What a block keeps between rounds, of places that go on only.
 
-    at: places asked for, length and times: their context so far, head: the place (a number in at) that it follows, own: of a training text's begin;
-    who, gap: places that go on, and what is left of their steps (0: the first ladder); place, size, step: the same of training places, with lengths;
-    to, which, place_to, place_which: of either, the shards of the distinct ladders, and each place's ladder.
+    who: numbers among the places asked for, at, length and times: the places, their context so far, gap: what is left of their steps (0: the first
+    ladder); place, size, step: the same of training places, with lengths; to, which, place_to, place_which: of either, the shards of the distinct ladders,
+    and each place's ladder.
     """
 
-    FIELDS = ("at", "length", "times", "head", "own", "who", "gap", "place", "size", "step", "to", "which", "place_to", "place_which")
+    FIELDS = ("who", "at", "length", "times", "gap", "place", "size", "step", "to", "which", "place_to", "place_which")
 
     def __init__(self, *values: np.ndarray):
         for k, v in zip(self.FIELDS, values, strict=True):
@@ -651,7 +727,7 @@ class Search:
 
     @classmethod
     def load(cls, path: str) -> Search:
-        return cls(*(x.astype(bool) if k == "own" else x for k, x in zip(cls.FIELDS, get(path), strict=True)))
+        return cls(*get(path))
 
 
 def take(rows, kind: int, to: np.ndarray, kinds: list) -> list[np.ndarray]:
@@ -665,8 +741,9 @@ def take(rows, kind: int, to: np.ndarray, kinds: list) -> list[np.ndarray]:
     return out
 
 
-def begin_search(block: Block, rows, kept: list[np.ndarray], shards: int) -> Search:
-    """From the answers on pairs: contexts of up to two windows, which places follow the one before, and which go on.
+def begin_search(block: Block, rows, kept: list[np.ndarray], shards: int) -> tuple[list[np.ndarray], Search]:
+    """From the answers on pairs: the places asked for, lengths and counts of their contexts of up to two windows, the places (numbers among these) that they
+    follow, and whether they are of a training text's own begin; then which go on.
 
     All training places with a held place's window, and all behind it in a run from a text's first window, were sent.  So if the place before occurs as often with
     a word less as this one with two windows, it always goes on with this word: same begin, same count.  For places of a training text's own begin that holds
@@ -712,12 +789,15 @@ def begin_search(block: Block, rows, kept: list[np.ndarray], shards: int) -> Sea
     on = flagged & (left[at] > two)
     place = at[on]
     none = np.zeros(0, np.int64)
-    return Search(asked_at, length, often, head, mine, who, np.zeros(len(who), np.int64), place, two[on], np.zeros(len(place), np.int64), none, none, none, none)
+    search = Search(who, asked_at[who], length[who], often[who], np.zeros(len(who), np.int64), place, two[on], np.zeros(len(place), np.int64), none, none, none, none)
+    return [asked_at, length, often, head, mine], search
 
 
-def go_on(block: Block, search: Search, rows) -> None:
-    """Takes a ladder's answers: contexts grow by the rungs that were found, and steps shrink; places that are done, and training places nobody needs, go."""
-    left = block.ordinal + 1
+def go_on(block: Block, search: Search, rows) -> list[np.ndarray]:
+    """Takes a ladder's answers: contexts grow by the rungs that were found, and steps shrink; places that are done, and training places nobody needs, go.
+
+    Returns the numbers, lengths and counts of those that are done.
+    """
     last, times = (x[search.which] for x in take(rows, HELD, search.to, [np.uint8, np.int64]))
     bits = take(rows, CORPUS, search.place_to, [np.uint32])[0][search.place_which]
 
@@ -728,56 +808,59 @@ def go_on(block: Block, search: Search, rows) -> None:
         return np.where(first, np.where(rung > 0, top, 0), gap * rung), np.where(first, top * LADDER // STEPS, gap // STEPS)
 
     more, gap = moved(search.gap, last)
-    who = search.who
-    search.length[who] += more
-    search.times[who] = np.where(last > 0, times, search.times[who])
-    keep = (gap > 0) & (left[search.at[who]] > search.length[who])
-    search.who, search.gap = who[keep], gap[keep]
-    place, size, step = [], [], []
+    length, often = search.length + more, np.where(last > 0, times, search.times)
+    keep = (gap > 0) & (block.left(search.at) > length)
+    done = [search.who[~keep], length[~keep], often[~keep]]
+    search.who, search.at, search.length, search.times, search.gap = (x[keep] for x in (search.who, search.at, length, often, gap))
+    place, size, step, left = [], [], [], block.left(search.place)
     for k in range(int(bits.max(initial=0)).bit_length()):
         on = np.flatnonzero(bits >> np.uint32(k) & np.uint32(1))
         more, gap = moved(search.step[on], np.full(len(on), k))
         grown = search.size[on] + more
-        keep = (gap > 0) & (left[search.place[on]] > grown)
+        keep = (gap > 0) & (left[on] > grown)
         place.append(search.place[on][keep])
         size.append(grown[keep])
         step.append(gap[keep])
     search.place, search.size, search.step = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (place, size, step))
+    return done
 
 
-def send_ladder(path: str, block: Block, search: Search, shards: int) -> list[tuple]:
+def send_ladder(path: str, block: Block | None, search: Search, shards: int) -> list[tuple]:
     """Rows of the distinct ladders of all places that go on, and of the training places that may agree with how many have each."""
-    left = block.ordinal + 1
-    last = len(block.local) - 1
-    hashes = Stretches(block.words[block.local][::-1]) if len(search.who) or len(search.place) else None
+    rows = [(0, path, HERE, b"", b"")]
+    if not len(search.who) and not len(search.place):
+        search.to = search.which = search.place_to = search.place_which = np.zeros(0, np.int64)
+        return rows
+    last, hashes = len(block.local) - 1, Stretches(block.words[block.local[::-1]])
 
     def ladder(place, size, step) -> list[np.ndarray]:
         salt = mix((size << 32 | step).astype(np.uint64))
         out = [mix(hashes.of(last - place, size) ^ salt)]
-        most = int((left[place] - size).max(initial=0))
+        left = block.left(place)
+        most = int((left - size).max(initial=0))
         first = bool(len(step)) and step[0] == 0
         for k in range(1, STEPS) if not first else range(1, 32):
             if first and LADDER**k > most:
                 break
             grown = size + (LADDER**k if first else step * k)
-            some = np.flatnonzero(left[place] >= grown)
+            some = np.flatnonzero(left >= grown)
             rung = np.zeros(len(place), np.uint64)
             rung[some] = mix(hashes.of(last - place[some], grown[some]) ^ salt[some]) | np.uint64(1)
             out.append(rung)
         return out
 
-    rows = [(0, path, HERE, b"", b"")]
-    if hashes is None:
-        search.to = search.which = search.place_to = search.place_which = np.zeros(0, np.int64)
-        return rows
-    for kind, place, size, step in ((HELD, search.at[search.who], search.length[search.who], search.gap), (CORPUS, search.place, search.size, search.step)):
+    for kind, place, size, step in ((HELD, search.at, search.length, search.gap), (CORPUS, search.place, search.size, search.step)):
         rungs = ladder(place, size, step)
         same = rungs[0].copy()
         for k, x in enumerate(rungs[1:]):
             same += x * np.uint64(2 * k + 3)
-        _, index, which, n = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(same)
+        new = np.r_[True, np.diff(same[order]) != 0] if len(same) else np.zeros(0, bool)
+        which, index = np.empty(len(same), np.int64), order[new]
+        which[order] = np.cumsum(new) - 1
+        n = np.bincount(which, minlength=len(index))
         to = (rungs[0][index] >> np.uint64(33)).astype(np.int64) * shards >> 31
-        order = np.argsort(to, kind="stable")
+        order = by_shard(to, shards)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         to, which, table, n = to[order], back[which], np.stack(rungs)[:, index[order]], n[order].astype(np.uint32)
@@ -790,24 +873,23 @@ def send_ladder(path: str, block: Block, search: Search, shards: int) -> list[tu
     return rows
 
 
-def found(block: Block, search: Search, length: np.ndarray, times: np.ndarray) -> None:
+def found(block: Block, at: np.ndarray, size: np.ndarray, often: np.ndarray, head: np.ndarray, own: np.ndarray, length: np.ndarray, times: np.ndarray) -> None:
     """Sets the lengths and counts of the places asked for; places that follow another have its begin and count, those of a text's own begin all before."""
-    size = search.length[search.head] + search.at - search.at[search.head]
-    length[search.at] = np.where(search.own, block.ordinal[search.at] + 1, size)
-    times[search.at] = search.times[search.head]
+    length[at] = np.where(own, block.left(at), size[head] + at - at[head])
+    times[at] = often[head]
 
 
 def score_block(block: Block, length: np.ndarray, times: np.ndarray, count: np.ndarray, total: int, vocabulary: int):
     """n_tokens, n_known, base_score, score of every text of a block."""
-    c = count[block.local]
-    base = (c + 0.5) / (total + 0.5 * (vocabulary + 1))
+    base = (count + 0.5) / (total + 0.5 * (vocabulary + 1))
+    c, base, log_base = count[block.local], base[block.local], np.log10(base)[block.local]
     start = block.ordinal == 0
     before = np.where(start, 0, np.arange(len(c)) - 1)
     l, n = np.where(start, 0, length[before]), np.where(start, total, times[before]).astype(np.float64)
-    m = weight(l)
+    m = weight(np.arange(1 + int(l.max(initial=0))))[l]
     p = (np.where(length == l + 1, times, 0) + m * base) / (n + m)
     add = lambda x: np.add.reduceat(x, block.offsets[:-1]) if len(block.sizes) else x
-    return block.sizes, add((c > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
+    return block.sizes, add((c > 0).astype(np.int64)), add(log_base), add(np.log10(p))
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, shard_tokens: int = SHARD_TOKENS, shard_windows: int = SHARD_WINDOWS, dictionary: int = DICTIONARY) -> DataFrame:
@@ -847,12 +929,15 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     def climb(k: int, shards: int):
         def each(table: pa.Table) -> pa.Table:
             path, rows = _answers(table)
-            block = load(path)
             if k == 0:
-                search = begin_search(block, rows, get(path + ".pairs"), deep_shards)
+                block = load(path)
+                places, search = begin_search(block, rows, get(path + ".pairs"), deep_shards)
+                put(path + ".asked", *places)
             else:
                 search = Search.load(f"{path}.{k - 1}")
-                go_on(block, search, rows)
+                some = len(search.who) or len(search.place)
+                block = load(path) if some else None
+                put(f"{path}.done.{k}", *(go_on(block, search, rows) if some else [search.who] * 3))
             out = send_ladder(path, block, search, shards)
             search.save(f"{path}.{k}")
             drop(path + ".pairs" if k == 1 else f"{path}.{k - 2}" if k > 1 else "")
@@ -876,9 +961,12 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     def score(table: pa.Table) -> pa.Table:
         path, _ = _answers(table)
-        block, (length, times, count), search = load(path), get(path + ".short"), Search.load(f"{path}.{k - 1}")
-        length, times = np.cumsum(length, dtype=np.int64), times.copy()
-        found(block, search, length, times)
+        block, (length, times, count), (at, size, often, head, own) = load(path), get(path + ".short"), get(path + ".asked")
+        length = np.cumsum(length, dtype=np.int64)
+        for step in range(1, k):
+            who, more, n = get(f"{path}.done.{step}")
+            size[who], often[who] = more, n
+        found(block, at, size, often, head, own.astype(bool), length, times)
         n, known, base, score = score_block(block, length, times, count, total, vocabulary)
         return pa.table([pa.array(block.ids, mask=block.null), pa.array(block.held), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

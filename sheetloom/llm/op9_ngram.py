@@ -110,6 +110,8 @@ def unpack(data: bytes) -> np.ndarray:
     if kind.itemsize == 1:
         return raw.view(kind)
     planes, whole = raw.reshape(kind.itemsize, n), np.dtype(f"u{kind.itemsize}")
+    if n < 1 << 12:
+        return planes.T.ravel().view(kind)
     out = planes[0].astype(whole)
     for k in range(1, kind.itemsize):
         if planes[k].any():
@@ -143,6 +145,16 @@ def look_up(table: np.ndarray, x: np.ndarray, side: str = "left", order: np.ndar
     return out
 
 
+def joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
+
+
+def pieces(parts: list[np.ndarray]) -> list[slice]:
+    """Where each part is in joined(parts)."""
+    ends = np.cumsum([0, *map(len, parts)]).tolist()
+    return [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def by_shard(to: np.ndarray, shards: int) -> np.ndarray:
     """Order of shards, stable."""
     return np.argsort(to.astype(np.uint16) if shards <= 1 << 16 else to, kind="stable")
@@ -467,11 +479,9 @@ def answer(table: pa.Table) -> pa.Table:
     rows = [*zip(*(c.to_pylist() for c in table.columns), strict=True)]
     del table
     of = lambda kind: [(k, unpack_sorted(r[3])) for k, r in enumerate(rows) if r[2] == kind]
-    empty, out = np.zeros(0, np.uint64), []
-    parts = of(CORPUS)
-    every = np.concatenate([empty, *(w for _, w in parts)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(unpack(rows[k][4]) for k, _ in parts)]).astype(np.int64)
-    order = np.argsort(every, kind="stable")
+    out, parts = [], of(CORPUS)
+    every, counts = joined([w for _, w in parts]), joined([unpack(rows[k][4]) for k, _ in parts], np.int64)
+    order = np.argsort(every)
     every, counts = every[order], counts[order]
     new = np.r_[True, every[1:] != every[:-1]] if len(every) else np.zeros(0, bool)
     head, number = np.flatnonzero(new), np.empty(len(every), np.int32)
@@ -480,24 +490,30 @@ def answer(table: pa.Table) -> pa.Table:
     del every, order, counts, new, head
     sums = np.r_[0, np.cumsum(n)]
     says = np.where(n > 1, AGAIN, 0).astype(np.uint8)
-    for _, w in of(FIRST):
-        says[np.searchsorted(corpus, w)] |= IS_FIRST  # they are windows of the corpus
+    says[np.searchsorted(corpus, distinct(joined([w for _, w in of(FIRST)])))] |= IS_FIRST  # they are windows of the corpus
+
+    def each(kind: int):
+        """Distinct values that blocks ask for; for each block its row and the places among these.  Of all blocks at once, as few in a large table cost a cache miss each."""
+        parts = of(kind)
+        values, which = np.unique(joined([w for _, w in parts]), return_inverse=True)
+        return values, [(rows[k], which[here]) for (k, _), here in zip(parts, pieces([w for _, w in parts]), strict=True)]
+
     for kind in (HELD, BEGIN):
-        for k, w in of(kind):
-            length, times, whole = search_windows(corpus, sums, w)
-            if kind == HELD and len(corpus):
-                says[np.searchsorted(corpus, w[whole])] |= IN_HELD
-            out.append((rows[k][0], rows[k][1], kind, pack(length | whole.astype(np.uint8) << 7), pack(times)))
-    at = 0
-    for k, w in parts:
-        out.append((rows[k][0], rows[k][1], CORPUS, pack(says[number[at : at + len(w)]]), b""))
-        at += len(w)
-    rare, n = [np.concatenate([np.zeros(0, x), *(unpack(r[c]) for r in rows if r[2] == RARE)]) for c, x in ((3, np.uint64), (4, np.int64))]
+        values, blocks = each(kind)
+        length, times, whole = search_windows(corpus, sums, values)
+        if kind == HELD:
+            says[np.searchsorted(corpus, values[whole])] |= IN_HELD
+        length |= whole.astype(np.uint8) << 7
+        out += [(r[0], r[1], kind, pack(length[at]), pack(times[at])) for r, at in blocks]
+    for (k, _), here in zip(parts, pieces([w for _, w in parts]), strict=True):
+        out.append((rows[k][0], rows[k][1], CORPUS, pack(says[number[here]]), b""))
+    rare, n = [joined([unpack(r[c]) for r in rows if r[2] == RARE], x) for c, x in ((3, np.uint64), (4, np.int64))]
     order = np.argsort(rare)
     rare, n = rare[order], n[order]
-    for k, w in of(ASKED):
-        at = np.minimum(np.searchsorted(rare, w), len(rare) - 1)
-        out.append((rows[k][0], rows[k][1], ASKED, pack(np.where(rare[at] == w, n[at], 0) if len(rare) else np.zeros(len(w), np.int64)), b""))
+    values, blocks = each(ASKED)
+    at = np.minimum(np.searchsorted(rare, values), len(rare) - 1)
+    n = np.where(rare[at] == values, n[at], 0) if len(rare) else np.zeros(len(values), np.int64)
+    out += [(r[0], r[1], ASKED, pack(n[at]), b"") for r, at in blocks]
     out += [(r[0], r[1], HERE, b"", b"") for r in rows if r[2] == HERE]
     return pa.Table.from_batches([_row(out)])
 
@@ -614,32 +630,43 @@ def answer_pairs(table: pa.Table) -> pa.Table:
     out = [(r[0], r[1], HERE, b"", b"") for r in rows if r[2] == HERE]
     corpus, held = ([(r, unpack_sorted(r[3]), *unpack_all(r[4])) for r in rows if r[2] == kind] for kind in (CORPUS, HELD))
     del rows
-    firsts, one_at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in corpus)]), return_inverse=True)
-    seconds, every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[2] for p in corpus)]), return_inverse=True)
-    every = one_at.astype(np.uint64) << np.uint64(32) | every.astype(np.uint64)
-    del one_at
-    mine = np.split(every, np.cumsum([len(p[1]) for p in corpus])[:-1]) if corpus else []
+    low32, by32 = np.uint64(0xFFFFFFFF), np.uint64(32)
+    firsts, every = np.unique(joined([p[1] for p in corpus]), return_inverse=True)
+    seconds, second = np.unique(joined([p[2] for p in corpus]), return_inverse=True)
+    every = every.astype(np.uint64) << by32 | second.astype(np.uint64)
+    del second
     order = np.argsort(every)
-    counts = np.concatenate([np.zeros(0, np.int64), *(p[3] for p in corpus)])[order].astype(np.int64)
+    counts = joined([p[3] for p in corpus], np.int64)[order]
     every = every[order]
-    head = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    new = np.r_[True, every[1:] != every[:-1]] if len(every) else np.zeros(0, bool)
+    head, number = np.flatnonzero(new), np.empty(len(every), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
     known, n = every[head], np.add.reduceat(counts, head) if len(head) else counts
-    del every, order, counts
+    del every, order, counts, new, head
     sums, says = np.r_[0, np.cumsum(n)], np.zeros(len(known), bool)
-    tell = lambda r, kind, length, times, whole: (r[0], r[1], kind, pack(length | whole.astype(np.uint8) << 7), pack_all([*times]))
-    for r, one, two in held:
-        at = np.searchsorted(firsts, one)
-        there = firsts[np.minimum(at, len(firsts) - 1)] == one if len(firsts) else np.zeros(len(one), bool)
-        length, times, whole = search_pairs(known, sums, seconds, np.where(there, at, 0xFFFFFFFE), two)
-        says[np.searchsorted(known, at[whole].astype(np.uint64) << np.uint64(32) | look_up(seconds, two[whole]).astype(np.uint64))] = True
-        out.append(tell(r, HELD, length, times, whole))
-    for (r, one, two, _, own), key in zip(corpus, mine, strict=True):
-        own = own.astype(bool)
-        length, times, whole = search_pairs(known, sums, seconds, np.searchsorted(firsts, one[own]), two[own], known=True)
-        at = np.searchsorted(known, key[own])
-        says[at[n[at] > 1]] = True
-        out.append(tell(r, OWN, length, times, whole))
-    out += [(r[0], r[1], CORPUS, pack(says[np.searchsorted(known, key)]), str(len(key)).encode()) for (r, *_), key in zip(corpus, mine, strict=True)]
+    tell = lambda r, kind, said, times, at: (r[0], r[1], kind, pack(said[at]), pack_all([*times[:, at]]))
+
+    asked_firsts, one = np.unique(joined([p[1] for p in held]), return_inverse=True)
+    asked_seconds, two = np.unique(joined([p[2] for p in held]), return_inverse=True)
+    wanted, which = np.unique(one.astype(np.uint64) << by32 | two.astype(np.uint64), return_inverse=True)
+    one, two = asked_firsts[(wanted >> by32).astype(np.int64)], asked_seconds[(wanted & low32).astype(np.int64)]
+    at = np.searchsorted(firsts, one)
+    there = firsts[np.minimum(at, len(firsts) - 1)] == one if len(firsts) else np.zeros(len(one), bool)
+    length, times, whole = search_pairs(known, sums, seconds, np.where(there, at, 0xFFFFFFFE), two)
+    says[np.searchsorted(known, at[whole].astype(np.uint64) << by32 | look_up(seconds, two[whole]).astype(np.uint64))] = True
+    length |= whole.astype(np.uint8) << 7
+    out += [tell(p[0], HELD, length, times, which[here]) for p, here in zip(held, pieces([p[1] for p in held]), strict=True)]
+
+    own = np.zeros(len(known), bool)
+    own[number[joined([p[4] for p in corpus], np.uint8) > 0]] = True
+    at = np.flatnonzero(own)
+    says[at[n[at] > 1]] = True
+    length, times, whole = search_pairs(known, sums, seconds, (known[at] >> by32).astype(np.int64), seconds[(known[at] & low32).astype(np.int64)], known=True)
+    length |= whole.astype(np.uint8) << 7
+    place = np.cumsum(own) - 1
+    for p, here in zip(corpus, pieces([p[1] for p in corpus]), strict=True):
+        out.append(tell(p[0], OWN, length, times, place[number[here][p[4] > 0]]))
+        out.append((p[0][0], p[0][1], CORPUS, pack(says[number[here]]), str(len(p[1])).encode()))
     return pa.Table.from_batches([_row(out)])
 
 

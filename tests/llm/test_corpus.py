@@ -501,3 +501,43 @@ def test_ngram_ladders_go_up_only_where_someone_agrees(monkeypatch):
         want = [sum(1 << k for k, rung in enumerate(x) if rung in bits[k]) for x in v]
         assert op9_ngram.unpack(got[b, op9_ngram.CORPUS]["data"]).tolist() == want and any(w > 2 for w in want)
     assert sum(looked_up) <= 2 * sum(k + 2 for k in agree) + tall
+
+
+def test_ngram_shards_search_what_many_blocks_ask_for_once(monkeypatch):
+    """Answers on windows by brute force, whatever block asks; the work grows with distinct windows, not with blocks times windows as before."""
+    rng = random.Random(3)
+    windows = sorted({int.from_bytes(bytes(rng.randrange(1, 4) for _ in range(8)), "big") for _ in range(700)})  # eight codes of a byte
+    corpus = {f"b{k}": sorted(rng.sample(windows[:500], 60)) for k in range(12)}
+    counts = {b: [rng.randrange(1, 4) for _ in v] for b, v in corpus.items()}
+    asked = sorted(rng.sample(windows, 300))
+    column = lambda v: op9_ngram.pack_sorted(np.array(v, np.uint64))
+    rows = [(0, b, op9_ngram.CORPUS, column(v), op9_ngram.pack(np.array(counts[b], np.uint32))) for b, v in corpus.items()]
+    rows += [(0, f"b{k}", kind, column(asked), b"") for k in range(40) for kind in (op9_ngram.HELD, op9_ngram.BEGIN)] + [(0, "b1", op9_ngram.FIRST, column(corpus["b1"][:5]), b"")]
+    table, looked_up = pa.Table.from_batches([op9_ngram._row(rows)]), []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def searchsorted(self, a, v, *rest):
+            looked_up.append(np.size(v))
+            return np.searchsorted(a, v, *rest)
+
+    monkeypatch.setattr(op9_ngram, "np", Counting())
+    got = op9_ngram.answer(table).to_pylist()
+    monkeypatch.undo()
+    n = Counter()
+    for b, v in corpus.items():
+        n.update(dict(zip(v, counts[b], strict=True)))
+    prefixes = Counter()
+    for w, c in n.items():
+        prefixes.update({(k, w >> 64 - 8 * k): c for k in range(1, 9)})
+    size = [max([0, *(k for k in range(1, 9) if prefixes[k, w >> 64 - 8 * k])]) for w in asked]
+    for r in got:
+        if r["kind"] == op9_ngram.CORPUS:
+            want = [(n[w] > 1) * op9_ngram.AGAIN | (w in asked) * op9_ngram.IN_HELD | (w in corpus["b1"][:5]) * op9_ngram.IS_FIRST for w in corpus[r["block"]]]
+            assert op9_ngram.unpack(r["data"]).tolist() == want
+        else:
+            assert op9_ngram.unpack(r["data"]).tolist() == [k | (k == 8) << 7 for k in size]
+            assert op9_ngram.unpack(r["extra"]).tolist() == [prefixes[k, w >> 64 - 8 * k] if k else 0 for k, w in zip(size, asked, strict=True)]
+    assert len(got) == 12 + 80 and sum(looked_up) <= 2 * 4 * len(asked) + 10

@@ -117,7 +117,7 @@ def _cycles(pdf: pd.DataFrame) -> pd.DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """Cells in circular references."""
     h = hops(edges).select(*KEY, "row", "col", "to_sheet", "to_row", "to_col").distinct()
-    return by_sheet(h, ["wb"], _cycles, "wb string, sheet string, row int, col int")
+    return by_sheet(h, ["wb"], _cycles, "wb string, sheet string, row int, col int", [*h.columns[1:]])
 
 
 def in_degree(edges: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ for _role in ("header", "row_label", "footer"):
 
 @query()
 def assemble_tables(spark, sf):
-    return tables.assemble(regions(spark, sf))
+    return tables.assembled(annotated(spark, sf))
 
 
 @query("SELECT wb, sheet, block_index, density FROM regions WHERE density < 0.8", recursive=True)
@@ -187,31 +187,22 @@ def nearest_structure(spark, sf):
 
 @query()
 def attach_light_blocks(spark, sf):
-    blocks = regions(spark, sf)
-    return tables.attach_light(blocks, tables.assemble(blocks))
-
-
-def _similar(spark, sf):
-    blocks = regions(spark, sf)
-    return tables.similarity(tables.features(tables.assemble(blocks), blocks, grid.statements(spark, sf)))
+    return tables.attached(annotated(spark, sf))
 
 
 @query()
 def table_similarity(spark, sf):
-    return _similar(spark, sf)
+    return tables.similar(annotated(spark, sf))
 
 
 @query()
 def table_groups(spark, sf):
-    return tables.groups(_similar(spark, sf))
+    return tables.grouped(annotated(spark, sf))
 
 
 @query()
 def structure_tree(spark, sf):
-    blocks = regions(spark, sf)
-    structures = tables.assemble(blocks)
-    pairs = tables.similarity(tables.features(structures, blocks, grid.statements(spark, sf)))
-    return tables.tree(blocks, structures, tables.groups(pairs))
+    return tables.trees(annotated(spark, sf))
 
 
 # ---- patterns: each conversation is a sheet with the role in its first column

@@ -54,3 +54,56 @@ def test_fixed2_is_printf(spark):
 def test_a_workbook_stays_in_its_partition(spark, odd):
     x = grid.statements(spark, odd[0]).withColumn("p", F.spark_partition_id())
     assert x.groupBy("wb").agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
+
+
+def moves(df) -> int:
+    """How often rows are shuffled in the plan of df."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def chain(spark, d, name):
+    """The same query, step by step over DataFrames."""
+    from sheetloom.operators import annotate, tables
+
+    a = annotate.annotate(grid.statements(spark, d))
+    blocks = annotate.regions(a).localCheckpoint()
+    structures = tables.assemble(blocks).localCheckpoint()
+    if name == "assemble_tables":
+        return structures
+    if name == "attach_light_blocks":
+        return tables.attach_light(blocks, structures)
+    alike = tables.similarity(tables.features(structures, blocks, a)).localCheckpoint()
+    if name == "table_similarity":
+        return alike
+    return tables.groups(alike) if name == "table_groups" else tables.tree(blocks, structures, tables.groups(alike).localCheckpoint())
+
+
+@pytest.mark.parametrize("name", ["attach_light_blocks"])
+def test_tables_in_one_pass(spark, odd, name):
+    """The orders and the customers are moved, nothing after them; and the result is that of the steps."""
+    df = catalog.QUERIES[name](spark, odd[0])
+    assert moves(df) <= 3
+    want = chain(spark, odd[0], name)
+    assert sorted(map(str, df.collect())) == sorted(map(str, want.select(df.columns).collect())) and not want.isEmpty()
+
+
+def test_labels_meet_bodies_by_place(spark):
+    """Against all pairs of labels and bodies, on random blocks."""
+    from sheetloom.operators import tables
+
+    rng = random.Random(4)
+    rows = []
+    for sheet in range(8):
+        for k in range(40):
+            r, c = rng.randint(1, 30), rng.randint(1, 12)
+            rows.append(("w", f"s{sheet}", k, rng.choice(["label", "data"]), r, c, r + rng.randint(0, 4), c + rng.randint(0, 3), 4, 1.0))
+    b = spark.createDataFrame(rows, "wb string, sheet string, block_index int, annotation string, r1 int, c1 int, r2 int, c2 int, cell_count long, density double")
+    rank = {"header": 0, "row_label": 1, "footer": 2}
+    todo = sorted((r["sheet"], r["d_block_index"], rank[r["role"]], r["l_block_index"], r["role"]) for r in tables.candidates(b).collect())
+    used, want = set(), {}
+    for sheet, d, _, label, role in todo:
+        if role not in want.setdefault((sheet, d), {}) and (sheet, label) not in used:
+            used.add((sheet, label))
+            want[sheet, d][role] = label
+    got = {(r["sheet"], r["structure"]): {k: r[k] for k in rank if r[k] is not None} for r in tables.assemble(b).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v} and any(want.values())

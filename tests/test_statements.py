@@ -78,7 +78,7 @@ def chain(spark, d, name):
     return tables.groups(alike) if name == "table_groups" else tables.tree(blocks, structures, tables.groups(alike).localCheckpoint())
 
 
-@pytest.mark.parametrize("name", ["attach_light_blocks", "table_groups", "structure_tree", "assemble_tables"])
+@pytest.mark.parametrize("name", ["attach_light_blocks", "table_groups", "structure_tree", "assemble_tables", "table_similarity"])
 def test_tables_in_one_pass(spark, odd, name):
     """The orders and the customers are moved, nothing after them; and the result is that of the steps."""
     df = catalog.QUERIES[name](spark, odd[0])

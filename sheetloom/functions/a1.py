@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,16 @@ def letters(number) -> Column:
     return F.concat(F.when(n > 702, digit(hundreds)).otherwise(""), F.when(n > 26, digit(tens)).otherwise(""), digit(n))
 
 
+@lru_cache(1 << 15)
+def letters_of(n: int) -> str:
+    """As letters, of a Python number."""
+    out = ""
+    while n:
+        n, digit = divmod(n - 1, 26)
+        out = chr(65 + digit) + out
+    return out
+
+
 def number(text) -> Column:
     """A -> 1, XFD -> 16384."""
     return F.aggregate(F.filter(F.split(F.upper(_col(text)), ""), lambda x: x != ""), F.lit(0), lambda acc, x: acc * 26 + F.ascii(x) - 64)

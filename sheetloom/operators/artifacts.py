@@ -126,26 +126,23 @@ def drift(a: DataFrame, b: DataFrame, keys: list[str], value: str, absolute: flo
 
 def invariants(cells: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """Names of invariants and how many rows break them; all should be 0."""
-    n = lambda name, df: df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("invariant"), "violations")
-    dup = cells.groupBy(*KEY, "row", "col").agg(F.count("*").alias("n")).where("n > 1")
-    flat = blocks.where("r1 > r2 OR c1 > c2 OR r1 < 1 OR c1 < 1")
-    index = blocks.groupBy(*KEY).agg(F.max("block_index").alias("m"), F.count("*").alias("n")).where("m != n - 1")
-    loose = edges.where("edge_type NOT IN ('external', 'structured_ref', 'named_range') AND r1 IS NULL")
-    book = edges.where("(edge_type = 'external') != (book IS NOT NULL)")
-    lost = cells.groupBy(*KEY).agg(F.count("*").alias("n")).join(blocks.groupBy(*KEY).agg(F.sum("cell_count").alias("m")), KEY, "full").where("n IS DISTINCT FROM m")
-    parts = [n("unique_places", dup), n("ranges_ordered", flat), n("block_index_dense", index), n("edges_resolved", loose), n("external_has_book", book), n("cells_in_blocks", lost)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    n = lambda c: F.coalesce(F.count_if(c), F.lit(0))
+    flat = F.expr("r1 > r2 OR c1 > c2 OR r1 < 1 OR c1 < 1")
+    of_cells = cells.groupBy(*KEY, "row", "col").agg(F.count("*").alias("c")).groupBy(*KEY).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 1).alias("dup"))
+    of_blocks = blocks.groupBy(*KEY).agg(F.sum("cell_count").alias("m"), F.count_if(flat).alias("flat"), (F.max("block_index") != F.count("*") - 1).cast("long").alias("index"))
+    both = of_cells.join(of_blocks, KEY, "full").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("dup", "flat", "index")), n(F.expr("n IS DISTINCT FROM m")).alias("lost"))
+    loose, book = F.expr("edge_type NOT IN ('external', 'structured_ref', 'named_range') AND r1 IS NULL"), F.expr("(edge_type = 'external') != (book IS NOT NULL)")
+    found = both.crossJoin(edges.agg(n(loose).alias("loose"), n(book).alias("book")))
+    names = {"unique_places": "dup", "ranges_ordered": "flat", "block_index_dense": "index", "edges_resolved": "loose", "external_has_book": "book", "cells_in_blocks": "lost"}
+    return found.select(F.explode(F.array(*(F.struct(F.lit(k).alias("invariant"), F.col(v).alias("violations")) for k, v in names.items()))).alias("x")).select("x.*")
 
 
 def stage_metrics(cells: DataFrame, annotated: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts of each stage in one small table."""
     row = lambda stage, df, **m: df.agg(*(v.cast("double").alias(k) for k, v in m.items())).select(F.lit(stage).alias("stage"), F.explode(F.map_from_arrays(F.array(*map(F.lit, m)), F.array(*m))).alias("metric", "value"))
-    parts = [
-        row("parse", cells, cells=F.count("*"), formulas=F.count("formula")),
-        row("annotate", annotated, labels=F.count_if(F.col("annotation") == "label"), confidence=F.round(F.avg("confidence"), 6)),
+    of_cells = row("cells", annotated, cells=F.count("*"), formulas=F.count("formula"), labels=F.count_if(F.col("annotation") == "label"), confidence=F.round(F.avg("confidence"), 6))
+    parts = [  # every annotated cell is a cell, so one pass counts both
+        of_cells.withColumn("stage", F.when(F.col("metric").isin("cells", "formulas"), "parse").otherwise("annotate")),
         row("segment", blocks, blocks=F.count("*"), covered=F.sum("cell_count")),
         row("graph", edges, edges=F.count("*"), external=F.count("book")),
     ]

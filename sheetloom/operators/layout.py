@@ -5,10 +5,13 @@ Every function takes and returns DataFrames and is partitioned by (wb, sheet).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import a1
+from .by_sheet import by_sheet, numbered
 
 KEY = ["wb", "sheet"]
 DENSE, TITLE_ROWS, KEY_CELLS = 0.9, 3, 20
@@ -27,7 +30,8 @@ def totals(cells: DataFrame) -> DataFrame:
 
 def with_gap(cells: DataFrame) -> DataFrame:
     """row_gap: blank rows that separate islands; 2 on sheets that are more than nine tenths full."""
-    w = Window.partitionBy(*KEY)
+    # in the order of the first window of islands, so that both share a sort
+    w = Window.partitionBy(*KEY).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     area = (F.max("row").over(w) - F.min("row").over(w) + 1).cast("double") * (F.max("col").over(w) - F.min("col").over(w) + 1)
     return cells.withColumn("row_gap", F.when(F.count("*").over(w) / area > DENSE, 2).otherwise(1))
 
@@ -153,9 +157,174 @@ def raw_blocks(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     return blocks
 
 
+#: What blocks need to know of a cell, a bit each.
+FORMULA, FORMATTED, BOLD, MARKED, KEYWORD, MERGED, TEXT, OTHER = (1 << k for k in range(8))
+SEGMENTS = (
+    "wb string, sheet string, block_index int, table_name string, r1 int, c1 int, r2 int, c2 int, cell_count long, formula_count long, has_merges boolean, "
+    "has_formatting boolean, block_type string, key_cells string"
+)
+
+
+def segment_input(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Cells (part 1) as segments_of takes them, after the declared tables (part 0) of their sheet."""
+    bold, text = F.coalesce(F.col("bold"), F.lit(False)), (F.col("kind") == "s") | F.col("raw").isNull()
+    flags = {
+        FORMULA: F.col("formula").isNotNull(), FORMATTED: bold | F.col("fill").isNotNull() | F.col("number_format").isNotNull() | F.col("font_size").isNotNull(), BOLD: bold,
+        MARKED: bold | F.col("fill").isNotNull(), KEYWORD: (F.col("kind") == "s") & F.lower("raw").rlike(ASSUMPTION), TEXT: text, OTHER: ~text,
+    }
+    if "merged" in cells.columns:
+        flags[MERGED] = F.col("merged")
+    bits = sum((F.when(v, bit).otherwise(0) for bit, v in flags.items()), F.lit(0))
+    x = cells.select(*KEY, F.lit(1).alias("part"), "row", "col", bits.alias("flags"), F.coalesce("fill", F.lit("")).alias("fill"), *(F.lit(0).alias(c) for c in ("r2", "c2")), F.lit(None).cast("string").alias("table_name"))
+    if tables is not None:
+        x = x.unionByName(tables.select(*KEY, F.lit(0).alias("part"), F.col("r1").alias("row"), F.col("c1").alias("col"), F.lit(0).alias("flags"), F.lit("").alias("fill"), "r2", "c2", "table_name"))
+    return x
+
+
+def _parts(sid: np.ndarray, row: np.ndarray, col: np.ndarray, fill: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Order of cells by component after the style split, row and column; where in it the components begin; and their row_island, col_island and style_part.  Cells are in reading order; gap: blank rows between islands, by sheet."""
+    first = np.zeros(len(sid), bool)
+    first[0] = True
+    first[1:] = (sid[1:] != sid[:-1]) | (row[1:] - row[:-1] - 1 >= gap[sid[1:]])
+    island = np.cumsum(first)
+    across = np.lexsort((col, island))
+    new = np.ones(len(sid), bool)
+    new[1:] = (island[across][1:] != island[across][:-1]) | (np.diff(col[across]) > 1)
+    comp = np.empty(len(sid), int)
+    comp[across] = np.cumsum(new)
+    order = np.argsort(comp, kind="stable")
+    comp, row, fill = comp[order], row[order], fill[order]
+    new[1:] = (comp[1:] != comp[:-1]) | (row[1:] != row[:-1])
+    start = np.flatnonzero(new)  # of a component's rows
+    of, size = comp[start], np.diff(np.append(start, len(sid)))
+    alike = np.zeros(len(start), bool)  # has the fills of the component's row before
+    alike[1:] = (of[1:] == of[:-1]) & (size[1:] == size[:-1])
+    at = np.arange(len(sid))
+    back = np.where(np.repeat(alike, size), at - np.repeat(size, size), at)
+    alike &= np.logical_and.reduceat(fill == fill[back], start)
+    low, high = np.searchsorted(of, of, "left"), np.searchsorted(of, of, "right")
+    i, n = np.arange(len(start)) - low, high - low
+    next_ = lambda k: np.append(alike, [False] * k)[k:]
+    cut = (n > 5) & (i >= 3) & (i < n - 2) & ~alike & next_(1) & next_(2)
+    start = start[cut | (i == 0)]
+    within = lambda ids, of: ids - ids[np.searchsorted(of, of, "left")]
+    comp, island = comp[start], island[order][start]
+    return order, start, {"row_island": within(island, sid[order][start]), "col_island": within(comp, island), "style_part": within(np.arange(len(start)), comp)}
+
+
+def raw_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """As raw_blocks of some sheets of segment_input, in reading order; sid numbers the sheet."""
+    every = numbered(pdf, KEY)
+    is_cell = (pdf["part"] == 1).to_numpy()
+    spot, declared, sid, tid = pdf[is_cell], pdf[~is_cell], every[is_cell], every[~is_cell]
+    wb, sheet = pdf["wb"].to_numpy(), pdf["sheet"].to_numpy()
+    row, col, flags = (spot[c].to_numpy().astype(np.int64) for c in ("row", "col", "flags"))
+    here = np.unique(every, return_index=True)[1]
+    known = {"sid": [], "table_name": [], "r1": [], "c1": [], "r2": [], "c2": [], "cell_count": [], "formula_count": [], "flags": [], "block_type": [], "key_cells": []}
+    free = np.ones(len(spot), bool)
+    line = sid * (1 << 22) + row
+    for s, r1, c1, r2, c2, name in zip(tid.tolist(), *(declared[c].tolist() for c in ("row", "col", "r2", "c2", "table_name")), strict=True):
+        low, high = np.searchsorted(line, (s * (1 << 22) + r1, s * (1 << 22) + r2 + 1))
+        there = low + np.flatnonzero((col[low:high] >= c1) & (col[low:high] <= c2))
+        free[there] = False
+        marks = int(np.bitwise_or.reduce(flags[there])) & MERGED if len(there) else 0
+        for k, v in zip(known, (s, name, r1, c1, r2, c2, len(there), int((flags[there] & FORMULA).sum()), marks | FORMATTED, "table", ""), strict=True):
+            known[k].append(v)
+    parts = [pd.DataFrame(known)] if known["sid"] else []
+    if free.any():
+        n = np.bincount(sid, minlength=len(here))
+        some = np.flatnonzero(n)
+        begin = np.searchsorted(sid, some)
+        span = lambda v: np.maximum.reduceat(v, begin) - np.minimum.reduceat(v, begin) + 1
+        gap = np.ones(len(here), int)
+        gap[some] = np.where(n[some] / (span(row).astype(float) * span(col)) > DENSE, 2, 1)
+        sid, row, col, flags = sid[free], row[free], col[free], flags[free]
+        order, start, numbers = _parts(sid, row, col, pd.factorize(spot["fill"].to_numpy()[free])[0], gap)
+        sid, row, col, flags = sid[order], row[order], col[order], flags[order]
+        end = np.append(start[1:], len(sid))
+        of = np.repeat(np.arange(len(start)), end - start)
+        top = row[start]
+        first_bold = np.bitwise_or.reduceat(np.where(row == top[of], flags & BOLD, 0), start) > 0
+        marks, n, f = np.bitwise_or.reduceat(flags, start), end - start, np.add.reduceat(flags & FORMULA, start)
+        marked = np.flatnonzero(flags & MARKED)
+        rank = np.arange(len(marked)) - np.searchsorted(of[marked], of[marked], "left")
+        marked = marked[rank < KEY_CELLS]
+        keys: list[list[str]] = [[] for _ in start]
+        for k, r, c in zip(of[marked].tolist(), row[marked].tolist(), col[marked].tolist(), strict=True):
+            keys[k].append(f"{a1.letters_of(c)}{r}")
+        kind = np.select(
+            [(row[end - 1] == top) & first_bold & (f == 0), (marks & KEYWORD > 0) & (f < n * 0.3), (f > n * 0.5) & (marks & MARKED > 0) & first_bold, f > n * 0.5, first_bold & (n > 3), (marks & TEXT > 0) & (marks & OTHER == 0)],
+            ["header", "assumptions_table", "results_block", "calculation_block", "table", "text_block"], "mixed",
+        ).astype(object)
+        parts.append(pd.DataFrame({"sid": sid[start], "table_name": None, "r1": top, "c1": np.minimum.reduceat(col, start), "r2": row[end - 1], "c2": np.maximum.reduceat(col, start), "cell_count": n, "formula_count": f, "flags": marks, "block_type": kind, "key_cells": list(map(",".join, keys)), "bold_first": first_bold} | numbers))
+    out = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+    if len(parts) > 1:
+        out = out.assign(loose=out["table_name"].isna(), named=out["table_name"].fillna("")).sort_values(["sid", "r1", "c1", "loose", "r2", "c2", "named"], kind="stable", ignore_index=True)
+    else:
+        out = out.iloc[np.lexsort([out[c].to_numpy() for c in ("c2", "r2", "c1", "r1", "sid")])].reset_index(drop=True)
+    at = here[out["sid"].to_numpy()]
+    return out.assign(wb=wb[at], sheet=sheet[at])
+
+
+COMPONENTS = (
+    "wb string, sheet string, row_island int, col_island int, style_part int, r1 int, c1 int, r2 int, c2 int, cell_count long, formula_count long, has_merges boolean, "
+    "has_formatting boolean, bold_first boolean, has_key boolean, keyword boolean, all_text boolean, key_cells string, block_type string"
+)
+
+
+def classified(cells: DataFrame) -> DataFrame:
+    """As components of the islands after the style split, in one pass over sorted sheets."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = raw_of(pdf)
+        has = lambda bit: (x["flags"] & bit) > 0
+        return x.assign(has_merges=has(MERGED), has_formatting=has(FORMATTED), has_key=has(MARKED), keyword=has(KEYWORD), all_text=has(TEXT) & ~has(OTHER))
+
+    return by_sheet(segment_input(cells), KEY, f, COMPONENTS, ["part", "row", "col"])
+
+
+def merged_of(x: pd.DataFrame) -> pd.DataFrame:
+    """As merge_titles of raw_of: the fold over each sheet's blocks."""
+    names = ["sid", "r1", "c1", "r2", "c2", "cell_count", "formula_count", "flags", "block_type", "key_cells", "table_name"]
+    values = {c: x[c].tolist() for c in names}
+    loose = x["table_name"].isna().tolist()
+    s, r1, c1, r2, c2, n, formulas, flags, kind, keys, _ = values.values()
+    gone = np.zeros(len(x), bool)
+    for k in range(len(x) - 1):
+        m = k + 1
+        height = r2[k] - r1[k] + 1
+        if height > TITLE_ROWS or s[k] != s[m] or formulas[k] or not loose[k] or r2[m] - r1[m] + 1 <= height or c2[k] < c1[m] or c1[k] > c2[m] or kind[k] not in ("header", "text_block", "table", "mixed"):
+            continue
+        if r1[m] - r2[k] - 1 <= (kind[k] == "header"):
+            gone[k] = True
+            r1[m], c1[m], r2[m], c2[m], n[m] = min(r1[k], r1[m]), min(c1[k], c1[m]), max(r2[k], r2[m]), max(c2[k], c2[m]), n[k] + n[m]
+            flags[m] |= flags[k] & (MERGED | FORMATTED)
+            keys[m] = ",".join([t for t in f"{keys[k]},{keys[m]}".split(",") if t][:KEY_CELLS])
+    out = x.assign(**values)[~gone]
+    sid = out["sid"].to_numpy()
+    return out.assign(block_index=np.arange(len(out)) - np.searchsorted(sid, sid, "left"), has_merges=(out["flags"] & MERGED) > 0, has_formatting=(out["flags"] & FORMATTED) > 0)
+
+
+def segments_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    return merged_of(raw_of(pdf))
+
+
 def segment(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """Blocks of every sheet in reading order."""
-    return merge_titles(raw_blocks(cells, tables))
+    """Blocks of every sheet in reading order: as merge_titles of raw_blocks, in one pass over sorted sheets."""
+    return by_sheet(segment_input(cells, tables), KEY, segments_of, SEGMENTS, ["part", "row", "col"])
+
+
+def absorbed(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """How many blocks of a sheet the title merge takes into others, where it does."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = raw_of(pdf)
+        kept = merged_of(x)["sid"].to_numpy()
+        sid, at, n = np.unique(x["sid"].to_numpy(), return_index=True, return_counts=True)
+        n = n - np.bincount(kept, minlength=sid[-1] + 1)[sid]
+        return pd.DataFrame({"wb": x["wb"].to_numpy()[at], "sheet": x["sheet"].to_numpy()[at], "absorbed": n})[n > 0]
+
+    return by_sheet(segment_input(cells, tables), KEY, f, "wb string, sheet string, absorbed long", ["part", "row", "col"])
 
 
 def merge_flags(cells: DataFrame, merges: DataFrame) -> DataFrame:

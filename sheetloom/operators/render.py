@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.a1 import letters_of as letters
 from .layout import KEY
 
 #: Text columns are no wider.  In a block of more places, rows and columns that have no cell at all are left out; no cell is.
@@ -21,14 +22,6 @@ _BLOCK = ["block_index", "block_type", "r1", "c1", "r2", "c2"]
 _CELL = {"row": "int", "col": "int", "shown": "string", "is_formula": "boolean", "num": "double", "bold": "boolean", "fill": "string", "font_size": "double", "is_slave": "boolean", "row_span": "int", "col_span": "int"}
 
 
-def letters(n: int) -> str:
-    out = ""
-    while n:
-        n, digit = divmod(n - 1, 26)
-        out = chr(65 + digit) + out
-    return out
-
-
 def rect(r1: int, c1: int, r2: int, c2: int) -> str:
     first, last = f"{letters(c1)}{r1}", f"{letters(c2)}{r2}"
     return first if first == last else f"{first}:{last}"

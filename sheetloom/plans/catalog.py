@@ -101,7 +101,7 @@ def style_split(spark, sf):
 
 @query("SELECT * FROM comps")
 def classify_blocks(spark, sf):
-    return layout.components(layout.style_split(layout.islands(grid.statements(spark, sf))))
+    return layout.classified(grid.statements(spark, sf))
 
 
 @query("SELECT wb, sheet, block_index, table_name, r1, c1, r2, c2, cell_count, formula_count, has_formatting, block_type, key_cells FROM blocks")
@@ -111,11 +111,7 @@ def segment_sheet(spark, sf):
 
 @query("SELECT wb, sheet, count(*) AS absorbed FROM fold WHERE took GROUP BY ALL")
 def title_merge(spark, sf):
-    cells, tables = grid.statements(spark, sf), grid.finished_tables(spark, sf)
-    raw = layout.raw_blocks(cells, tables)
-    before = raw.groupBy("wb", "sheet").agg(F.count("*").alias("n"))
-    after = layout.merge_titles(raw).groupBy("wb", "sheet").agg(F.count("*").alias("m"))
-    return before.join(after, ["wb", "sheet"]).select("wb", "sheet", (F.col("n") - F.col("m")).alias("absorbed")).where("absorbed > 0")
+    return layout.absorbed(grid.statements(spark, sf), grid.finished_tables(spark, sf))
 
 
 @query("SELECT wb, sheet, block_index, (c1 - 1) * 63.225 AS x, (r1 - 1) * 15.0::DOUBLE AS y, (c2 - c1 + 1) * 63.225 AS w, (r2 - r1 + 1) * 15.0::DOUBLE AS h FROM (SELECT wb, sheet, block_index, c1::DOUBLE AS c1, r1::DOUBLE AS r1, c2::DOUBLE AS c2, r2::DOUBLE AS r2 FROM blocks)")
@@ -489,7 +485,7 @@ def linearize_sheet(spark, sf):
 
 @query("SELECT block_type, sheet, count(*) AS n FROM comps GROUP BY GROUPING SETS ((block_type), (block_type, sheet))")
 def block_type_counts(spark, sf):
-    x = layout.components(layout.style_split(layout.islands(grid.statements(spark, sf))))
+    x = layout.classified(grid.statements(spark, sf))
     x.createOrReplaceTempView("_components")
     return spark.sql("SELECT block_type, sheet, count(*) AS n FROM _components GROUP BY GROUPING SETS ((block_type), (block_type, sheet))")
 

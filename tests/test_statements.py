@@ -107,3 +107,50 @@ def test_labels_meet_bodies_by_place(spark):
             want[sheet, d][role] = label
     got = {(r["sheet"], r["structure"]): {k: r[k] for k in rank if r[k] is not None} for r in tables.assemble(b).collect()}
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v} and any(want.values())
+
+
+@pytest.mark.parametrize("name", ["title_merge"])
+def test_layout_in_one_pass(spark, odd, name):
+    """As the SQL says, and no cell is moved: only orders, customers and what is already counted."""
+    got, want = both(spark, odd, name)
+    assert got == want
+    assert moves(catalog.QUERIES[name](spark, odd[0])) <= (14 if name == "invariants" else 5)
+
+
+def test_segments_are_the_steps(spark):
+    """Against windows and joins, on random sheets with fills, merges, declared tables and columns of one row."""
+    from sheetloom import schema
+    from sheetloom.operators import layout
+
+    rng, rows, declared = random.Random(9), [], []
+    for sheet in range(30):
+        for r in range(1, 26):
+            if rng.random() < 0.85:
+                fill = rng.choice([None, "AA"]) if r % 9 == 0 else "AA" if r // 9 % 2 else None
+                for c in range(1, 8):
+                    if c != 4 and rng.random() < (0.97 if sheet % 2 else 0.7):
+                        kind = rng.choice("sssfi")
+                        rows.append(("w", f"s{sheet}", r, c, kind, rng.choice(["scenario", "x", None]), None, rng.choice([None, None, "A1"]), rng.random() < 0.2, fill, None, None))
+        if sheet % 3 == 0:
+            declared.append(("w", f"s{sheet}", "T", 5, 1, 9, 3))
+            declared.append(("w", f"s{sheet}", "U", 90, 1, 91, 2))
+    x = spark.createDataFrame(rows, schema.CELLS).withColumn("merged", F.col("col") == 7)
+    t = spark.createDataFrame(declared, schema.TABLES)
+    for tables in (None, t):
+        want = layout.merge_titles(layout.raw_blocks(x, tables))
+        got = layout.segment(x, tables)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    want = layout.components(layout.style_split(layout.islands(x)))
+    assert sorted(map(str, layout.classified(x).select(want.columns).collect())) == sorted(map(str, want.collect())) and want.where("style_part > 0").count()
+    n = layout.raw_blocks(x, t).count() - layout.merge_titles(layout.raw_blocks(x, t)).count()
+    assert (layout.absorbed(x, t).agg(F.sum("absorbed")).first()[0] or 0) == n
+
+
+def test_stage_metrics_are_counts(spark, odd):
+    got = {(r["stage"], r["metric"]): r["value"] for r in catalog.QUERIES["stage_metrics"](spark, odd[0]).collect()}
+    cells = grid.statements(spark, odd[0])
+    labels = catalog.QUERIES["annotate_cells"](spark, odd[0]).where("annotation = 'label'").count()
+    blocks, edges = (catalog.QUERIES[n](spark, odd[0]) for n in ("segment_sheet", "dependency_edges"))
+    assert (got["parse", "cells"], got["parse", "formulas"], got["annotate", "labels"]) == (cells.count(), cells.where("formula IS NOT NULL").count(), labels)
+    assert got["segment", "covered"] == cells.count() and got["graph", "edges"] == edges.count() and len(got) == 8 and blocks.count()
+    assert moves(catalog.QUERIES["stage_metrics"](spark, odd[0])) <= 12

@@ -109,7 +109,7 @@ def test_labels_meet_bodies_by_place(spark):
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v} and any(want.values())
 
 
-@pytest.mark.parametrize("name", ["title_merge", "segment_sheet", "bounding_boxes", "invariants", "classify_blocks", "col_islands"])
+@pytest.mark.parametrize("name", ["title_merge", "segment_sheet", "bounding_boxes", "invariants", "classify_blocks", "col_islands", "block_type_counts"])
 def test_layout_in_one_pass(spark, odd, name):
     """As the SQL says, and no cell is moved: only orders, customers and what is already counted."""
     got, want = both(spark, odd, name)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import a1, refs
-from .by_sheet import by_sheet
+from .by_sheet import by_sheet, numbered, pairs
 from .layout import KEY
 
 
@@ -39,23 +40,62 @@ def edges(cells: DataFrame, names: DataFrame | None = None) -> DataFrame:
 
 def hops(edges: DataFrame) -> DataFrame:
     """Edges between single cells of one workbook: (wb, sheet, row, col) -> (wb, to_sheet, to_row, to_col)."""
-    e = edges.where("book IS NULL AND table_name IS NULL AND NOT is_range AND r1 IS NOT NULL")
+    e = edges.where(_SINGLE)
     return e.select(*KEY, "row", "col", F.coalesce("target_sheet", "sheet").alias("to_sheet"), F.col("r1").alias("to_row"), F.col("c1").alias("to_col"), "ref", "edge_type").distinct()
 
 
-def upstream(edges: DataFrame, depth: int = 2) -> DataFrame:
-    """Edges within depth steps above each formula cell: start cell, ref, edge_type and the least step; breadth first, each step one join on cells."""
-    start = edges.select(*KEY, "row", "col").distinct()
-    front = start.select(*KEY, "row", "col", F.col("sheet").alias("at_sheet"), F.col("row").alias("at_row"), F.col("col").alias("at_col"))
-    e = edges.select("wb", F.col("sheet").alias("at_sheet"), F.col("row").alias("at_row"), F.col("col").alias("at_col"), "ref", "edge_type")
-    single = hops(edges).select("wb", F.col("sheet").alias("at_sheet"), F.col("row").alias("at_row"), F.col("col").alias("at_col"), "to_sheet", "to_row", "to_col")
-    out = None
+_SINGLE = "book IS NULL AND table_name IS NULL AND NOT is_range AND r1 IS NOT NULL"
+
+
+def _slim(edges: DataFrame) -> DataFrame:
+    """Edges with the cell that they point at, if it is one of the workbook, as _keyed takes them; to_row is 0 if not."""
+    return edges.select(*KEY, "row", "col", "ref", "edge_type", F.coalesce("target_sheet", "sheet").alias("to_sheet"), *(F.when(F.expr(_SINGLE), F.col(c)).otherwise(0).alias(n) for c, n in (("r1", "to_row"), ("c1", "to_col"))))
+
+
+def _keyed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each edge's cell and the cell that it points at (-1 if none): workbook and sheet, 21 bits of row, 15 of column."""
+    code, sheets = pd.factorize(np.concatenate([pdf["sheet"].to_numpy(), pdf["to_sheet"].to_numpy()]))
+    book = numbered(pdf, ["wb"]) * len(sheets)
+    key = lambda c, row, col: (book + c) << 36 | pdf[row].to_numpy().astype(np.int64) << 15 | pdf[col].to_numpy().astype(np.int64)
+    return key(code[: len(pdf)], "row", "col"), np.where(pdf["to_row"].to_numpy() > 0, key(code[len(pdf) :], "to_row", "to_col"), -1)
+
+
+def _above(src: np.ndarray, dst: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all steps from 1 to depth: an edge of the start, the edge that is reached from it, and the step."""
+    order = np.argsort(src, kind="stable")
+    by_src = src[order]
+    hop = np.flatnonzero(dst >= 0)
+    hop = hop[np.unique(np.stack([src[hop], dst[hop]]), axis=1, return_index=True)[1]] if len(hop) else hop
+    of = np.unique(src, return_index=True)[1]  # an edge of each start
+    at, out = src[of], []
+    hop = hop[np.argsort(src[hop], kind="stable")]
     for step in range(1, depth + 1):
-        seen = front.join(e, ["wb", "at_sheet", "at_row", "at_col"]).select(*KEY, "row", "col", "ref", "edge_type", F.lit(step).alias("step"))
-        out = seen if out is None else out.unionByName(seen)
-        if step < depth:
-            front = front.join(single, ["wb", "at_sheet", "at_row", "at_col"]).select(*KEY, "row", "col", F.col("to_sheet").alias("at_sheet"), F.col("to_row").alias("at_row"), F.col("to_col").alias("at_col")).distinct()
-    return out.groupBy(*KEY, "row", "col", "ref", "edge_type").agg(F.min("step").alias("step"))
+        i, j = pairs(at, by_src)
+        out.append((of[i], order[j], np.full(len(i), step)))
+        i, j = pairs(at, src[hop])
+        of, at = of[i], dst[hop][j]
+        if len(of):
+            of, at = np.unique(np.stack([of, at]), axis=1)
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _texts(c) -> tuple[np.ndarray, int]:
+    code, known = pd.factorize(c.to_numpy())
+    return code, len(known)
+
+
+def upstream(edges: DataFrame, depth: int = 2) -> DataFrame:
+    """Edges within depth steps above each formula cell: start cell, ref, edge_type and the least step; breadth first, over some workbooks at once."""
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, edge, step = _above(*_keyed(pdf), depth)
+        (ref, n), (kind, m) = _texts(pdf["ref"]), _texts(pdf["edge_type"])
+        least = np.unique((start * n + ref[edge]) * m + kind[edge], return_index=True)[1]  # steps come in order
+        start, edge, step = start[least], edge[least], step[least]
+        own, there = pdf[[*KEY, "row", "col"]].iloc[start].reset_index(drop=True), pdf[["ref", "edge_type"]].iloc[edge].reset_index(drop=True)
+        return own.assign(ref=there["ref"], edge_type=there["edge_type"], step=step)
+
+    return by_sheet(_slim(edges), ["wb"], f, "wb string, sheet string, row int, col int, ref string, edge_type string, step int", ["sheet", "row", "col"])
 
 
 def downstream(edges: DataFrame, depth: int = 1) -> DataFrame:
@@ -124,16 +164,74 @@ def in_degree(edges: DataFrame) -> DataFrame:
     return edges.where("book IS NULL AND NOT is_range AND r1 IS NOT NULL").groupBy("wb", F.coalesce("target_sheet", "sheet").alias("sheet"), F.col("r1").alias("row"), F.col("c1").alias("col")).agg(F.count("*").alias("in_degree"))
 
 
+def _looped(pdf: pd.DataFrame, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Numbers of cells in cycles.  Edges from or to nothing are dropped some times before the search."""
+    left = np.flatnonzero(dst >= 0)
+    for _ in range(16):
+        kept = left[np.isin(dst[left], src[left]) & np.isin(src[left], dst[left])]
+        if len(kept) == len(left):
+            break
+        left = kept
+    if not len(left):
+        return np.zeros(0, np.int64)
+    loops = set(zip(*(_cycles(pdf.iloc[left])[c].tolist() for c in (*KEY, "row", "col")), strict=True))
+    there = [k for k, p in zip(left.tolist(), zip(*(pdf[c].to_numpy()[left].tolist() for c in (*KEY, "row", "col")), strict=True), strict=True) if p in loops]
+    return np.unique(src[there])
+
+
 def summary(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """Of each block: references of its formulas up to two steps above (50 of them), users one step below (50), cross-sheet references (20), whether it has a cell in a cycle.  Sorted texts joined by commas."""
-    b = blocks.select(*KEY, "block_index", "r1", "c1", "r2", "c2")
-    within = a1.inside("row", "col", "r1", "c1", "r2", "c2")
-    formulas = edges.select(*KEY, "row", "col").distinct()
-    cut = lambda c, n: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, n), ",")
-    up = upstream(edges, 2).join(b, KEY).where(within).groupBy(*KEY, "block_index").agg(cut("ref", 50).alias("upstream"), cut(F.when(F.col("edge_type") == "cross_sheet", F.col("ref")), 20).alias("cross_sheet"))
-    down = downstream(edges, 1).join(formulas, [*KEY, "row", "col"]).join(b, KEY).where(within)
-    down = down.groupBy(*KEY, "block_index").agg(cut(F.concat("user_sheet", F.lit("!"), a1.coord("user_row", "user_col")), 50).alias("downstream"))
-    loop = cycles(edges).join(b, KEY).where(within).select(*KEY, "block_index").distinct().withColumn("has_circular", F.lit(True))
-    keys = [*KEY, "block_index"]
-    out = blocks.select(*keys).join(up, keys, "left").join(down, keys, "left").join(loop, keys, "left")
-    return out.select(*keys, *(F.coalesce(c, F.lit("")).alias(c) for c in ("upstream", "downstream", "cross_sheet")), F.coalesce("has_circular", F.lit(False)).alias("has_circular"))
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    zero = lambda *c: [F.lit(0).alias(x) for x in c]
+    e = _slim(edges).select(*KEY, F.lit(1).alias("part"), "row", "col", "ref", "edge_type", "to_sheet", "to_row", "to_col", *zero("r2", "c2", "block_index"))
+    b = blocks.select(*KEY, F.lit(0).alias("part"), F.col("r1").alias("row"), F.col("c1").alias("col"), null("ref", "string"), null("edge_type", "string"), F.col("sheet").alias("to_sheet"), *zero("to_row", "to_col"), "r2", "c2", "block_index")
+    return by_sheet(e.unionByName(b), ["wb"], _summary, "wb string, sheet string, block_index int, upstream string, downstream string, cross_sheet string, has_circular boolean", ["part", "sheet", "row", "col"])
+
+
+def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
+    key, to = _keyed(pdf)
+    is_edge = (pdf["part"] == 1).to_numpy()
+    b, e = pdf[~is_edge].reset_index(drop=True), pdf[is_edge].reset_index(drop=True)
+    src, dst = key[is_edge], to[is_edge]
+    place, height = key[~is_edge], (b["r2"] - b["row"] + 1).to_numpy()
+    c1, c2 = b["col"].to_numpy(), b["c2"].to_numpy()
+    block = np.repeat(np.arange(len(b)), height)
+    line = np.repeat(place >> 15, height) + np.arange(len(block)) - np.repeat(np.cumsum(height) - height, height)
+    order = np.argsort(line, kind="stable")
+    block, line = block[order], line[order]
+
+    def inside(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places i of cells and the blocks that hold them."""
+        i, j = pairs(cell >> 15, line)
+        col = cell[i] & 0x7FFF
+        held = (col >= c1[block[j]]) & (col <= c2[block[j]])
+        return i[held], block[j[held]]
+
+    def listed(of: np.ndarray, code: np.ndarray, texts: np.ndarray, most: int) -> list[str]:
+        """The first texts, sorted, of each block."""
+        out: list[list[str]] = [[] for _ in range(len(b))]
+        both = np.unique(of * max(len(texts), 1) + code)
+        for k, t in zip((both // max(len(texts), 1)).tolist(), texts[both % max(len(texts), 1)].tolist(), strict=True):
+            out[k].append(t)
+        return [",".join(sorted(x)[:most]) for x in out]
+
+    up = down = cross = [""] * len(b)
+    circular = np.zeros(len(b), bool)
+    if len(e):
+        cell = np.unique(src)
+        i, of = inside(cell)
+        start, edge, _ = _above(src, dst, 2)
+        ref, refs_ = pd.factorize(e["ref"].to_numpy())
+        r, k = pairs(src[start], cell[i])  # cells are sorted, and so are those inside blocks
+        code = ref[edge][r]
+        up = listed(of[k], code, np.asarray(refs_, object), 50)
+        other = (e["edge_type"] == "cross_sheet").to_numpy()[edge][r]
+        cross = listed(of[k][other], code[other], np.asarray(refs_, object), 20)
+        users = np.flatnonzero(dst >= 0)
+        u, k = pairs(dst[users], cell[i])
+        user, first = np.unique(src[users][u], return_inverse=True)
+        at = e.iloc[np.unique(src, return_index=True)[1][np.searchsorted(cell, user)]]
+        names = [f"{s}!{a1.letters_of(c)}{r}" for s, r, c in zip(at["sheet"], at["row"].tolist(), at["col"].tolist(), strict=True)]
+        down = listed(of[k], first, np.asarray(names, object), 50)
+        circular[inside(_looped(e, src, dst))[1]] = True
+    return pd.DataFrame({"wb": b["wb"], "sheet": b["sheet"], "block_index": b["block_index"], "upstream": up, "downstream": down, "cross_sheet": cross, "has_circular": circular})

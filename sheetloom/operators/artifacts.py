@@ -18,7 +18,8 @@ def labels(cells: DataFrame) -> DataFrame:
     left = Window.partitionBy(*KEY, "row").orderBy("col")
     up = Window.partitionBy(*KEY, "col").orderBy("row")
     near = lambda w, c: F.when((F.lag(c).over(w) == F.col(c) - 1) & (F.lag("kind").over(w) == "s"), F.lag("raw").over(w))
-    return cells.withColumn("label", F.coalesce(near(left, "col"), near(up, "row")))
+    # in this order, so that the cells end in the order that joins on places ask for
+    return cells.withColumn("_up", near(up, "row")).withColumn("label", F.coalesce(near(left, "col"), "_up")).drop("_up")
 
 
 def kpis(cells: DataFrame, edges: DataFrame, chart_ranges: DataFrame | None = None, least: int = 3) -> DataFrame:

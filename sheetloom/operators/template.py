@@ -32,10 +32,13 @@ def constraints(nodes: DataFrame, sub_tables: DataFrame | None = None) -> DataFr
 
 def compare(spec: DataFrame) -> DataFrame:
     """Consensus for each place over all documents: only counts and extremes are kept, so a place may be in every document."""
-    g = spec.groupBy("sheet", "row", "col").agg(
-        F.count_distinct("wb").alias("documents"), F.count_distinct("dof_type").alias("types"), F.max((F.col("dof_type") == "dof")).alias("any_dof"),
-        F.min("dof_type").alias("least"), F.min("constant").alias("lowest"), F.max("constant").alias("highest"), F.min(F.struct("wb", "formula")).alias("first"),
+    bit = F.when(F.col("dof_type") == "dof", 1).when(F.col("dof_type") == "constant", 2).otherwise(4)
+    # first each document's places, which lie together and sorted, then places over documents: no row for each document is moved
+    own = spec.groupBy(*KEY, "row", "col").agg(F.bit_or(bit).alias("bits"), F.min("dof_type").alias("least"), F.min("constant").alias("lowest"), F.max("constant").alias("highest"), F.min(F.struct("formula")).alias("f"))
+    g = own.groupBy("sheet", "row", "col").agg(
+        F.count("wb").alias("documents"), F.bit_or("bits").alias("bits"), F.min("least").alias("least"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"), F.min(F.struct("wb", "f.formula")).alias("first"),
     )
+    g = g.withColumn("types", F.bit_count("bits")).withColumn("any_dof", F.col("bits").bitwiseAND(1) > 0)
     same = (F.col("types") == 1) & (F.col("least") == "constant") & F.col("lowest").eqNullSafe(F.col("highest"))
     kind = F.when(F.col("documents") == 1, F.col("least")).when(same, "constant").when((F.col("types") == 1) & (F.col("least") == "formula"), "formula").otherwise("dof")
     clash = (F.col("documents") > 1) & ~F.col("any_dof") & (((F.col("types") == 1) & (F.col("least") == "constant") & ~same) | (F.col("types") > 1))
@@ -45,7 +48,8 @@ def compare(spec: DataFrame) -> DataFrame:
 def conflicts(spec: DataFrame) -> DataFrame:
     """The different values of each place that lost its consensus, one row for each, with how many documents have it."""
     lost = compare(spec).where("conflict").select("sheet", "row", "col")
-    return spec.join(lost, ["sheet", "row", "col"]).groupBy("sheet", "row", "col", F.coalesce("constant", "dof_type").alias("value")).agg(F.count("*").alias("documents"))
+    counted = spec.groupBy("sheet", "row", "col", F.coalesce("constant", "dof_type").alias("value")).agg(F.count("*").alias("documents"))
+    return counted.join(lost, ["sheet", "row", "col"])
 
 
 def merge_constraints(found: DataFrame) -> DataFrame:
@@ -58,20 +62,21 @@ def merge_constraints(found: DataFrame) -> DataFrame:
 def validate(template: DataFrame, cells: DataFrame) -> DataFrame:
     """For every workbook: template constants whose sheet is missing, whose cell is missing or whose text differs."""
     const = template.where("dof_type = 'constant'").select("sheet", "row", "col", F.col("constant").alias("expected"))
-    sheets = cells.select(*KEY).distinct().withColumn("there", F.lit(True))
-    books = cells.select("wb").distinct()
-    need = [r["sheet"] for r in const.select("sheet").distinct().collect()]  # the sheets of one document
-    every = books.withColumn("sheet", F.explode(F.lit(need) if need else F.array().cast("array<string>")))
-    wanted = every.join(const, "sheet")
-    x = wanted.join(sheets, KEY, "left").join(cells.select(*KEY, "row", "col", F.col("raw").alias("found")), [*KEY, "row", "col"], "left")
-    problem = F.when(F.col("there").isNull(), "missing_sheet").when(F.col("found").isNull(), "missing_cell").when(F.col("found") != F.col("expected"), "mismatch")
-    return x.withColumn("problem", problem).where("problem IS NOT NULL").select(*KEY, "row", "col", "expected", "found", "problem")
+    place = F.struct("sheet", "row", "col", "expected")
+    found = cells.select(*KEY, "row", "col", "raw").join(F.broadcast(const.withColumn("wanted", F.lit(True))), ["sheet", "row", "col"], "left")
+    books = found.groupBy("wb").agg(F.collect_list(F.when(F.col("wanted"), F.struct("sheet", "row", "col", "expected", F.col("raw").alias("found")))).alias("has"), F.collect_set("sheet").alias("sheets"))
+    x = books.crossJoin(F.broadcast(const.agg(F.collect_list(place).alias("all"))))  # one document's places
+    as_place = lambda v: F.struct(v["sheet"].alias("sheet"), v["row"].alias("row"), v["col"].alias("col"), v["expected"].alias("expected"))
+    missing = F.transform(F.array_except("all", F.transform("has", as_place)), lambda v: v.withField("found", F.lit(None).cast("string")))
+    x = x.select("wb", "sheets", F.explode(F.concat(F.col("has"), missing)).alias("x")).select("wb", "sheets", "x.*").where("found IS DISTINCT FROM expected")
+    problem = F.when(~F.array_contains("sheets", F.col("sheet")), "missing_sheet").when(F.col("found").isNull(), "missing_cell").otherwise("mismatch")
+    return x.select(*KEY, "row", "col", "expected", "found", problem.alias("problem"))
 
 
 def extract(template: DataFrame, cells: DataFrame) -> DataFrame:
-    """What each workbook has at the places that are filled in."""
+    """What each workbook has at the places that are filled in; those, one document's at most, go to the cells."""
     dof = template.where("dof_type = 'dof'").select("sheet", "row", "col")
-    return cells.join(dof, ["sheet", "row", "col"]).select(*KEY, "row", "col", "kind", "raw")
+    return cells.join(F.broadcast(dof), ["sheet", "row", "col"]).select(*KEY, "row", "col", "kind", "raw")
 
 
 def importer_source(template: DataFrame, name: str = "Importer") -> str:

@@ -40,7 +40,7 @@ def by_sheet(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.Data
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def called(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        out = f(pa.concat_tables(held).to_pandas())
+        out = f(pa.concat_tables(held).to_pandas(integer_object_nulls=True))
         for pdf in [out] if isinstance(out, pd.DataFrame) else out:
             yield from pa.Table.from_pandas(pdf[kinds.names], kinds, preserve_index=False).to_batches(1 << 16)
 

@@ -22,10 +22,10 @@ def chart_summary(charts: DataFrame) -> DataFrame:
     return charts.withColumn("summary", parts).withColumn("top_left", a1.coord(F.col("from_row") + 1, F.col("from_col") + 1)).withColumn("bottom_right", F.coalesce(a1.coord(F.col("to_row") + 1, F.col("to_col") + 1), "top_left"))
 
 
-def chunks(blocks: DataFrame, cells: DataFrame, charts: DataFrame | None = None, path=None, with_html: bool = True, sheets: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
+def chunks(blocks: DataFrame | None, cells: DataFrame, charts: DataFrame | None = None, path=None, with_html: bool = True, sheets: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
     """One row for each block, charts last, in the order of sheets and blocks: ids, uri, text, tokens, previous and next.
 
-    The order of sheets is that of sheets (wb, sheet, sheet_index) if given, else by name.
+    The order of sheets is that of sheets (wb, sheet, sheet_index) if given, else by name.  Without blocks, those that segment finds.
     """
     path = F.col("wb") if path is None else path
     x = render.rendered(blocks, cells, hidden, with_html=with_html)

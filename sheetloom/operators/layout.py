@@ -165,8 +165,8 @@ SEGMENTS = (
 )
 
 
-def segment_input(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """Cells (part 1) as segments_of takes them, after the declared tables (part 0) of their sheet."""
+def segment_input(cells: DataFrame, tables: DataFrame | None = None, *more) -> DataFrame:
+    """Cells (part 1) as segments_of takes them, after the declared tables (part 0) of their sheet; more columns of cells only without tables."""
     bold, text = F.coalesce(F.col("bold"), F.lit(False)), (F.col("kind") == "s") | F.col("raw").isNull()
     flags = {
         FORMULA: F.col("formula").isNotNull(), FORMATTED: bold | F.col("fill").isNotNull() | F.col("number_format").isNotNull() | F.col("font_size").isNotNull(), BOLD: bold,
@@ -175,7 +175,7 @@ def segment_input(cells: DataFrame, tables: DataFrame | None = None) -> DataFram
     if "merged" in cells.columns:
         flags[MERGED] = F.col("merged")
     bits = sum((F.when(v, bit).otherwise(0) for bit, v in flags.items()), F.lit(0))
-    x = cells.select(*KEY, F.lit(1).alias("part"), "row", "col", bits.alias("flags"), F.coalesce("fill", F.lit("")).alias("fill"), *(F.lit(0).alias(c) for c in ("r2", "c2")), F.lit(None).cast("string").alias("table_name"))
+    x = cells.select(*KEY, F.lit(1).alias("part"), "row", "col", bits.alias("flags"), F.coalesce("fill", F.lit("")).alias("fill"), *(F.lit(0).alias(c) for c in ("r2", "c2")), F.lit(None).cast("string").alias("table_name"), *more)
     if tables is not None:
         x = x.unionByName(tables.select(*KEY, F.lit(0).alias("part"), F.col("r1").alias("row"), F.col("c1").alias("col"), F.lit(0).alias("flags"), F.lit("").alias("fill"), "r2", "c2", "table_name"))
     return x

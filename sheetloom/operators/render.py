@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.a1 import letters_of as letters
-from .layout import KEY
+from .by_sheet import by_sheet, numbered
+from .layout import KEY, segment, segment_input, segments_of
 
 #: Text columns are no wider.  In a block of more places, rows and columns that have no cell at all are left out; no cell is.
 WIDEST, MOST_PLACES = 30, 200_000
@@ -122,11 +125,52 @@ class Block:
         return "\n".join([start, *lines, "</tbody>\n</table>" if headed and len(lines) > 1 else "</table>"])
 
 
-def rendered(blocks: DataFrame, cells: DataFrame, hidden: DataFrame | None = None, with_text: bool = True, with_html: bool = True) -> DataFrame:
+_RENDERED = "wb string, sheet string, block_index int, block_type string, r1 int, c1 int, r2 int, c2 int, render_text string, render_html string"
+
+
+def _in_one_pass(cells: DataFrame, with_text: bool, with_html: bool) -> DataFrame:
+    """As rendered, of the blocks that segment finds: whole sheets are segmented and rendered where their cells lie."""
+    needed = ["shown", "is_formula", "num"] + (["bold", "fill", "font_size", "is_slave", "row_span", "col_span"] if with_html else [])
+    value = F.coalesce(*([F.col("display")] if "display" in cells.columns else []), F.col("raw"), F.lit(""))
+    more = {"shown": value, "is_formula": F.col("formula").isNotNull(), "has_num": F.col("num").isNotNull()} | {n: F.col(n) if n in cells.columns else F.lit(None).cast(_CELL[n]) for n in needed[2:]}
+
+    def f(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        x = segments_of(pdf)
+        line = numbered(pdf, KEY) * (1 << 22) + pdf["row"].to_numpy()
+        col, row = pdf["col"].to_numpy(), pdf["row"].tolist()
+        cols = col.tolist()
+        columns = [pdf["_" + n].astype(object).where(pdf["_" + n].notna(), None).tolist() for n in needed]
+        columns[2] = [v if there else None for v, there in zip(pdf["_num"].tolist(), pdf["_has_num"].tolist(), strict=True)]
+        sid, c1, c2 = (x[c].to_numpy() for c in ("sid", "c1", "c2"))
+        low, high = (np.searchsorted(line, sid * (1 << 22) + x[c].to_numpy() + k) for c, k in (("r1", 0), ("r2", 1)))
+        done: list[tuple] = []
+        size = 0
+        for k, (wb, sheet, *b) in enumerate(zip(x["wb"], x["sheet"], *(x[c].tolist() for c in _BLOCK), strict=True)):
+            block = Block(sheet, dict(zip(_BLOCK, b, strict=True)), set(), set())
+            there = (low[k] + np.flatnonzero((col[low[k] : high[k]] >= c1[k]) & (col[low[k] : high[k]] <= c2[k]))).tolist()
+            for i in there:
+                block.rows.setdefault(row[i], {})[cols[i]] = {n: c[i] for n, c in zip(needed, columns, strict=True)}
+            text, html = block.text() if with_text else None, block.html() if with_html else None
+            done.append((wb, sheet, *b, text, html))
+            size += len(text or "") + len(html or "")
+            if size > 1 << 23:
+                yield pd.DataFrame(done, columns=[*KEY, *_BLOCK, "render_text", "render_html"])
+                done, size = [], 0
+        if done:
+            yield pd.DataFrame(done, columns=[*KEY, *_BLOCK, "render_text", "render_html"])
+
+    return by_sheet(segment_input(cells, None, *(v.alias("_" + n) for n, v in more.items())), KEY, f, _RENDERED, ["row", "col"])
+
+
+def rendered(blocks: DataFrame | None, cells: DataFrame, hidden: DataFrame | None = None, with_text: bool = True, with_html: bool = True) -> DataFrame:
     """wb, sheet, block_index, block_type, r1, c1, r2, c2, render_text, render_html; null where nothing of a block is visible.
 
-    hidden: wb, sheet, hidden_rows, hidden_cols.
+    hidden: wb, sheet, hidden_rows, hidden_cols.  Without blocks, those that segment finds are rendered, in the same pass.
     """
+    if blocks is None:
+        if hidden is None:
+            return _in_one_pass(cells, with_text, with_html)
+        blocks = segment(cells)
     null = lambda kind: F.lit(None).cast(kind)
     ints = {"r1": "int", "c1": "int", "r2": "int", "c2": "int", "block_index": "int"}
     names = [*KEY, "part", *_BLOCK, "hidden_rows", "hidden_cols", *_CELL]
@@ -195,14 +239,14 @@ def rendered(blocks: DataFrame, cells: DataFrame, hidden: DataFrame | None = Non
         if done:
             yield flush()
 
-    return x.mapInArrow(run, "wb string, sheet string, block_index int, block_type string, r1 int, c1 int, r2 int, c2 int, render_text string, render_html string")
+    return x.mapInArrow(run, _RENDERED)
 
 
-def text(blocks: DataFrame, cells: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
+def text(blocks: DataFrame | None, cells: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     """wb, sheet, block_index, render_text."""
     return rendered(blocks, cells, hidden, with_html=False).where("render_text IS NOT NULL").select(*KEY, "block_index", "render_text")
 
 
-def html(blocks: DataFrame, cells: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
+def html(blocks: DataFrame | None, cells: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     """wb, sheet, block_index, render_html."""
     return rendered(blocks, cells, hidden, with_text=False).where("render_html IS NOT NULL").select(*KEY, "block_index", "render_html")

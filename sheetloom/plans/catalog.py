@@ -298,19 +298,19 @@ def dependency_summary(spark, sf):
 @query()
 def render_text(spark, sf):
     cells = grid.statements(spark, sf)
-    return render.text(layout.segment(cells), cells)
+    return render.text(None, cells)
 
 
 @query()
 def render_html(spark, sf):
     cells = layout.merge_flags(grid.statements(spark, sf), grid.status_merges(spark, sf))
-    return render.html(layout.segment(cells), cells)
+    return render.html(None, cells)
 
 
 @query()
 def chunks(spark, sf):
     cells = grid.statements(spark, sf)
-    return chunk.chunks(layout.segment(cells), cells)
+    return chunk.chunks(None, cells)
 
 
 @query("SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn, (row_number() OVER w - 1)::INT AS chunk_index FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -358,8 +358,7 @@ def vector_dims(spark, sf):
 @query()
 def vector_entries(spark, sf):
     cells = grid.statements(spark, sf)
-    blocks = layout.segment(cells)
-    x = chunk.vector_entries(chunk.chunks(blocks, cells, with_html=False), graph.summary(blocks, graph.edges(cells)))
+    x = chunk.vector_entries(chunk.chunks(None, cells, with_html=False), graph.summary(layout.segment(cells), graph.edges(cells)))
     return x.select("id", "text", "metadata.*")
 
 

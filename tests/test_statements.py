@@ -154,3 +154,68 @@ def test_stage_metrics_are_counts(spark, odd):
     assert (got["parse", "cells"], got["parse", "formulas"], got["annotate", "labels"]) == (cells.count(), cells.where("formula IS NOT NULL").count(), labels)
     assert got["segment", "covered"] == cells.count() and got["graph", "edges"] == edges.count() and len(got) == 8 and blocks.count()
     assert moves(catalog.QUERIES["stage_metrics"](spark, odd[0])) <= 12
+
+
+@pytest.mark.parametrize("name", ["upstream_2hop", "kpi_catalog", "template_compare", "template_conflicts"])
+def test_workbooks_stay(spark, odd, name):
+    """As the SQL says; the orders and customers are moved, and what is counted by place."""
+    got, want = both(spark, odd, name)
+    assert got == want
+    assert moves(catalog.QUERIES[name](spark, odd[0])) <= {"upstream_2hop": 3, "kpi_catalog": 7, "template_compare": 4}.get(name, 9)
+
+
+def test_validate_whole(spark):
+    """Missing sheets and cells, other texts, none twice and none left out; a document with a place twice has a row for each wrong text."""
+    from sheetloom import schema
+    from sheetloom.operators import template
+
+    t = spark.createDataFrame([("S", 1, 1, "constant", "a"), ("S", 2, 1, "constant", "b"), ("T", 1, 1, "constant", None), ("S", 3, 1, "dof", None)], "sheet string, row int, col int, dof_type string, constant string")
+    place = lambda wb, sheet, row, raw: (wb, sheet, row, 1, "s", raw, None, None, False, None, None, None)
+    x = spark.createDataFrame([place("u", "S", 1, "a"), place("u", "S", 2, "c"), place("u", "S", 2, "b"), place("v", "T", 1, "z"), place("w", "S", 1, "a"), place("w", "S", 2, "b")], schema.CELLS)
+    got = {(r["wb"], r["sheet"], r["row"], r["found"], r["problem"]) for r in template.validate(t, x).collect()}
+    assert got == {("u", "S", 2, "c", "mismatch"), ("v", "S", 1, None, "missing_sheet"), ("v", "S", 2, None, "missing_sheet"), ("v", "T", 1, "z", "mismatch")}
+
+
+def test_summary_of_blocks_against_loops(spark):
+    from sheetloom import schema
+    from sheetloom.operators import graph, layout
+
+    rng, rows = random.Random(12), []
+    for wb in "uv":
+        for sheet in "ST":
+            for r in range(1, 9):
+                for c in range(1, 5):
+                    if rng.random() < 0.7:
+                        to = f"{rng.choice(['', '', 'S!', 'T!'])}{rng.choice('ABCD')}{rng.randint(1, 8)}"
+                        rows.append((wb, sheet, r, c, "n", None, None, rng.choice([None, to, to + "+B2"]), False, None, None, None))
+    x = spark.createDataFrame(rows, schema.CELLS)
+    blocks, e = layout.segment(x).localCheckpoint(), graph.edges(x).localCheckpoint()
+    edges, up = e.collect(), {}
+    loops = {tuple(r) for r in graph.cycles(e).collect()}
+    hop = lambda r: (r["wb"], r["target_sheet"] or r["sheet"], r["r1"], r["c1"])
+    of = lambda r: (r["wb"], r["sheet"], r["row"], r["col"])
+    for r in edges:
+        up.setdefault(of(r), set()).add((r["ref"], r["edge_type"]))
+        up[of(r)] |= {(n["ref"], n["edge_type"]) for n in edges if of(n) == hop(r)}
+    for b, s in zip(blocks.orderBy("wb", "sheet", "block_index").collect(), graph.summary(blocks, e).orderBy("wb", "sheet", "block_index").collect(), strict=True):
+        cells = {p for p in up if p[:2] == (b["wb"], b["sheet"]) and b["r1"] <= p[2] <= b["r2"] and b["c1"] <= p[3] <= b["c2"]}
+        assert s["upstream"] == ",".join(sorted({t for p in cells for t, _ in up[p]})[:50])
+        assert s["cross_sheet"] == ",".join(sorted({t for p in cells for t, k in up[p] if k == "cross_sheet"})[:20])
+        assert s["downstream"] == ",".join(sorted({f"{r['sheet']}!{chr(64 + r['col'])}{r['row']}" for r in edges if hop(r) in cells})[:50])
+        assert s["has_circular"] == bool(cells & loops)
+
+
+@pytest.mark.parametrize("name", ["render_text", "render_html", "chunks", "vector_entries"])
+def test_rendered_in_one_pass(spark, odd, name):
+    from sheetloom.operators import chunk, graph, layout, render
+
+    cells = grid.statements(spark, odd[0])
+    flagged = layout.merge_flags(cells, grid.status_merges(spark, odd[0]))
+    blocks = layout.segment(cells)
+    want = {
+        "render_text": lambda: render.text(blocks, cells), "render_html": lambda: render.html(blocks, flagged), "chunks": lambda: chunk.chunks(blocks, cells),
+        "vector_entries": lambda: chunk.vector_entries(chunk.chunks(blocks, cells, with_html=False), graph.summary(blocks, graph.edges(cells))).select("id", "text", "metadata.*"),
+    }[name]()
+    df = catalog.QUERIES[name](spark, odd[0])
+    assert sorted(map(str, df.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert moves(df) < moves(want)
